@@ -8,12 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-DIMENSIONS = 64
-
+from parapet.functions.once import bind
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+DIMENSIONS = 64
 
 
 def tokens(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from parapet.functions.embedding import bind
+from parapet.functions.once import bind
 
 # ---- fixed values: finite upper bounds in seconds; +Inf follows ----
 BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)

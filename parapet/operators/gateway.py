@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from parapet.functions import signatures as S, text as T
 from parapet.functions.entropy import char_entropy, level_score
+from parapet.functions.once import bind, computed
 from parapet.functions.signatures import Rule
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
@@ -65,8 +66,12 @@ def matched_rules(text: Column, rules: Sequence[Rule]) -> Column:
 def until_critical(positions: Column, rules: Sequence[Rule]) -> Column:
     """Cut the list after the first rule of critical severity: later rules do not count."""
     critical = [i for i, rule in enumerate(rules) if rule.severity >= S.CRITICAL_SEVERITY]
-    first = F.array_position(F.transform(positions, lambda p: p.isin(critical)), True)
-    return F.when(first > 0, F.slice(positions, F.lit(1), first.cast("int"))).otherwise(positions)
+
+    def cut(found: Column) -> Column:
+        first = F.array_position(F.transform(found, lambda p: p.isin(critical)), True)
+        return F.when(first > 0, F.slice(found, F.lit(1), first.cast("int"))).otherwise(found)
+
+    return bind(positions, cut)
 
 
 def _lookup(positions: Column, values: Sequence) -> Column:
@@ -82,9 +87,11 @@ def score_threats(
     A null text is not scored; all added columns are then null.
     """
     text = F.col(column)
-    hits = df.withColumn("rule_hits", F.when(text.isNotNull(), matched_rules(text, rules)))
-    hits = hits.withColumn("rule_hits", until_critical(F.col("rule_hits"), rules))
-    hits = hits.withColumn("entropy", F.when(text.isNotNull(), char_entropy(text)))
+    hits = computed(
+        df,
+        rule_hits=F.when(text.isNotNull(), until_critical(matched_rules(text, rules), rules)),
+        entropy=F.when(text.isNotNull(), char_entropy(text)),
+    )
     scored = hits.withColumn(
         "entropy_score",
         F.when(F.length(text) < S.ENTROPY_MIN_CHARS, 0)

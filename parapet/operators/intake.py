@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import magic, text as T
+from parapet.functions.once import computed
 from parapet.operators.ordered import running_total
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -43,7 +44,7 @@ def guard_size(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
 
 def with_type(files: DataFrame, supported: tuple[str, ...] = magic.SUPPORTED) -> DataFrame:
     """Add the detected ``mime``; a type without a parser becomes the ``reason``."""
-    typed = files.withColumn("mime", magic.detect_mime(F.col("content"), F.col("filename")))
+    typed = computed(files, mime=magic.detect_mime(F.col("content"), F.col("filename")))
     return typed.withColumn(
         "reason",
         F.coalesce("reason", F.when(~F.col("mime").isin(list(supported)), UNSUPPORTED)),
@@ -101,10 +102,12 @@ def parse_text_files(files: DataFrame) -> DataFrame:
     """Text of plain and markdown files as ``parsed``; a failed parse sets ``reason``."""
     content, usable = F.col("content"), F.col("reason").isNull()
     markdown = F.col("mime").isin(magic.MARKDOWN, "text/x-markdown")
-    parsed = files.withColumn("_valid", valid_utf8(content)).withColumn(
-        "parsed",
-        F.when(usable & markdown & F.col("_valid"), strip_markdown(content.cast("string")))
-        .when(usable & (F.col("mime") == magic.PLAIN), decode_text(content)),
+    parsed = computed(
+        files,
+        _valid=valid_utf8(content),
+        parsed=F.when(
+            usable & markdown & valid_utf8(content), strip_markdown(content.cast("string"))
+        ).when(usable & (F.col("mime") == magic.PLAIN), decode_text(content)),
     )
     return parsed.withColumn(
         "reason",

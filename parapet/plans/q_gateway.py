@@ -184,6 +184,7 @@ def _sql_hit(index: int) -> str:
     return _found(rule.pattern)
 
 
+# Ten copies of at least five characters repeat 21 or more substrings of 25 characters.
 # Ten copies of a unit of p characters hold eight equal neighbours that start at a
 # multiple of p; around such a place every start is then compared.
 _FLOOD = """line_u AS (
@@ -191,8 +192,11 @@ _FLOOD = """line_u AS (
 ), line AS (
   SELECT query_id, line, length(line) AS n, row_number() OVER () AS line_no
   FROM line_u WHERE length(line) >= 50
+), dense AS (
+  SELECT * FROM line WHERE n - 24 - len(list_distinct(list_transform(
+    range(1, n - 23), lambda i: substr(line, i, 25)))) >= 21
 ), unit AS (
-  SELECT *, unnest(range(5, n // 10 + 1)) AS p FROM line
+  SELECT *, unnest(range(5, n // 10 + 1)) AS p FROM dense
 ), place AS (
   SELECT *, unnest(range(0, n - 9 * p + 1, p)) AS a FROM unit
 ), near AS (

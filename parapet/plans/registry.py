@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.plans import q_chunks, q_gateway, q_intake, q_store
+from parapet.plans import q_admission, q_chunks, q_gateway, q_intake, q_output, q_store
 from parapet.session import configure
 
-MODULES = (q_store, q_intake, q_chunks, q_gateway)
+MODULES = (q_store, q_intake, q_chunks, q_gateway, q_output, q_admission)
 
 
 def _configured(query: Callable[[SparkSession, str], DataFrame]):
