@@ -30,10 +30,11 @@ def held(points: DataFrame, condition: Column, hold_s: int, step_s: int = STEP_S
     point fires when all of its supporters have reported.
     """
     needed = hold_s // step_s + 1
-    shifts = F.array(*[F.lit(i * step_s * MICROS) for i in range(needed)])
+    moment = F.unix_micros("at")
+    supported = F.array(*[moment + F.lit(i * step_s * MICROS) for i in range(needed)])
     return (
         points.where(condition)
-        .select((F.unix_micros("at") + F.explode(shifts)).alias("_at"))
+        .select(F.explode(supported).alias("_at"))
         .groupBy("_at").agg(F.count("*").alias("_n"))
         .where(F.col("_n") == needed)
         .select(F.timestamp_micros("_at").alias("at"))

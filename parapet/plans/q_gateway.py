@@ -185,8 +185,9 @@ def _sql_hit(index: int) -> str:
 
 
 # Ten copies of at least five characters repeat 21 or more substrings of 25 characters.
-# Ten copies of a unit of p characters hold eight equal neighbours that start at a
-# multiple of p; around such a place every start is then compared.
+# Ten copies of a unit of p characters make the text at some multiple of p agree with the
+# text p further on; around each place where the next 20 characters agree, every start
+# is compared in full.
 _FLOOD = """line_u AS (
   SELECT query_id, unnest(string_split(normal, chr(10))) AS line FROM prepared
 ), line AS (
@@ -195,12 +196,17 @@ _FLOOD = """line_u AS (
 ), dense AS (
   SELECT * FROM line WHERE n - 24 - len(list_distinct(list_transform(
     range(1, n - 23), lambda i: substr(line, i, 25)))) >= 21
-), unit AS (
-  SELECT *, unnest(range(5, n // 10 + 1)) AS p FROM dense
+), gram AS (
+  SELECT line_no, unnest(range(n)) AS at,
+         unnest(list_transform(range(1, n + 1), lambda i: substr(line, i, 20))) AS g FROM dense
 ), place AS (
-  SELECT *, unnest(range(0, n - 9 * p + 1, p)) AS a FROM unit
+  SELECT line_no, n, p, unnest(range(0, n - 9 * p + 1, p)) AS a
+  FROM (SELECT line_no, n, unnest(range(5, n // 10 + 1)) AS p FROM dense)
 ), near AS (
-  SELECT * FROM place WHERE substr(line, a + 1, 8 * p) = substr(line, a + p + 1, 8 * p)
+  SELECT l.query_id, l.line, l.n, q.p, q.a FROM place q
+  JOIN gram x ON x.line_no = q.line_no AND x.at = q.a
+  JOIN gram y ON y.line_no = q.line_no AND y.at = q.a + q.p AND y.g = x.g
+  JOIN dense l ON l.line_no = q.line_no
 ), start AS (
   SELECT *, unnest(range(greatest(0, a - p + 1), least(a, n - 10 * p) + 1)) AS s FROM near
 ), flooded AS (

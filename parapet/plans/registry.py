@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.plans import q_admission, q_chunks, q_gateway, q_intake, q_output, q_store
+from parapet.plans import q_admission, q_chunks, q_gateway, q_intake, q_metrics, q_output, q_retrieval, q_store, q_streaming
 from parapet.session import configure
 
-MODULES = (q_store, q_intake, q_chunks, q_gateway, q_output, q_admission)
+MODULES = (q_store, q_intake, q_chunks, q_gateway, q_output, q_admission, q_retrieval, q_metrics, q_streaming)
 
 
 def _configured(query: Callable[[SparkSession, str], DataFrame]):
