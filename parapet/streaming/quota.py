@@ -70,10 +70,13 @@ DECISION_SCHEMA = (
 )
 
 
-def stateful_quota(log: DataFrame, policy: QuotaPolicy) -> DataFrame:
+def stateful_quota(
+    log: DataFrame, policy: QuotaPolicy, lateness: str = "1 hour"
+) -> DataFrame:
     """Decisions in update mode from keyed state that holds the times of the last window.
 
-    The state of a key that stays silent for a whole window is dropped.
+    The state of a key is dropped once the watermark is a whole window past its last
+    request. Requests later than ``lateness`` are not judged.
     """
     window_us = policy.window_seconds * MICROS
 
@@ -94,7 +97,7 @@ def stateful_quota(log: DataFrame, policy: QuotaPolicy) -> DataFrame:
             counts.append(len(times))
             starts.append(times[0])
         state.update((list(times),))
-        state.setTimeoutDuration(policy.window_seconds * 1000)
+        state.setTimeoutTimestamp((times[-1] + window_us) // 1000 + 1)
         count = pd.Series(counts, index=rows.index)
         reset = pd.Series(starts, index=rows.index) + window_us
         wait = (reset - pd.Series(moments, index=rows.index)).clip(lower=0) / MICROS
@@ -107,8 +110,10 @@ def stateful_quota(log: DataFrame, policy: QuotaPolicy) -> DataFrame:
             "retry_after": wait.where(~allowed),
         })
 
-    keyed = log.select(quota_key(F.col("api_key")).alias("api_key"), "request_id", "ts")
+    keyed = log.withWatermark("ts", lateness).select(
+        quota_key(F.col("api_key")).alias("api_key"), "request_id", "ts"
+    )
     return keyed.groupBy("api_key").applyInPandasWithState(
         judge, DECISION_SCHEMA, "times array<long>", "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
