@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parapet.functions.text import non_empty
 from parapet.operators.ordered import timeline
 
 # ---- fixed values ----
@@ -46,7 +47,7 @@ def masked(api_key: Column) -> Column:
 
 def key_list(setting: Column) -> Column:
     """Keys of a comma-separated setting."""
-    return F.filter(F.transform(F.split(setting, ","), F.trim), lambda key: key != "")
+    return non_empty(F.split(setting, ","))
 
 
 def authenticate(log: DataFrame, keys: DataFrame) -> DataFrame:
