@@ -33,33 +33,46 @@ def java_regex(pattern: str, ignore_case: bool) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern.replace(r"\s", SPACE)
 
 
-# Line lengths at which the repetition search moves on to longer units.
-LINE_LENGTHS = (80, 120, 160, 240, 320, 480, 640, 960, 1280, 1920, 2560, 3840, 5120, 8192)
+# Lengths of the repeated unit are searched in these ranges, the last without an end.
+UNIT_RANGES = ((5, 15), (16, 63), (64, 255), (256, None))
 
 
 def repeated_unit(text: Column) -> Column:
     r"""Whether some unit of five or more characters occurs ten times in a row.
 
     Equals a search for ``(.{5,})\1{9,}``. A unit cannot hold a newline, so each line is
-    searched alone, and ten copies must fit into the line, which bounds the unit. Ten
-    copies of a unit of at least five characters cover nine copies that start at a
-    multiple of five; that cheaper search comes first and sorts out nearly every line.
+    searched alone. For units of a range that starts at n, ten copies cover 10 n
+    characters or more, so they cover whole the n characters at some multiple of 9 n, and
+    these come again in every further copy, nine times at least. They also cover nine
+    copies that start at a multiple of n. Both are cheap to look for and sort out nearly
+    every line before the search itself.
     """
 
     def in_line(line: Column) -> Column:
-        size = F.length(line)
-        chain = F.when(size < 50, False)
-        for longest in LINE_LENGTHS:
-            unit = f"(.{{5,{longest // 10}}}?)"
-            chain = chain.when(size <= longest, _repeats(line, unit))
-        return chain.otherwise(_repeats(line, "(.{5,}?)"))
+        found = F.lit(False)
+        for low, high in UNIT_RANGES:
+            unit = f"(.{{{low},{high or ''}}}?)"
+            found = found | (
+                (F.length(line) >= 10 * low)
+                & _recurs(line, low)
+                & line.rlike(rf"(?s)\A(?:.{{{low}}})*?{unit}\1{{8}}")
+                & line.rlike(rf"(?s){unit}\1{{9}}")
+            )
+        return found
 
     return F.exists(F.split(text, "\n"), in_line)
 
 
-def _repeats(line: Column, unit: str) -> Column:
-    near = line.rlike(rf"(?s)\A(?:.{{5}})*?{unit}\1{{8}}")
-    return near & line.rlike(rf"(?s){unit}\1{{9}}")
+def _recurs(line: Column, size: int) -> Column:
+    """Whether the ``size`` characters at some multiple of ``9 * size`` occur nine times."""
+
+    def nine_times(start: Column) -> Column:
+        block = F.substring(line, start, F.lit(size))
+        rest = F.replace(line, block, F.lit(""))
+        return F.octet_length(line) - F.octet_length(rest) >= 9 * F.octet_length(block)
+
+    starts = F.sequence(F.lit(1), F.length(line) - (size - 1), F.lit(9 * size))
+    return F.exists(starts, nine_times)
 
 
 # ---- fixed values: injection signatures, in order, with category and severity ----

@@ -110,6 +110,10 @@ def test_repeated_unit_equals_the_regular_expression(spark):
         unit = "".join(rng.choice("ab\nc é") for _ in range(rng.randint(3, 40)))
         noise = "".join(rng.choice("abc d\n") for _ in range(rng.randint(0, 120)))
         texts.append(noise + unit * rng.randint(8, 12) + noise[:7])
+    for size in (15, 16, 63, 64, 90, 255, 256, 300):
+        unit = "".join(rng.choice("abcdefgh é") for _ in range(size))
+        for copies in (9, 10, 11):
+            texts.append("zyx" * rng.randint(0, 3) + unit * copies + unit[: size // 2])
     texts += ["x" * n for n in (49, 50, 51, 400)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.f for r in df.select(repeated_unit(F.col("t")).alias("f")).collect()]
