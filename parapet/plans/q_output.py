@@ -146,12 +146,12 @@ def sql_pii(text: str) -> str:
 
 def sql_sanitized(source: str, limit: int = S.MAX_OUTPUT_CHARS) -> str:
     """CTEs from ``source(query_id, raw_output)`` to ``sanitized``."""
-    return f"""cut AS (
+    return f"""shortened AS (
   SELECT query_id, length(raw_output) > {limit} AS was_truncated,
          regexp_replace({sql_truncate('raw_output', limit)}, '<[^>]{{0,500}}>', '', 'g') AS t
   FROM {source}
 ), flagged AS (
-  SELECT *, {sql_reflects('t')} AS reflection_detected FROM cut
+  SELECT *, {sql_reflects('t')} AS reflection_detected FROM shortened
 ), sanitized AS (
   SELECT query_id, was_truncated, reflection_detected,
     CASE WHEN reflection_detected THEN 'BLOCKED_REFLECTION' ELSE 'OK' END AS status,

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.functions import text as T
+from parapet.functions import signatures as S, text as T
 from parapet.functions.embedding import DIMENSIONS, hashed_embedding
 from parapet.operators import chunking as C, context as X, intake, retrieval as R, store
 from parapet.plans import derived as D
 from parapet.plans.answer import answer_questions, embedded_store
-from parapet.plans.derived import SP
+from parapet.plans.derived import SP, sql_strip
 from parapet.plans.ingest import ingest
-from parapet.plans.q_chunks import sql_pieces, sql_sentences
+from parapet.plans.q_chunks import SPEC, sql_chunks, sql_kept, sql_pieces, sql_sentences
+from parapet.plans.q_gateway import sql_gateway
+from parapet.plans.q_output import sql_sanitized
 from parapet.session import shared_folder
 from parapet.sources.tables import table, text_table
 
@@ -274,3 +276,42 @@ SELECT doc_id, length(t) AS chars, sha256(t) AS sha FROM a""",
     "answer_tokens": f"""SELECT conv_id, turn, CAST(len(list_filter(
   string_split_regex(text, '{SP}+'), lambda w: w <> '')) AS BIGINT) AS tokens FROM conversations""",
 }
+
+
+def sql_answer_flow() -> str:
+    """The question flow in SQL: gateway, chunks, hashed vectors, ranking, answer, checks."""
+    asked = f"""questions AS (
+  SELECT conv_id * 1000 + turn AS query_id, text || ' ' || {D.sql_payload('conv_id')} AS text
+  FROM conversations WHERE role = 'user'
+)"""
+    first_sentence = f"""list_filter(list_transform({sql_sentences('content')},
+    lambda s: {sql_strip('s')}), lambda s: s <> '')[1]"""
+    return f"""WITH RECURSIVE {sql_gateway(S.SUSPICIOUS_SCORE).replace(D.QUESTIONS, asked)},
+texts AS (SELECT doc_id, text FROM documents),
+{sql_chunks('texts', SPEC.size, SPEC.overlap)}, {sql_kept(SPEC.minimum)}, stored AS (
+  SELECT DISTINCT substr(sha256(source || ':' || chunk), 1, 32) AS item_id, chunk AS content
+  FROM kept JOIN documents USING (doc_id)
+), words AS (
+  SELECT item_id AS id, content AS text FROM stored
+  UNION ALL SELECT 'q' || query_id, sanitized_text FROM decided WHERE NOT blocked
+), {sql_embedding('words')}, pair AS (
+  SELECT q.id AS qid, c.id AS item_id, round(sum(q.w * c.w), {R.PLACES}) AS cosine
+  FROM weights q JOIN weights c ON c.bucket = q.bucket AND c.id NOT LIKE 'q%'
+  WHERE q.id LIKE 'q%' GROUP BY q.id, c.id
+), ranked AS (
+  SELECT CAST(substr(qid, 2) AS BIGINT) AS query_id, item_id, cosine,
+         row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, item_id) AS rank FROM pair
+), hit AS (SELECT * FROM ranked WHERE rank <= 1 + query_id // 1000 % 20), best AS (
+  SELECT query_id, content, round(greatest(0.0, least(1.0, (1 + cosine) / 2)), 4) AS best_score,
+         (SELECT count(*) FROM hit o WHERE o.query_id = h.query_id) AS hits
+  FROM hit h JOIN stored USING (item_id) WHERE rank = 1
+), outs AS (
+  SELECT query_id, coalesce({first_sentence}, '{X.NO_ANSWER}') AS raw_output FROM best
+), {sql_sanitized('outs')}
+SELECT query_id, substr(query_hash, 1, 16) AS short_hash, threat_level, blocked,
+       rejection_reason, hits, status, output_text AS answer, pii_types, best_score,
+       substr(content, 1, 200) AS best_preview
+FROM decided LEFT JOIN best USING (query_id) LEFT JOIN sanitized USING (query_id)"""
+
+
+ORACLE["answer_flow"] = sql_answer_flow()
