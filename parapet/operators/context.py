@@ -53,21 +53,31 @@ def context_blocks(queries: DataFrame, hits: DataFrame) -> DataFrame:
     ``hits`` holds ``query_id, rank, source, content``; at most top_k rows per query are
     collected. A query without hits keeps its row.
     """
-    entry = F.struct("rank", F.coalesce("source", F.lit("unknown")).alias("source"), "content")
-    grouped = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_hits"))
+    grouped = collected_hits(hits)
+    return queries.join(grouped, "query_id", "left").select(
+        *queries.columns,
+        context_text(F.col("_hits")).alias("context"),
+        F.coalesce(F.size("_hits"), F.lit(0)).cast("long").alias("hits"),
+        F.col("_hits")[0]["content"].alias("best_content"),
+    )
+
+
+def collected_hits(hits: DataFrame, *extra: Column) -> DataFrame:
+    """The hits of a query as the array ``_hits`` in rank order."""
+    source = F.coalesce("source", F.lit("unknown")).alias("source")
+    entry = F.struct("rank", source, "content", *extra)
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_hits"))
+
+
+def context_text(hits: Column) -> Column:
     texts = F.transform(
-        F.col("_hits"),
+        hits,
         lambda hit, i: F.concat(
             F.lit("["), (i + 1).cast("string"), F.lit("] Source: "), hit["source"],
             F.lit("\n"), hit["content"],
         ),
     )
-    return queries.join(grouped, "query_id", "left").select(
-        *queries.columns,
-        F.coalesce(F.array_join(texts, CONTEXT_SEPARATOR), F.lit(NO_CONTEXT)).alias("context"),
-        F.coalesce(F.size("_hits"), F.lit(0)).cast("long").alias("hits"),
-        F.col("_hits")[0]["content"].alias("best_content"),
-    )
+    return F.coalesce(F.array_join(texts, CONTEXT_SEPARATOR), F.lit(NO_CONTEXT))
 
 
 def prompts(df: DataFrame, question: str = "question", context: str = "context") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 SLAB_ROWS = 50_000
 BLOCK_ROWS = 4_096
+WORTHWHILE_ROWS = 2_000  # below this size a slab is not split just to use more cores
 PLACES = 9  # similarities are ranked at this many decimal places, ties by id
 MAX_CELLS = 100_000  # bound of the broadcast cell table
 
@@ -73,8 +74,12 @@ def _best(k: int):
     return compare
 
 
-def _pieces(df: DataFrame, name: str, rows: int) -> DataFrame:
-    return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
+def _pieces(df: DataFrame, name: str, rows: int, at_least: int = 1) -> DataFrame:
+    """Pieces per cell: enough to bound their size, and ``at_least`` so many if worthwhile."""
+    count = F.count("*")
+    useful = F.least(F.ceil(count / F.lit(WORTHWHILE_ROWS)), F.lit(at_least))
+    pieces = F.greatest(F.ceil(count / F.lit(rows)), useful)
+    return df.groupBy("cell").agg(pieces.cast("int").alias(name))
 
 
 def _spread(df: DataFrame, own: str, own_count: str, other: str, other_count: str, row_id: str):
@@ -98,8 +103,10 @@ def nearest_in_cells(
     vector``; at most ``MAX_CELLS`` cells, whose table of counts is broadcast. An item met
     in several cells (``overlapping``) counts once. Returns ``query_id, item_id, cosine, rank``.
     """
+    cores = store.sparkSession.sparkContext.defaultParallelism
     cells = F.broadcast(
-        _pieces(store, "slabs", slab_rows).join(_pieces(queries, "blocks", block_rows), "cell")
+        _pieces(store, "slabs", slab_rows, cores)
+        .join(_pieces(queries, "blocks", block_rows), "cell")
     )
     items = _spread(store.join(cells, "cell"), "slab", "slabs", "block", "blocks", "item_id")
     asked = _spread(queries.join(cells, "cell"), "block", "blocks", "slab", "slabs", "query_id")

@@ -19,6 +19,14 @@ def embedded_store(chunks: DataFrame, embed: Callable[[Column], Column] = hashed
     )
 
 
+def kept_table(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """Write a result that several later steps read, and go on from the written table."""
+    if folder is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
 def answer_questions(
     questions: DataFrame,
     store: DataFrame,
@@ -26,31 +34,49 @@ def answer_questions(
     embed: Callable[[Column], Column] = hashed_embedding,
     model: Callable[[pd.DataFrame], pd.Series] | None = None,
     max_k: int = 20,
+    folder: str | None = None,
 ) -> DataFrame:
     """One response row per question.
 
     ``questions`` holds unique ``query_id``, ``text`` and ``top_k``; ``store`` comes from
     ``embedded_store`` with one row per id. Blocked questions never reach retrieval, and a
-    question without hits is answered all the same.
+    question without hits is answered all the same. With a ``folder`` the decisions of the
+    gateway are written there as ``decisions`` and not computed again for the response.
     """
-    judged = gateway.evaluate(questions, "text", strict)
-    passed = judged.where(~F.col("blocked") & F.col("reject_reason").isNull()).select(
-        "query_id", F.col("top_k").cast("long").alias("top_k"),
-        F.col("sanitized_text").alias("question"),
+    judged = kept_table(
+        gateway.evaluate(questions, "text", strict).select(
+            "query_id", F.col("top_k").cast("long").alias("top_k"),
+            F.col("sanitized_text").alias("question"), "query_hash", "reject_reason",
+            "threat_level", "score", "triggered_rules", "blocked", "rejection_reason",
+        ),
+        folder, "decisions",
     )
+    passed = judged.where(~F.col("blocked") & F.col("reject_reason").isNull())
     asked = passed.select("query_id", "top_k", embed(F.col("question")).alias("vector"))
-    hits = retrieval.similarity_search(asked, store, max_k).join(
-        store.select("item_id", "source", "content", "metadata"), "item_id"
+    found = retrieval.similarity_search(asked, store, max_k).select(
+        "query_id", "item_id", "rank", "relevance_score"
+    )
+    hits = found.join(store.select("item_id", "source", "content", "metadata"), "item_id")
+    collected = context.collected_hits(
+        hits, F.map_entries("metadata").alias("metadata"), F.col("relevance_score")
     )
-    contexts = context.context_blocks(passed, hits)
-    answered = output.sanitize_output(context.generate(context.prompts(contexts), model))
-    sources = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "rank", F.substring("content", 1, 200).alias("content_preview"),
-            F.map_entries("metadata").alias("metadata"), "relevance_score",
-        ))).alias("sources")
+    with_hits = passed.select("query_id", "question").join(collected, "query_id", "left").select(
+        "query_id", "question",
+        context.context_text(F.col("_hits")).alias("context"),
+        F.coalesce(F.size("_hits"), F.lit(0)).cast("long").alias("hits"),
+        F.col("_hits")[0]["content"].alias("best_content"),
+        F.transform(
+            "_hits",
+            lambda hit: F.struct(
+                hit["rank"].alias("rank"),
+                F.substring(hit["content"], 1, 200).alias("content_preview"),
+                F.map_from_entries(hit["metadata"]).alias("metadata"),
+                hit["relevance_score"].alias("relevance_score"),
+            ),
+        ).alias("sources"),
     )
-    responses = answered.join(sources, "query_id", "left").select(
+    answered = output.sanitize_output(context.generate(context.prompts(with_hits), model))
+    responses = answered.select(
         "query_id", "hits", F.col("output_text").alias("answer"), "status", "pii_types",
         "has_warnings", "sources",
     )

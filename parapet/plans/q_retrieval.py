@@ -167,7 +167,9 @@ def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("text", F.lit(" "), D.payload(F.col("conv_id"))).alias("text"),
         (1 + F.col("conv_id") % 20).alias("top_k"),
     )
-    rows = answer_questions(questions, _stored_chunks(spark, sf))
+    rows = answer_questions(
+        questions, _stored_chunks(spark, sf), folder=shared_folder(spark, "answers")
+    )
     return rows.select(
         "query_id", F.substring("query_hash", 1, 16).alias("short_hash"), "threat_level",
         "blocked", "rejection_reason", "hits", "status", "answer",
