@@ -47,7 +47,7 @@ def delete_ids(store: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def delete_matching(store: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove every id of a table of ids, whatever its size."""
-    return store.join(ids.select("chunk_id"), "chunk_id", "left_anti")
+    return store.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
 def delete_report(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -63,14 +63,14 @@ def delete_report(store: DataFrame, ids: DataFrame) -> DataFrame:
 def existing_ids(store: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate ids that the store already holds, each once."""
     return candidates.select("chunk_id").distinct().join(
-        store.select("chunk_id"), "chunk_id", "left_semi"
+        store.select("chunk_id").distinct(), "chunk_id", "left_semi"
     )
 
 
 def new_chunks(store: DataFrame, chunks: DataFrame, order: Sequence[str]) -> DataFrame:
     """Chunks whose id the store does not hold, one row per id."""
     return one_per_id(chunks, order, latest=False).join(
-        store.select("chunk_id"), "chunk_id", "left_anti"
+        store.select("chunk_id").distinct(), "chunk_id", "left_anti"
     )
 
 

@@ -20,48 +20,51 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parapet.operators.admission import MICROS, QuotaPolicy, quota_key, rate_limit
 
-LOG_SCHEMA = "request_id long, ts timestamp, api_key string"
-
 
 class QuotaStream:
-    """State of a quota over micro-batches, kept as a table of requests per batch.
+    """State of a quota over micro-batches: a table of the requests of the last window.
 
-    ``advance`` may run again for the same batch after a failure: it replaces what the
-    first attempt wrote. Micro-batches must arrive in time order.
+    Every batch writes its own copy of that table and reads only the one before it, so the
+    work per batch follows the batch and the window, not the age of the stream. ``advance``
+    may run again for the same batch after a failure and replaces what the first attempt
+    wrote. Micro-batches must arrive in time order, with consecutive numbers from 0;
+    tables more than one batch old are not read again.
     """
 
     def __init__(self, spark: SparkSession, policy: QuotaPolicy, folder: str) -> None:
         self._spark = spark
         self._policy = policy
-        self._requests = f"{folder}/requests"
-        self._decisions = f"{folder}/decisions"
+        self._folder = folder
+
+    def _path(self, table: str, batch_id: int) -> str:
+        return f"{self._folder}/{table}/batch={batch_id}"
+
+    def _kept(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
+        path = self._path(table, batch_id)
+        df.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
 
     def advance(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select("request_id", "ts", quota_key(F.col("api_key")).alias("api_key"))
-        self._write(fresh, self._requests, batch_id)
-        log = self._spark.read.schema(f"{LOG_SCHEMA}, batch long").parquet(self._requests)
-        current = log.where(F.col("batch") == batch_id)
-        # One row: the earliest moment that a window of this batch can reach back to.
-        reach = current.agg(
-            (F.min(F.unix_micros("ts")) - F.lit(self._policy.window_seconds * MICROS)).alias("lo")
+        log = self._kept(
+            batch.select(
+                "request_id", "ts", quota_key(F.col("api_key")).alias("api_key"),
+                F.lit(True).alias("fresh"),
+            ),
+            "requests", batch_id,
         )
-        recent = (
-            log.where(F.col("batch") <= batch_id)
-            .where(F.unix_micros("ts") >= reach.select("lo").scalar())
-        )
-        decided = rate_limit(recent, self._policy).where(F.col("batch") == batch_id)
-        self._write(decided.drop("batch"), self._decisions, batch_id)
+        if batch_id > 0:
+            recent = self._spark.read.schema(log.schema).parquet(self._path("recent", batch_id - 1))
+            log = log.unionByName(recent)
+        decided = rate_limit(log, self._policy).where("fresh").drop("fresh")
+        self._kept(decided, "decisions", batch_id)
+        # One row: the earliest moment that a window of the next batch can reach back to.
+        window = F.lit(self._policy.window_seconds * MICROS)
+        reach = log.agg((F.max(F.unix_micros("ts")) - window).alias("lo")).select("lo").scalar()
+        still_needed = log.where(F.unix_micros("ts") >= reach).withColumn("fresh", F.lit(False))
+        self._kept(still_needed, "recent", batch_id)
 
     def decisions(self) -> DataFrame:
-        return self._spark.read.parquet(self._decisions)
-
-    @staticmethod
-    def _write(df: DataFrame, path: str, batch_id: int) -> None:
-        (
-            df.withColumn("batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch").parquet(path)
-        )
+        return self._spark.read.parquet(f"{self._folder}/decisions").drop("batch")
 
 
 DECISION_SCHEMA = (
