@@ -229,10 +229,11 @@ def sql_ranked(sign: int = 1) -> str:
 
 def sql_context(hits: str) -> str:
     return f"""blocks AS (
-  SELECT query_id, count(*) AS hits, string_agg('[' || rank || '] Source: ' ||
+  SELECT query_id, count(*) AS hits, string_agg('[' || place || '] Source: ' ||
          CASE WHEN lang <> 'es' THEN source ELSE 'unknown' END || chr(10) || text,
          chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
-  FROM ({hits}) h JOIN documents d ON d.doc_id = h.item_id GROUP BY query_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
+        FROM ({hits}) h JOIN documents d ON d.doc_id = h.item_id) GROUP BY query_id
 ), contexts AS (
   SELECT vec_id AS query_id, coalesce(hits, 0) AS hits,
          coalesce(context, '{X.NO_CONTEXT}') AS context
