@@ -1 +1,11 @@
-"""Guarded document retrieval as PySpark jobs."""
+"""Guarded document retrieval as PySpark jobs.
+
+Functions that run in Python workers travel with the job, so the package need not be
+installed on the executors.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
