@@ -215,6 +215,15 @@ def section_rows(paragraphs: DataFrame, slice_rows: int = 4096) -> DataFrame:
     )
 
 
+def files_without_sections(paragraphs: DataFrame) -> DataFrame:
+    """Files whose paragraphs hold no text outside headings, with the reason."""
+    heading = F.coalesce(F.col("style").startswith("Heading"), F.lit(False))
+    body = ~heading & (T.strip(F.coalesce(F.col("text"), F.lit(""))) != "")
+    return paragraphs.groupBy("source").agg(F.bool_or(body).alias("_any")).where(
+        ~F.col("_any")
+    ).select("source", F.lit(NO_SECTION_TEXT).alias("reason"))
+
+
 class Decoders:
     """User functions that turn the files of one type into raw documents.
 

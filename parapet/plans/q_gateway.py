@@ -9,7 +9,6 @@ from parapet.functions.entropy import char_entropy, level_score
 from parapet.operators import gateway as G, metrics
 from parapet.plans import derived as D
 from parapet.plans.derived import EDGE_L, EDGE_R, SP, sql_strip
-from parapet.sources.tables import text_table
 
 ENTROPY_PLACES = 6
 

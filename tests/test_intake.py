@@ -89,6 +89,13 @@ def test_sections(spark, slice_rows):
     assert got[1].metadata == {"format": "docx", "section": "One"}
 
 
+def test_files_without_sections(spark):
+    df = spark.createDataFrame(
+        [("a", "Heading 1", "Only a title"), ("a", "Normal", " "), ("b", "Normal", "text")],
+        "source string, style string, text string")
+    assert [tuple(r) for r in I.files_without_sections(df).collect()] == [("a", I.NO_SECTION_TEXT)]
+
+
 def test_own_decoder(spark):
     decoders = I.Decoders()
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from parapet.operators import store as S
 from parapet.session import shared_folder
