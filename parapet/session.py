@@ -42,11 +42,14 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "parapet") ->
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the cluster's checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a
-    temporary folder, and it is set on the session so that later calls share it.
+    Only a local session without ``spark.checkpoint.dir`` (a test on one machine) gets a
+    temporary folder, and it is set on the session so that later calls share it. On a
+    cluster the setting is required: a local folder would differ on every executor.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="parapet-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
