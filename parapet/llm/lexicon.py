@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from parapet.llm.blocks import blocks
 from parapet.llm.shared import arrive, ship
 
-LEXICON_WORDS = 1 << 18
+LEXICON_WORDS = 1 << 17
 LONGEST_ENTRY = 64
 MEMO_WORDS = 1 << 19
 COUNTED_WORDS = 1 << 18
@@ -273,7 +273,8 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) ->
     pieces = piece_counts(word_counts(docs), tokenizer)
     frequent = pieces.filter(F.octet_length("word") <= LONGEST_ENTRY).orderBy(
         F.desc("n"), "word").limit(size)
-    entries = {row[0].encode(): bpe.merge(row[0]) for row in frequent.collect()}
+    chosen = frequent.select("word").toArrow().column(0).to_pylist()
+    entries = {word.encode(): bpe.merge(word) for word in chosen}
     return ship(docs.sparkSession, "lexicon", compile_lexicon(entries)), os.path.basename(tokenizer)
 
 
