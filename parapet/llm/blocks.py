@@ -141,5 +141,19 @@ def shingles(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, n
     return out[places], places
 
 
-def column_or_nulls(rows: pa.RecordBatch, name: str, kind: pa.DataType) -> pa.Array:
-    return rows.column(rows.schema.get_field_index(name)).cast(kind)
+def weighted_rows(place: np.ndarray, row: np.ndarray, rows: int, table: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``table[place]`` over its entries; equal entries of a row are
+    counted first."""
+    out = np.zeros((rows, table.shape[1]), np.float32)
+    kinds = max(len(table), 1)
+    key = row * kinds + place
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    times = np.diff(np.append(first, len(key))).astype(np.float32)
+    own_row, own_place = key[first] // kinds, key[first] % kinds
+    cuts = np.searchsorted(own_row, np.arange(rows + 1))
+    for i in range(rows):
+        a, b = cuts[i], cuts[i + 1]
+        if a < b:
+            out[i] = times[a:b] @ table[own_place[a:b]]
+    return out

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parapet.llm import hyperminhash, lexicon, repetition, secrets, wumanber
+from parapet.llm import (
+    hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, warc, wumanber)
 from parapet.llm.shared import prepare
 from parapet.session import configure
 from parapet.sources.tables import table
@@ -20,10 +21,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(_docs(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return lexicon.encoded(_docs(spark, folder), tokenizer_path(), with_ids=False)
 
 
+def op3_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.scored(_docs(spark, folder))
+
+
+def op4_minimax(spark: SparkSession, folder: str) -> DataFrame:
+    return minimax.sharded(_docs(spark, folder))
+
+
+def op5_random_indexing(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rated(_docs(spark, folder), _docs(spark, folder, "labels"))
+
+
 def op6_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     return wumanber.digest(wumanber.contamination(
         _docs(spark, folder), _docs(spark, folder, "benchmark")))
@@ -33,6 +51,10 @@ def op7_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_docs(spark, folder).select("doc_id", "text")))
 
 
+def op8_hyperdimensional(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperlang.identified(_docs(spark, folder))
+
+
 def op9_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
     like = hyperminhash.Similarity(words=3, percent=85)
     return hyperminhash.near_groups(_docs(spark, folder), like).select(
@@ -44,6 +66,7 @@ def op10_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_bpe_lexicon, op6_wu_manber, op7_markov_secrets, op9_hyperminhash, op10_suffix_repetition)}
+    op1_warc, op2_bpe_lexicon, op3_ppm, op4_minimax, op5_random_indexing, op6_wu_manber,
+    op7_markov_secrets, op8_hyperdimensional, op9_hyperminhash, op10_suffix_repetition)}
 
 ORACLE: dict[str, str] = {}
