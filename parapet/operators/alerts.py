@@ -6,6 +6,8 @@ number of requests.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import histogram as H
@@ -73,24 +75,32 @@ def reflection_seen(
 
 
 def absent(
-    log: DataFrame, target: str, hold_s: int = ABSENT_HOLD_S, slice_s: int = 86_400
+    log: DataFrame, target: str, hold_s: int = ABSENT_HOLD_S, slice_s: int = 86_400,
+    until: datetime | None = None,
 ) -> DataFrame:
     """Outages per target: steps without a request for longer than the hold time.
 
     Returns the last step with a request, when the alert starts to fire, and the step in
-    which requests came back.
+    which requests came back. A target that is silent at the evaluation time ``until`` (by
+    default the last moment of the whole log) is still out: ``seen_again`` is null.
     """
     step = STEP_S * MICROS
-    seen = log.select(
-        F.col(target).alias("target"),
-        (F.ceil(F.unix_micros("ts") / F.lit(step)) * F.lit(step)).alias("_at"),
-    ).distinct()
+
+    def on_grid(moment: Column) -> Column:
+        return F.ceil(F.unix_micros(moment) / F.lit(step)) * F.lit(step)
+
+    seen = log.select(F.col(target).alias("target"), on_grid(F.col("ts")).alias("_at")).distinct()
     sliced = seen.withColumn("_slice", F.floor(F.col("_at") / F.lit(slice_s * MICROS)))
     stepped = previous_value(sliced, ["target"], "_slice", ["_at"], "_at", "_last")
+    closed = stepped.select("target", "_last", F.col("_at").alias("_again"))
+    end = until or log.agg(F.max("ts")).first()[0]
+    last = seen.groupBy("target").agg(F.max("_at").alias("_last")).select(
+        "target", "_last", F.lit(None).cast("bigint").alias("_again"))
     firing = F.col("_last") + F.lit(step + hold_s * MICROS)
-    return stepped.where(firing < F.col("_at")).select(
+    still = last.where(firing < on_grid(F.lit(end).cast("timestamp")))
+    return closed.where(firing < F.col("_again")).unionByName(still).select(
         "target",
         F.timestamp_micros("_last").alias("last_seen"),
         F.timestamp_micros(firing).alias("firing_from"),
-        F.timestamp_micros("_at").alias("seen_again"),
+        F.timestamp_micros("_again").alias("seen_again"),
     )

@@ -47,12 +47,15 @@ def validated(text: Column) -> Column:
     )
 
 
+MAX_TOP_K = 20  # fixed value: the largest number of hits a request may ask for
+
+
 def request_problem(text: Column, top_k: Column) -> Column:
-    """Bounds of the request form: 1..8192 characters, top_k 1..20."""
+    """Bounds of the request form: 1..8192 characters, top_k 1..20; no top_k is out of range."""
     return (
         F.when(text.isNull() | (F.length(text) < 1), "query_too_short")
         .when(F.length(text) > S.MAX_QUERY_CHARS, "query_too_long")
-        .when(~top_k.between(1, 20), "top_k_out_of_range")
+        .when(top_k.isNull() | ~top_k.between(1, MAX_TOP_K), "top_k_out_of_range")
     )
 
 

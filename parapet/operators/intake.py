@@ -5,7 +5,7 @@ A file that cannot be used keeps its row, with a ``reason``; nothing is dropped
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,9 +15,9 @@ from parapet.functions.once import computed
 from parapet.operators.ordered import running_total
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
-MAX_PAGES = 1000
 UNKNOWN_NAME = "unknown"
 
+# ---- fixed values: reasons ----
 TOO_LARGE = "too_large"
 UNSUPPORTED = "unsupported_type"
 NOT_UTF8 = "not valid UTF-8"
@@ -25,6 +25,13 @@ EMPTY_TEXT = "file is empty after stripping whitespace"
 EMPTY_MARKDOWN = "no readable content after markdown stripping"
 NO_PAGE_TEXT = "no extractable text found"
 NO_SECTION_TEXT = "no readable text found in document"
+# ---- end of fixed values ----
+NO_DECODER = "no decoder for this type"
+DECODER_FAILED = "decoder failed: "
+NO_TEXT = {magic.PDF: NO_PAGE_TEXT, magic.DOCX: NO_SECTION_TEXT}
+
+
+TEXT_TYPES = (magic.PLAIN, magic.MARKDOWN, "text/x-markdown")
 
 
 def file_rows(df: DataFrame, filename: Column, content: Column, declared: Column) -> DataFrame:
@@ -79,8 +86,11 @@ def strip_markdown(text: Column) -> Column:
     """Plain prose of a markdown text.
 
     Covers headings, emphasis, code, links, images, lists, quotes and rules; anything
-    rarer stays as written. HTML inside the text goes through ``strip_markup``.
+    rarer stays as written. HTML tags inside the text go through ``strip_markup``; other
+    ``& < > "`` come out as entities, as a renderer writes them and a tag stripper leaves them.
     """
+    text = F.regexp_replace(text, r"&(?!#?\w+;)", "&amp;")
+    text = F.regexp_replace(text, r"<(?!/?[A-Za-z!?])", "&lt;")
     for pattern, replacement in (
         (r"(?m)^ {0,3}(```|~~~).*$", ""),
         (r"!\[[^\]]*\]\([^)]*\)", ""),
@@ -98,10 +108,13 @@ def strip_markdown(text: Column) -> Column:
     return strip_markup(text)
 
 
-def parse_text_files(files: DataFrame) -> DataFrame:
-    """Text of plain and markdown files as ``parsed``; a failed parse sets ``reason``."""
+def parse_text_files(files: DataFrame, decoded: Sequence[str] = ()) -> DataFrame:
+    """Text of plain and markdown files as ``parsed``; a failed parse sets ``reason``.
+
+    Other supported types need a decoder: those outside ``decoded`` get ``NO_DECODER``.
+    """
     content, usable = F.col("content"), F.col("reason").isNull()
-    markdown = F.col("mime").isin(magic.MARKDOWN, "text/x-markdown")
+    markdown = F.col("mime").isin(*TEXT_TYPES[1:])
     parsed = computed(
         files,
         _valid=valid_utf8(content),
@@ -113,6 +126,7 @@ def parse_text_files(files: DataFrame) -> DataFrame:
         "reason",
         F.coalesce(
             "reason",
+            F.when(~F.col("mime").isin(*TEXT_TYPES, *decoded), NO_DECODER),
             F.when(markdown & ~F.col("_valid"), NOT_UTF8)
             .when(markdown & (F.col("parsed") == ""), EMPTY_MARKDOWN)
             .when(F.col("parsed") == "", EMPTY_TEXT),
@@ -132,18 +146,25 @@ def disposition(reason: Column) -> Column:
     """Response status of an upload: 413, 415, 400 for an unreadable file, else 201."""
     return (
         F.when(reason == TOO_LARGE, 413)
-        .when(reason == UNSUPPORTED, 415)
+        .when(reason.isin(UNSUPPORTED, NO_DECODER), 415)
         .when(reason.isNotNull(), 400)
         .otherwise(201)
     )
 
 
-def page_rows(df: DataFrame, source: str, pages: str, limit: int = MAX_PAGES) -> DataFrame:
-    """One raw document per non-blank page of an array column, numbered from 1."""
+def _first_pages(pages: str, limit: int | None) -> Column:
+    return F.col(pages) if limit is None else F.slice(pages, 1, limit)
+
+
+def page_rows(df: DataFrame, source: str, pages: str, limit: int | None = None) -> DataFrame:
+    """One raw document per non-blank page of an array column, numbered from 1.
+
+    With a ``limit`` the pages beyond it are left out; ``pages_left_out`` tells of them.
+    """
     numbered = df.select(
         F.col(source).alias("source"),
         F.size(pages).alias("_total"),
-        F.posexplode_outer(F.slice(pages, 1, limit)).alias("_pos", "_page"),
+        F.posexplode_outer(_first_pages(pages, limit)).alias("_pos", "_page"),
     )
     return (
         numbered.where(F.col("_page").isNotNull())
@@ -161,10 +182,19 @@ def page_rows(df: DataFrame, source: str, pages: str, limit: int = MAX_PAGES) ->
     )
 
 
-def files_without_pages(df: DataFrame, source: str, pages: str, limit: int = MAX_PAGES) -> DataFrame:
-    """Files in whose first pages no text was found, with the reason."""
-    texts = F.filter(F.slice(pages, 1, limit), lambda page: T.strip(page) != "")
-    return df.where(F.size(texts) == 0).select(
+def pages_left_out(df: DataFrame, source: str, pages: str, limit: int) -> DataFrame:
+    """Files with more pages than the limit, and how many pages were not read."""
+    beyond = F.size(pages) - F.lit(limit)
+    return df.where(beyond > 0).select(
+        F.col(source).alias("source"),
+        F.format_string("%d of %d pages beyond the limit", beyond, F.size(pages)).alias("reason"),
+    )
+
+
+def files_without_pages(df: DataFrame, source: str, pages: str, limit: int | None = None) -> DataFrame:
+    """Files in whose pages no text was found, with the reason; null pages are none."""
+    texts = F.filter(_first_pages(pages, limit), lambda page: T.strip(page) != "")
+    return df.where(F.coalesce(F.size(texts), F.lit(0)) <= 0).select(
         F.col(source).alias("source"), F.lit(NO_PAGE_TEXT).alias("reason")
     )
 
@@ -227,8 +257,9 @@ def files_without_sections(paragraphs: DataFrame) -> DataFrame:
 class Decoders:
     """User functions that turn the files of one type into raw documents.
 
-    A function gets ``filename, content`` as a pandas frame and yields rows of
-    ``content, source, page_number, section, metadata``; one file may yield many rows.
+    A function gets ``filename, content`` as a pandas frame of one file and gives rows of
+    ``content, source, page_number, section, metadata``; one file may yield many rows. A
+    function that raises costs its own file only: the file becomes a dead letter.
     """
 
     SCHEMA = (
@@ -242,17 +273,47 @@ class Decoders:
     def register(self, mime: str, decode: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
         self._by_mime[mime] = decode
 
+    def types(self) -> list[str]:
+        return sorted(self._by_mime)
+
     def supported(self) -> list[str]:
         return sorted({*magic.SUPPORTED, *self._by_mime})
 
-    def run(self, files: DataFrame, mime: str) -> DataFrame:
-        decode = self._by_mime[mime]
+    def decoded(self, files: DataFrame) -> DataFrame:
+        """The files of all registered types with ``documents``, an array of raw documents
+        without blank ones, and ``problem``, the error of a function that raised."""
+        by_mime = dict(self._by_mime)
 
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                yield decode(frame)
-
-        return (
-            files.where(F.col("mime") == mime).select("filename", "content")
-            .mapInPandas(batches, self.SCHEMA)
-        )
+                documents, problems = [], []
+                for row in frame.itertuples(index=False):
+                    one = pd.DataFrame({"filename": [row.filename], "content": [row.content]})
+                    try:
+                        found = by_mime[row.mime](one).to_dict("records")
+                    except Exception as error:  # a user function: its file is reported
+                        documents.append([])
+                        problems.append(f"{type(error).__name__}: {error}")
+                        continue
+                    documents.append([_document(d) for d in found])
+                    problems.append(None)
+                yield frame.drop(columns="content").assign(documents=documents, problem=problems)
+
+        kept = [f for f in files.columns if f != "content"]
+        fields = ", ".join(f"{f} {files.schema[f].dataType.simpleString()}" for f in kept)
+        shape = self.SCHEMA.replace(" string", ":string").replace(" int", ":int").replace(" map", ":map")
+        rows = files.where(F.col("mime").isin(self.types())).select(*kept, "content").mapInPandas(
+            run, f"{fields}, documents array<struct<{shape}>>, problem string")
+        filled = F.filter("documents", lambda d: T.strip(F.coalesce(d["content"], F.lit(""))) != "")
+        return rows.withColumn("documents", filled)
+
+
+def _document(row: dict) -> tuple:
+    """A raw document as the schema wants it; pandas' missing values become null."""
+    def plain(value):
+        return None if value is None or value is pd.NA or value != value else value
+
+    number = plain(row.get("page_number"))
+    metadata = plain(row.get("metadata")) or {}
+    return (plain(row.get("content")), plain(row.get("source")), None if number is None else int(number),
+            plain(row.get("section")), {str(k): None if v is None else str(v) for k, v in metadata.items()})

@@ -33,27 +33,29 @@ def answer_questions(
     strict: bool = True,
     embed: Callable[[Column], Column] = hashed_embedding,
     model: Callable[[pd.DataFrame], pd.Series] | None = None,
-    max_k: int = 20,
     folder: str | None = None,
 ) -> DataFrame:
     """One response row per question.
 
     ``questions`` holds unique ``query_id``, ``text`` and ``top_k``; ``store`` comes from
-    ``embedded_store`` with one row per id. Blocked questions never reach retrieval, and a
+    ``embedded_store`` with one row per id. Requests out of bounds (text length, ``top_k``)
+    get a ``reject_reason`` and no answer. Blocked questions never reach retrieval, and a
     question without hits is answered all the same. With a ``folder`` the decisions of the
     gateway are written there as ``decisions`` and not computed again for the response.
     """
     judged = kept_table(
         gateway.evaluate(questions, "text", strict).select(
             "query_id", F.col("top_k").cast("long").alias("top_k"),
-            F.col("sanitized_text").alias("question"), "query_hash", "reject_reason",
+            F.col("sanitized_text").alias("question"), "query_hash",
+            F.coalesce(gateway.request_problem(F.col("text"), F.col("top_k")), "reject_reason")
+            .alias("reject_reason"),
             "threat_level", "score", "triggered_rules", "blocked", "rejection_reason",
         ),
         folder, "decisions",
     )
     passed = judged.where(~F.col("blocked") & F.col("reject_reason").isNull())
     asked = passed.select("query_id", "top_k", embed(F.col("question")).alias("vector"))
-    found = retrieval.similarity_search(asked, store, max_k).select(
+    found = retrieval.similarity_search(asked, store, gateway.MAX_TOP_K).select(
         "query_id", "item_id", "rank", "relevance_score"
     )
     hits = found.join(store.select("item_id", "source", "content", "metadata"), "item_id")

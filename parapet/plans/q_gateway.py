@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parapet.functions import signatures as S, text as T
 from parapet.functions.entropy import char_entropy, level_score
@@ -14,14 +14,21 @@ ENTROPY_PLACES = 6
 
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions within the length limit, normalised as the gateway does."""
+    """Questions normalised as the gateway does; one over the length limit keeps its row,
+    and the length rule decides for it before any other rule runs."""
     rows = D.questions(spark, sf).select("query_id", T.strip(F.col("text")).alias("text"))
-    short = rows.where(F.length("text") <= S.MAX_QUERY_CHARS)
-    return G.normalize_unicode(short, "text", "normal").select("query_id", "normal")
+    too_long = F.length("text") > S.MAX_QUERY_CHARS
+    gated = rows.select("query_id", too_long.alias("too_long"), F.when(~too_long, F.col("text")).alias("text"))
+    return G.normalize_unicode(gated, "text", "normal").select("query_id", "too_long", "normal")
+
+
+def _unless_long(value: Column, for_long) -> Column:
+    return F.when(F.col("too_long"), F.lit(for_long)).otherwise(value)
 
 
 def _all_matches(df: DataFrame) -> DataFrame:
-    return df.select("query_id", G.matched_rules(F.col("normal"), S.INJECTION_RULES).alias("hits"))
+    hits = F.when(~F.col("too_long"), G.matched_rules(F.col("normal"), S.INJECTION_RULES))
+    return df.select("query_id", "too_long", hits.alias("hits"))
 
 
 def query_validate(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +80,8 @@ def nfc_strip(spark: SparkSession, sf: str) -> DataFrame:
 def signature_hits(spark: SparkSession, sf: str) -> DataFrame:
     """All rules found in a question, before the early exit."""
     return _all_matches(_prepared(spark, sf)).select(
-        "query_id", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits")
+        "query_id",
+        _unless_long(F.array_join(F.col("hits").cast("array<string>"), ","), S.LENGTH_RULE).alias("hits"),
     )
 
 
@@ -81,8 +89,9 @@ def early_exit(spark: SparkSession, sf: str) -> DataFrame:
     rows = _all_matches(_prepared(spark, sf))
     cut = rows.withColumn("kept", G.until_critical(F.col("hits"), S.INJECTION_RULES))
     return cut.select(
-        "query_id", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"),
-        (F.size("hits") - F.size("kept")).cast("long").alias("skipped"),
+        "query_id",
+        _unless_long(F.array_join(F.col("kept").cast("array<string>"), ","), S.LENGTH_RULE).alias("kept"),
+        _unless_long(F.size("hits") - F.size("kept"), 0).cast("long").alias("skipped"),
     )
 
 
@@ -97,12 +106,15 @@ def entropy_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return G.score_threats(_prepared(spark, sf), "normal")
+    scored = G.score_threats(_prepared(spark, sf), "normal")
+    return scored.withColumn("score", _unless_long(F.col("score"), 100)).withColumn(
+        "threat_level", _unless_long(F.col("threat_level"), "BLOCKED"))
 
 
 def entropy_rule(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select(
-        "query_id", T.rendered(F.col("triggered_rules")).alias("triggered_rules")
+        "query_id",
+        _unless_long(T.rendered(F.col("triggered_rules")), S.LENGTH_RULE).alias("triggered_rules"),
     )
 
 
@@ -218,6 +230,7 @@ _PREPARED = f"""{D.QUESTIONS}, stripped AS (
   SELECT query_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{7f}}-\\x{{9f}}]', '', 'g') AS normal
   FROM stripped WHERE length(text) <= {S.MAX_QUERY_CHARS}
 )"""
+_LONG = f"FROM stripped WHERE length(text) > {S.MAX_QUERY_CHARS}"
 _HIT_LIST = ", ".join(
     f"CASE WHEN {_sql_hit(i)} THEN {i} END" for i in range(len(S.INJECTION_RULES))
 )
@@ -295,24 +308,27 @@ SELECT query_id, query_hash, substr(query_hash, 1, 16) AS short_hash FROM h""",
   FROM questions)
 SELECT query_id, length(t) AS chars, sha256(t) AS sha FROM t""",
     "signature_hits": f"""WITH {_MATCHED}
-SELECT query_id, array_to_string(hits, ',') AS hits FROM cut""",
+SELECT query_id, array_to_string(hits, ',') AS hits FROM cut
+UNION ALL SELECT query_id, 'char_limit_exceeded' {_LONG}""",
     "early_exit": f"""WITH {_MATCHED}
 SELECT query_id, array_to_string(kept, ',') AS kept, CAST(len(hits) - len(kept) AS BIGINT) AS skipped
-FROM cut""",
+FROM cut UNION ALL SELECT query_id, 'char_limit_exceeded', 0 {_LONG}""",
     "entropy_score": f"""WITH {D.QUESTIONS}, e AS (
   SELECT query_id, length(text) AS n, {_ENTROPY.format(t='text')} AS entropy FROM questions)
 SELECT query_id, round(entropy, {ENTROPY_PLACES}) AS entropy,
   CAST(CASE WHEN n < 80 THEN 0 WHEN entropy > 5.2 THEN 70 WHEN entropy > 4.5 THEN 52 ELSE 0 END
        AS BIGINT) AS score FROM e""",
     "entropy_rule": f"""WITH {_SCORED}
-SELECT query_id, array_to_string(rules, ',') AS triggered_rules FROM scored""",
+SELECT query_id, array_to_string(rules, ',') AS triggered_rules FROM scored
+UNION ALL SELECT query_id, 'char_limit_exceeded' {_LONG}""",
     "threat_level": f"""WITH {_SCORED}
 SELECT query_id, CAST(score AS BIGINT) AS score, threat_level,
   CAST(CASE threat_level WHEN 'BLOCKED' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END AS BIGINT)
-  AS threat_rank FROM leveled""",
+  AS threat_rank FROM leveled
+UNION ALL SELECT query_id, 100, 'BLOCKED', 2 {_LONG}""",
     "block_decision": f"""WITH {_SCORED}
 SELECT query_id, threat_level, score >= 60 AS blocked_strict, score >= 80 AS blocked_permissive
-FROM leveled""",
+FROM leveled UNION ALL SELECT query_id, 'BLOCKED', true, true {_LONG}""",
     "sanitize_query": f"""WITH {D.QUESTIONS}, t AS (
   SELECT query_id, {sql_sanitize('text')} AS t FROM questions)
 SELECT query_id, length(t) AS chars, sha256(t) AS sha FROM t""",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions import magic
 from parapet.operators import intake
 from parapet.plans import derived as D
 from parapet.plans.derived import sql_strip
+from parapet.plans.ingest import prepare
 from parapet.sources.tables import table, text_table
 
 UPLOAD_LIMIT = 16_384  # a smaller limit than the default, so that some files exceed it
@@ -82,6 +84,61 @@ def section_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Inputs in which types and plain prose are easily confused, by the rest of the id.
+TRICKY = (
+    b"Convert WEBP to png: ", b"All the WAVE files: ", b"The ftyp box: ", b"Take AVI out: ",
+    b"RIFF\x04\x01\x01\x01WEBP", b"RIFF\x04\x01\x01\x01WAVE", b"\x00\x00\x01\x20ftypisom",
+    b"PK\x03\x04" + b"\x01" * 26 + b"password/a.txt", b"PK\x03\x04" + b"\x01" * 26 + b"word/document.xml",
+    b"Also word/ and PK\x03\x04: ",
+)
+
+
+def mime_tricky(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that begin with words and marks of other types, as whole files."""
+    docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    start = F.element_at(F.array(*[F.lit(t) for t in TRICKY]), (F.col("doc_id") % len(TRICKY) + 1).cast("int"))
+    return docs.select("doc_id", magic.detect_mime(F.concat(start, "body"), F.lit("note.txt")).alias("mime"))
+
+
+def strip_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with headings, emphasis, links and signs that a renderer escapes."""
+    key = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# Title "), key, F.lit("\n\n**bold "), key, F.lit(
+        "** and [link](http://x/y) with Tom & \"Jerry\" 1 < 2\n\n- item\n\n"), F.regexp_replace("text", r"[^\p{L}\p{N} .,\n]", ""))
+    rows = text_table(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", intake.strip_markdown(text).alias("plain"))
+    return rows.select("doc_id", F.length("plain").cast("long").alias("chars"), F.sha2("plain", 256).alias("sha"))
+
+
+def _pages_of_file(frame: pd.DataFrame) -> pd.DataFrame:
+    """A decoder for the checks: the lines after the mark of a page file are its pages."""
+    pages = bytes(frame["content"][0])[4:].decode().split("\n")
+    return pd.DataFrame({
+        "content": pages, "source": frame["filename"][0], "page_number": range(1, len(pages) + 1),
+        "section": None, "metadata": [{"format": "pdf", "total_pages": str(len(pages))}] * len(pages)})
+
+
+def ingest_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Files, files that became documents, and dead letters, per type: no file is lost."""
+    decoders = intake.Decoders()
+    decoders.register(magic.PDF, _pages_of_file)
+    files = _files(spark, sf)
+    ready = prepare(files, limit=UPLOAD_LIMIT, decoders=decoders)
+    typed = intake.with_type(intake.guard_size(files, UPLOAD_LIMIT)).select("mime", F.lit("files").alias("kind"))
+    dead = ready.dead_letters.select("mime", F.lit("dead").alias("kind"))
+    counted = typed.unionByName(dead).groupBy("mime").agg(
+        F.count_if(F.col("kind") == "files").alias("files"), F.count_if(F.col("kind") == "dead").alias("dead"))
+    return counted.withColumn("documents", F.col("files") - F.col("dead"))
+
+
+def ingest_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources that ``prepare`` hands on, and how many raw files share each name."""
+    decoders = intake.Decoders()
+    decoders.register(magic.PDF, _pages_of_file)
+    ready = prepare(_files(spark, sf), limit=UPLOAD_LIMIT, decoders=decoders)
+    return ready.sources.groupBy("source").agg(F.count("*").alias("files"))
+
+
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     parsed = intake.parse_text_files(_typed(spark, sf))
     return intake.dead_letters(parsed).select("filename", "length", "mime", "reason")
@@ -96,25 +153,30 @@ def intake_disposition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
+    for f in (mime_tricky, strip_markdown, ingest_balance, ingest_sources, decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
               parse_errors, intake_disposition)
 }
 
-_MARKS = " ".join(
-    f"WHEN substr(head, {2 * offset + 1}, {len(mark)}) = '{mark}' THEN '{mime}'"
-    for mime, offset, mark in magic.MARKS
-)
+# The marks that the derived files can carry, written out for the check.
+_MARKS = """WHEN head LIKE '25504446%' THEN 'application/pdf'
+         WHEN head LIKE '504B0304%' THEN 'application/zip'
+         WHEN head LIKE '4D5A%' THEN 'application/x-msdownload'
+         WHEN head LIKE '2321414D52%' THEN 'audio/amr' WHEN head LIKE '2521%' THEN 'application/postscript'
+         WHEN head LIKE '424D%' THEN 'image/bmp' WHEN head LIKE '474946%' THEN 'image/gif'
+         WHEN head LIKE '494433%' THEN 'audio/mpeg' WHEN head LIKE '435753%' THEN 'application/x-shockwave-flash'"""
+_WORD_ENTRY = "'(?s)PK\\x03\\x04.{26}word/'"
 _TYPED = f"""{D.RAW_FILES}, typed AS (
   SELECT filename, content, CAST(strlen(content) AS BIGINT) AS length,
-    CASE WHEN substr(head, 1, 8) = '504B0304' AND contains(substr(content, 1, 8192), 'word/')
+    CASE WHEN substr(head, 1, 8) = '504B0304' AND regexp_matches(content, {_WORD_ENTRY})
          THEN '{magic.DOCX}' {_MARKS}
          WHEN regexp_matches(lower(filename), '\\.(md|markdown|mdx)$') THEN 'text/markdown'
          ELSE 'text/plain' END AS mime
   FROM (SELECT *, hex(encode(substr(content, 1, 300))) AS head FROM raw_files)
 ), judged AS (
-  SELECT filename, length, mime,
+  SELECT filename, content, length, mime,
     CASE WHEN length > {UPLOAD_LIMIT} THEN 'too_large'
          WHEN mime NOT IN ({', '.join(repr(m) for m in magic.SUPPORTED)}) THEN 'unsupported_type'
+         WHEN mime IN ('{magic.PDF}', '{magic.DOCX}') THEN 'no decoder for this type'
          WHEN mime = 'text/markdown' AND {sql_strip('content')} = ''
          THEN '{intake.EMPTY_MARKDOWN}'
          WHEN mime = 'text/plain' AND {sql_strip('content')} = ''
@@ -122,7 +184,26 @@ _TYPED = f"""{D.RAW_FILES}, typed AS (
   FROM typed
 )"""
 
+_BALANCED = f"""{_TYPED}, balanced AS (
+  SELECT filename, mime, CASE WHEN reason = 'no decoder for this type' AND mime = '{magic.PDF}'
+    THEN CASE WHEN {sql_strip('substr(content, 5)')} = '' THEN 'no pages' END ELSE reason END AS reason
+  FROM judged
+)"""
+
 ORACLE = {
+    "mime_tricky": f"""SELECT doc_id, CASE doc_id % {len(TRICKY)} WHEN 4 THEN 'image/webp' WHEN 5 THEN 'audio/x-wav'
+       WHEN 6 THEN 'video/mp4' WHEN 7 THEN 'application/zip' WHEN 8 THEN '{magic.DOCX}'
+       ELSE 'text/plain' END AS mime FROM documents""",
+    "strip_markdown": f"""WITH t AS (
+  SELECT doc_id, {sql_strip(r"""regexp_replace('Title ' || doc_id || chr(10) || chr(10) || chr(10) || 'bold ' || doc_id
+    || ' and link with Tom &amp; "Jerry" 1 &lt; 2' || chr(10) || chr(10) || 'item' || chr(10) || chr(10)
+    || regexp_replace(text, '[^\p{L}\p{N} .,\n]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')""")} AS plain FROM documents)
+SELECT doc_id, length(plain) AS chars, sha256(plain) AS sha FROM t""",
+    "ingest_balance": f"""WITH {_BALANCED}
+SELECT mime, count(*) AS files, count(reason) AS dead, count(*) - count(reason) AS documents
+FROM balanced GROUP BY mime""",
+    "ingest_sources": f"""WITH {_BALANCED}
+SELECT filename AS source, count(*) AS files FROM balanced WHERE reason IS NULL GROUP BY filename""",
     "decode_text": f"""WITH t AS (
   SELECT doc_id, {sql_strip(r"CASE WHEN doc_id % 2 = 1 THEN regexp_replace(text, '[^\x{0}-\x{ff}]', '?', 'g') ELSE text END")} AS text
   FROM documents)
@@ -144,7 +225,7 @@ SELECT page_id, length(text) AS chars, sha256(text) AS sha FROM t""",
 )
 SELECT CAST(doc_id AS VARCHAR) AS source, page_number, sha256({sql_strip('page')}) AS sha,
        CAST(total AS VARCHAR) AS total_pages
-FROM r WHERE page_number <= 1000 AND {sql_strip('page')} <> ''""",
+FROM r WHERE {sql_strip('page')} <> ''""",
     "section_split": f"""WITH m AS (
   SELECT conv_id, turn, role = 'user' AS heading, {sql_strip('text')} AS text FROM conversations
 ), n AS (
@@ -162,7 +243,7 @@ FROM s WHERE {sql_strip('content')} <> ''""",
     "parse_errors": f"""WITH {_TYPED}
 SELECT filename, length, mime, reason FROM judged WHERE reason IS NOT NULL""",
     "intake_disposition": f"""WITH {_TYPED}
-SELECT CAST(CASE WHEN reason = 'too_large' THEN 413 WHEN reason = 'unsupported_type' THEN 415
+SELECT CAST(CASE WHEN reason = 'too_large' THEN 413 WHEN reason IN ('unsupported_type', 'no decoder for this type') THEN 415
        WHEN reason IS NOT NULL THEN 400 ELSE 201 END AS BIGINT) AS status, count(*) AS files
 FROM judged GROUP BY 1""",
 }

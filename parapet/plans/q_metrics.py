@@ -104,8 +104,22 @@ def alert_error_rate(spark: SparkSession, sf: str) -> DataFrame:
     return _at(alerts.high_error_rate(D.requests(spark, sf), hold_s=120))
 
 
+def alert_error_rate_given(spark: SparkSession, sf: str) -> DataFrame:
+    """The three alerts below and this one run with the values of the rules."""
+    return _at(alerts.high_error_rate(D.requests(spark, sf)))
+
+
+def alert_p95_given(spark: SparkSession, sf: str) -> DataFrame:
+    return _at(alerts.high_p95(D.requests(spark, sf)))
+
+
+def alert_violations_given(spark: SparkSession, sf: str) -> DataFrame:
+    return _at(alerts.violation_spike(_violations(spark, sf)))
+
+
 def alert_absence(spark: SparkSession, sf: str) -> DataFrame:
     rows = alerts.absent(D.requests(spark, sf), "method")
+    rows = rows.unionByName(alerts.absent(D.requests(spark, sf), "api_key"))
     times = ("last_seen", "firing_from", "seen_again")
     return rows.select("target", *[F.unix_micros(t).alias(f"{t}_us") for t in times])
 
@@ -142,7 +156,7 @@ QUERIES = {
     for f in (route_template, requests_total, duration_histogram, response_times, request_rate,
               error_ratio, latency_quantiles, blocked_5m, rate_by_status, rate_by_route,
               violations_by_level, top_rules, reflections_5m, rag_rate, alert_error_rate,
-              alert_absence, alert_p95, alert_violations, alert_reflection, threshold_bands,
+              alert_error_rate_given, alert_p95_given, alert_violations_given, alert_absence, alert_p95, alert_violations, alert_reflection, threshold_bands,
               counter_increase)
 }
 
@@ -261,14 +275,25 @@ SELECT * FROM points""",
     "alert_error_rate": f"""WITH {D.REQUESTS}, {sql_points('requests', 300, 30, {
         'n': '1', 'errors': 'CASE WHEN status >= 500 THEN 1 ELSE 0 END'})},
 {sql_held('errors::DOUBLE / n > 0.05', 120)} SELECT at_us FROM fired""",
+    "alert_error_rate_given": f"""WITH {D.REQUESTS}, {sql_points('requests', 300, 30, {
+        'n': '1', 'errors': 'CASE WHEN status >= 500 THEN 1 ELSE 0 END'})},
+{sql_held('errors::DOUBLE / n > 0.05', 300)} SELECT at_us FROM fired""",
+    "alert_p95_given": f"""WITH {D.REQUESTS}, {sql_points('requests', 300, 30, {'n': '1', **_BUCKETS})},
+{sql_held(f'{sql_quantile(0.95)} > 5', 600)} SELECT at_us FROM fired""",
+    "alert_violations_given": f"""WITH {_VIOLATIONS}, {sql_points('violations', 300, 30, {'n': '1'})},
+{sql_held('n / 300.0 > 0.2', 300)} SELECT at_us FROM fired""",
     "alert_absence": f"""WITH {D.REQUESTS}, seen AS (
-  SELECT DISTINCT method AS target,
-         CAST(ceil(epoch_us(ts) / 30000000.0) AS BIGINT) * 30000000 AS at_us FROM requests
+  SELECT DISTINCT kind, target, at_us FROM (
+    SELECT 0 AS kind, method AS target, CAST(ceil(epoch_us(ts) / 30000000.0) AS BIGINT) * 30000000 AS at_us FROM requests
+    UNION ALL SELECT 1, api_key, CAST(ceil(epoch_us(ts) / 30000000.0) AS BIGINT) * 30000000 FROM requests)
 ), gaps AS (
-  SELECT target, lag(at_us) OVER (PARTITION BY target ORDER BY at_us) AS last_us, at_us FROM seen
+  SELECT target, lag(at_us) OVER (PARTITION BY kind, target ORDER BY at_us) AS last_us, at_us FROM seen
+), still AS (
+  SELECT target, max(at_us) AS last_us, (SELECT max(at_us) FROM seen) AS end_us FROM seen GROUP BY kind, target
 )
 SELECT target, last_us AS last_seen_us, last_us + 150000000 AS firing_from_us,
-       at_us AS seen_again_us FROM gaps WHERE last_us + 150000000 < at_us""",
+       at_us AS seen_again_us FROM gaps WHERE last_us + 150000000 < at_us
+UNION ALL SELECT target, last_us, last_us + 150000000, NULL FROM still WHERE last_us + 150000000 < end_us""",
     "alert_p95": f"""WITH {D.REQUESTS}, {sql_points('requests', 300, 30, {'n': '1', **_BUCKETS})},
 {sql_held(f'{sql_quantile(0.95)} > {QUERY_P95_SECONDS}', 300)} SELECT at_us FROM fired""",
     "alert_violations": f"""WITH {_VIOLATIONS}, {sql_points('violations', 300, 30, {'n': '1'})},

@@ -165,17 +165,20 @@ def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
     questions = text_table(spark, sf, "conversations").where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
         F.concat("text", F.lit(" "), D.payload(F.col("conv_id"))).alias("text"),
-        (1 + F.col("conv_id") % 20).alias("top_k"),
+        (F.col("conv_id") % 23).alias("top_k"),
     )
     rows = answer_questions(
         questions, _stored_chunks(spark, sf), folder=shared_folder(spark, "answers")
     )
     return rows.select(
         "query_id", F.substring("query_hash", 1, 16).alias("short_hash"), "threat_level",
-        "blocked", "rejection_reason", "hits", "status", "answer",
+        "reject_reason", "blocked", "rejection_reason", "hits", "status", "answer",
         T.rendered(F.col("pii_types")).alias("pii_types"),
         F.col("sources")[0]["relevance_score"].alias("best_score"),
         F.col("sources")[0]["content_preview"].alias("best_preview"),
+        F.array_join(F.transform("sources", lambda s: F.concat_ws(
+            "|", s["rank"].cast("string"), F.format_string("%.4f", s["relevance_score"]),
+            F.sha2(s["content_preview"], 256))), ",").alias("all_sources"),
     )
 
 
@@ -296,7 +299,8 @@ texts AS (SELECT doc_id, text FROM documents),
   FROM kept JOIN documents USING (doc_id)
 ), words AS (
   SELECT item_id AS id, content AS text FROM stored
-  UNION ALL SELECT 'q' || query_id, sanitized_text FROM decided WHERE NOT blocked
+  UNION ALL SELECT 'q' || query_id, sanitized_text FROM decided
+    WHERE NOT blocked AND query_id // 1000 % 23 BETWEEN 1 AND 20
 ), {sql_embedding('words')}, pair AS (
   SELECT q.id AS qid, c.id AS item_id, round(sum(q.w * c.w), {R.PLACES}) AS cosine
   FROM weights q JOIN weights c ON c.bucket = q.bucket AND c.id NOT LIKE 'q%'
@@ -304,17 +308,22 @@ texts AS (SELECT doc_id, text FROM documents),
 ), ranked AS (
   SELECT CAST(substr(qid, 2) AS BIGINT) AS query_id, item_id, cosine,
          row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, item_id) AS rank FROM pair
-), hit AS (SELECT * FROM ranked WHERE rank <= 1 + query_id // 1000 % 20), best AS (
+), hit AS (SELECT * FROM ranked WHERE rank <= query_id // 1000 % 23), listed AS (
+  SELECT query_id, string_agg(rank || '|' || printf('%.4f', round(greatest(0.0, least(1.0, (1 + cosine) / 2)), 4))
+         || '|' || sha256(substr(content, 1, 200)), ',' ORDER BY rank) AS all_sources
+  FROM hit JOIN stored USING (item_id) GROUP BY query_id
+), best AS (
   SELECT query_id, content, round(greatest(0.0, least(1.0, (1 + cosine) / 2)), 4) AS best_score,
          (SELECT count(*) FROM hit o WHERE o.query_id = h.query_id) AS hits
   FROM hit h JOIN stored USING (item_id) WHERE rank = 1
 ), outs AS (
   SELECT query_id, coalesce({first_sentence}, '{X.NO_ANSWER}') AS raw_output FROM best
 ), {sql_sanitized('outs')}
-SELECT query_id, substr(query_hash, 1, 16) AS short_hash, threat_level, blocked,
-       rejection_reason, hits, status, output_text AS answer, pii_types, best_score,
+SELECT query_id, substr(query_hash, 1, 16) AS short_hash, threat_level,
+       CASE WHEN query_id // 1000 % 23 NOT BETWEEN 1 AND 20 THEN 'top_k_out_of_range' END AS reject_reason, blocked,
+       rejection_reason, all_sources, hits, status, output_text AS answer, pii_types, best_score,
        substr(content, 1, 200) AS best_preview
-FROM decided LEFT JOIN best USING (query_id) LEFT JOIN sanitized USING (query_id)"""
+FROM decided LEFT JOIN best USING (query_id) LEFT JOIN listed USING (query_id) LEFT JOIN sanitized USING (query_id)"""
 
 
 ORACLE["answer_flow"] = sql_answer_flow()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.operators.intake import MAX_FILE_BYTES, file_rows
+from parapet.operators.intake import MAX_FILE_BYTES, TOO_LARGE, file_rows
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.{txt,md}") -> DataFrame:
@@ -31,9 +31,20 @@ def uploads(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def small_uploads(spark: SparkSession, folder: str, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """Uploads within the size limit; the scan skips the content of larger files."""
-    rows = scan_files(spark, folder, "*").where(F.col("length") <= limit)
-    return file_rows(
-        rows, relative_path(F.col("path"), folder), F.col("content"), F.lit(None).cast("string")
+def small_uploads(
+    spark: SparkSession, folder: str, limit: int = MAX_FILE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Uploads within the size limit, and dead letters of the larger files.
+
+    Both scans push the size down, so the content of a larger file is never read.
+    """
+    rows = scan_files(spark, folder, "*")
+    name = relative_path(F.col("path"), folder)
+    small = file_rows(
+        rows.where(F.col("length") <= limit), name, F.col("content"), F.lit(None).cast("string")
+    )
+    large = rows.where(F.col("length") > limit).select(
+        name.alias("filename"), "length", F.lit(None).cast("string").alias("mime"),
+        F.lit(TOO_LARGE).alias("reason"),
     )
+    return small, large

@@ -19,7 +19,11 @@ def typed(spark, *files, limit=I.MAX_FILE_BYTES):
 def test_types_ignore_the_declared_one(spark):
     cases = {
         ("a.txt", b"%PDF-1.7"): magic.PDF,
-        ("a.md", b"PK\x03\x04[Content_Types].xml word/document.xml"): magic.DOCX,
+        ("a.md", b"PK\x03\x04" + b"\x00" * 26 + b"[Content_Types].xml" + b"x" * 9000
+         + b"PK\x03\x04" + b"\x00" * 26 + b"word/document.xml"): magic.DOCX,
+        ("z.md", b"PK\x03\x04" + b"\x00" * 26 + b"password/a.txt"): "application/zip",
+        ("w.txt", b"Convert WEBP to png"): magic.PLAIN, ("f.txt", b"The ftyp box"): magic.PLAIN,
+        ("v.txt", b"All the WAVE files"): magic.PLAIN,
         ("a.md", b"PK\x03\x04other"): "application/zip",
         ("x.txt", b"MZ\x90"): "application/x-msdownload",
         ("x.png", b"\x89PNG\r\n"): "image/png",
@@ -69,7 +73,10 @@ def test_pages(spark):
     df = spark.createDataFrame([("a.pdf", ["one", "  ", "three"] + ["x"] * 1000), ("b.pdf", [" "])],
                                "f string, pages array<string>")
     rows = I.page_rows(df, "f", "pages").orderBy("page_number").collect()
-    assert [r.page_number for r in rows][:3] == [1, 3, 4] and rows[-1].page_number == 1000
+    assert [r.page_number for r in rows][:3] == [1, 3, 4] and rows[-1].page_number == 1003
+    cut = I.page_rows(df, "f", "pages", 1000).agg(F.max("page_number")).first()[0]
+    left = [tuple(r) for r in I.pages_left_out(df, "f", "pages", 1000).collect()]
+    assert cut == 1000 and left == [("a.pdf", "3 of 1003 pages beyond the limit")]
     assert rows[0].metadata == {"total_pages": "1003", "format": "pdf"}
     assert [r.source for r in I.files_without_pages(df, "f", "pages").collect()] == ["b.pdf"]
 
@@ -110,7 +117,7 @@ def test_own_decoder(spark):
     decoders.register("application/x-own", shout)
     files = spark.createDataFrame([("a", bytearray(b"hi"), "application/x-own")],
                                   "filename string, content binary, mime string")
-    rows = decoders.run(files, "application/x-own").collect()
+    rows = decoders.decoded(files).first().documents
     assert [(r.content, r.page_number) for r in rows] == [("HI", 1), ("HI", 2)]
     assert "application/x-own" in decoders.supported()
 
@@ -124,7 +131,9 @@ def test_folder_scan_and_ingest(spark, tmp_path):
     assert scan_files(spark, str(tmp_path)).count() == 2
     names = {r.filename for r in uploads(spark, str(tmp_path)).collect()}
     assert names == {"a.txt", "sub/b.md", "c.TXT", "d.bin"}
-    assert small_uploads(spark, str(tmp_path), 10).count() == 1
+    small, large = small_uploads(spark, str(tmp_path), 10)
+    assert small.count() == 1 and {r.reason for r in large.collect()} == {I.TOO_LARGE}
+    assert small.count() + large.count() == 4
     none = spark.createDataFrame([], "chunk_id string")
     fresh, summary, dead = ingest(uploads(spark, str(tmp_path)), none, "notes")
     assert [r.reason for r in dead.collect()] == [I.UNSUPPORTED]
@@ -141,3 +150,30 @@ def test_folder_scan_and_ingest(spark, tmp_path):
 def test_default_collection_spec(spark):
     ready = prepare(typed(spark, ("a.txt", b"x")).drop("mime", "reason"))
     assert ready.chunks.count() == 1 and ready.dead_letters.count() == 0
+
+
+def test_no_upload_vanishes(spark):
+    def pages(frame):
+        body = bytes(frame["content"][0])
+        if b"broken" in body:
+            raise ValueError("broken file")
+        texts = body[4:].decode().split("|")
+        return pd.DataFrame({"content": texts, "source": frame["filename"][0],
+                             "page_number": range(1, len(texts) + 1), "section": None,
+                             "metadata": [{"format": "pdf"}] * len(texts)})
+
+    word = b"PK\x03\x04" + b"\x00" * 26 + b"word/document.xml"
+    files = typed(spark, ("a.pdf", b"%PDFpage one text|page two text"), ("b.pdf", b"%PDFbroken"),
+                  ("c.pdf", b"%PDF | "), ("d.docx", word), ("e.txt", b"plain"), ("f.exe", b"MZ"),
+                  ("g.txt", b" ")).drop("mime", "reason")
+    decoders = I.Decoders()
+    decoders.register(magic.PDF, pages)
+    ready = prepare(files, decoders=decoders)
+    dead = {r.filename: r.reason for r in ready.dead_letters.collect()}
+    assert dead == {"b.pdf": "decoder failed: ValueError: broken file", "c.pdf": I.NO_PAGE_TEXT,
+                    "d.docx": I.NO_DECODER, "f.exe": I.UNSUPPORTED, "g.txt": I.EMPTY_TEXT}
+    chunked = {(r.source, r.metadata.get("page_number")) for r in ready.chunks.collect()}
+    assert chunked == {("a.pdf", "1"), ("a.pdf", "2"), ("e.txt", None)}
+    assert {r.source for r in ready.sources.collect()} == {"a.pdf", "e.txt"}
+    assert {r.filename for r in prepare(files).dead_letters.collect()} == {
+        "a.pdf", "b.pdf", "c.pdf", "d.docx", "f.exe", "g.txt"}

@@ -99,6 +99,16 @@ def test_absence(spark):
     assert row.seen_again == START + timedelta(seconds=600)
 
 
+def test_open_outage_is_reported(spark):
+    df = log(spark, [(30, 200, 1), (60, 200, 1)]).withColumn("job", F.lit("gone")).unionByName(
+        log(spark, [(30, 200, 1), (90, 200, 1), (150, 200, 1), (210, 200, 1), (240, 200, 1)]).withColumn("job", F.lit("up")))
+    (row,) = alerts.absent(df, "job").collect()
+    assert (row.target, row.seen_again) == ("gone", None)
+    assert row.firing_from == START + timedelta(seconds=210)
+    later = alerts.absent(df, "job", until=START + timedelta(hours=1)).collect()
+    assert {r.target for r in later} == {"gone", "up"}
+
+
 def test_label_text(spark):
     counter = spark.createDataFrame([("GET", "/x", 3)], "method string, path string, value long")
     row = M.samples("n", counter, "path", "method").select(
