@@ -18,7 +18,6 @@ SLAB_ROWS = 50_000
 BLOCK_ROWS = 4_096
 WORTHWHILE_ROWS = 2_000  # below this size a slab is not split just to use more cores
 PLACES = 9  # similarities are ranked at this many decimal places, ties by id
-MAX_CELLS = 100_000  # bound of the broadcast cell table
 
 
 def similarity(cosine: Column) -> Column:
@@ -89,6 +88,24 @@ def _spread(df: DataFrame, own: str, own_count: str, other: str, other_count: st
     )
 
 
+def vector_problem(vector: Column, dimensions: int) -> Column:
+    """Why a vector cannot be compared, or null."""
+    return (
+        F.when(vector.isNull(), "no_vector")
+        .when(F.size(vector) != dimensions, "wrong_length")
+        .when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "no_number")
+    )
+
+
+def comparable(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without null vectors, vectors with null or NaN, and vectors of another
+    length than the most common one of the store."""
+    lengths = store.where(F.col("vector").isNotNull()).groupBy(F.size("vector").alias("n")).count()
+    top = lengths.orderBy(F.desc("count"), F.desc("n")).first()
+    good = vector_problem(F.col("vector"), top[0] if top else 0).isNull()
+    return queries.where(good), store.where(good)
+
+
 def nearest_in_cells(
     queries: DataFrame,
     store: DataFrame,
@@ -100,13 +117,14 @@ def nearest_in_cells(
     """Best ``k`` items per query among the items of the query's cells.
 
     ``queries`` holds ``cell, query_id, vector`` and ``store`` holds ``cell, item_id,
-    vector``; at most ``MAX_CELLS`` cells, whose table of counts is broadcast. An item met
-    in several cells (``overlapping``) counts once. Returns ``query_id, item_id, cosine, rank``.
+    vector``. The counts per cell are joined like any table. An item met in several cells
+    (``overlapping``) counts once; rows without a comparable vector take no part (see
+    ``comparable``). Returns ``query_id, item_id, cosine, rank``.
     """
+    queries, store = comparable(queries, store)
     cores = store.sparkSession.sparkContext.defaultParallelism
-    cells = F.broadcast(
-        _pieces(store, "slabs", slab_rows, cores)
-        .join(_pieces(queries, "blocks", block_rows), "cell")
+    cells = _pieces(store, "slabs", slab_rows, cores).join(
+        _pieces(queries, "blocks", block_rows), "cell"
     )
     items = _spread(store.join(cells, "cell"), "slab", "slabs", "block", "blocks", "item_id")
     asked = _spread(queries.join(cells, "cell"), "block", "blocks", "slab", "slabs", "query_id")
@@ -165,9 +183,28 @@ def similarity_search(
     return hits
 
 
-def _cells(df: DataFrame, tables: int, bits: int, dimensions: int, seed: int) -> DataFrame:
+def planes(tables: int, bits: int, dimensions: int) -> np.ndarray:
+    """Hyperplanes of +1 and -1, one column per bit of each table.
+
+    The sign comes from a short integer formula, so any engine can compute the same cells.
+    """
+    x = np.arange(tables * bits)[None, :] * dimensions + np.arange(dimensions)[:, None] + 12_345
+    mixed = x * x * x % PRIME * 48_271 % PRIME
+    return np.where(mixed // 4_096 % 2 == 1, 1.0, -1.0)
+
+
+PRIME = 2_147_483_647
+CELL_ROWS = 512  # wanted mean number of rows in a cell
+
+
+def bits_for(rows: int) -> int:
+    """Enough bits that a cell keeps about ``CELL_ROWS`` rows however many there are."""
+    return max(4, (max(rows, 1) // CELL_ROWS).bit_length())
+
+
+def _cells(df: DataFrame, tables: int, bits: int, dimensions: int) -> DataFrame:
     """One row per hash table: the cell is the table number and the signs of its planes."""
-    planes = np.random.default_rng(seed).standard_normal((dimensions, tables * bits))
+    normals = planes(tables, bits, dimensions)
     weights = 1 << np.arange(bits, dtype=np.int64)
     base = np.arange(tables, dtype=np.int64) << bits
 
@@ -175,7 +212,7 @@ def _cells(df: DataFrame, tables: int, bits: int, dimensions: int, seed: int) ->
     def signs(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return pd.Series([], dtype=object)
-        above = (np.stack(vectors.to_numpy()) @ planes) > 0
+        above = np.round(np.stack(vectors.to_numpy()) @ normals, PLACES) > 0
         keys = above.reshape(len(vectors), tables, bits) @ weights + base
         return pd.Series(list(keys))
 
@@ -188,19 +225,21 @@ def nearest_approx(
     k: int = 5,
     dimensions: int = 64,
     tables: int = 8,
-    bits: int = 6,
-    seed: int = 7,
+    bits: int | None = None,
 ) -> DataFrame:
     """Nearest items among those that share a hash cell with the query.
 
-    Similarities are exact; items that share none of the cells are missed. More tables
-    raise the recall, more bits make the cells smaller.
+    Similarities are exact; items that share none of the cells are missed. The number of
+    bits follows from the size of the store, so a query meets a bounded number of items
+    per table; more tables raise the recall.
     """
-    if tables << bits > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells")
+    queries, store = (
+        df.where(vector_problem(F.col("vector"), dimensions).isNull()) for df in (queries, store)
+    )
+    bits = bits or bits_for(store.count())
     return nearest_in_cells(
-        _cells(queries.select("query_id", "vector"), tables, bits, dimensions, seed),
-        _cells(store.select("item_id", "vector"), tables, bits, dimensions, seed),
+        _cells(queries.select("query_id", "vector"), tables, bits, dimensions),
+        _cells(store.select("item_id", "vector"), tables, bits, dimensions),
         k,
     )
 

@@ -251,6 +251,31 @@ ORACLE = {
 SELECT id AS doc_id, CAST(bucket AS BIGINT) AS bucket, round(w, {PLACES}) AS weight FROM weights""",
     "knn_exact": f"""WITH {sql_ranked()}
 SELECT query_id, item_id, rank, round(cosine, {R.PLACES}) AS cosine FROM ranked WHERE rank <= 5""",
+    "knn_lsh": f"""WITH size AS (
+  SELECT greatest(4, CASE WHEN count(*) < {R.CELL_ROWS} THEN 0
+         ELSE 1 + CAST(floor(log2(count(*) // {R.CELL_ROWS})) AS INTEGER) END) AS bits FROM embeddings
+), plane AS (
+  SELECT t, b, p, d, bits, CASE WHEN x * x * x % {R.PRIME} * 48271 % {R.PRIME} // 4096 % 2 = 1
+         THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w
+  FROM (SELECT *, (t * bits + b) * {DIMENSIONS} + d + 12345 AS x, t * bits + b AS p
+        FROM (SELECT bits, unnest(range(8)) AS t FROM size), (SELECT unnest(range(32)) AS b),
+             (SELECT unnest(range({DIMENSIONS})) AS d) WHERE b < bits)
+), normal AS (
+  SELECT t, b, bits, list(w ORDER BY d) AS n FROM plane GROUP BY t, b, bits
+), v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), cell AS (
+  SELECT vec_id, t, sum(CASE WHEN round(list_dot_product(e, n), {R.PLACES}) > 0 THEN 1 << b ELSE 0 END) AS key
+  FROM v, normal GROUP BY vec_id, t
+), met AS (
+  SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS item_id FROM cell q JOIN cell s USING (t, key)
+), ranked AS (
+  SELECT query_id, item_id, round(list_cosine_similarity(q.e, s.e), {R.PLACES}) AS cosine
+  FROM met JOIN v q ON q.vec_id = query_id JOIN v s ON s.vec_id = item_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM ranked
+)
+SELECT query_id, item_id, rank, cosine FROM placed WHERE rank <= 5""",
     "similarity_score": f"""WITH {sql_ranked()}
 SELECT query_id, item_id, round(similarity, 4) AS relevance_score FROM scored WHERE rank <= 5""",
     "knn_threshold": f"""WITH {sql_ranked()}

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Only inputs up to this size are dealt again, so a read shuffles at most so much.
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan that arrives in fewer partitions than there are cores.
+    """Use every core on a small file that the scan cannot split.
 
-    A file with one row group cannot be split by the scan. On a large table the scan
-    already has more partitions than cores and the rows stay where they are.
+    A file with one row group is one task. Larger inputs are left as the scan cuts them
+    (``spark.sql.files.maxPartitionBytes``, row groups): they never shuffle here, and on
+    any cluster at most ``SMALL_BYTES`` do.
     """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if int(str(size)) <= SMALL_BYTES else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -172,7 +172,7 @@ def test_no_upload_vanishes(spark):
     dead = {r.filename: r.reason for r in ready.dead_letters.collect()}
     assert dead == {"b.pdf": "decoder failed: ValueError: broken file", "c.pdf": I.NO_PAGE_TEXT,
                     "d.docx": I.NO_DECODER, "f.exe": I.UNSUPPORTED, "g.txt": I.EMPTY_TEXT}
-    chunked = {(r.source, r.metadata.get("page_number")) for r in ready.chunks.collect()}
+    chunked = {(r.source, r.metadata.get("page")) for r in ready.chunks.collect()}
     assert chunked == {("a.pdf", "1"), ("a.pdf", "2"), ("e.txt", None)}
     assert {r.source for r in ready.sources.collect()} == {"a.pdf", "e.txt"}
     assert {r.filename for r in prepare(files).dead_letters.collect()} == {

@@ -56,6 +56,18 @@ def test_score_is_clamped(spark):
     assert [r.s for r in df.select(R.similarity(F.col("c")).alias("s")).collect()] == [1.0, 0.0]
 
 
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    rows = [(i, [float(i == d) + 0.1 for d in range(4)]) for i in range(4)]
+    store = spark.createDataFrame(
+        rows + [(7, [1.0, None, 0.0, 0.0]), (8, None), (9, [1.0]), (10, [float("nan")] * 4)],
+        "item_id long, vector array<double>")
+    asked = spark.createDataFrame(rows[:2] + [(5, None)], "query_id long, vector array<double>")
+    got = R.nearest(asked, store, 2).collect()
+    assert {r.query_id for r in got} == {0, 1} and {r.item_id for r in got} <= {0, 1, 2, 3}
+    assert all(r.item_id == r.query_id for r in got if r["rank"] == 1)
+    assert {r.query_id for r in R.nearest_approx(asked, store, 2, 4).collect()} == {0, 1}
+
+
 def test_approximate_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((20, 64))
