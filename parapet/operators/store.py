@@ -1,7 +1,9 @@
 """The chunk table: upsert, delete, lookup, listing, collections, duplicates.
 
-A table is a folder of parquet files partitioned by collection and batch. Writing a batch
-again replaces that batch only, so a retried job leaves the table as it was meant to be.
+A table is a folder of parquet files partitioned by batch and collection. Writing a batch
+again replaces that batch as a whole, so a retried job leaves the table as it was meant to
+be. Deletes are batches of ids beside the table: ``read_current`` and ``compact`` leave out
+every row that is older than a delete of its id. Batch numbers order writes and deletes.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parapet.functions import text as T
+from parapet.sources.tables import exists
 
 BULK_DELETE_LIMIT = 500
 DEFAULT_COLLECTION = "documents"
@@ -47,7 +50,7 @@ def delete_ids(store: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def delete_matching(store: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove every id of a table of ids, whatever its size."""
-    return store.join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return store.join(ids.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def delete_report(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -63,19 +66,27 @@ def delete_report(store: DataFrame, ids: DataFrame) -> DataFrame:
 def existing_ids(store: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate ids that the store already holds, each once."""
     return candidates.select("chunk_id").distinct().join(
-        store.select("chunk_id").distinct(), "chunk_id", "left_semi"
+        store.select("chunk_id"), "chunk_id", "left_semi"
     )
 
 
 def new_chunks(store: DataFrame, chunks: DataFrame, order: Sequence[str]) -> DataFrame:
     """Chunks whose id the store does not hold, one row per id."""
     return one_per_id(chunks, order, latest=False).join(
-        store.select("chunk_id").distinct(), "chunk_id", "left_anti"
+        store.select("chunk_id"), "chunk_id", "left_anti"
     )
 
 
-def listing(store: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page of the table in id order, with defaults and a 120-character preview."""
+def listing(
+    store: DataFrame, limit: int = 20, offset: int = 0, after: str | None = None
+) -> DataFrame:
+    """One page of the table in id order, with defaults and a 120-character preview.
+
+    ``after`` is the last id of the page before: the page is then the smallest ids beyond
+    it, which costs the same however deep it lies. ``offset`` counts from the first id.
+    """
+    if after is not None:
+        store = store.where(F.col("chunk_id") > after)
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must lie in 1..100 and offset must not be negative")
     meta = F.col("metadata")
@@ -131,24 +142,39 @@ def ingest_summary(
 
 
 def write_batch(chunks: DataFrame, path: str, batch_id: int) -> None:
-    """Add or replace one batch of the table at ``path``."""
+    """Add or replace one batch of the table at ``path``; a row replaces rows of its id in
+    earlier batches."""
+    chunks.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/batch={batch_id}")
+
+
+def _deleted_folder(path: str) -> str:
+    return f"{path.rstrip('/')}-deleted"
+
+
+def delete_batch(ids: DataFrame, path: str, batch_id: int) -> None:
+    """Delete the ids from the table as of ``batch_id``; an id that is not there, or comes
+    twice, changes nothing. Running the batch again replaces it."""
     (
-        chunks.withColumn("batch", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "collection")
-        .parquet(path)
+        ids.select("chunk_id").where(F.col("chunk_id").isNotNull()).distinct()
+        .write.mode("overwrite").parquet(f"{_deleted_folder(path)}/batch={batch_id}")
     )
 
 
 def read_current(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
-    """The table as it stands: per id the row of the last batch. Reads one collection if named."""
+    """The table as it stands: per id the row of the last batch, without deleted ids. Reads
+    one collection if named."""
     rows = spark.read.parquet(path)
     if collection is not None:
         rows = rows.where(F.col("collection") == collection)
-    return one_per_id(rows, ["batch"]).drop("batch")
+    current = one_per_id(rows, ["batch"])
+    if exists(spark, _deleted_folder(path)):
+        gone = spark.read.parquet(_deleted_folder(path)).groupBy("chunk_id").agg(
+            F.max("batch").alias("_gone"))
+        current = current.join(gone, "chunk_id", "left").where(
+            F.col("_gone").isNull() | (F.col("_gone") < F.col("batch"))).drop("_gone")
+    return current.drop("batch")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current state to a new folder as one batch."""
+    """Write the current state to a new folder as one batch; deletes are applied for good."""
     write_batch(read_current(spark, path), target, 0)

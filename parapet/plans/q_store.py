@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parapet.functions import text as T
 from parapet.operators import intake, metrics, store
 from parapet.plans import derived as D
+from parapet.session import shared_folder
 from parapet.sources.access_log import event_props
 from parapet.sources.tables import table, text_table
 
@@ -61,6 +62,20 @@ def store_delete(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def store_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The table on disk: documents, a delete of the toxic ones, then Spanish ones again."""
+    path = shared_folder(spark, "store-written")
+    docs = store.one_per_id(D.doc_chunks(spark, sf), ["doc_id", "chunk_index"], latest=False).select(
+        "chunk_id", "source", "content", F.lit("documents").alias("collection"))
+    store.write_batch(docs, path, 0)
+    store.delete_batch(_toxic_ids(spark, sf), path, 1)
+    spanish = D.doc_chunks(spark, sf).where(F.col("lang") == "es").select(
+        "chunk_id", "source", F.lit("again").alias("content"), F.lit("documents").alias("collection"))
+    store.write_batch(spanish.dropDuplicates(["chunk_id"]), path, 2)
+    return store.read_current(spark, path).groupBy("source").agg(
+        F.count("*").alias("rows"), F.sum(F.length("content")).alias("chars"), F.min("chunk_id").alias("first_id"))
+
+
 def delete_report(spark: SparkSession, sf: str) -> DataFrame:
     held = D.doc_chunks(spark, sf).select("chunk_id").distinct()
     asked = _toxic_ids(spark, sf).unionByName(D.page_chunks(spark, sf).select("chunk_id"))
@@ -130,7 +145,7 @@ def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (file_rows, size_guard, store_upsert, store_delete, delete_report, existing_ids,
+    for f in (file_rows, size_guard, store_upsert, store_delete, store_written, delete_report, existing_ids,
               list_chunks, collection_counts, parse_event_props, metric_samples)
 }
 
@@ -161,6 +176,15 @@ FROM ranked WHERE r = 1 GROUP BY source, version""",
     "store_delete": f"""WITH {D.DOC_CHUNKS}, {_TOXIC}
 SELECT source, count(DISTINCT chunk_id) AS rows, min(chunk_id) AS first_id
 FROM doc_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM toxic) GROUP BY source""",
+    "store_written": f"""WITH {D.DOC_CHUNKS}, {_TOXIC}, spanish AS (
+  SELECT chunk_id FROM doc_chunks WHERE lang = 'es'
+), held AS (
+  SELECT DISTINCT chunk_id, source, CASE WHEN chunk_id IN (SELECT chunk_id FROM spanish) THEN 'again'
+         ELSE content END AS content
+  FROM doc_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM toxic) OR chunk_id IN (SELECT chunk_id FROM spanish)
+)
+SELECT source, count(*) AS rows, sum(length(content)) AS chars, min(chunk_id) AS first_id
+FROM held GROUP BY source""",
     "delete_report": f"""WITH {D.DOC_CHUNKS}, {D.PAGE_CHUNKS}, {_TOXIC}
 SELECT (SELECT count(*) FROM toxic) + (SELECT count(*) FROM page_chunks) AS count,
        (SELECT count(DISTINCT chunk_id) FROM toxic) AS rows_deleted""",

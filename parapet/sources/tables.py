@@ -21,6 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) <= SMALL_BYTES else df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

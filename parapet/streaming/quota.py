@@ -11,7 +11,7 @@ Two forms share the columns of ``operators.admission.decide``:
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parapet.operators.admission import MICROS, QuotaPolicy, quota_key, rate_limit
+from parapet.sources.tables import exists
 
 
 class QuotaStream:
@@ -27,8 +28,10 @@ class QuotaStream:
     Every batch writes its own copy of that table and reads only the one before it, so the
     work per batch follows the batch and the window, not the age of the stream. ``advance``
     may run again for the same batch after a failure and replaces what the first attempt
-    wrote. Micro-batches must arrive in time order, with consecutive numbers from 0;
-    tables more than one batch old are not read again.
+    wrote. Micro-batches have consecutive numbers from 0; tables more than one batch old are
+    not read again. A request that is older than the newest one of the batches before
+    cannot be judged in order: it goes to the table of late requests (``late``), which
+    ``rate_limit`` judges together with the whole log.
     """
 
     def __init__(self, spark: SparkSession, policy: QuotaPolicy, folder: str) -> None:
@@ -54,6 +57,10 @@ class QuotaStream:
         )
         if batch_id > 0:
             recent = self._spark.read.schema(log.schema).parquet(self._path("recent", batch_id - 1))
+            newest = recent.agg(F.max("ts")).first()[0]
+            if newest is not None:
+                self._kept(log.where(F.col("ts") < F.lit(newest)).drop("fresh"), "late", batch_id)
+                log = log.where((F.col("ts") >= F.lit(newest)) | F.col("ts").isNull())
             log = log.unionByName(recent)
         decided = rate_limit(log, self._policy).where("fresh").drop("fresh")
         self._kept(decided, "decisions", batch_id)
@@ -63,10 +70,22 @@ class QuotaStream:
         still_needed = log.where(F.unix_micros("ts") >= reach).withColumn("fresh", F.lit(False))
         self._kept(still_needed, "recent", batch_id)
 
+    def late(self) -> DataFrame:
+        """Requests that came too late for a decision, with the batch that brought them."""
+        if not exists(self._spark, f"{self._folder}/late"):
+            return self._spark.createDataFrame(
+                [], "request_id long, ts timestamp, api_key string, batch int")
+        return self._spark.read.parquet(f"{self._folder}/late")
+
     def decisions(self) -> DataFrame:
         return self._spark.read.parquet(f"{self._folder}/decisions").drop("batch")
 
 
+def late_requests(log: DataFrame, judged: DataFrame) -> DataFrame:
+    """The requests of a whole log that a stream gave no decision."""
+    return log.join(judged.select("request_id"), "request_id", "left_anti")
+
+
 DECISION_SCHEMA = (
     "request_id long, api_key string, ts timestamp, window_count long, allowed boolean, "
     "remaining long, reset_at timestamp, retry_after double"
@@ -79,9 +98,12 @@ def stateful_quota(
     """Decisions in update mode from keyed state that holds the times of the last window.
 
     The state of a key is dropped once the watermark is a whole window past its last
-    request. Requests later than ``lateness`` are not judged.
+    request. A request that arrives after newer ones, but within ``lateness``, is counted
+    among the requests before it; the later decisions stand. Requests later than
+    ``lateness`` are not judged here: ``late_requests`` keeps them for the batch operator.
     """
     window_us = policy.window_seconds * MICROS
+    late_us = int(pd.Timedelta(lateness).total_seconds()) * MICROS
 
     def judge(
         key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
@@ -89,18 +111,20 @@ def stateful_quota(
         if state.hasTimedOut:
             state.remove()
             return
-        times = deque(state.get[0] if state.exists else [])
+        times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         moments = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
         counts, starts = [], []
         for now in moments:
-            while times and times[0] < now - window_us:
-                times.popleft()
-            times.append(now)
-            counts.append(len(times))
-            starts.append(times[0])
-        state.update((list(times),))
-        state.setTimeoutTimestamp((times[-1] + window_us) // 1000 + 1)
+            last = bisect_right(times, now)
+            times.insert(last, now)
+            first = bisect_left(times, now - window_us)
+            counts.append(last + 1 - first)
+            starts.append(times[first])
+        # a request may still come lateness behind the newest one and look a window back
+        kept = times[bisect_left(times, times[-1] - window_us - late_us):]
+        state.update((kept,))
+        state.setTimeoutTimestamp((times[-1] + window_us + late_us) // 1000 + 1)
         count = pd.Series(counts, index=rows.index)
         reset = pd.Series(starts, index=rows.index) + window_us
         wait = (reset - pd.Series(moments, index=rows.index)).clip(lower=0) / MICROS

@@ -37,6 +37,26 @@ def test_table_on_disk(spark):
     assert S.read_current(spark, f"{path}-compact").count() == 2
 
 
+def test_deletes_and_replacements_on_the_written_table(spark):
+    path = shared_folder(spark, "store-deletes")
+    rows = "chunk_id string, content string, collection string"
+    S.write_batch(spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("c", "1", "y")], rows), path, 0)
+    S.delete_batch(spark.createDataFrame([("a",), ("b",), ("zz",), ("b",), (None,)], "chunk_id string"), path, 1)
+    S.write_batch(spark.createDataFrame([("b", "2", "x"), ("c", "2", "y")], rows), path, 2)
+    want = {("b", "2"), ("c", "2")}
+    assert {(r.chunk_id, r.content) for r in S.read_current(spark, path).collect()} == want
+    S.compact(spark, path, f"{path}-compact")
+    assert {(r.chunk_id, r.content) for r in S.read_current(spark, f"{path}-compact").collect()} == want
+
+
+def test_a_batch_that_runs_again_replaces_all_its_collections(spark):
+    path = shared_folder(spark, "store-retry")
+    rows = "chunk_id string, content string, collection string"
+    S.write_batch(spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], rows), path, 0)
+    S.write_batch(spark.createDataFrame([("a", "2", "x")], rows), path, 0)
+    assert [tuple(r) for r in S.read_current(spark, path).select("chunk_id", "content").collect()] == [("a", "2")]
+
+
 def test_listing(spark):
     df = spark.createDataFrame(
         [(f"id{i:03d}", "c" * 200, {"source": "s"} if i % 2 else {}) for i in range(30)],
@@ -44,6 +64,7 @@ def test_listing(spark):
     )
     page = S.listing(df, 3, 1).collect()
     assert [r.id for r in page] == ["id001", "id002", "id003"]
+    assert [r.id for r in S.listing(df, 3, after="id000").collect()] == ["id001", "id002", "id003"]
     assert page[1].source == "unknown" and page[1].chunk_index == "0"
     assert len(page[0].content_preview) == 120
     with pytest.raises(ValueError):

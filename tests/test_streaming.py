@@ -28,6 +28,29 @@ def test_quota_over_batches_equals_one_batch(spark):
     assert got == want
 
 
+def test_late_requests_are_kept_aside(spark):
+    schema = "request_id long, ts timestamp, api_key string"
+    stream = QuotaStream(spark, QuotaPolicy(3, 60, 1), shared_folder(spark, "quota-late"))
+    assert stream.late().count() == 0
+    stream.advance(spark.createDataFrame([(1, START, "a"), (2, START + timedelta(seconds=50), "a")], schema), 0)
+    stream.advance(spark.createDataFrame(
+        [(3, START + timedelta(seconds=20), "a"), (4, START + timedelta(seconds=55), "a")], schema), 1)
+    assert [r.request_id for r in stream.late().collect()] == [3]
+    assert {r.request_id: r.window_count for r in stream.decisions().collect()} == {1: 1, 2: 2, 4: 3}
+
+
+def test_a_key_with_nine_tenths_of_all_requests(spark):
+    policy = QuotaPolicy(5, 30)
+    rows = [(i, START + timedelta(seconds=i), "hot" if i % 10 else f"k{i}") for i in range(400)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp, api_key string")
+    stream = QuotaStream(spark, policy, shared_folder(spark, "quota-hot"))
+    for batch in range(4):
+        stream.advance(log.where(F.floor(F.col("request_id") / 100) == batch), batch)
+    got = {r.request_id: r.window_count for r in stream.decisions().collect()}
+    want = {i: sum(k == key and t - timedelta(seconds=30) <= u <= t for _, u, k in rows) for i, t, key in rows}
+    assert got == want
+
+
 def test_ingest_over_batches(spark):
     files = spark.createDataFrame(
         [("a.txt", bytearray(b"A text that is ingested. " * 30)), ("b.txt", bytearray(b"Other text. " * 20))],
