@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parapet.llm import (
     hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, warc, wumanber)
+from parapet.llm.oracle import ORACLE  # noqa: F401  the SQL beside the queries
 from parapet.llm.shared import prepare
 from parapet.session import configure
 from parapet.sources.tables import table
@@ -62,11 +63,9 @@ def op9_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.measure(_docs(spark, folder))
+    return repetition.measure(_docs(spark, folder)).drop("longest_repeat")
 
 
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_bpe_lexicon, op3_ppm, op4_minimax, op5_random_indexing, op6_wu_manber,
     op7_markov_secrets, op8_hyperdimensional, op9_hyperminhash, op10_suffix_repetition)}
-
-ORACLE: dict[str, str] = {}
