@@ -102,6 +102,18 @@ def samples(name: str, counter: DataFrame, *labels: str) -> DataFrame:
     )
 
 
+def histogram_samples(name: str, histogram: DataFrame, *labels: str) -> DataFrame:
+    """A duration histogram as samples: ``_bucket`` with ``le``, ``_sum`` and ``_count``."""
+    pairs = [part for label in labels for part in (F.lit(label), F.col(label))]
+    whole = F.col("le").isin("sum", "count")
+    own = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return histogram.select(
+        F.concat(F.lit(f"{name}_"), F.when(whole, F.col("le")).otherwise("bucket")).alias("metric"),
+        F.when(whole, own).otherwise(F.map_concat(own, F.create_map(F.lit("le"), F.col("le")))).alias("labels"),
+        F.col("value").cast("double"),
+    )
+
+
 def label_text(labels: Column) -> Column:
     entries = F.transform(
         F.array_sort(F.map_entries(labels)),

@@ -8,7 +8,7 @@ from parapet.functions import text as T
 from parapet.operators import intake, metrics, store
 from parapet.plans import derived as D
 from parapet.session import shared_folder
-from parapet.sources.access_log import event_props
+from parapet.sources.access_log import event_props, log_lines, read_access_log
 from parapet.sources.tables import table, text_table
 
 
@@ -117,6 +117,20 @@ def parse_event_props(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def access_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as log lines, every fiftieth one broken, and read with the schema."""
+    folder = shared_folder(spark, "access-log")
+    log = D.requests(spark, sf)
+    broken = (F.col("request_id") % 50) == 7
+    log_lines(log.where(~broken)).write.text(f"{folder}/good")
+    log.where(broken).select(F.concat(F.lit("broken line "), F.col("request_id").cast("string")).alias("value")
+                             ).write.text(f"{folder}/broken")
+    rows = read_access_log(spark, f"{folder}/*")
+    return rows.select(
+        "request_id", F.unix_micros("timestamp").alias("ts_us"), "method", "path",
+        F.col("status").cast("long").alias("status"), "duration_ms", F.col("_corrupt_record").alias("corrupt"))
+
+
 def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
     log, security = D.requests(spark, sf), D.security_log(spark, sf)
     blocked = security.where("blocked")
@@ -137,16 +151,19 @@ def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
             "rag_queries_total", security.agg(F.count_if(~F.col("blocked")).alias("value"))
         ),
     ]
+    parts.append(metrics.histogram_samples(
+        "http_request_duration_seconds", metrics.duration_histogram(log, "method"), "method"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return merged.select("metric", metrics.label_text(F.col("labels")).alias("labels"), "value")
+    return merged.select(
+        "metric", metrics.label_text(F.col("labels")).alias("labels"), F.round("value", 6).alias("value"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (file_rows, size_guard, store_upsert, store_delete, store_written, delete_report, existing_ids,
-              list_chunks, collection_counts, parse_event_props, metric_samples)
+              list_chunks, collection_counts, parse_event_props, access_log, metric_samples)
 }
 
 _POSITION = "substr(sha256(source || '/' || doc_id || ':' || chunk_index), 1, 32)"
@@ -219,5 +236,22 @@ UNION ALL SELECT 'security_rule_triggers_total', 'rule="' || rule || '"',
 UNION ALL SELECT 'output_reflections_total', '', count(*) FILTER (WHERE reflection_detected)
        FROM security_log
 UNION ALL SELECT 'rag_queries_total', '', count(*) FILTER (WHERE NOT blocked)
-       FROM security_log""",
+       FROM security_log
+UNION ALL SELECT 'http_request_duration_seconds_bucket', 'le="' || le || '",method="' || method || '"',
+       count(*) FILTER (WHERE duration_s <= bound)
+       FROM requests, (VALUES ('0.01', 0.01::DOUBLE), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5),
+         ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('10.0', 10.0), ('30.0', 30.0), ('+Inf', 'inf'::DOUBLE)) b(le, bound)
+       GROUP BY le, method
+UNION ALL SELECT 'http_request_duration_seconds_sum', 'method="' || method || '"', round(sum(duration_s), 6)
+       FROM requests GROUP BY method
+UNION ALL SELECT 'http_request_duration_seconds_count', 'method="' || method || '"', count(*)
+       FROM requests GROUP BY method""",
+    "access_log": f"""WITH {D.REQUESTS}
+SELECT CASE WHEN request_id % 50 <> 7 THEN CAST(request_id AS VARCHAR) END AS request_id,
+       CASE WHEN request_id % 50 <> 7 THEN epoch_us(ts) END AS ts_us,
+       CASE WHEN request_id % 50 <> 7 THEN method END AS method,
+       CASE WHEN request_id % 50 <> 7 THEN path END AS path,
+       CASE WHEN request_id % 50 <> 7 THEN CAST(status AS BIGINT) END AS status,
+       CASE WHEN request_id % 50 <> 7 THEN round(round(duration_s, 4) * 1000, 2) END AS duration_ms,
+       CASE WHEN request_id % 50 = 7 THEN 'broken line ' || request_id END AS corrupt FROM requests""",
 }

@@ -18,15 +18,30 @@ ACCESS_LOG = StructType([
     StructField("duration_ms", DoubleType()),
     StructField("client_ip", StringType()),
 ])
+CORRUPT = "_corrupt_record"
+WITH_CORRUPT = StructType([*ACCESS_LOG.fields, StructField(CORRUPT, StringType())])
 EVENT_PROPS = StructType([StructField("k", LongType())])
 
 
 def read_access_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ACCESS_LOG).json(path)
+    """Log lines; a line that does not parse stays, whole, in ``_corrupt_record``."""
+    return spark.read.schema(WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def stream_access_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(ACCESS_LOG).json(path)
+    return spark.readStream.schema(WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """Requests as lines of the access log (``value``), the way the server writes them."""
+    entry = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.when(F.col("status") >= 500, "error").otherwise("info").alias("level"),
+        F.lit("request").alias("event"), F.col("request_id").cast("string").alias("request_id"),
+        "method", "path", "status", F.round(F.col("duration_s") * 1000, 2).alias("duration_ms"),
+        F.col("api_key").alias("client_ip"),
+    )
+    return log.select(F.to_json(entry).alias("value"))
 
 
 def event_props(props: Column) -> Column:
