@@ -5,8 +5,8 @@ a row are bound: the first vector permuted twice, the second once, the third as
 multiplied. A text is the bundle (sum) of its letter triples, a language the bundle of the
 texts that are labelled with it. The language with the largest cosine wins.
 
-Letters are lower-cased; any other character is a blank, and triples of blanks are left
-out. Only vectors of ``DIMENSIONS`` numbers per language leave the tasks; the number of
+Letters are lower-cased; any other character is a blank, as are the ends of a text, and
+triples of blanks are left out. Only vectors of ``DIMENSIONS`` numbers per language leave the tasks; the number of
 languages is the number of labels and is taken to be small.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every
@@ -42,7 +42,7 @@ def letter_vectors(letters: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1)[:, :DIMENSIONS]
 
 
-def triples(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def triples(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Alphabet of the block, and for each triple its letters' places and its row."""
     points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
     ends = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]
@@ -54,18 +54,19 @@ def triples(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     alphabet, place = np.unique(np.append(lowered, 0), return_inverse=True)
     table = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
     table[present] = place[:-1]
-    codes = table[points]
-    row = np.repeat(np.arange(len(block)), np.diff(ends))
-    if len(codes) < 3:
-        return alphabet, np.zeros((3, 0), np.int64), np.zeros(0, np.int64), ends
+    # a blank before and after every text, so that a lone letter makes a triple
+    lengths = np.diff(ends)
+    row = np.repeat(np.arange(len(block)), lengths + 2)
+    codes = np.zeros(len(row), np.int64)
+    codes[np.arange(len(points)) + np.repeat(2 * np.arange(len(block)) + 1, lengths)] = table[points]
     parts = np.stack([codes[:-2], codes[1:-1], codes[2:]])
     good = (row[:-2] == row[2:]) & (parts.max(0) > 0)
-    return alphabet, parts[:, good], row[:-2][good], ends
+    return alphabet, parts[:, good], row[:-2][good]
 
 
 def _encoded(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of the block's distinct triples, each triple's place among them, its row."""
-    alphabet, parts, row, _ = triples(block)
+    alphabet, parts, row = triples(block)
     size = len(alphabet)
     key = (parts[0] * size + parts[1]) * size + parts[2]
     if size <= SMALL_ALPHABET:
@@ -127,7 +128,7 @@ def identified(docs: DataFrame) -> DataFrame:
             cosines = bundled @ arrays["matrix"].T / np.where(blank, 1, lengths)[:, None]
             none = len(names) == 1
             best = np.full(len(block), len(names) - 1) if none else np.where(
-                ~_has_letter(row, len(block)) | blank, len(names) - 1, cosines.argmax(1))
+                ~_has_letter(row, len(block)), len(names) - 1, cosines.argmax(1))
             score = np.zeros(len(block)) if none else np.where(
                 best == len(names) - 1, 0.0, np.clip(cosines.max(1), 0.0, 1.0))
             yield pa.RecordBatch.from_arrays(

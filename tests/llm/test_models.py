@@ -106,11 +106,12 @@ def test_languages_on_the_held_out_fold(spark):
 
 
 def test_language_cases(spark, make, sample):
-    rows = ODD + [(1, "1234 !!"), (2, "abc abd abe " * 30)]
+    rows = ODD + [(1, "1234 !!"), (2, "abc abd abe " * 30), (3, "a"), (4, "1b"), (5, "你")]
     got = hyperlang.identified(make(rows, extra=True)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: (r.lang_pred, r.score) for r in got}
     assert by[10_001] == by[10_002] == by[10_003] == by[1] == ("und", 0.0)
+    assert by[3][0] == by[4][0] == by[5][0] == "en"  # a single letter is enough
     assert by[2][0] == "en" and by[10_009][0] == "en"
     nothing = hyperlang.identified(make(rows).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
