@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions.text import non_empty
-from parapet.operators.ordered import timeline
+from parapet.operators.ordered import fitting_slice, timeline
 
 # ---- fixed values ----
 PUBLIC_PATHS = ("/health", "/ready", "/metrics", "/docs", "/openapi.json", "/redoc")
@@ -28,7 +28,7 @@ class QuotaPolicy:
 
     @property
     def slice_us(self) -> int:
-        """Width of the time slices that a key's requests are cut into."""
+        """Widest time slice that a key's requests are cut into; a busy key gets narrower ones."""
         return max(MICROS, self.window_seconds * MICROS // 4)
 
 
@@ -76,7 +76,7 @@ def sliding_counts(log: DataFrame, policy: QuotaPolicy) -> DataFrame:
             F.struct(moment.alias("at"), F.lit(1).alias("kind")),
         )).alias("event"),
     ).select("key", "event.at", "event.kind", "id")
-    placed = timeline(thin, policy.slice_us)
+    placed = timeline(thin, fitting_slice(thin, policy.slice_us))
     counts = placed.groupBy("id").agg(
         (F.max(F.when(F.col("kind") == 1, F.col("seen")))
          - F.max(F.when(F.col("kind") == 0, F.col("seen")))).alias("window_count"),
@@ -123,7 +123,8 @@ def peek(log: DataFrame, probes: DataFrame, policy: QuotaPolicy) -> DataFrame:
             F.struct(moment.alias("at"), F.lit(2).alias("kind")),
         )).alias("event"),
     ).select("key", "event.at", "event.kind", "id")
-    placed = timeline(arrivals.unionByName(asked), policy.slice_us).where(F.col("kind") != 1)
+    events = arrivals.unionByName(asked)
+    placed = timeline(events, fitting_slice(events, policy.slice_us)).where(F.col("kind") != 1)
     counts = placed.groupBy("id").agg(
         (F.max(F.when(F.col("kind") == 2, F.col("seen")))
          - F.max(F.when(F.col("kind") == 0, F.col("seen")))).alias("window_count"),

@@ -46,6 +46,29 @@ def running_total(
     )
 
 
+SLICE_ROWS = 200_000  # a slice of a busy key holds about so many rows at most
+SECOND_US = 1_000_000
+
+
+def fitting_slice(events: DataFrame, widest_us: int, rows: int = SLICE_ROWS) -> int:
+    """The widest slice, from ``widest_us`` in quarters down to a second, of which none
+    holds more than ``rows`` events of one key.
+
+    ``events`` holds ``key, at``. They are counted per key and second first; only the count
+    of the busiest slice reaches the driver. The width never changes a result.
+    """
+    by_second = events.groupBy("key", F.floor(F.col("at") / SECOND_US).alias("second")).agg(
+        F.count("*").alias("n"))
+    width = max(widest_us, SECOND_US)
+    while width > SECOND_US:
+        slices = by_second.groupBy("key", F.floor(F.col("second") * SECOND_US / width)).agg(
+            F.sum("n").alias("n"))
+        if (slices.agg(F.max("n")).first()[0] or 0) <= rows:
+            break
+        width = max(width // 4, SECOND_US)
+    return width
+
+
 def timeline(events: DataFrame, slice_us: int) -> DataFrame:
     """Place probes between the arrivals of their key.
 

@@ -92,3 +92,17 @@ def test_admission_order(spark):
 def test_key_setting(spark):
     df = spark.createDataFrame([(" a, b,,c ",)], "s string")
     assert df.select(A.key_list(F.col("s")).alias("k")).first().k == ["a", "b", "c"]
+
+
+def test_slices_follow_the_busiest_key(spark):
+    from parapet.operators.ordered import fitting_slice, timeline
+
+    rows = [("hot", i * 10_000, 1, i) for i in range(3_000)] + [(f"k{i}", i * 500_000, 1, 5_000 + i) for i in range(60)]
+    events = spark.createDataFrame(rows, "key string, at long, kind int, id long")
+    day = 86_400_000_000
+    assert fitting_slice(events, day) == day
+    narrow = fitting_slice(events, day, rows=1_000)
+    assert 1_000_000 <= narrow <= 10_000_000
+    wide_rows = timeline(events, day).collect()
+    assert sorted(wide_rows) == sorted(timeline(events, narrow).collect())
+    assert fitting_slice(events.limit(0), day) == day
