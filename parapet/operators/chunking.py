@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import text as T
+from parapet.functions.once import bind
 
 NO_STRINGS = "array<string>"
 
@@ -39,6 +40,35 @@ def _none() -> Column:
     return F.array().cast(NO_STRINGS)
 
 
+FOLD_BLOCK = 2_048
+
+
+def folded(items: Column, fields: dict[str, Column], step) -> Column:
+    """Fold an array into a struct whose first field ``done`` is a growing list.
+
+    A fold copies its state at every step. The items are therefore folded in blocks that
+    start with an empty list, and the lists of the blocks are joined once per block, so a
+    text of many megabytes does not copy its chunks once per word.
+    """
+    names = list(fields)
+    start = F.struct(*[value.alias(name) for name, value in fields.items()])
+
+    def over_blocks(all_items: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(
+            F.ceil(F.size(all_items) / FOLD_BLOCK).cast("int") - 1, F.lit(0)))
+
+        def one_block(state: Column, block: Column) -> Column:
+            empty = F.struct(_none().alias("done"), *[state[n].alias(n) for n in names[1:]])
+            inner = F.aggregate(F.slice(all_items, block * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), empty, step)
+            return bind(inner, lambda own: F.struct(
+                F.concat(state["done"], own["done"]).alias("done"),
+                *[own[n].alias(n) for n in names[1:]]))
+
+        return F.aggregate(blocks, start, one_block)
+
+    return bind(items, over_blocks)
+
+
 def pack_words(text: Column, size: int) -> Column:
     """Fill lines greedily; a word costs its length plus one, a longer word stays whole."""
 
@@ -53,16 +83,13 @@ def pack_words(text: Column, size: int) -> Column:
             F.when(full, cost).otherwise(state["used"] + cost).alias("used"),
         )
 
-    start = F.struct(
-        _none().alias("done"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("used")
-    )
-
     def finish(state: Column) -> Column:
         return F.when(state["line"].isNull(), state["done"]).otherwise(
             F.concat(state["done"], F.array(state["line"]))
         )
 
-    return F.aggregate(T.words(text), start, step, finish)
+    fields = {"done": _none(), "line": F.lit(None).cast("string"), "used": F.lit(0)}
+    return bind(folded(T.words(text), fields, step), finish)
 
 
 def pack_pieces(pieces: Column, spec: ChunkSpec) -> Column:
@@ -92,19 +119,13 @@ def pack_pieces(pieces: Column, spec: ChunkSpec) -> Column:
             F.when(full, lead).otherwise(state["lead"]).alias("lead"),
         )
 
-    start = F.struct(
-        _none().alias("done"),
-        F.lit(None).cast("string").alias("body"),
-        F.lit(0).alias("used"),
-        F.lit("").alias("lead"),
-    )
-
     def finish(state: Column) -> Column:
         return F.when(state["body"].isNull(), state["done"]).otherwise(
             F.concat(state["done"], chunk(state))
         )
 
-    return F.aggregate(pieces, start, step, finish)
+    fields = {"done": _none(), "body": F.lit(None).cast("string"), "used": F.lit(0), "lead": F.lit("")}
+    return bind(folded(pieces, fields, step), finish)
 
 
 def pieces(text: Column, size: int) -> Column:
