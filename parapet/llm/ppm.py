@@ -38,7 +38,7 @@ from parapet.llm.shared import arrive, ship, stage
 
 ORDER = 5
 CAPACITY = 1 << 22
-HOT_WORDS = 1 << 20
+HOT_WORDS = 1 << 17
 EDGE = 0xFF
 HELD = 1 << 21
 END_WORD = 0x7F4A7C15F39CC060
@@ -143,11 +143,10 @@ def _counts(word: bool, tally: Tally) -> Iterator[pa.RecordBatch]:
 
 # -- the model --------------------------------------------------------------------------
 
-def hash_table(keys: np.ndarray, bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Open addressing: slots with keys, and the index of the key in each slot."""
-    bits = bits or max(4, math.ceil(math.log2(max(len(keys), 1) * 2)) )
-    slots = np.full(1 << bits, FREE, np.uint64)
-    index = np.zeros(1 << bits, np.int32)
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing: slots with keys, and the value of the key in each slot."""
+    bits = max(4, math.ceil(math.log2(max(len(keys), 1) * 1.5)))
+    slots, held = np.full(1 << bits, FREE, np.uint64), np.zeros(1 << bits, values.dtype)
     waiting = np.arange(len(keys))
     at = slot_of(keys, bits)
     while len(waiting):
@@ -155,32 +154,40 @@ def hash_table(keys: np.ndarray, bits: int | None = None) -> tuple[np.ndarray, n
         free = slots[here] == FREE
         slots[here[free]] = keys[waiting[free]]
         won = slots[here] == keys[waiting]
-        index[here[won]] = waiting[won]
+        held[here[won]] = values[waiting[won]]
         waiting = waiting[~won]
         at[waiting] = (at[waiting] + 1) & ((1 << bits) - 1)
-    return slots, index
+    return slots, held
 
 
 def slot_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def find(slots: np.ndarray, index: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key, -1 where there is none."""
+def find(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Slot of each key, -1 where there is none."""
     mask, bits = len(slots) - 1, (len(slots) - 1).bit_length()
     at = slot_of(keys, bits)
     held = slots[at]
-    out = np.where(held == keys, index[at], -1)
+    out = np.where(held == keys, at, -1)
     open_ = np.flatnonzero((held != keys) & (held != FREE))
     while len(open_):
         at[open_] = (at[open_] + 1) & mask
         held = slots[at[open_]]
         good = held == keys[open_]
-        out[open_[good]] = index[at[open_[good]]]
+        out[open_[good]] = at[open_[good]]
         open_ = open_[~good & (held != FREE)]
     return out
 
 
+def find_sorted(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in sorted keys, -1 where there is none."""
+    if not len(held):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return np.where(held[at] == keys, at, -1)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -189,11 +196,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def compile_trie(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Tables per order: log10 of counts for symbols, totals and escapes for contexts.
+    """Tables of the trie.
 
-    ``low_total`` and ``low_distinct`` of a context are what its next shorter context holds
-    besides the symbols seen here: the symbols of a context are symbols of every shorter
-    one, so exclusion needs nothing else.
+    Full-length entries, which code nearly every byte, are a hash table of log10
+    probabilities; shorter entries and all contexts are sorted. ``low_total`` and
+    ``low_distinct`` of a context are what its next shorter context holds besides the
+    symbols seen here: the symbols of a context are symbols of every shorter one, so
+    exclusion needs nothing else.
     """
     levels = {ORDER: (keys, counts)}
     for order in range(ORDER - 1, -1, -1):
@@ -207,64 +216,60 @@ def compile_trie(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         total = np.bincount(where, weights=counts, minlength=len(contexts))
         distinct = np.bincount(where, minlength=len(contexts)).astype(np.float64)
         totals[order] = (contexts, total, distinct)
+        arrays |= {f"contexts{order}": contexts, f"total{order}": total.astype(np.float32),
+                   f"distinct{order}": distinct.astype(np.float32)}
         if order:
             low_keys, low_counts = levels[order - 1]
             low_contexts, low_total, low_distinct = totals[order - 1]
             below = np.uint64((1 << (8 * order)) - 1)
             same = low_counts[np.searchsorted(low_keys, keys & below)]
             shorter = np.searchsorted(low_contexts, contexts & (below >> np.uint64(8)))
-            arrays[f"low_total{order}"] = low_total[shorter] - np.bincount(where, weights=same, minlength=len(contexts))
-            arrays[f"low_distinct{order}"] = low_distinct[shorter] - distinct
-        slots, index = hash_table(keys)
+            left = low_total[shorter] - np.bincount(where, weights=same, minlength=len(contexts))
+            arrays[f"low_total{order}"] = left.astype(np.float32)
+            arrays[f"low_distinct{order}"] = (low_distinct[shorter] - distinct).astype(np.float32)
         log_counts = np.log10(counts - 0.5)
-        arrays |= {
-            f"slots{order}": slots, f"index{order}": index,
-            f"symbol{order}": log_counts.astype(np.float32),
-            f"whole{order}": (log_counts - np.log10(total)[where]).astype(np.float32),
-            f"total{order}": total, f"distinct{order}": distinct,
-        }
-        slots, index = hash_table(contexts)
-        arrays |= {f"context_slots{order}": slots, f"context_index{order}": index}
+        if order == ORDER:
+            slots, whole = hash_table(keys, (log_counts - np.log10(total)[where]).astype(np.float32))
+            arrays |= {"slots": slots, "whole": whole}
+        else:
+            arrays |= {f"keys{order}": keys, f"symbol{order}": log_counts.astype(np.float32)}
     return arrays
 
 
 def code(trie: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     """log10 probability of each gram's symbol in its context."""
     out = np.zeros(len(keys))
-    if not len(trie["symbol0"]):
+    symbols = len(trie["keys0"])
+    if not symbols:
         return np.full(len(keys), -math.log10(256))
-    place = find(trie[f"slots{ORDER}"], trie[f"index{ORDER}"], keys)
+    place = find(trie["slots"], keys)
     seen = place >= 0
-    out[seen] = trie[f"whole{ORDER}"][place[seen]]
+    out[seen] = trie["whole"][place[seen]]
     left = np.flatnonzero(~seen)
-    # what the context above excludes; -1: there is none
+    # what the context above leaves to this one; a negative total: no context above was seen
     total, distinct = np.full(len(left), -1.0), np.zeros(len(left))
     for order in range(ORDER, -1, -1):
-        own = keys[left] & np.uint64((1 << (8 * (order + 1))) - 1)
-        if order < ORDER:
-            place = find(trie[f"slots{order}"], trie[f"index{order}"], own)
-            seen = place >= 0
-            excluded = total >= 0
-            here = left[seen]
-            out[here] += np.where(
-                excluded[seen],
-                trie[f"symbol{order}"][place[seen]] - np.log10(np.maximum(total[seen], 0.5)),
-                trie[f"whole{order}"][place[seen]])
-            left, own, total, distinct = left[~seen], own[~seen], total[~seen], distinct[~seen]
         if not len(left):
             return out
-        context = find(trie[f"context_slots{order}"], trie[f"context_index{order}"], own >> np.uint64(8))
+        own = keys[left] & np.uint64((1 << (8 * (order + 1))) - 1)
+        context = find_sorted(trie[f"contexts{order}"], own >> np.uint64(8))
         known = context >= 0
         plain = known & (total < 0)
         total[plain] = trie[f"total{order}"][context[plain]]
         distinct[plain] = trie[f"distinct{order}"][context[plain]]
+        if order < ORDER:
+            place = find_sorted(trie[f"keys{order}"], own)
+            seen = place >= 0
+            out[left[seen]] += trie[f"symbol{order}"][place[seen]] - np.log10(total[seen])
+            left, context, known = left[~seen], context[~seen], known[~seen]
+            total, distinct = total[~seen], distinct[~seen]
         escaping = known & (distinct > 0)
         out[left[escaping]] += np.log10(distinct[escaping] / (2 * total[escaping]))
         if order:
             total[known] = trie[f"low_total{order}"][context[known]]
             distinct[known] = trie[f"low_distinct{order}"][context[known]]
             total[~known] = -1.0
-    out[left] -= math.log10(max(256 - len(trie["symbol0"]), 1))
+    out[left] -= math.log10(max(256 - symbols, 1))
     return out
 
 
@@ -295,8 +300,8 @@ def train(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS)
     words_table = counts.filter("word").select("key", "n")
     tokens, kinds = words_table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot, hot_n = _columns(words_table.orderBy(F.desc("n"), "key").limit(hot_words))
-    slots, index = hash_table(hot)
-    arrays |= {"word_slots": slots, "word_index": index, "word_counts": hot_n}
+    slots, held = hash_table(hot, hot_n)
+    arrays |= {"word_slots": slots, "word_counts": held}
     facts = {"tokens": int(tokens), "kinds": int(kinds), "all_hot": bool(kinds <= hot_words)}
     return ship(docs.sparkSession, "ppm", arrays, **facts), words_table, facts
 
@@ -316,9 +321,9 @@ def scored(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS
             bits = code(model, grams(data, places))
             bounds = block.offsets[:-1] + np.arange(len(block))
             values, row, per_row = word_hashes(block)
-            place = find(model["word_slots"], model["word_index"], values)
+            place = find(model["word_slots"], values)
             hot = place >= 0
-            n = np.where(hot, model["word_counts"][np.maximum(place, 0)] if len(model["word_counts"]) else 0, 0)
+            n = np.where(hot, model["word_counts"][np.maximum(place, 0)], 0)
             base = np.bincount(row, weights=np.log10(n + 1.0), minlength=len(block))
             known = np.bincount(row, weights=hot, minlength=len(block)).astype(np.int64)
             cold = np.argsort(row[~hot], kind="stable")
