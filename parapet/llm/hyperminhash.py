@@ -173,8 +173,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Similari
     A text travels to each group of ``PER_HUB`` pairs of one ``u``; within a group the text
     of u comes first and is the only set held.
     """
-    busy = pairs.groupBy("u").agg(F.ceil(F.count("*") / PER_HUB).alias("parts"))
-    dealt = pairs.join(busy, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    hubs = stage(pairs.groupBy("u").agg(F.count("*").alias("members"),
+                                        F.ceil(F.count("*") / PER_HUB).alias("parts")), "hub-sizes")
+    dealt = attach(pairs, hubs, "u", "members").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     routes = stage(dealt.select("u", "part", F.col("v").alias("node"), F.lit(1).alias("turn"))
                    .unionByName(dealt.select("u", "part", F.col("u").alias("node"),
                                              F.lit(0).alias("turn")).distinct()), "routes")

@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.llm.blocks import blocks
-from parapet.llm.shared import arrive, ship
+from parapet.llm.shared import arrive, most_frequent, ship, stage
 
 LEXICON_WORDS = 1 << 17
 LONGEST_ENTRY = 64
@@ -267,13 +267,12 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> tuple[str, str]:
-    """Compile the ``size`` most frequent pieces of at most ``LONGEST_ENTRY`` bytes, so the
+    """Compile the most frequent pieces, at most ``size``, of at most ``LONGEST_ENTRY`` bytes, so the
     lexicon is bounded. Returns the names of the shipped lexicon and tokenizer file."""
     bpe = WordBpe.from_file(tokenizer)
-    pieces = piece_counts(word_counts(docs), tokenizer)
-    frequent = pieces.filter(F.octet_length("word") <= LONGEST_ENTRY).orderBy(
-        F.desc("n"), "word").limit(size)
-    chosen = frequent.select("word").toArrow().column(0).to_pylist()
+    pieces = stage(piece_counts(word_counts(docs), tokenizer).filter(
+        F.octet_length("word") <= LONGEST_ENTRY), "pieces")
+    chosen = most_frequent(pieces, "n", size).select("word").toArrow().column(0).to_pylist()
     entries = {word.encode(): bpe.merge(word) for word in chosen}
     return ship(docs.sparkSession, "lexicon", compile_lexicon(entries)), os.path.basename(tokenizer)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.llm.blocks import LOWER, SPACED, Block, blocks, hashes, words
-from parapet.llm.shared import arrive, ship, stage
+from parapet.llm.shared import arrive, most_frequent, ship, stage
 
 ORDER = 5
 CAPACITY = 1 << 22
@@ -273,17 +273,6 @@ def code(trie: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_count(grams_table: DataFrame, capacity: int) -> int:
-    """The smallest count that at most ``capacity`` entries reach."""
-    steps = grams_table.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()
-    held, least = 0, (1 << 16) + 1
-    for n, many in sorted(((r[0], r[1]) for r in steps), reverse=True):
-        if held + many > capacity:
-            break
-        held, least = held + many, n
-    return 1 if held == sum(r[1] for r in steps) else least
-
-
 def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = df.toArrow()
     return (np.asarray(table.column(0).combine_chunks()).view(np.uint64),
@@ -294,15 +283,14 @@ def train(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS)
     """The shipped model and the table of word counts. ``docs`` comes from ``with_fold``."""
     counts = stage(counted(docs), "ppm-counts")
     grams_table = counts.filter("NOT word")
-    least = least_count(grams_table, capacity)
-    keys, n = _columns(grams_table.filter(F.col("n") >= least).select("key", "n"))
+    keys, n = _columns(most_frequent(grams_table, "n", capacity).select("key", "n"))
     arrays = compile_trie(keys, n)
     words_table = counts.filter("word").select("key", "n")
     tokens, kinds = words_table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot, hot_n = _columns(words_table.orderBy(F.desc("n"), "key").limit(hot_words))
+    hot, hot_n = _columns(most_frequent(words_table, "n", hot_words).select("key", "n"))
     slots, held = hash_table(hot, hot_n)
     arrays |= {"word_slots": slots, "word_counts": held}
-    facts = {"tokens": int(tokens), "kinds": int(kinds), "all_hot": bool(kinds <= hot_words)}
+    facts = {"tokens": int(tokens), "kinds": int(kinds), "all_hot": bool(kinds == len(hot))}
     return ship(docs.sparkSession, "ppm", arrays, **facts), words_table, facts
 
 
