@@ -37,6 +37,12 @@ def pii_labels(text: Column, rules: Sequence[Rule] = S.PII_RULES) -> Column:
     return F.array_compact(F.array(*[F.when(r.found_in(text), r.label) for r in rules]))
 
 
+def answer_status(reflected: Column, block_reflection: bool = True) -> Column:
+    """What becomes of an answer, with reflections blocked or let through."""
+    blocked = reflected if block_reflection else F.lit(False)
+    return F.when(blocked, "BLOCKED_REFLECTION").otherwise("OK")
+
+
 def sanitize_output(
     df: DataFrame,
     column: str = "raw_output",
@@ -57,9 +63,8 @@ def sanitize_output(
     if strip_html:
         step = step.withColumn("_text", strip_tags(F.col("_text")))
     step = step.withColumn("reflection_detected", reflects(F.col("_text"), reflection_rules))
-    blocked = F.col("reflection_detected") if block_reflection else F.lit(False)
     step = step.withColumn(
-        "status", F.when(blocked, "BLOCKED_REFLECTION").otherwise("OK")
+        "status", answer_status(F.col("reflection_detected"), block_reflection)
     ).withColumn("output_text", F.when(F.col("status") == "OK", F.col("_text")))
     step = step.withColumn(
         "pii_types", F.when(F.col("status") == "OK", pii_labels(F.col("output_text"), pii_rules))

@@ -110,15 +110,18 @@ def collection_name(requested: Column, default: str = DEFAULT_COLLECTION) -> Col
 def ingest_summary(
     chunks: DataFrame, store: DataFrame, sources: DataFrame, collection: str = DEFAULT_COLLECTION
 ) -> DataFrame:
-    """Per source: chunks created, duplicates skipped, warning, collection.
+    """Per upload: chunks created, duplicates skipped, warning, collection.
 
-    Copies inside the batch are counted before the join, so the join sees unique ids.
+    An upload is a row of ``sources``: its ``upload_id`` and ``source``, or the source alone
+    where there is no id. Copies inside the batch are counted before the join, so the join
+    sees unique ids.
     """
-    counted = chunks.groupBy("source", "chunk_id").agg(F.count("*").alias("n"))
+    keys = [k for k in ("upload_id", "source") if k in sources.columns]
+    counted = chunks.groupBy(*keys, "chunk_id").agg(F.count("*").alias("n"))
     known = store.select("chunk_id").distinct().withColumn("known", F.lit(True))
     per_source = (
         counted.join(known, "chunk_id", "left")
-        .groupBy("source")
+        .groupBy(*keys)
         .agg(
             F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("created"),
             F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("skipped"),
@@ -127,9 +130,9 @@ def ingest_summary(
     created = F.coalesce("created", F.lit(0))
     skipped = F.coalesce("skipped", F.lit(0))
     return (
-        sources.select("source").distinct().join(per_source, "source", "left")
+        sources.select(*keys).distinct().join(per_source, keys, "left")
         .select(
-            "source",
+            *keys,
             created.alias("chunks_created"),
             skipped.alias("duplicates_skipped"),
             F.when(

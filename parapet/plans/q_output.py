@@ -53,13 +53,13 @@ def reflection_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reflection_policy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = answers(spark, sf)
-    strict = O.sanitize_output(rows).select("query_id", F.col("status").alias("strict_status"))
-    lenient = O.sanitize_output(rows, block_reflection=False).select(
-        "query_id", F.col("status").alias("lenient_status"),
+    """Both policies from one pass over the answers."""
+    rows = O.sanitize_output(answers(spark, sf), block_reflection=False)
+    return rows.select(
+        "query_id", O.answer_status(F.col("reflection_detected")).alias("strict_status"),
+        F.col("status").alias("lenient_status"),
         F.col("output_text").isNotNull().alias("lenient_has_text"),
     )
-    return strict.join(lenient, "query_id")
 
 
 def pii_labels(spark: SparkSession, sf: str) -> DataFrame:

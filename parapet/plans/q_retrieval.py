@@ -192,7 +192,7 @@ def ingest_flow(spark: SparkSession, sf: str) -> DataFrame:
     first, _, _ = ingest(pages, spark.createDataFrame([], "chunk_id string"))
     store.write_batch(first, path, 0)
     _, summary, _ = ingest(files, store.read_current(spark, path))
-    return summary.withColumn("warnings", T.rendered(F.col("warnings")))
+    return summary.drop("upload_id").withColumn("warnings", T.rendered(F.col("warnings")))
 
 
 QUERIES = {

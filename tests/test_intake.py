@@ -177,3 +177,11 @@ def test_no_upload_vanishes(spark):
     assert {r.source for r in ready.sources.collect()} == {"a.pdf", "e.txt"}
     assert {r.filename for r in prepare(files).dead_letters.collect()} == {
         "a.pdf", "b.pdf", "c.pdf", "d.docx", "f.exe", "g.txt"}
+
+
+def test_uploads_of_one_name_are_told_apart(spark):
+    files = typed(spark, ("", b"first text"), ("", b"second text"), ("", b"second text")).drop("mime", "reason")
+    none = spark.createDataFrame([], "chunk_id string")
+    _, summary, _ = ingest(files, none)
+    rows = summary.select("source", "chunks_created").collect()
+    assert sorted(tuple(r) for r in rows) == [("unknown", 1), ("unknown", 2)]
