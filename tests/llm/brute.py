@@ -97,3 +97,10 @@ def secrets(text):
                    for m in rule.finditer(text or "") if len(m.group(group)) >= least)
     return {kind: sum(s[3] == kind for s in spans) for kind, *_ in RULES}, [
         f"{kind}:{a}:{b}" for a, _, b, kind in spans]
+
+
+#: Documents (id, text) that every operator must stand.
+ODD = [(10_001, None), (10_002, ""), (10_003, " \n\t "), (10_004, "one"), (10_005, "One two"),
+       (None, "a null id has words " * 20), (10_006, "x" * 300_000), (10_007, "same word " * 4_000),
+       (10_008, "tie tie tie"), (10_008, "tie tie tie"), (10_009, "é ß 你好 字 \x1c ok"),
+       (10_010, "LINE one\nline two\nLINE one\n\n\nLINE one")]

@@ -28,9 +28,3 @@ def make(spark):
 def sample(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     return [(r[0], r[1]) for r in rows]
-
-
-ODD = [(10_001, None), (10_002, ""), (10_003, " \n\t "), (10_004, "one"), (10_005, "One two"),
-       (None, "a null id has words " * 20), (10_006, "x" * 300_000), (10_007, "same word " * 4_000),
-       (10_008, "tie tie tie"), (10_008, "tie tie tie"), (10_009, "é ß 你好 字 \x1c ok"),
-       (10_010, "LINE one\nline two\nLINE one\n\n\nLINE one")]

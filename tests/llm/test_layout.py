@@ -5,7 +5,7 @@ import zlib
 
 import brute
 import pytest
-from conftest import ODD
+from brute import ODD
 from parapet.llm import minimax, warc
 from parapet.llm.shared import attach, open_folder
 from parapet.session import shared_folder

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import ODD
+from brute import ODD
 from parapet.llm import hyperlang, ppm, quality
 
 

@@ -1,7 +1,7 @@
 import random
 
 import brute
-from conftest import ODD
+from brute import ODD
 from parapet.llm import hyperminhash
 from parapet.llm.connect import components
 from parapet.llm.hyperminhash import Similarity

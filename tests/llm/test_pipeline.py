@@ -3,7 +3,7 @@ import hashlib
 import brute
 import corpus_pipeline
 import numpy as np
-from conftest import ODD
+from brute import ODD
 from parapet.llm.queries import tokenizer_path
 from parapet.llm.repetition import Rules
 

@@ -1,7 +1,7 @@
 import random
 
 import brute
-from conftest import ODD
+from brute import ODD
 from parapet.llm import lexicon, repetition, secrets, wumanber
 from pyspark.sql import functions as F
 
