@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.llm.blocks import Block, blocks, hashes, mix, weighted_rows, word_bytes
@@ -31,7 +32,7 @@ from parapet.llm.shared import arrive, ship
 SLOT_BITS, DIMENSIONS, REACH, NONZERO = 15, 64, 2, 2
 SLOTS = 1 << SLOT_BITS
 SHAPES = 256
-CHUNKS = 64
+CHUNKS, LANES = 64, 4
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, RATE = 32, 40, 0.003
 FOLDS, FOLD = 5, 0
@@ -104,30 +105,32 @@ def accumulate(block: Block, sums: np.ndarray) -> None:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all slots and shapes. The sums of a task are cut into ``CHUNKS``
-    pieces of fixed size, added up by Spark tasks, so the driver gets one table."""
+    pieces of fixed size, which Spark tasks add up in ``LANES`` lanes and then over the
+    lanes, so the driver gets one table."""
     rows = SLOTS + SHAPES
 
     def run(batches):
         sums = np.zeros((rows, DIMENSIONS), np.int32)
         for block in blocks(batches):
             accumulate(block, sums)
+        lane = TaskContext.get().partitionId() % LANES
         parts = np.array_split(sums.astype(np.int64).reshape(-1), CHUNKS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([_packed(p) for p in parts], pa.binary())],
-            ["chunk", "sums"])
-
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = _unpacked(packed)
-                held[chunk] = held[chunk] + part if chunk in held else part
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([_packed(p) for p in held.values()], pa.binary())],
-            ["chunk", "sums"])
-
-    parts = docs.select("text").mapInArrow(run, "chunk int, sums binary")
-    added = parts.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, sums binary").collect()
+        yield _chunks({(chunk, lane): part for chunk, part in enumerate(parts)})
+
+    def add(whole: bool):
+        def run_add(batches):
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for chunk, lane, packed in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    key, part = (chunk, 0 if whole else lane), _unpacked(packed)
+                    held[key] = held[key] + part if key in held else part
+            yield _chunks(held)
+        return run_add
+
+    schema = "chunk int, lane int, sums binary"
+    parts = docs.select("text").mapInArrow(run, schema)
+    lanes = parts.repartition(CHUNKS * LANES, "chunk", "lane").mapInArrow(add(False), schema)
+    added = lanes.repartition(CHUNKS, "chunk").mapInArrow(add(True), schema).select("chunk", "sums").collect()
     pieces = {r[0]: _unpacked(r[1]) for r in added}
     if not pieces:
         return np.zeros((rows, DIMENSIONS), np.float32)
@@ -136,6 +139,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.where(length == 0, 1, length)).astype(np.float32)
 
 
+def _chunks(parts: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in parts], pa.int32()), pa.array([k[1] for k in parts], pa.int32()),
+         pa.array([_packed(p) for p in parts.values()], pa.binary())], ["chunk", "lane", "sums"])
+
+
 def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(values.astype(np.int64).tobytes(), 1)
 
