@@ -10,10 +10,11 @@ the byte 0xFF, which no UTF-8 text contains. The score is the sum of log10 proba
 
 Five bytes of context and the symbol are counted in the tasks and summed by Spark; shorter
 contexts are sums over longer ones, because every text begins with enough boundary bytes.
-The trie that travels to the workers is bounded: if more than ``CAPACITY`` entries of full
-length were seen, the rarest are left out by raising one least count for all entries
-(``CAPACITY`` is the model's size, like the size of any other model; counts are taken over
-all texts first). It is mapped into memory, not read.
+What travels to the workers is bounded, the model is not. Up to ``CAPACITY`` entries of full
+length, the whole trie travels; it is mapped into memory, not read. Beyond that only the
+codes of the most frequent entries travel. The counts of all orders stay in written tables,
+summed from every entry, and each other gram of a text is joined with them, so a score
+does not depend on ``CAPACITY``.
 
 The plain base score needs the count of every word. The ``HOT_WORDS`` most frequent words
 travel with the trie; all other words are joined with the written table of counts.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.llm.blocks import LOWER, SPACED, Block, blocks, hashes, words
-from parapet.llm.shared import arrive, most_frequent, ship, stage
+from parapet.llm.shared import arrive, attach, most_frequent, ship, stage
 
 ORDER = 5
 CAPACITY = 1 << 22
@@ -279,19 +280,115 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             np.asarray(table.column(1).combine_chunks()))
 
 
+def _suffix(key, order: int):
+    """Context of the given order and symbol at the end of a key."""
+    return key.bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1).cast("long"))
+
+
+def context_tables(entries: DataFrame) -> list[DataFrame]:
+    """``context, total, distinct, symbols`` for every context of each order, written.
+
+    ``entries`` holds all counted grams of full length. ``symbols`` maps at most 256 symbols
+    to their counts. From order 1, ``low_total`` and ``low_distinct`` as in ``compile_trie``.
+    """
+    tables: list[DataFrame] = []
+    for order in range(ORDER, -1, -1):
+        tables.insert(0, stage(entries.groupBy(F.shiftright("key", 8).alias("context")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("distinct"),
+            F.map_from_entries(F.collect_list(F.struct(_suffix(F.col("key"), 0), "n"))).alias("symbols")),
+            f"ppm-order{order}"))
+        if order:
+            longer = tables[0].select("context", F.explode("symbols").alias("symbol", "n"))
+            key = F.shiftleft("context", 8).bitwiseOR(F.col("symbol"))
+            entries = longer.groupBy(_suffix(key, order - 1).alias("key")).agg(F.sum("n").alias("n"))
+    for order in range(ORDER, 0, -1):
+        # at most 256 contexts have the same shorter one
+        low = tables[order - 1].select(
+            F.col("context").alias("low"), F.col("total").alias("low_all"),
+            F.col("distinct").alias("low_kinds"), F.col("symbols").alias("low_symbols"))
+        shorter = _suffix(F.col("context"), order - 2) if order > 1 else F.shiftright("context", 8)
+        same = F.aggregate(F.map_keys("symbols"), F.lit(0).cast("long"),
+                           lambda s, symbol: s + F.col("low_symbols")[symbol])
+        tables[order] = tables[order].join(low, shorter == F.col("low")).select(
+            *tables[order].columns, (F.col("low_all") - same).alias("low_total"),
+            (F.col("low_kinds") - F.col("distinct")).alias("low_distinct"))
+    return tables
+
+
+def coded(missed: DataFrame, tables: list[DataFrame], symbols: int) -> DataFrame:
+    """Distinct grams (``key`` and other columns) with ``log``, as ``code`` computes it.
+
+    Each order joins only the grams that no longer context has coded. Contexts of orders 0
+    and 1 are at most 257 rows and joined by broadcast.
+    """
+    others = missed.columns
+    parts, left = [], missed.select(
+        *others, F.lit(0.0).alias("log"), F.lit(None).cast("long").alias("total"),
+        F.lit(None).cast("long").alias("distinct"))
+    for order in range(ORDER, -1, -1):
+        table = tables[order].select(
+            "context", F.col("total").alias("all"), F.col("distinct").alias("kinds"), "symbols",
+            *([F.col("low_total"), F.col("low_distinct")] if order else
+              [F.lit(None).cast("long").alias("low_total"), F.lit(None).cast("long").alias("low_distinct")]))
+        own = left.join(table if order > 1 else F.broadcast(table),
+                        F.shiftright(_suffix(F.col("key"), order), 8) == F.col("context"), "left")
+        total, distinct = F.coalesce("total", "all"), F.coalesce("distinct", "kinds")
+        n = F.col("symbols")[_suffix(F.col("key"), 0)]
+        step = F.when(n.isNotNull(), F.log10(n - 0.5) - F.log10(total)).when(
+            F.col("context").isNotNull() & (distinct > 0), F.log10(distinct / (2 * total))).otherwise(0.0)
+        here = stage(own.select(
+            *others, (F.col("log") + step).alias("log"), F.col("low_total").alias("total"),
+            F.col("low_distinct").alias("distinct"), n.isNotNull().alias("seen")), "ppm-coded")
+        parts.append(here.filter("seen").select(*others, "log"))
+        left = here.filter("NOT seen").drop("seen")
+    out = left.select(*others, (F.col("log") - math.log10(max(256 - symbols, 1))).alias("log"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def train(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS):
-    """The shipped model and the table of word counts. ``docs`` comes from ``with_fold``."""
+    """The shipped model, the table of word counts and, unless all grams travel, the tables
+    of contexts. ``docs`` comes from ``with_fold``."""
     counts = stage(counted(docs), "ppm-counts")
-    grams_table = counts.filter("NOT word")
-    keys, n = _columns(most_frequent(grams_table, "n", capacity).select("key", "n"))
-    arrays = compile_trie(keys, n)
+    grams_table = counts.filter("NOT word").select("key", "n")
+    whole = grams_table.count() <= capacity
+    if whole:
+        tables, arrays = [], compile_trie(*_columns(grams_table))
+    else:
+        tables = context_tables(grams_table)
+        hot = most_frequent(grams_table, "n", capacity).join(
+            tables[ORDER].select("context", "total"), F.shiftright("key", 8) == F.col("context"))
+        keys, logs = _columns(hot.select("key", (F.log10(F.col("n") - 0.5) - F.log10("total")).cast("float")))
+        slots, held = hash_table(keys, logs)
+        arrays = {"slots": slots, "whole": held}
     words_table = counts.filter("word").select("key", "n")
     tokens, kinds = words_table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot, hot_n = _columns(most_frequent(words_table, "n", hot_words).select("key", "n"))
     slots, held = hash_table(hot, hot_n)
     arrays |= {"word_slots": slots, "word_counts": held}
-    facts = {"tokens": int(tokens), "kinds": int(kinds), "all_hot": bool(kinds == len(hot))}
-    return ship(docs.sparkSession, "ppm", arrays, **facts), words_table, facts
+    facts = {"tokens": int(tokens), "kinds": int(kinds), "all_hot": bool(kinds == len(hot)), "whole": whole}
+    return ship(docs.sparkSession, "ppm", arrays, **facts), words_table, tables, facts
+
+
+def looked_up(model: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the grams that travel (0 for others), and the places of the others."""
+    place = find(model["slots"], keys)
+    codes = model["whole"][np.maximum(place, 0)].astype(np.float64)
+    return np.where(place >= 0, codes, 0.0), np.flatnonzero(place < 0)
+
+
+def per_row(keys: np.ndarray, rows: np.ndarray, count: int) -> pa.ListArray:
+    """Distinct keys of each row with their number."""
+    order = np.lexsort((keys, rows))
+    keys, rows = keys[order], rows[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(fresh)
+    times = np.diff(np.append(first, len(keys)))
+    stops = np.bincount(rows[first], minlength=count).cumsum()
+    pairs = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times, pa.int64())], ["key", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pairs)
 
 
 # -- scoring ----------------------------------------------------------------------------
@@ -299,42 +396,51 @@ def train(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS)
 def scored(docs: DataFrame, capacity: int = CAPACITY, hot_words: int = HOT_WORDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     marked = with_fold(docs)
-    name, words_table, facts = train(marked, capacity, hot_words)
+    name, words_table, tables, facts = train(marked, capacity, hot_words)
     tokens, floor = facts["tokens"], math.log10(facts["tokens"] + facts["kinds"] + 1)
+    whole = facts["whole"]
 
     def run(batches):
         model, _ = arrive(name)
         for block in blocks(batches):
             data, places = padded(block)
-            bits = code(model, grams(data, places))
+            keys = grams(data, places)
+            bits, missed = (code(model, keys), np.zeros(0, int)) if whole else looked_up(model, keys)
             bounds = block.offsets[:-1] + np.arange(len(block))
-            values, row, per_row = word_hashes(block)
+            gram_row = np.searchsorted(bounds, missed, side="right") - 1
+            values, row, tokens_per_row = word_hashes(block)
             place = find(model["word_slots"], values)
             hot = place >= 0
             n = np.where(hot, model["word_counts"][np.maximum(place, 0)], 0)
             base = np.bincount(row, weights=np.log10(n + 1.0), minlength=len(block))
             known = np.bincount(row, weights=hot, minlength=len(block)).astype(np.int64)
-            cold = np.argsort(row[~hot], kind="stable")
-            rest, stops = values[~hot][cold].view(np.int64), np.bincount(row[~hot], minlength=len(block)).cumsum()
             yield pa.RecordBatch.from_arrays([
-                block.rows.column(0), block.rows.column(1), pa.array(per_row, pa.int64()), pa.array(known),
+                block.rows.column(0), block.rows.column(1), pa.array(tokens_per_row, pa.int64()), pa.array(known),
                 pa.array(base), pa.array(np.add.reduceat(bits, bounds)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(rest))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                per_row(values[~hot], row[~hot], len(block)), per_row(keys[missed], gram_row, len(block))],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "coded", "rest", "missed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = marked.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
-    if facts["all_hot"]:  # no word is outside: nothing to join
-        rows = first.withColumn("n_known", F.col("known")).withColumn("summed", F.col("base"))
-    else:
-        first = stage(first.withColumn("row", F.monotonically_increasing_id()), "ppm-first")
-        rare = first.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-        more = rare.join(words_table, "key").groupBy("row").agg(
+    pairs = "array<struct<key:long,times:long>>"
+    rows = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, "
+                                  f"coded double, rest {pairs}, missed {pairs}")
+    if not (facts["all_hot"] and whole):  # otherwise nothing is outside: nothing to join
+        rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "ppm-first")
+    pick = lambda name: rows.select("row", F.inline(name))
+    more = missing = None
+    if not facts["all_hot"]:
+        more = pick("rest").join(words_table, "key").groupBy("row").agg(
             F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-        rows = first.join(more, "row", "left").select(
-            "doc_id", "held_out", "n_tokens", "score",
-            (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-            (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("summed"))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-                       (F.col("summed") - F.col("n_tokens") * floor).alias("base_score"), "score")
+    if not whole:
+        symbols = tables[0].select("distinct").first()[0]
+        logs = stage(coded(pick("missed").groupBy("key").agg(F.count("*").alias("size")), tables, symbols), "ppm-logs")
+        missing = attach(pick("missed"), logs, "key", "size").groupBy("row").agg(
+            F.sum(F.col("times") * F.col("log")).alias("missing"))
+    rows = rows.join(more, "row", "left") if more is not None else rows.withColumns(
+        {"more": F.lit(0), "gain": F.lit(0.0)})
+    rows = rows.join(missing, "row", "left") if missing is not None else rows.withColumn("missing", F.lit(0.0))
+    summed = F.col("base") + F.coalesce("gain", F.lit(0.0))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+                       F.lit(tokens).cast("long").alias("train_tokens"),
+                       (summed - F.col("n_tokens") * floor).alias("base_score"),
+                       (F.col("coded") + F.coalesce("missing", F.lit(0.0))).alias("score"))

@@ -79,6 +79,17 @@ def test_ppm_without_training_and_with_a_small_trie(spark, make, sample):
     assert len(small) == len(sample) and all(r.score < 0 for r in small)
 
 
+def test_ppm_score_does_not_depend_on_what_travels(spark, make, sample):
+    rows = sample[:40] + [r for r in ODD if len(r[1] or "") < 300]
+    rows += [(80_000 + i, "qu\u00e9 \u4f60\u597d %dxq" % (i * 7919)) for i in range(20)]
+    plain = PlainPpm([t for i, t in rows if fold(i, 7) != 2], ppm.ORDER)
+    want = sorted((str(i), plain.score(t)) for i, t in rows)
+    for capacity in (2_000, 0):
+        got = sorted((str(r.doc_id), r.score) for r in ppm.scored(make(rows), capacity=capacity, hot_words=20).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-5)
+
+
 def test_probabilities_sum_to_one(sample):
     keys = ppm.grams(*ppm.padded(block(["abracadabra abracadabra", "banana"])))
     trie = ppm.compile_trie(*np.unique(keys, return_counts=True))
