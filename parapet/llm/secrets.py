@@ -3,12 +3,14 @@
 Everything is a column expression; no Python runs on the executors.
 
 A pattern's matches are found by cutting the text at them: the pieces between and the
-matches in turn give every position. Two first-order Markov models over the characters of
-tokens are trained on labelled samples of the corpus, one on what the patterns find
-(random strings), one on letter-only words (ordinary identifiers), both smoothed with one
-count per pair. A token of 20 characters or more that holds a digit and a letter, lies
-outside all pattern matches and whose mean log-likelihood ratio per character exceeds
-``margin`` is a further span. The samples come from about ``SAMPLE_ROWS`` documents chosen
+matches in turn give every position. Two first-order Markov models over letters and digits
+are trained on labelled samples of the corpus, one on what the patterns find (random
+strings), one on all other runs of letters and digits (ordinary words, numbers, parts of
+paths), both smoothed with one count per pair and mixed with a share ``UNKNOWN`` of equal chances,
+so that a few pairs which the corpus lacks do not outweigh a whole name. Separators end a run, in training and in
+scans: ordinary names differ too much in them. A token of 20 characters or more that holds
+a digit and a letter, lies outside all pattern matches and whose mean log-likelihood ratio
+per pair exceeds ``margin`` is a further span. The samples come from about ``SAMPLE_ROWS`` documents chosen
 by hash; every text is scanned whole.
 
 Defined cases: a null text is an empty one and has no spans; touching spans stay apart;
@@ -31,8 +33,10 @@ HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGN = 8
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+RUN = r"[A-Za-z0-9]{2,}"
 SAMPLE_ROWS = 10_000
+UNKNOWN = 0.1
 MARGIN = 0.35
 MASK = "[SECRET]"
 
@@ -83,7 +87,10 @@ def samples(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     chosen = docs.filter(F.xxhash64("text", F.lit("sample")) <= F.lit(level)).select("text")
     assign = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))
     exact = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (ACCESS, HEX)])
-    plain = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z]{8,}(?![A-Za-z0-9+/_=.-])"), F.lit(0))
+    outside = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        outside = F.regexp_replace(outside, pattern, " ")
+    plain = F.regexp_extract_all(outside, F.lit(RUN), F.lit(0))
     return chosen.select(F.explode(F.concat(
         F.transform(F.filter(assign, lambda t: F.length(t) >= LEAST_ASSIGN),
                     lambda t: F.struct(F.lit(True).alias("random"), t.alias("token"))),
@@ -105,17 +112,20 @@ def ratios(labelled: DataFrame) -> list[float]:
     totals = {(r, a): sum(counts.get((r, a + b), 0) for b in ALPHABET) for r in (True, False) for a in ALPHABET}
     for a in ALPHABET:
         for b in ALPHABET:
-            p, q = ((counts.get((r, a + b), 0) + 1) / (totals[r, a] + size) for r in (True, False))
+            p, q = ((1 - UNKNOWN) * (counts.get((r, a + b), 0) + 1) / (totals[r, a] + size) + UNKNOWN / size
+                    for r in (True, False))
             out.append(math.log(p / q))
     return out
 
 
 def _mean_ratio(token: Column, weights: Column) -> Column:
+    size = len(ALPHABET)
     code = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    total = F.aggregate(
-        F.sequence(F.lit(2), F.length(token)), F.lit(0.0),
-        lambda s, i: s + F.get(weights, code(i - 1) * len(ALPHABET) + code(i)))
-    return total / (F.length(token) - 1)
+    pairs = F.filter(
+        F.transform(F.sequence(F.lit(2), F.length(token)), lambda i: F.struct(code(i - 1).alias("a"), code(i).alias("b"))),
+        lambda p: (p["a"] >= 0) & (p["b"] >= 0))
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.get(weights, p["a"] * size + p["b"]))
+    return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(0.0)
 
 
 def scan(docs: DataFrame, margin: float = MARGIN, text: str = "text",

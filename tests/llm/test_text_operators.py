@@ -118,3 +118,19 @@ def test_secret_spans(spark, make, sample):
     changed = secrets.masked(docs).filter("text LIKE '%[SECRET]%'").filter(
         F.col("n_chars") != F.length("text"))
     assert changed.count() == 0
+
+
+def test_ordinary_names_are_no_secrets(spark, make):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    names = ["user_account_id_2023", "wp-content/uploads/2015/06", "/usr/local/lib/python3/site-packages",
+             "org/wiki/World_War_2_casualties", "covid-19-vaccination-programme",
+             "com/articles/2023/05/how-to-cook-rice", "max_retry_count_per_host_10"]
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(20)]
+    added = spark.createDataFrame(
+        [(i, f"see {t} here") for i, t in enumerate([*names, *keys], 900_000)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs.unionByName(added))).filter("doc_id >= 900000").collect()}
+    for i, name in enumerate(names, 900_000):
+        assert got[i] == "", name
+    assert sum(got[i] == "markov:4:44" for i in range(900_000 + len(names), 900_000 + len(names) + 20)) == 20
