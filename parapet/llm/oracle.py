@@ -117,6 +117,73 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> response THEN response END AS refers_to FROM g"""
 
+
+def crc32_table() -> list[int]:
+    """The bytewise steps of the public checksum, from its polynomial."""
+    def step(value: int) -> int:
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        return value
+    return [step(i) for i in range(256)]
+
+
+#: Letters beyond ASCII are all in Latin-1, so they have two bytes in UTF-8.
+_BYTES = """flatten(list_transform(string_split(id || ':' || run, ''), lambda ch:
+  CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [195, unicode(ch) - 64] END))"""
+OP11 = rf"""WITH RECURSIVE run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all({lowered('text')}, '[a-z\x{{C0}}-\x{{FF}}]{{6,}}')) AS run FROM documents
+), hashed AS (
+  SELECT id, run, count(*) AS n, xor(list_reduce({_BYTES}, lambda c, b:
+    xor(c >> 8, {crc32_table()}[(xor(c, CAST(b AS BIGINT)) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM run GROUP BY id, run
+), cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END
+         AS word, n FROM hashed
+), word AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), without AS (
+  SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM word)
+), near AS (
+  SELECT a.word, b.word AS other FROM without a JOIN without b USING (p, rest) WHERE a.word <> b.word
+  UNION SELECT w.word, rest FROM without w JOIN word s ON s.word = rest
+  UNION SELECT rest, w.word FROM without w JOIN word s ON s.word = rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other
+  FROM near JOIN word ON word.word = other GROUP BY near.word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN other END AS form,
+         CASE WHEN top >= 5 * n THEN top END AS form_n FROM word LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM word
+  UNION SELECT chain.word, form FROM chain JOIN formed ON formed.word = root WHERE form IS NOT NULL
+), ends AS (
+  SELECT chain.word, root FROM chain JOIN formed ON formed.word = root WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
+_CONTROL = r"""regexp_replace(regexp_replace(coalesce({0}, ''), '<(\\*)(/?s>|</?SYS>>)', '<\\\1\2', 'g'),
+  '\[(\\*)(/?INST\]|/?ROLE\]|END\]|NEXT\])', '[\\\1\2', 'g')"""
+OP12 = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), placed AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after, length({_CONTROL.format('text')}) AS long,
+         CASE role WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3
+         ELSE 13 + length({_CONTROL.format('role')}) END AS opening,
+         CASE role WHEN 'system' THEN 8 WHEN 'user' THEN 7 WHEN 'assistant' THEN 4 ELSE 5 END AS closing
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(long + CASE WHEN before = role THEN 6 ELSE opening END
+                + CASE WHEN after = role THEN 0 ELSE closing END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
 ORACLE = {
     "op1_warc": OP1, "op6_wu_manber": OP6, "op9_hyperminhash": OP9, "op10_suffix_repetition": OP10,
+    "op11_prefix_suffix_tiling": OP11, "op12_relational_chat": OP12,
 }

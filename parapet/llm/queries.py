@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parapet.llm import (
-    hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, warc, wumanber)
+    chat, hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, variants, warc, wumanber)
 from parapet.llm.oracle import ORACLE  # noqa: F401  the SQL beside the queries
 from parapet.llm.shared import prepare
 from parapet.session import configure
@@ -66,6 +66,21 @@ def op10_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.measure(_docs(spark, folder)).drop("longest_repeat")
 
 
+def op11_prefix_suffix_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.grouped(_docs(spark, folder))
+
+
+#: A conversation of two turns that are made of control strings, beside those of the table.
+CONTROL_TURNS = """SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)"""
+
+
+def op12_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _docs(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.read_back(chat.formatted(turns.unionByName(spark.sql(CONTROL_TURNS)))))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_bpe_lexicon, op3_ppm, op4_minimax, op5_random_indexing, op6_wu_manber,
-    op7_markov_secrets, op8_hyperdimensional, op9_hyperminhash, op10_suffix_repetition)}
+    op7_markov_secrets, op8_hyperdimensional, op9_hyperminhash, op10_suffix_repetition, op11_prefix_suffix_tiling,
+    op12_relational_chat)}
