@@ -183,7 +183,31 @@ SELECT conv_id, count(*) AS n_turns,
                 + CASE WHEN after = role THEN 0 ELSE closing END) AS BIGINT) AS formatted_chars
 FROM placed GROUP BY conv_id"""
 
+OP13 = f"""WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id, {alnum(lowered('text'))} AS words FROM documents
+), term AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS t FROM doc WHERE len(words) > 0
+), tf AS (
+  SELECT row, doc_id, n, t, count(*) AS tf FROM term GROUP BY row, doc_id, n, t
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(words)) AS BIGINT) AS l FROM doc WHERE len(words) > 0
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t, big_n
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({alnum(lowered('text'))}) AS t FROM benchmark)
+  GROUP BY item_id, t
+), scored AS (
+  SELECT item_id, doc_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // l))))
+         AS BIGINT) AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t), total GROUP BY item_id, doc_id, row
+), numbered AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM numbered WHERE rank <= 10"""
+
 ORACLE = {
     "op1_warc": OP1, "op6_wu_manber": OP6, "op9_hyperminhash": OP9, "op10_suffix_repetition": OP10,
     "op11_prefix_suffix_tiling": OP11, "op12_relational_chat": OP12,
+    "op13_ball_tree": OP13,
 }

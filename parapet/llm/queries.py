@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parapet.llm import (
-    chat, hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, variants, warc, wumanber)
+    balltree, chat, hyperlang, hyperminhash, lexicon, minimax, ppm, quality, repetition, secrets, variants, warc,
+    wumanber)
 from parapet.llm.oracle import ORACLE  # noqa: F401  the SQL beside the queries
 from parapet.llm.shared import prepare
 from parapet.session import configure
@@ -80,7 +81,12 @@ def op12_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.formatted(turns.unionByName(spark.sql(CONTROL_TURNS)))))
 
 
+def op13_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.ranked(_docs(spark, folder), _docs(spark, folder, "benchmark")).select(
+        "item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_bpe_lexicon, op3_ppm, op4_minimax, op5_random_indexing, op6_wu_manber,
     op7_markov_secrets, op8_hyperdimensional, op9_hyperminhash, op10_suffix_repetition, op11_prefix_suffix_tiling,
-    op12_relational_chat)}
+    op12_relational_chat, op13_ball_tree)}
