@@ -3,7 +3,9 @@ r"""Ranked lexical search: exact best inner products by sparse ball trees.
 An item and a document are sparse vectors over terms; the score is their inner product in
 integers. Every task puts its documents into ball trees, one per Arrow batch: a node has
 the centroid of its documents and the largest distance from it, so no document below it can
-score more than q.c + |q| r. Nodes are opened best first; one whose bound, widened by a
+score more than q.c + |q| r. Sparse vectors lie far from any centroid, mostly along terms
+that an item does not have, so a node also keeps its extent along each single term, and the
+smaller of both bounds counts. Nodes are opened best first; one whose bound, widened by a
 margin for rounding, lies below the tenth score found so far is left closed with all below
 it. Leaves are scored in 64-bit integers. A task returns the best documents of each item
 among its own, and the best of these are the result. Distances are taken between vectors
@@ -137,10 +139,12 @@ class Items:
         self.ids, self.marks = ids.take(pa.array(self.first)), marks[self.first]
         self.length = np.sqrt(np.add.reduceat(self.scaled ** 2, self.first))
 
-    def bounds(self, centroid: np.ndarray, radius: float) -> np.ndarray:
-        """What no document within ``radius`` of the centroid can exceed, for every item."""
-        at_most = np.add.reduceat(self.scaled * centroid[self.term], self.first) + self.length * radius
-        return at_most * (1 + MARGIN) + 1
+    def bounds(self, centroid: np.ndarray, radius: float, extent: np.ndarray) -> np.ndarray:
+        """What no document within ``radius`` of the centroid, and with impacts up to
+        ``extent`` per term, can exceed, for every item."""
+        ball = np.add.reduceat(self.scaled * centroid[self.term], self.first) + self.length * radius
+        along = np.add.reduceat(self.whole * extent[self.term], self.first)
+        return np.minimum(ball * (1 + MARGIN) + 1, along)
 
 
 def impacts(times: np.ndarray, n: np.ndarray, documents: int, total: int) -> np.ndarray:
@@ -185,10 +189,13 @@ class Tree:
         square = float(centroid @ centroid)
         distance = self.square[rows] - 2 * dot(centroid) + square
         slack = MARGIN * (float(self.square[rows].max()) + square)
+        extent = np.zeros(size, np.int64)
+        np.maximum.at(extent, term, self.impact[places])
         node = len(self.rows)
         self.rows.append(rows)
         self.children.append(())
-        self.bound.append(self.items.bounds(centroid, math.sqrt(max(float(distance.max()), 0.0) + slack)))
+        radius = math.sqrt(max(float(distance.max()), 0.0) + slack)
+        self.bound.append(self.items.bounds(centroid, radius, extent))
         if len(rows) > leaf:
             far = self._dense(rows[int(distance.argmax())])
             other = self._dense(rows[int((self.square[rows] - 2 * dot(far)).argmax())])
