@@ -6,13 +6,26 @@ of four registers meet in candidate groups, the collision-corrected estimate dro
 far below the threshold, and the full sets decide.
 
 Equal sets are one node from the start. Of the rest, each member of a candidate group is
-compared with the group's most central node, its hub. The groups of a hub that then still
-span several components compare the others, block against block, only across components,
-and return links, never candidate pairs. So a large group of copies costs one comparison
-per member, and no link between components is lost.
+compared with the group's most central node, its hub. What is then left are pairs of
+members, neither of them the hub, of different components:
 
-Chance of missing a pair at the threshold: (1 - 0.85**4)**32 = 6e-11 at 0.85 and 5e-8 at
-0.8; the estimate is cut six standard deviations below the threshold.
+- a hub whose groups hold at most ``PER_GROUP`` nodes together: these are compared inside one
+  task, across components only, and only links leave it;
+- other hubs: the same, group by group;
+- a group of more nodes: its members meet again in narrower groups, which agree in 8, 12, 16
+  and more registers drawn for each group anew. Small ones are compared as above, large ones
+  get a hub of their own, and so on until no large group spans components.
+
+So every step emits a fixed number of rows per node, none by the size of a group, and no
+group of candidates is ever expanded into pairs.
+
+Chance of missing a pair exactly at the threshold, by step: bands of four,
+(1 - 0.85**4)**32 = 6e-11 at 0.85 and 5e-8 at 0.8; the estimate is cut six standard deviations
+below the threshold. For pairs that share only large groups: ``keys_for`` draws so many groups
+that the chance is e**-16 up to 16 registers at 0.8 (20 at 0.85), e**-5 at 24 and more beyond;
+it takes a family of texts of which thousands lie just below the threshold to get there.
+
+Nodes are 128-bit digests of sets: 1e11 sets collide with a chance of 1e-17.
 
 Defined cases: a null, empty or white text has no set and stays alone, as does a null id;
 with fewer words than a shingle the whole sequence is one shingle; repeated ids are judged
@@ -29,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.blocks import LOWER, SPACED, Block, blocks, hashes, shingles, words
+from parapet.llm.blocks import LOWER, SPACED, Block, blocks, hashes, mix, shingles, words
 from parapet.llm.connect import components
 from parapet.llm.shared import attach, stage
 
@@ -38,7 +51,9 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 EMPTY = 0xFFFF
 FLOORS = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:-1].astype(np.uint64)
-PER_HUB, PER_BLOCK = 64, 256
+PER_HUB, PER_GROUP = 64, 256
+MOST_SHINGLES = 4_000_000  # of a group that one task compares: 32 MB of hashes
+WIDTHS, MOST_KEYS = (8, 12, 16, 24, 32, 48, 64, 96, 128), 1024
 
 
 @dataclass(frozen=True)
@@ -95,9 +110,8 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return equal / union - chance
 
 
-def node_of(ordered: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(),
-                          "little", signed=True)
+def node_of(ordered: np.ndarray) -> bytes:
+    return hashlib.blake2b(ordered.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -109,13 +123,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 block.rows.column(0), block.rows.column(1),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], ["doc_id", "text_hash", "n_shingles", "node", "registers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash long, n_shingles long, node long, registers binary")
+        run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, registers binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -135,11 +149,41 @@ def band_rows(nodes: DataFrame) -> DataFrame:
             keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             keys = (keys ^ (keys >> np.uint64(32))) & np.uint64(0x07FFFFFFFFFFFFFF)
             keys |= np.arange(BANDS, dtype=np.uint64)[None, :] << np.uint64(59)
-            node = np.repeat(np.asarray(batch.column(0)), BANDS).reshape(-1, BANDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[filled].view(np.int64)), pa.array(node[filled])], ["band", "node"])
+                [pa.array(keys[filled].view(np.int64)), batch.column(0).take(pa.array(np.nonzero(filled)[0]))],
+                ["band", "node"])
+
+    return nodes.select("node", "registers").mapInArrow(run, "band long, node binary")
+
+
+def keys_for(width: int, like: Similarity) -> int:
+    """How many groups of ``width`` registers a node joins: a pair at the threshold then
+    shares 16 of them on average, fewer beyond ``MOST_KEYS``."""
+    return 1 if width == BUCKETS else min(MOST_KEYS, int(np.ceil(16 / (like.percent / 100) ** width)))
+
 
-    return nodes.select("node", "registers").mapInArrow(run, "band long, node long")
+def register_rows(nodes: DataFrame, width: int, like: Similarity) -> DataFrame:
+    """``key, node``: one row per drawn set of ``width`` registers that are not all empty."""
+    count = keys_for(width, like)
+    rng = np.random.default_rng(width)
+    drawn = np.stack([rng.permutation(BUCKETS)[:width] for _ in range(count)])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = _matrix(batch.column(1))
+            keys = np.repeat(mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(width))[None, :], len(regs), 0)
+            filled = np.zeros(keys.shape, bool)
+            for place in drawn.T:
+                own = regs[:, place]
+                keys = mix(keys * np.uint64(0x2545F4914F6CDD1D) + own.astype(np.uint64))
+                filled |= own != EMPTY
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[filled].view(np.int64)), batch.column(0).take(pa.array(np.nonzero(filled)[0]))],
+                ["key", "node"])
+
+    return nodes.select("node", "registers").mapInArrow(run, "key long, node binary")
 
 
 def _with_registers(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,10 +208,19 @@ def likely(pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
 
     wide = _with_registers(pairs, nodes).select("u", "v", "n_u", "n_v", "regs_u", "regs_v")
     wide = wide.filter(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
-    return wide.mapInArrow(run, "u long, v long")
+    return wide.mapInArrow(run, "u binary, v binary")
+
+
+def single_texts(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``first_id, first_hash, text``: every id and text once. Only where rows are repeated
+    they are combined, before the shuffle of the joins with this table."""
+    texts = docs.select(F.col("doc_id").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
+    if signed.groupBy("doc_id", "text_hash").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        return texts
+    return texts.groupBy("first_id", "first_hash").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
     A text travels to each group of ``PER_HUB`` pairs of one ``u``; within a group the text
@@ -180,8 +233,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Similari
                    .unionByName(dealt.select("u", "part", F.col("u").alias("node"),
                                              F.lit(0).alias("turn")).distinct()), "routes")
     ids = routes.join(nodes.select("node", "first_id", "first_hash"), "node")
-    texts = docs.select(F.col("doc_id").alias("first_id"), F.xxhash64("text").alias("first_hash"),
-                        "text")
     rows = ids.join(texts, ["first_id", "first_hash"]).select("u", "part", "turn", "node", "text")
     size, percent = like.words, like.percent
 
@@ -201,115 +252,177 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Similari
                         u.append(key)
                         v.append(node)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                [pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(parts, "u", "part").sortWithinPartitions("u", "part", "turn")
-            .mapInArrow(run, "u long, v long").distinct())
-
-
-def _blocked(members: DataFrame) -> DataFrame:
-    """Deal groups into pairs of blocks: ``hub, i, j, left`` beside the members' columns.
-
-    ``members`` has hub, blocks (their number in the group) and node. A group of b blocks
-    makes b * (b + 1) / 2 pairs of at most two blocks each.
-    """
-    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn(
-        "left", F.col("own") <= F.col("other")).drop("own", "other", "blocks")
+            .mapInArrow(run, "u binary, v binary").distinct())
 
 
-def _rivals(i: int, j: int, left: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray,
-            regs: np.ndarray, like: Similarity) -> Iterator[tuple[int, np.ndarray]]:
+def _rivals(label: np.ndarray, size: np.ndarray, regs: np.ndarray, like: Similarity
+            ) -> Iterator[tuple[int, np.ndarray]]:
     """For each place the later places of other components that may reach the threshold."""
     least = like.least_estimate()
-    places = np.arange(len(node))
-    for a in places if i == j else places[left]:
-        b = places[a + 1:] if i == j else places[~left]
-        b = b[(label[b] != label[a]) & (np.minimum(size[b], size[a]) * 100 >= np.maximum(size[b], size[a]) * like.percent)]
+    for a in range(len(label) - 1):
+        b = np.arange(a + 1, len(label))
+        b = b[(label[b] != label[a])
+              & (np.minimum(size[b], size[a]) * 100 >= np.maximum(size[b], size[a]) * like.percent)]
         if len(b):
             b = b[estimate(regs[b], regs[a], size[b], size[a]) >= least]
         if len(b):
             yield a, b
 
 
-def _groups_of(batches, keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of sorted batches by their first columns, one group at a time."""
+def _numbers(values: list) -> np.ndarray:
+    """Equal values by equal numbers."""
+    seen: dict = {}
+    return np.array([seen.setdefault(v, len(seen)) for v in values], np.int64)
+
+
+def _groups_of(batches) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of sorted batches by their first column, one group at a time."""
     key, group = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns))):
-            if row[:keys] != key:
+            if row[0] != key:
                 if group:
                     yield key, group
-                key, group = row[:keys], []
-            group.append(row[keys:])
+                key, group = row[0], []
+            group.append(row[1:])
     if group:
         yield key, group
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node")
 
 
 def doubtful(members: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
-    """The members of each pair of blocks that have a likely partner in another component."""
-    rows = _blocked(members).join(nodes.select("node", "n_shingles", "registers"), "node").select(
-        "hub", "i", "j", "left", "label", "node", "n_shingles", "registers")
+    """``key, label, node``: the members of each group that have a likely partner in another
+    component."""
+    rows = members.select("key", "label", "node").join(
+        nodes.select("node", "n_shingles", "registers"), "node").select(
+        "key", "label", "node", "n_shingles", "registers")
 
     def run(batches):
-        for (hub, i, j), group in _groups_of(batches, 3):
-            left, label, node, size = (np.array([row[c] for row in group]) for c in range(4))
-            regs = np.frombuffer(b"".join(row[4] for row in group), np.uint16).reshape(-1, BUCKETS)
+        for key, group in _groups_of(batches):
+            label, size = _numbers([row[0] for row in group]), np.array([row[2] for row in group])
+            regs = np.frombuffer(b"".join(row[3] for row in group), np.uint16).reshape(-1, BUCKETS)
             found = np.zeros(len(group), bool)
-            for a, b in _rivals(i, j, left, label, node, size, regs, like):
+            for a, b in _rivals(label, size, regs, like):
                 found[a] = True
                 found[b] = True
+            kept = [row for row, good in zip(group, found) if good]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * int(found.sum()), pa.int64()) for k in (hub, i, j)]
-                + [pa.array(left[found]), pa.array(label[found]), pa.array(node[found])],
-                ["hub", "i", "j", "left", "label", "node"])
+                [pa.array([key] * len(kept), pa.int64()), pa.array([row[0] for row in kept], pa.binary()),
+                 pa.array([row[1] for row in kept], pa.binary())], ["key", "label", "node"])
 
-    return _dealt(rows).mapInArrow(run, "hub long, i long, j long, left boolean, label long, node long")
+    return _dealt(rows).mapInArrow(run, "key long, label binary, node binary")
 
 
-def linked_across(rows: DataFrame, nodes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
-    """Links ``u, v`` between components, decided on the full sets inside each pair of
-    blocks; members that a link has joined are not compared again."""
+def linked_across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
+    """Links ``u, v`` between components, decided on the full sets inside each group;
+    members that a link has joined are not compared again."""
     named = rows.join(nodes.select("node", "first_id", "first_hash"), "node")
-    texts = docs.select(F.col("doc_id").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
-    wide = named.join(texts, ["first_id", "first_hash"]).select("hub", "i", "j", "left", "label", "node", "text")
+    wide = named.join(texts, ["first_id", "first_hash"]).select("key", "label", "node", "text")
 
     def run(batches):
         key, group = None, []
         for block in blocks(batches):
             sets = shingle_sets(block, like.words)
-            for *own, left, label, node, members in zip(
-                    *(block.rows.column(c).to_pylist() for c in range(6)), sets):
+            for own, label, node, members in zip(*(block.rows.column(c).to_pylist() for c in range(3)), sets):
                 if own != key:
-                    yield compared(key, group)
+                    yield compared(group)
                     key, group = own, []
-                group.append((left, label, node, members))
-        yield compared(key, group)
+                group.append((label, node, members))
+        yield compared(group)
 
-    def compared(key, group) -> pa.RecordBatch:
+    def compared(group) -> pa.RecordBatch:
         u, v = [], []
         if group:
-            left, label, node = (np.array([row[c] for row in group]) for c in range(3))
-            sets = [row[3] for row in group]
+            label, sets = _numbers([row[0] for row in group]), [row[2] for row in group]
             regs, size = np.array([registers(m) for m in sets]), np.array([len(m) for m in sets])
-            for a, rivals in _rivals(key[1], key[2], left, label, node, size, regs, like):
+            for a, rivals in _rivals(label, size, regs, like):
                 for b in rivals:
                     if label[a] != label[b]:
                         same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                         if 100 * same >= like.percent * (len(sets[a]) + len(sets[b]) - same):
-                            u.append(int(node[a]))
-                            v.append(int(node[b]))
+                            u.append(group[a][1])
+                            v.append(group[b][1])
                             label[label == label[b]] = label[a]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return _dealt(wide).mapInArrow(run, "u long, v long").distinct()
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return _dealt(wide).mapInArrow(run, "u binary, v binary").distinct()
+
+
+def _spanning(rows: DataFrame) -> DataFrame:
+    """``key, members, small`` of the groups that span components."""
+    groups = rows.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"),
+        F.sum("n_shingles").alias("weight"))
+    small = (F.col("members") <= PER_GROUP) & (F.col("weight") <= MOST_SHINGLES)
+    return stage(groups.filter("low < high").select("key", "members", small.alias("small")), "spanning")
+
+
+def _starred(rows: DataFrame) -> DataFrame:
+    """``u, v``: in each group a hub and its members of other components. Half of the groups
+    take any member as the hub, the others a member of any component, however small."""
+    any_node = F.xxhash64("node", "key")
+    rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64("label", "key")), any_node, "node", "label")
+    hubs = stage(rows.groupBy("key").agg(F.max(rank).alias("hub"), F.count("*").alias("members")).select(
+        "key", F.col("hub.node").alias("u"), F.col("hub.label").alias("hub_label"), "members"), "group-hubs")
+    return attach(rows, hubs, "key", "members").filter("label <> hub_label").select("u", F.col("node").alias("v")).distinct()
+
+
+class _Links:
+    """The links found so far and the components that they make."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, like: Similarity, linked: DataFrame) -> None:
+        self.nodes, self.texts, self.like, self.linked = nodes, texts, like, linked
+        self._join()
+
+    def _join(self) -> None:
+        labels = components(self.linked)
+        self.named = stage(self.nodes.join(labels, "node", "left").select(
+            "node", "first_id", "copies", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
+
+    def _add(self, links: list[DataFrame]) -> None:
+        for more in links:
+            self.linked = self.linked.unionByName(more)
+        self.linked = stage(self.linked, "linked")
+        self._join()
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``key, node, label, n_shingles`` of rows with ``key, node``."""
+        return stage(rows.join(self.named.select("node", "label", "n_shingles"), "node").select(
+            "key", "node", "label", "n_shingles"), "labelled")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        return verified(stage(likely(pairs, self.nodes, self.like), "likely"), self.nodes, self.texts, self.like)
+
+    def meet(self, rows: DataFrame) -> DataFrame:
+        """Compare across components within the small groups of ``key, node``, and with a hub
+        within the large ones; returns ``key, node`` of large groups that still span some."""
+        marked = self.labelled(rows)
+        groups = _spanning(marked)
+        counts = {r["small"]: r["count"] for r in groups.groupBy("small").count().collect()}
+        if not counts:
+            return rows.limit(0)
+        marked = stage(attach(marked, groups, "key", "members").filter("small IS NOT NULL"), "marked")
+        links = []
+        if True in counts:
+            left = stage(doubtful(marked.filter("small"), self.nodes, self.like), "doubtful")
+            links.append(linked_across(left, self.nodes, self.texts, self.like))
+        large = marked.filter("NOT small").select("key", "node", "label", "n_shingles")
+        if False in counts:
+            links.append(self.verify(_starred(large)))
+        self._add(links)
+        if False not in counts:
+            return rows.limit(0)
+        again = self.labelled(large.select("key", "node"))
+        return stage(attach(again, _spanning(again), "key", "members").filter("small IS NOT NULL").select(
+            "key", "node"), "left-over")
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
@@ -326,34 +439,37 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
         .select("node", F.col("first.doc_id").alias("first_id"),
                 F.col("first.text_hash").alias("first_hash"), "copies", "n_shingles", "registers"),
         "nodes")
+    texts = single_texts(docs, signed)
     bands = stage(band_rows(nodes), "bands")
     groups = stage(bands.groupBy("band").agg(F.lit(True).alias("shared"), F.count("*").alias("members"))
                    .filter("members > 1"), "groups")
-    met = stage(attach(bands, groups.select("band", "shared", "members"), "band", "members")
-                .filter("shared").select("band", "node"), "met")
+    met = stage(attach(bands, groups, "band", "members").filter("shared").select("band", "node"), "met")
     # the most central member of a group is the one that shares the most bands with others
-    central = met.join(groups.select("band", "members"), "band").groupBy("node").agg(F.sum("members").alias("degree"))
+    sizes = groups.select("band", "members", F.col("members").alias("weight"))
+    central = attach(met, sizes, "band", "members").groupBy("node").agg(F.sum("weight").alias("degree"))
     ranked = met.join(stage(central, "central"), "node")
     hubs = stage(ranked.groupBy("band").agg(
         F.max(F.struct("degree", "node"))["node"].alias("hub"), F.count("*").alias("members")), "hubs")
-    stars = stage(attach(met, hubs, "band", "members").select("hub", "node").distinct(), "stars")
+    dealt = stage(attach(met, hubs, "band", "members"), "dealt")
+    stars = stage(dealt.select("hub", "node").distinct(), "stars")
     pairs = stars.filter("hub <> node").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    linked = stage(verified(stage(likely(pairs, nodes, like), "likely"), nodes, docs, like), "linked")
-    labels = components(linked)
-    labelled = stage(stars.join(labels, "node", "left").select(
-        "hub", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    spread = labelled.groupBy("hub").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    spread = stage(spread.filter("low < high").select(
-        "hub", "members", F.ceil(F.col("members") / PER_BLOCK).alias("blocks")), "spread")
-    if not spread.isEmpty():
-        members = attach(labelled, spread, "hub", "members").filter("blocks IS NOT NULL")
-        left = stage(doubtful(members, nodes, like), "doubtful")
-        linked = stage(linked.unionByName(linked_across(left, nodes, docs, like)), "linked")
-        labels = components(linked)
-    named = nodes.join(labels, "node", "left").select(
-        "node", "first_id", "copies", F.coalesce("label", "node").alias("label"))
-    named = stage(named, "named")
+    first = stage(verified(stage(likely(pairs, nodes, like), "likely"), nodes, texts, like), "linked")
+    links = _Links(nodes, texts, like, first)
+    # the groups of a small star are compared together, those of a large one each on its own
+    star = F.xxhash64("hub")
+    star_sizes = stage(stars.groupBy(star.alias("star")).agg(F.count("*").alias("members")), "star-sizes")
+    together = stars.select("node", star.alias("star"))
+    apart = dealt.filter("node <> hub").select("band", "node", star.alias("star"))
+    small = attach(together, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
+    large = attach(apart, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
+    left = links.meet(small.filter("few").select(F.col("star").alias("key"), "node").unionByName(
+        large.filter("NOT few").select(F.col("band").alias("key"), "node")))
+    for width in WIDTHS:
+        if left.isEmpty():
+            break
+        again = nodes.join(left.select("node").distinct(), "node", "left_semi")
+        left = links.meet(register_rows(again, width, like))
+    named = links.named
     least = stage(named.groupBy("label").agg(F.min("first_id").alias("component"),
                                              F.count("*").alias("members")), "least")
     named = stage(attach(named, least, "label", "members").select("node", "copies", "component"),

@@ -67,3 +67,31 @@ def test_long_chain_of_edges(spark):
     got = {r.node: r.label for r in components(edges).collect()}
     assert {got[i] for i in range(201)} == {0} and got[500] == got[501] == 500
     assert components(edges.limit(0)).count() == 0
+
+
+def test_interleaved_families_in_narrower_groups(spark, make, monkeypatch):
+    """Two families with one base each and a shared passage, most members just below the
+    threshold, and groups that are all too large for one task at first."""
+    monkeypatch.setattr(hyperminhash, "PER_GROUP", 6)
+    rng = random.Random(13)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(60)]
+    bases = [shared + [f"{name}{rng.randrange(10**6)}" for _ in range(40)] for name in "pq"]
+    rows = []
+    for i in range(160):
+        own = list(bases[i % 2])
+        for _ in range(rng.choice((0, 1, 2, 4, 5, 6, 7, 8))):
+            own[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((90_000 + i, " ".join(own)))
+    assert grouped(make(rows), Similarity(3, 85)) == brute.near(rows, 3, 85)
+
+
+def test_rows_repeated_many_times(spark, make):
+    rows = [(1, "one two three four five six")] * 40 + [(2, "one two three four five six")] * 40 + [(3, "else " * 9)]
+    assert grouped(make(rows), Similarity(3, 85)) == {1: (4, 1), 2: (4, 1), 3: (1, 3)}
+
+
+def test_chance_of_missing_a_pair_by_width():
+    like = Similarity(words=5, percent=80)
+    for width, most in ((8, 1e-6), (12, 1e-6), (16, 1e-6), (24, 0.01)):
+        assert (1 - 0.8 ** width) ** hyperminhash.keys_for(width, like) < most
+    assert hyperminhash.keys_for(128, like) == 1
