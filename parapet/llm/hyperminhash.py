@@ -13,8 +13,10 @@ members, neither of them the hub, of different components:
   task, across components only, and only links leave it;
 - other hubs: the same, group by group;
 - a group of more nodes: its members meet again in narrower groups, which agree in 8, 12, 16
-  and more registers drawn for each group anew. Small ones are compared as above, large ones
-  get a hub of their own, and so on until no large group spans components.
+  and more registers drawn for each group anew, empty ones filled up. Small ones are compared
+  as above, large ones get a hub of their own, and so on until no large group spans components.
+
+Two nodes are compared in the first small group that both are in, so once per step.
 
 So every step emits a fixed number of rows per node, none by the size of a group, and no
 group of candidates is ever expanded into pairs.
@@ -162,28 +164,56 @@ def keys_for(width: int, like: Similarity) -> int:
     return 1 if width == BUCKETS else min(MOST_KEYS, int(np.ceil(16 / (like.percent / 100) ** width)))
 
 
-def register_rows(nodes: DataFrame, width: int, like: Similarity) -> DataFrame:
-    """``key, node``: one row per drawn set of ``width`` registers that are not all empty."""
-    count = keys_for(width, like)
+_DRAW = np.random.default_rng(BUCKETS)
+#: For each bucket the order in which it borrows from others while it is empty.
+BORROW = np.stack([np.concatenate([[i], _DRAW.permutation(np.delete(np.arange(BUCKETS), i))]) for i in range(BUCKETS)])
+
+
+def filled_up(regs: np.ndarray) -> np.ndarray:
+    """Registers without gaps: an empty bucket has the register of the first filled one in
+    its own order of buckets. So every register of two sets agrees with a chance near their
+    similarity, also in sets that are smaller than the number of buckets."""
+    held = regs != EMPTY
+    lender = BORROW[np.arange(BUCKETS), held[:, BORROW].argmax(-1)]
+    return np.take_along_axis(regs, lender, 1)
+
+
+def drawn_sets(width: int, like: Similarity) -> np.ndarray:
+    """The registers of every group of ``width``: (groups, width)."""
     rng = np.random.default_rng(width)
-    drawn = np.stack([rng.permutation(BUCKETS)[:width] for _ in range(count)])
+    return np.stack([rng.permutation(BUCKETS)[:width] for _ in range(keys_for(width, like))])
+
+
+def register_rows(nodes: DataFrame, width: int, like: Similarity) -> DataFrame:
+    """``key, number, node``: one row per drawn set of registers."""
+    drawn = drawn_sets(width, like)
+    numbers = np.arange(len(drawn), dtype=np.int32)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = _matrix(batch.column(1))
-            keys = np.repeat(mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(width))[None, :], len(regs), 0)
-            filled = np.zeros(keys.shape, bool)
+            regs = filled_up(_matrix(batch.column(1))).astype(np.uint64)
+            keys = np.repeat(mix((numbers + 1).astype(np.uint64) * np.uint64(width))[None, :], len(regs), 0)
             for place in drawn.T:
-                own = regs[:, place]
-                keys = mix(keys * np.uint64(0x2545F4914F6CDD1D) + own.astype(np.uint64))
-                filled |= own != EMPTY
+                keys = mix(keys * np.uint64(0x2545F4914F6CDD1D) + regs[:, place])
+            row = np.repeat(np.arange(len(regs)), len(drawn))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[filled].view(np.int64)), batch.column(0).take(pa.array(np.nonzero(filled)[0]))],
-                ["key", "node"])
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(numbers, len(regs))),
+                 batch.column(0).take(pa.array(row))], ["key", "number", "node"])
+
+    return nodes.select("node", "registers").mapInArrow(run, "key long, number int, node binary")
 
-    return nodes.select("node", "registers").mapInArrow(run, "key long, node binary")
+
+def _met_before(a: np.ndarray, b: np.ndarray, number: int, width: int, like: Similarity) -> np.ndarray:
+    """Whether registers ``a`` agree with each row of ``b`` in a group before ``number``."""
+    if number <= 0:
+        return np.zeros(len(b), bool)
+    if width == BAND:
+        same = (b == a).reshape(-1, BANDS, BAND).all(-1) & (a != EMPTY).reshape(BANDS, BAND).any(-1)
+        return same[:, :number].any(-1)
+    same = filled_up(b) == filled_up(a[None])
+    return same[:, drawn_sets(width, like)[:number]].all(-1).any(-1)
 
 
 def _with_registers(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -273,6 +303,21 @@ def _rivals(label: np.ndarray, size: np.ndarray, regs: np.ndarray, like: Similar
             yield a, b
 
 
+def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, as products of slices of the membership matrix."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(m) for m in sets])
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out, step = np.zeros((len(sets), len(sets)), np.int64), max(1, 4_000_000 // len(sets))
+    for first in range(0, len(values), step):
+        own = slice(*np.searchsorted(place, [first, first + step]))
+        member = np.zeros((len(sets), min(step, len(values) - first)), np.float32)
+        member[row[own], place[own] - first] = 1
+        out += np.rint(member @ member.T).astype(np.int64)
+    return out
+
+
 def _numbers(values: list) -> np.ndarray:
     """Equal values by equal numbers."""
     seen: dict = {}
@@ -298,32 +343,33 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "node")
 
 
-def doubtful(members: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
+def doubtful(members: DataFrame, nodes: DataFrame, like: Similarity, width: int) -> DataFrame:
     """``key, label, node``: the members of each group that have a likely partner in another
-    component."""
-    rows = members.select("key", "label", "node").join(
+    component, if this is the first group that both are in."""
+    rows = members.select("key", "number", "label", "node").join(
         nodes.select("node", "n_shingles", "registers"), "node").select(
-        "key", "label", "node", "n_shingles", "registers")
+        "key", "number", "label", "node", "n_shingles", "registers")
 
     def run(batches):
         for key, group in _groups_of(batches):
-            label, size = _numbers([row[0] for row in group]), np.array([row[2] for row in group])
-            regs = np.frombuffer(b"".join(row[3] for row in group), np.uint16).reshape(-1, BUCKETS)
+            label, size = _numbers([row[1] for row in group]), np.array([row[3] for row in group])
+            regs = np.frombuffer(b"".join(row[4] for row in group), np.uint16).reshape(-1, BUCKETS)
             found = np.zeros(len(group), bool)
             for a, b in _rivals(label, size, regs, like):
-                found[a] = True
+                b = b[~_met_before(regs[a], regs[b], group[0][0], width, like)]
+                found[a] |= len(b) > 0
                 found[b] = True
             kept = [row for row, good in zip(group, found) if good]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(kept), pa.int64()), pa.array([row[0] for row in kept], pa.binary()),
-                 pa.array([row[1] for row in kept], pa.binary())], ["key", "label", "node"])
+                [pa.array([key] * len(kept), pa.int64()), pa.array([row[1] for row in kept], pa.binary()),
+                 pa.array([row[2] for row in kept], pa.binary())], ["key", "label", "node"])
 
     return _dealt(rows).mapInArrow(run, "key long, label binary, node binary")
 
 
 def linked_across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """Links ``u, v`` between components, decided on the full sets inside each group;
-    members that a link has joined are not compared again."""
+    members that a link has joined are not linked again."""
     named = rows.join(nodes.select("node", "first_id", "first_hash"), "node")
     wide = named.join(texts, ["first_id", "first_hash"]).select("key", "label", "node", "text")
 
@@ -342,15 +388,13 @@ def linked_across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, like: Sim
         u, v = [], []
         if group:
             label, sets = _numbers([row[0] for row in group]), [row[2] for row in group]
-            regs, size = np.array([registers(m) for m in sets]), np.array([len(m) for m in sets])
-            for a, rivals in _rivals(label, size, regs, like):
-                for b in rivals:
-                    if label[a] != label[b]:
-                        same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                        if 100 * same >= like.percent * (len(sets[a]) + len(sets[b]) - same):
-                            u.append(group[a][1])
-                            v.append(group[b][1])
-                            label[label == label[b]] = label[a]
+            size, same = np.array([len(m) for m in sets]), shared_sizes(sets)
+            near = 100 * same >= like.percent * (size[:, None] + size[None, :] - same)
+            for a, b in np.argwhere(np.triu(near, 1) & (label[:, None] != label[None, :])):
+                if label[a] != label[b]:
+                    u.append(group[a][1])
+                    v.append(group[b][1])
+                    label[label == label[b]] = label[a]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     return _dealt(wide).mapInArrow(run, "u binary, v binary").distinct()
@@ -366,63 +410,63 @@ def _spanning(rows: DataFrame) -> DataFrame:
 
 
 def _starred(rows: DataFrame) -> DataFrame:
-    """``u, v``: in each group a hub and its members of other components. Half of the groups
-    take any member as the hub, the others a member of any component, however small."""
-    any_node = F.xxhash64("node", "key")
-    rank = F.struct(F.when(F.col("key") % 2 == 0, 0).otherwise(F.xxhash64("label", "key")), any_node, "node", "label")
+    """``u, v``: in each group a hub and its members of other components. The hub is the
+    member with the largest hash, so groups of the same texts have few hubs."""
+    rank = F.struct(F.xxhash64("node"), "node", "label")
     hubs = stage(rows.groupBy("key").agg(F.max(rank).alias("hub"), F.count("*").alias("members")).select(
         "key", F.col("hub.node").alias("u"), F.col("hub.label").alias("hub_label"), "members"), "group-hubs")
     return attach(rows, hubs, "key", "members").filter("label <> hub_label").select("u", F.col("node").alias("v")).distinct()
 
 
 class _Links:
-    """The links found so far and the components that they make."""
+    """The components that the links found so far make."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, like: Similarity, linked: DataFrame) -> None:
-        self.nodes, self.texts, self.like, self.linked = nodes, texts, like, linked
-        self._join()
-
-    def _join(self) -> None:
-        labels = components(self.linked)
-        self.named = stage(self.nodes.join(labels, "node", "left").select(
+        self.nodes, self.texts, self.like = nodes, texts, like
+        labels = components(linked)
+        self.named = stage(nodes.join(labels, "node", "left").select(
             "node", "first_id", "copies", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
 
-    def _add(self, links: list[DataFrame]) -> None:
-        for more in links:
-            self.linked = self.linked.unionByName(more)
-        self.linked = stage(self.linked, "linked")
-        self._join()
+    def _add(self, links: DataFrame) -> None:
+        """Join the components at both ends of new links."""
+        if links.isEmpty():
+            return
+        for end in ("u", "v"):
+            links = links.join(self.named.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end)
+        moved = components(links.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+        moved = moved.select(F.col("node").alias("label"), F.col("label").alias("_label"))
+        self.named = stage(self.named.join(moved, "label", "left").select(
+            "node", "first_id", "copies", "n_shingles", F.coalesce("_label", "label").alias("label")), "named")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """``key, node, label, n_shingles`` of rows with ``key, node``."""
+        """``key, number, node, label, n_shingles`` of rows with ``key, number, node``."""
         return stage(rows.join(self.named.select("node", "label", "n_shingles"), "node").select(
-            "key", "node", "label", "n_shingles"), "labelled")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        return verified(stage(likely(pairs, self.nodes, self.like), "likely"), self.nodes, self.texts, self.like)
+            "key", "number", "node", "label", "n_shingles"), "labelled")
 
-    def meet(self, rows: DataFrame) -> DataFrame:
-        """Compare across components within the small groups of ``key, node``, and with a hub
-        within the large ones; returns ``key, node`` of large groups that still span some."""
+    def meet(self, rows: DataFrame, width: int) -> DataFrame:
+        """Compare across components within the small groups of ``key, number, node``, and with
+        a hub within the large ones; returns the nodes of large groups that still span some."""
         marked = self.labelled(rows)
         groups = _spanning(marked)
-        counts = {r["small"]: r["count"] for r in groups.groupBy("small").count().collect()}
-        if not counts:
-            return rows.limit(0)
+        sizes = {r["small"] for r in groups.select("small").distinct().collect()}
+        nobody = rows.select("node").limit(0)
+        if not sizes:
+            return nobody
         marked = stage(attach(marked, groups, "key", "members").filter("small IS NOT NULL"), "marked")
         links = []
-        if True in counts:
-            left = stage(doubtful(marked.filter("small"), self.nodes, self.like), "doubtful")
+        if True in sizes:
+            left = stage(doubtful(marked.filter("small"), self.nodes, self.like, width), "doubtful")
             links.append(linked_across(left, self.nodes, self.texts, self.like))
-        large = marked.filter("NOT small").select("key", "node", "label", "n_shingles")
-        if False in counts:
-            links.append(self.verify(_starred(large)))
-        self._add(links)
-        if False not in counts:
-            return rows.limit(0)
-        again = self.labelled(large.select("key", "node"))
+        large = marked.filter("NOT small").select("key", "number", "node", "label", "n_shingles")
+        if False in sizes:
+            pairs = stage(likely(_starred(large), self.nodes, self.like), "likely")
+            links.append(verified(pairs, self.nodes, self.texts, self.like))
+        self._add(stage(links[0].unionByName(links[-1]) if len(links) > 1 else links[0], "linked"))
+        if False not in sizes:
+            return nobody
+        again = self.labelled(large.select("key", "number", "node"))
         return stage(attach(again, _spanning(again), "key", "members").filter("small IS NOT NULL").select(
-            "key", "node"), "left-over")
+            "node").distinct(), "left-over")
 
 
 def near_groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
@@ -462,13 +506,13 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     apart = dealt.filter("node <> hub").select("band", "node", star.alias("star"))
     small = attach(together, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
     large = attach(apart, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
-    left = links.meet(small.filter("few").select(F.col("star").alias("key"), "node").unionByName(
-        large.filter("NOT few").select(F.col("band").alias("key"), "node")))
+    left = links.meet(small.filter("few").select(F.col("star").alias("key"), F.lit(-1).alias("number"), "node").unionByName(
+        large.filter("NOT few").select(
+            F.col("band").alias("key"), F.shiftrightunsigned("band", 59).cast("int").alias("number"), "node")), BAND)
     for width in WIDTHS:
         if left.isEmpty():
             break
-        again = nodes.join(left.select("node").distinct(), "node", "left_semi")
-        left = links.meet(register_rows(again, width, like))
+        left = links.meet(register_rows(nodes.join(left, "node", "left_semi"), width, like), width)
     named = links.named
     least = stage(named.groupBy("label").agg(F.min("first_id").alias("component"),
                                              F.count("*").alias("members")), "least")
