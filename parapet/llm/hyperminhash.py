@@ -53,8 +53,8 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND
 EMPTY = 0xFFFF
 FLOORS = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:-1].astype(np.uint64)
-PER_HUB, PER_GROUP = 64, 256
-MOST_SHINGLES = 4_000_000  # of a group that one task compares: 32 MB of hashes
+PER_HUB, PER_TILE = 64, 256
+PER_GROUP, MOST_SHINGLES = 4096, 8_000_000  # of a group that one task compares: 1 MB and 64 MB
 WIDTHS, MOST_KEYS = (8, 12, 16, 24, 32, 48, 64, 96, 128), 1024
 
 
@@ -303,18 +303,28 @@ def _rivals(label: np.ndarray, size: np.ndarray, regs: np.ndarray, like: Similar
             yield a, b
 
 
-def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections, as products of slices of the membership matrix."""
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(m) for m in sets])
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    out, step = np.zeros((len(sets), len(sets)), np.int64), max(1, 4_000_000 // len(sets))
-    for first in range(0, len(values), step):
-        own = slice(*np.searchsorted(place, [first, first + step]))
-        member = np.zeros((len(sets), min(step, len(values) - first)), np.float32)
-        member[row[own], place[own] - first] = 1
-        out += np.rint(member @ member.T).astype(np.int64)
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two blocks of sets: products of slices of the
+    membership matrices over the values that both blocks hold."""
+    out, step = np.zeros((len(left), len(right)), np.int64), 4096
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    sides = []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(m) for m in sets])
+        place = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        held = both[place] == values if len(both) else np.zeros(len(values), bool)
+        row, place = row[held], place[held]
+        order = np.argsort(place, kind="stable")
+        sides.append((len(sets), row[order], place[order]))
+    for first in range(0, len(both), step):
+        members = []
+        for count, row, place in sides:
+            own = slice(*np.searchsorted(place, [first, first + step]))
+            member = np.zeros((count, min(step, len(both) - first)), np.float32)
+            member[row[own], place[own] - first] = 1
+            members.append(member)
+        out += np.rint(members[0] @ members[1].T).astype(np.int64)
     return out
 
 
@@ -386,15 +396,20 @@ def linked_across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, like: Sim
 
     def compared(group) -> pa.RecordBatch:
         u, v = [], []
-        if group:
-            label, sets = _numbers([row[0] for row in group]), [row[2] for row in group]
-            size, same = np.array([len(m) for m in sets]), shared_sizes(sets)
-            near = 100 * same >= like.percent * (size[:, None] + size[None, :] - same)
-            for a, b in np.argwhere(np.triu(near, 1) & (label[:, None] != label[None, :])):
-                if label[a] != label[b]:
-                    u.append(group[a][1])
-                    v.append(group[b][1])
-                    label[label == label[b]] = label[a]
+        label, sets = _numbers([row[0] for row in group or ()]), [row[2] for row in group or ()]
+        size = np.array([len(m) for m in sets])
+        for first in range(0, len(sets), PER_TILE):
+            for second in range(first, len(sets), PER_TILE):
+                p, q = slice(first, first + PER_TILE), slice(second, second + PER_TILE)
+                if (label[p][:, None] == label[q]).all():
+                    continue
+                same = shared_sizes(sets[p], sets[q])
+                near = 100 * same >= like.percent * (size[p][:, None] + size[q] - same)
+                for a, b in np.argwhere(near) + (first, second):
+                    if label[a] != label[b]:
+                        u.append(group[a][1])
+                        v.append(group[b][1])
+                        label[label == label[b]] = label[a]
         return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
     return _dealt(wide).mapInArrow(run, "u binary, v binary").distinct()
