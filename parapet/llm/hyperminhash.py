@@ -516,13 +516,12 @@ def near_groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:
     links = _Links(nodes, texts, like, first)
     # the groups of a small star are compared together, those of a large one each on its own
     star = F.xxhash64("hub")
-    star_sizes = stage(stars.groupBy(star.alias("star")).agg(F.count("*").alias("members")), "star-sizes")
-    together = stars.select("node", star.alias("star"))
-    apart = dealt.filter("node <> hub").select("band", "node", star.alias("star"))
-    small = attach(together, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
-    large = attach(apart, star_sizes.withColumn("few", F.col("members") <= PER_GROUP), "star", "members")
-    left = links.meet(small.filter("few").select(F.col("star").alias("key"), F.lit(-1).alias("number"), "node").unionByName(
-        large.filter("NOT few").select(
+    busy = stage(stars.groupBy(star.alias("star")).agg(F.count("*").alias("members")).filter(
+        F.col("members") > PER_GROUP).select("star"), "busy-stars")
+    small = stars.select("node", star.alias("star")).join(busy, "star", "left_anti")
+    large = dealt.filter("node <> hub").select("band", "node", star.alias("star")).join(busy, "star", "left_semi")
+    left = links.meet(small.select(F.col("star").alias("key"), F.lit(-1).alias("number"), "node").unionByName(
+        large.select(
             F.col("band").alias("key"), F.shiftrightunsigned("band", 59).cast("int").alias("number"), "node")), BAND)
     for width in WIDTHS:
         if left.isEmpty():
