@@ -1,9 +1,12 @@
 """The chunk table: upsert, delete, lookup, listing, collections, duplicates.
 
-A table is a folder of parquet files partitioned by batch and collection. Writing a batch
+A table is a folder of parquet files partitioned by batch, collection and a bucket of the
+id. Collections are namespaces: a row's key is its collection and its id. Writing a batch
 again replaces that batch as a whole, so a retried job leaves the table as it was meant to
-be. Deletes are batches of ids beside the table: ``read_current`` and ``compact`` leave out
-every row that is older than a delete of its id. Batch numbers order writes and deletes.
+be. Deletes are batches of ids beside the table, for one collection or for all:
+``read_current`` and ``compact`` leave out every row that is older than a delete of its key.
+Batch numbers order writes and deletes, and the table can be read as it stood before a
+batch. A lookup of ids reads the buckets of these ids only.
 """
 
 from __future__ import annotations
@@ -17,19 +20,21 @@ from parapet.sources.tables import exists
 
 BULK_DELETE_LIMIT = 500
 DEFAULT_COLLECTION = "documents"
+BUCKETS = 16
 
 
 def one_per_id(df: DataFrame, order: Sequence[str], latest: bool = True,
-               key: str = "chunk_id") -> DataFrame:
-    """Keep the last (or first) row per id.
+               key: str | Sequence[str] = "chunk_id") -> DataFrame:
+    """Keep the last (or first) row per id, or per combination of several columns.
 
     An aggregate, not a ranking window: copies are reduced on the map side first, so a
     group of copies of any size reaches the reducer as one row per input partition.
     """
     pick = F.max_by if latest else F.min_by
-    rest = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return best.select(key, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def upsert(store: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -144,38 +149,74 @@ def ingest_summary(
     )
 
 
+def id_bucket(chunk_id: Column) -> Column:
+    return F.pmod(F.xxhash64(chunk_id), F.lit(BUCKETS)).cast("int")
+
+
 def write_batch(chunks: DataFrame, path: str, batch_id: int) -> None:
-    """Add or replace one batch of the table at ``path``; a row replaces rows of its id in
-    earlier batches."""
-    chunks.write.mode("overwrite").partitionBy("collection").parquet(f"{path}/batch={batch_id}")
+    """Add or replace one batch of the table at ``path``; a row replaces rows of its
+    collection and id in earlier batches."""
+    (
+        chunks.withColumn("bucket", id_bucket(F.col("chunk_id")))
+        .write.mode("overwrite").partitionBy("collection", "bucket").parquet(f"{path}/batch={batch_id}")
+    )
 
 
 def _deleted_folder(path: str) -> str:
     return f"{path.rstrip('/')}-deleted"
 
 
-def delete_batch(ids: DataFrame, path: str, batch_id: int) -> None:
-    """Delete the ids from the table as of ``batch_id``; an id that is not there, or comes
-    twice, changes nothing. Running the batch again replaces it."""
+def delete_batch(ids: DataFrame, path: str, batch_id: int, collection: str | None = None) -> None:
+    """Delete the ids from the table as of ``batch_id``: from the named collection, from that
+    in the ids' own ``collection`` column, or, where that is null or missing, from all. An id
+    that is not there, or comes twice, changes nothing. Running the batch again replaces it."""
+    place = F.lit(collection) if collection is not None or "collection" not in ids.columns else F.col("collection")
     (
-        ids.select("chunk_id").where(F.col("chunk_id").isNotNull()).distinct()
-        .write.mode("overwrite").parquet(f"{_deleted_folder(path)}/batch={batch_id}")
+        ids.select("chunk_id", place.cast("string").alias("collection")).where(F.col("chunk_id").isNotNull())
+        .distinct().write.mode("overwrite").parquet(f"{_deleted_folder(path)}/batch={batch_id}")
     )
 
 
-def read_current(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
-    """The table as it stands: per id the row of the last batch, without deleted ids. Reads
-    one collection if named."""
-    rows = spark.read.parquet(path)
+def read_current(
+    spark: SparkSession, path: str, collection: str | None = None, before: int | None = None,
+    buckets: Sequence[int] | None = None,
+) -> DataFrame:
+    """The table as it stands: per collection and id the row of the last batch, without
+    deleted ones. Reads one collection, the batches before one, some buckets, if named."""
+    rows = spark.read.parquet(path).withColumn("collection", F.col("collection").cast("string"))
     if collection is not None:
         rows = rows.where(F.col("collection") == collection)
-    current = one_per_id(rows, ["batch"])
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(list(buckets)))
+    current = one_per_id(rows, ["batch"], key=("collection", "chunk_id"))
     if exists(spark, _deleted_folder(path)):
-        gone = spark.read.parquet(_deleted_folder(path)).groupBy("chunk_id").agg(
-            F.max("batch").alias("_gone"))
-        current = current.join(gone, "chunk_id", "left").where(
-            F.col("_gone").isNull() | (F.col("_gone") < F.col("batch"))).drop("_gone")
-    return current.drop("batch")
+        deletes = spark.read.parquet(_deleted_folder(path))
+        if before is not None:
+            deletes = deletes.where(F.col("batch") < before)
+        if buckets is not None:
+            deletes = deletes.where(id_bucket(F.col("chunk_id")).isin(list(buckets)))
+        gone = deletes.groupBy("chunk_id", "collection").agg(F.max("batch").alias("_gone"))
+        everywhere = gone.where(F.col("collection").isNull()).select("chunk_id", F.col("_gone").alias("_all"))
+        own = gone.where(F.col("collection").isNotNull())
+        last = F.greatest("_gone", "_all")
+        current = current.join(everywhere, "chunk_id", "left").join(
+            own, ["collection", "chunk_id"], "left").where(
+            last.isNull() | (last < F.col("batch"))).drop("_gone", "_all")
+    return current.select(*[c for c in rows.columns if c not in ("batch", "bucket")])
+
+
+def held_ids(
+    spark: SparkSession, path: str, candidates: DataFrame, collection: str = DEFAULT_COLLECTION,
+    before: int | None = None,
+) -> DataFrame:
+    """``chunk_id`` of the rows that the collection holds, before a batch if named, in the
+    buckets of the candidates; a table that is not there yet holds nothing."""
+    if not exists(spark, path):
+        return candidates.select("chunk_id").limit(0)
+    buckets = [r[0] for r in candidates.select(id_bucket(F.col("chunk_id"))).distinct().collect()]
+    return read_current(spark, path, collection, before, buckets).select("chunk_id")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

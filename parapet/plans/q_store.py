@@ -76,6 +76,22 @@ def store_written(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("rows"), F.sum(F.length("content")).alias("chars"), F.min("chunk_id").alias("first_id"))
 
 
+def store_namespaces(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ids in two collections: one loses the toxic documents, the other has its
+    Spanish ones replaced; then the table is compacted."""
+    path = shared_folder(spark, "store-namespaces")
+    docs = store.one_per_id(D.doc_chunks(spark, sf), ["doc_id", "chunk_index"], latest=False)
+    held = lambda content, place: docs.select(
+        "chunk_id", "source", content.alias("content"), F.lit(place).alias("collection"))
+    store.write_batch(held(F.col("content"), "documents").unionByName(held(F.col("source"), "archive")), path, 0)
+    store.delete_batch(_toxic_ids(spark, sf), path, 1, "archive")
+    spanish = D.doc_chunks(spark, sf).where(F.col("lang") == "es").select("chunk_id")
+    store.write_batch(held(F.lit("again"), "documents").join(spanish, "chunk_id", "left_semi"), path, 2)
+    store.compact(spark, path, f"{path}-compact")
+    return store.read_current(spark, f"{path}-compact").groupBy("collection", "source").agg(
+        F.count("*").alias("rows"), F.sum(F.length("content")).alias("chars"), F.min("chunk_id").alias("first_id"))
+
+
 def delete_report(spark: SparkSession, sf: str) -> DataFrame:
     held = D.doc_chunks(spark, sf).select("chunk_id").distinct()
     asked = _toxic_ids(spark, sf).unionByName(D.page_chunks(spark, sf).select("chunk_id"))
@@ -162,7 +178,8 @@ def metric_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (file_rows, size_guard, store_upsert, store_delete, store_written, delete_report, existing_ids,
+    for f in (file_rows, size_guard, store_upsert, store_delete, store_written, store_namespaces,
+              delete_report, existing_ids,
               list_chunks, collection_counts, parse_event_props, access_log, metric_samples)
 }
 
@@ -202,6 +219,16 @@ FROM doc_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM toxic) GROUP BY sour
 )
 SELECT source, count(*) AS rows, sum(length(content)) AS chars, min(chunk_id) AS first_id
 FROM held GROUP BY source""",
+    "store_namespaces": f"""WITH {D.DOC_CHUNKS}, {_TOXIC}, spanish AS (
+  SELECT chunk_id FROM doc_chunks WHERE lang = 'es'
+), held AS (
+  SELECT DISTINCT 'documents' AS collection, chunk_id, source,
+         CASE WHEN chunk_id IN (SELECT chunk_id FROM spanish) THEN 'again' ELSE content END AS content FROM doc_chunks
+  UNION ALL SELECT DISTINCT 'archive', chunk_id, source, source FROM doc_chunks
+  WHERE chunk_id NOT IN (SELECT chunk_id FROM toxic)
+)
+SELECT collection, source, count(*) AS rows, sum(length(content)) AS chars, min(chunk_id) AS first_id
+FROM held GROUP BY collection, source""",
     "delete_report": f"""WITH {D.DOC_CHUNKS}, {D.PAGE_CHUNKS}, {_TOXIC}
 SELECT (SELECT count(*) FROM toxic) + (SELECT count(*) FROM page_chunks) AS count,
        (SELECT count(DISTINCT chunk_id) FROM toxic) AS rows_deleted""",
