@@ -4,10 +4,18 @@ Vectors are compared block against block: a group is one slab of the store and o
 of the queries, both of bounded size, and emits only its best ``k`` per query. No pair
 table is ever built. The number of slabs and blocks follows from row counts, so a cell
 that holds a third of all rows is cut into as many groups as it needs.
+
+A search is a function of queries, store and k (``Search``). Exact search (``nearest``) meets
+every item. Search in trained cells (``CellSearch``) deals the items to the nearest of a set
+of centres and looks into as many cells around a query as the wanted recall takes; that
+number is measured on the store at hand. Scores are exact in both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -126,13 +134,18 @@ def nearest_in_cells(
     cells = _pieces(store, "slabs", slab_rows, cores).join(
         _pieces(queries, "blocks", block_rows), "cell"
     )
-    items = _spread(store.join(cells, "cell"), "slab", "slabs", "block", "blocks", "item_id")
-    asked = _spread(queries.join(cells, "cell"), "block", "blocks", "slab", "slabs", "query_id")
+    return _ranked(queries.join(cells, "cell"), store.join(cells, "cell"), k, overlapping)
+
+
+def _ranked(queries: DataFrame, store: DataFrame, k: int, overlapping: bool) -> DataFrame:
+    """Both sides with ``cell`` and its number of ``slabs`` and ``blocks``: the best items."""
+    items = _spread(store, "slab", "slabs", "block", "blocks", "item_id")
+    asked = _spread(queries, "block", "blocks", "slab", "slabs", "query_id")
     group = ["cell", "slab", "block"]
     item_type = store.schema["item_id"].dataType.simpleString()
     found = (
-        items.select(*group, "item_id", "vector").groupBy(*group)
-        .cogroup(asked.select(*group, "query_id", "vector").groupBy(*group))
+        items.select(*group, "item_id", F.col("vector").alias("vector")).groupBy(*group)
+        .cogroup(asked.select(*group, "query_id", F.col("vector").alias("vector")).groupBy(*group))
         .applyInArrow(_best(k), f"query_id bigint, item_id {item_type}, cosine double")
     )
     once = (
@@ -153,13 +166,20 @@ def nearest(
     slab_rows: int = SLAB_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact nearest items: everything is one cell. See ``nearest_in_cells``."""
-    # Computed from the id, not a literal, so that the join with the counts has a key.
-    return nearest_in_cells(
-        queries.select((F.xxhash64("query_id") % 1).alias("cell"), "query_id", "vector"),
-        store.select((F.xxhash64("item_id") % 1).alias("cell"), "item_id", "vector"),
-        k, slab_rows, block_rows, overlapping=False,
-    )
+    """Exact nearest items: everything is one cell, whose counts are known beforehand, so
+    no side is joined with them. See ``nearest_in_cells``."""
+    queries, store = comparable(queries, store)
+    cores = store.sparkSession.sparkContext.defaultParallelism
+    items, asked = store.count(), queries.count()
+    slabs = max(-(-items // slab_rows), min(-(-items // WORTHWHILE_ROWS), cores), 1)
+    blocks = max(-(-asked // block_rows), 1)
+    counts = [F.lit(0).alias("cell"), F.lit(slabs).alias("slabs"), F.lit(blocks).alias("blocks")]
+    return _ranked(queries.select("query_id", "vector", *counts), store.select("item_id", "vector", *counts), k, False)
+
+
+#: A search takes queries (``query_id, vector``), a store (``item_id, vector``) and k, and
+#: returns ``query_id, item_id, cosine, rank`` of the best k items per query.
+Search = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def with_scores(ranked: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -172,10 +192,10 @@ def with_scores(ranked: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def similarity_search(
-    queries: DataFrame, store: DataFrame, k: int = 5, threshold: float = 0.0
+    queries: DataFrame, store: DataFrame, k: int = 5, threshold: float = 0.0, search: Search = nearest
 ) -> DataFrame:
     """Ranked hits with scores; a ``top_k`` column in ``queries`` gives each query its own k."""
-    hits = with_scores(nearest(queries, store, k), threshold)
+    hits = with_scores(search(queries, store, k), threshold)
     if "top_k" in queries.columns:
         hits = hits.join(queries.select("query_id", "top_k"), "query_id").where(
             F.col("rank") <= F.col("top_k")
@@ -202,9 +222,16 @@ def bits_for(rows: int) -> int:
     return max(4, (max(rows, 1) // CELL_ROWS).bit_length())
 
 
-def _cells(df: DataFrame, tables: int, bits: int, dimensions: int) -> DataFrame:
-    """One row per hash table: the cell is the table number and the signs of its planes."""
+def flips_for(bits: int) -> int:
+    """How many planes of a table a query may lie on the other side of than an item."""
+    return -(-bits // 4)
+
+
+def _cells(df: DataFrame, tables: int, bits: int, dimensions: int, flips: int = 0) -> DataFrame:
+    """One row per hash table: the cell is the table number and the signs of its planes. With
+    ``flips`` also the cells that differ in up to so many signs."""
     normals = planes(tables, bits, dimensions)
+    masks = np.array([m for m in range(1 << bits) if m.bit_count() <= flips], np.int64)
     weights = 1 << np.arange(bits, dtype=np.int64)
     base = np.arange(tables, dtype=np.int64) << bits
 
@@ -214,7 +241,7 @@ def _cells(df: DataFrame, tables: int, bits: int, dimensions: int) -> DataFrame:
             return pd.Series([], dtype=object)
         above = np.round(np.stack(vectors.to_numpy()) @ normals, PLACES) > 0
         keys = above.reshape(len(vectors), tables, bits) @ weights + base
-        return pd.Series(list(keys))
+        return pd.Series(list((keys[:, :, None] ^ masks).reshape(len(vectors), -1)))
 
     return df.withColumn("cell", F.explode(signs(F.col("vector").cast("array<double>"))))
 
@@ -227,23 +254,113 @@ def nearest_approx(
     tables: int = 8,
     bits: int | None = None,
 ) -> DataFrame:
-    """Nearest items among those that share a hash cell with the query.
+    """Nearest items among those in the hash cells around the query.
 
-    Similarities are exact; items that share none of the cells are missed. The number of
-    bits follows from the size of the store, so a query meets a bounded number of items
-    per table; more tables raise the recall.
+    Similarities are exact; items in none of the cells are missed. The number of bits follows
+    from the size of the store, and a query also opens the cells that differ in up to
+    ``flips_for`` of them. Vectors without near ones need many cells: see ``CellSearch``, which
+    measures how many.
     """
     queries, store = (
         df.where(vector_problem(F.col("vector"), dimensions).isNull()) for df in (queries, store)
     )
     bits = bits or bits_for(store.count())
     return nearest_in_cells(
-        _cells(queries.select("query_id", "vector"), tables, bits, dimensions),
+        _cells(queries.select("query_id", "vector"), tables, bits, dimensions, flips_for(bits)),
         _cells(store.select("item_id", "vector"), tables, bits, dimensions),
         k,
     )
 
 
+def _unit(vectors) -> np.ndarray:
+    matrix = np.stack([np.asarray(v, np.float64) for v in vectors])
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
+def _sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows chosen by a hash of their id, at most twice as many."""
+    share = min(1.0, rows / max(df.count(), 1))
+    level = min(int((2 * share - 1) * 2.0 ** 63), 2 ** 63 - 1)
+    return df.where(F.xxhash64(key, F.lit("sample")) <= F.lit(level)).limit(2 * rows)
+
+
+def _with_cells(df: DataFrame, centres: np.ndarray, column: str, choose: Callable) -> DataFrame:
+    """Rows with a column that is chosen from their products with the centres."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                chosen = choose(_unit(batch.column("vector").to_pylist()) @ centres.T)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(chosen)], [*batch.schema.names, column.split()[0]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, {column}")
+
+
+@dataclass(frozen=True)
+class CellSearch:
+    """Approximate search in trained cells.
+
+    ``train_rows`` bounds the sample that the centres are trained on, ``calibration`` the
+    sample of queries that are also searched exactly: the cells around a query are opened in
+    order of their centres until ``recall`` of those exact hits would have been met. So the
+    number of cells follows from the wanted recall on this store, whatever its size. Every
+    item is indexed.
+    """
+
+    recall: float = 0.95
+    train_rows: int = 16_384
+    most_cells: int = 1_024
+    rounds: int = 8
+    calibration: int = 256
+
+    def centres(self, store: DataFrame) -> np.ndarray:
+        """Centres of unit length, about the root of the number of items, by k-means."""
+        rows = _sample(store, "item_id", self.train_rows).select("vector").toPandas()["vector"]
+        if not len(rows):
+            return np.zeros((0, 0))
+        sample, rng = _unit(rows), np.random.default_rng(1)
+        count = int(min(self.most_cells, max(4, round(store.count() ** 0.5)), len(sample)))
+        found = sample[rng.permutation(len(sample))[:count]]
+        for _ in range(self.rounds):
+            own = (sample @ found.T).argmax(1)
+            sums = np.zeros_like(found)
+            np.add.at(sums, own, sample)
+            empty = np.bincount(own, minlength=count) == 0
+            sums[empty] = found[empty]
+            found = _unit(sums)
+        return found
+
+    def __call__(self, queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
+        queries, store = (df.select(name, F.col("vector").cast("array<double>").alias("vector"))
+                          for df, name in zip(comparable(queries, store), ("query_id", "item_id")))
+        centres = self.centres(store)
+        if not len(centres):
+            return nearest(queries, store, k)
+
+        dealt = _with_cells(store, centres, "cell long", lambda near: near.argmax(1))
+        ordered = _with_cells(queries, centres, "cells array<long>", lambda near: list(
+            np.argsort(-near, axis=1, kind="stable")))
+        opened = self._opened(ordered, dealt, k, len(centres))
+        asked = ordered.select(F.explode(F.slice("cells", 1, opened)).alias("cell"), "query_id", "vector")
+        return nearest_in_cells(asked, dealt, k, overlapping=False)
+
+    def _opened(self, ordered: DataFrame, dealt: DataFrame, k: int, cells: int) -> int:
+        """How many cells hold the wanted share of the exact hits of some queries."""
+        some = _sample(ordered, "query_id", self.calibration)
+        hits = nearest(some.select("query_id", "vector"), dealt.select("item_id", "vector"), k)
+        place = hits.join(dealt.select("item_id", "cell"), "item_id").join(
+            some.select("query_id", "cells"), "query_id").select(F.array_position("cells", F.col("cell")).alias("place"))
+        counts = dict(tuple(r) for r in place.groupBy("place").count().collect())  # at most one row per cell
+        wanted, met = self.recall * sum(counts.values()), 0
+        for opened in range(1, cells + 1):
+            met += counts.get(opened, 0)
+            if met >= wanted:
+                return opened
+        return cells
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found."""
     pair = ["query_id", "item_id"]

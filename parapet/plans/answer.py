@@ -34,8 +34,9 @@ def answer_questions(
     embed: Callable[[Column], Column] = hashed_embedding,
     model: Callable[[pd.DataFrame], pd.Series] | None = None,
     folder: str | None = None,
+    search: retrieval.Search = retrieval.nearest,
 ) -> DataFrame:
-    """One response row per question.
+    """One response row per question; ``search`` finds the chunks, exactly or in cells.
 
     ``questions`` holds unique ``query_id``, ``text`` and ``top_k``; ``store`` comes from
     ``embedded_store`` with one row per id. Requests out of bounds (text length, ``top_k``)
@@ -55,7 +56,7 @@ def answer_questions(
     )
     passed = judged.where(~F.col("blocked") & F.col("reject_reason").isNull())
     asked = passed.select("query_id", "top_k", embed(F.col("question")).alias("vector"))
-    found = retrieval.similarity_search(asked, store, gateway.MAX_TOP_K).select(
+    found = retrieval.similarity_search(asked, store, gateway.MAX_TOP_K, search=search).select(
         "query_id", "item_id", "rank", "relevance_score"
     )
     hits = found.join(store.select("item_id", "source", "content", "metadata"), "item_id")

@@ -79,6 +79,13 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def knn_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in trained cells with its defaults against exact search, all vectors asked."""
+    asked, items = _vectors(spark, sf)
+    report = R.recall(R.CellSearch()(asked, items, 5), R.nearest(asked, items, 5))
+    return report.select("expected", (F.col("found") >= NEAR * F.col("expected")).alias("reached"))
+
+
 def source_previews(spark: SparkSession, sf: str) -> DataFrame:
     docs = text_table(spark, sf, "documents", "doc_id", "text", "lang").select(
         "doc_id", F.col("text").alias("content"),
@@ -197,7 +204,7 @@ def ingest_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (embed_hash, knn_exact, similarity_score, knn_threshold, metadata_text, knn_lsh,
+    for f in (embed_hash, knn_exact, similarity_score, knn_threshold, metadata_text, knn_lsh, knn_recall,
               source_previews, context_blocks, empty_retrieval, prompts, extractive_answers,
               answer_tokens, answer_flow, ingest_flow)
 }
@@ -267,8 +274,11 @@ SELECT query_id, item_id, rank, round(cosine, {R.PLACES}) AS cosine FROM ranked
 ), cell AS (
   SELECT vec_id, t, sum(CASE WHEN round(list_dot_product(e, n), {R.PLACES}) > 0 THEN 1 << b ELSE 0 END) AS key
   FROM v, normal GROUP BY vec_id, t
+), mask AS (
+  SELECT m FROM (SELECT bits, unnest(range(1 << bits)) AS m FROM size) WHERE bit_count(m) <= (bits + 3) // 4
 ), met AS (
-  SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS item_id FROM cell q JOIN cell s USING (t, key)
+  SELECT DISTINCT q.vec_id AS query_id, s.vec_id AS item_id
+  FROM (SELECT vec_id, t, xor(CAST(key AS BIGINT), m) AS key FROM cell, mask) q JOIN cell s USING (t, key)
 ), ranked AS (
   SELECT query_id, item_id, round(list_cosine_similarity(q.e, s.e), {R.PLACES}) AS cosine
   FROM met JOIN v q ON q.vec_id = query_id JOIN v s ON s.vec_id = item_id
@@ -276,6 +286,7 @@ SELECT query_id, item_id, rank, round(cosine, {R.PLACES}) AS cosine FROM ranked
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM ranked
 )
 SELECT query_id, item_id, rank, cosine FROM placed WHERE rank <= 5""",
+    "knn_recall": """SELECT count(*) * least(5, count(*)) AS expected, TRUE AS reached FROM embeddings""",
     "similarity_score": f"""WITH {sql_ranked()}
 SELECT query_id, item_id, round(similarity, 4) AS relevance_score FROM scored WHERE rank <= 5""",
     "knn_threshold": f"""WITH {sql_ranked()}

@@ -73,8 +73,36 @@ def test_approximate_recall(spark):
     centres = rng.standard_normal((20, 64))
     items = centres[rng.integers(0, 20, 600)] + 0.3 * rng.standard_normal((600, 64))
     q, s = frames(spark, items[:60], items)
-    report = R.recall(R.nearest_approx(q, s, 5, tables=12, bits=5), R.nearest(q, s, 5)).first()
-    assert report.expected == 300 and report.found >= 240
+    for found in (R.nearest_approx(q, s, 5), R.CellSearch()(q, s, 5)):
+        report = R.recall(found, R.nearest(q, s, 5)).first()
+        assert report.expected == 300 and report.found >= 270
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_settings(spark, folder):
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    s = rows.selectExpr("vec_id AS item_id", "cast(embedding AS array<double>) AS vector")
+    q = s.selectExpr("item_id AS query_id", "vector")
+    exact = R.nearest(q, s, 5)
+    for found in (R.nearest_approx(q, s, 5), R.CellSearch()(q, s, 5)):
+        report = R.recall(found, exact).first()
+        assert report.found >= 0.9 * report.expected
+
+
+def test_cells_on_a_larger_store(spark):
+    """Items without clusters, where most cells must be opened, and a few with one."""
+    rng = np.random.default_rng(4)
+    items = np.concatenate([rng.standard_normal((14_000, 16)), 5 + 0.1 * rng.standard_normal((6_000, 16))])
+    q, s = frames(spark, items[::50], items)
+    report = R.recall(R.CellSearch(train_rows=2_000, most_cells=64)(q, s, 5), R.nearest(q, s, 5)).first()
+    assert report.expected == 2_000 and report.found >= 1_800
+
+
+def test_cells_without_vectors(spark):
+    q, s = frames(spark, np.eye(3), np.eye(3))
+    assert R.CellSearch()(q, s.limit(0), 2).count() == 0
+    assert R.CellSearch()(q.limit(0), s, 2).count() == 0
+    assert {r.query_id for r in R.CellSearch()(q, s, 1).collect()} == {0, 1, 2}
 
 
 def test_contexts_and_prompts(spark):
@@ -107,6 +135,8 @@ def test_whole_question_flow(spark):
         "query_id long, text string, top_k int",
     )
     rows = {r.query_id: r for r in answer_questions(questions, embedded_store(chunks)).collect()}
+    again = answer_questions(questions, embedded_store(chunks), search=R.CellSearch(recall=1.0)).collect()
+    assert {r.query_id: r for r in again} == rows
     assert rows[1].answer == "Zebras eat grass in the morning." and rows[1].hits == 2
     assert len(rows[1].sources) == 2 and rows[1].sources[0]["rank"] == 1
     assert rows[2].blocked and rows[2].answer is None and rows[2].sources is None
