@@ -4,24 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from parapet.functions.once import bind
 from parapet.functions.signatures import ENTROPY_LEVELS, ENTROPY_MIN_CHARS
 
 
+#: From so many distinct characters on, sorting them all is cheaper than a pass for each.
+WIDE_ALPHABET = 256
+
+
 def char_entropy(text: Column) -> Column:
     """Bits per character, computed inside the row: no shuffle of single characters.
 
-    One pass over the text per distinct character counts its occurrences; with counts c
-    of n characters the entropy is ``log2(n) - sum(c * log2(c)) / n``.
+    With counts c of n characters the entropy is ``log2(n) - sum(c * log2(c)) / n``. A small
+    alphabet is counted by one pass over the text per character, a wide one by the lengths
+    of runs among the sorted characters, at a cost that does not depend on the alphabet.
     """
-    alphabet = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    size = F.length(text)
 
-    def occurrences(char: Column) -> Column:
-        rest = F.replace(text, char, F.lit(""))
-        return (F.octet_length(text) - F.octet_length(rest)) / F.octet_length(char)
+    def by_passes(alphabet: Column) -> Column:
+        def occurrences(char: Column) -> Column:
+            rest = F.replace(text, char, F.lit(""))
+            return (F.octet_length(text) - F.octet_length(rest)) / F.octet_length(char)
 
-    counts = F.transform(alphabet, occurrences)
+        return F.transform(alphabet, occurrences)
+
+    def by_runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1),
+                          lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)))
+        return bind(starts, lambda first: F.transform(
+            first, lambda start, k: (F.coalesce(F.get(first, k + 1), F.size(ordered)) - start).cast("double")))
+
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    counts = bind(F.array_distinct(chars), lambda alphabet: F.when(
+        F.size(alphabet) < WIDE_ALPHABET, by_passes(alphabet)).otherwise(bind(F.array_sort(chars), by_runs)))
     weighted = F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * F.log2(c))
-    size = F.length(text)
     return F.when(size > 0, F.log2(size) - weighted / size).otherwise(F.lit(0.0))
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import magic, text as T
-from parapet.functions.once import computed
+from parapet.functions.once import bind, computed
 from parapet.operators.ordered import running_total
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
@@ -77,24 +77,55 @@ def decode_replacing(content: Column) -> Column:
 
 def strip_markup(html: Column) -> Column:
     """Closing block tags become newlines, other tags vanish, blank lines are limited."""
+    # fixed values: the tags that end a line, and what counts as a tag
     text = F.regexp_replace(html, r"(?i)</(p|h[1-6]|li|blockquote|pre|div)>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", "")
+    text = F.regexp_replace(text, r"<[^>\x{fdd0}\x{fdd1}]+>", "")
     return T.strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+#: Characters that no text holds; they stand for code while the other rules run.
+_FENCED, _INLINE = "\ufdd1", "\ufdd0"
+_FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n(.*?)(?:^ {0,3}\1[`~]* *$|\z)"
+_CODE = r"(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+
+
+def _put_back(text: Column, mark: str, code: Column) -> Column:
+    """The text with the pieces of code where their marks stand, escaped like a renderer does."""
+    def written(code: Column) -> Column:
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            code = F.replace(code, F.lit(char), F.lit(entity))
+        return code
+
+    return F.array_join(F.zip_with(
+        F.split(text, mark, -1), code, lambda gap, c: F.concat(gap, F.coalesce(written(c), F.lit("")))), "")
+
+
 def strip_markdown(text: Column) -> Column:
     """Plain prose of a markdown text.
 
     Covers headings, emphasis, code, links, images, lists, quotes and rules; anything
     rarer stays as written. HTML tags inside the text go through ``strip_markup``; other
-    ``& < > "`` come out as entities, as a renderer writes them and a tag stripper leaves them.
+    ``& <`` come out as entities, as a renderer writes them and a tag stripper leaves them.
+    Code in fences and between backticks keeps every sign, with ``& < >`` as entities.
     """
+    clean = F.translate(text, _FENCED + _INLINE, "")
+
+    def without_fences(clean: Column) -> Column:
+        masked = F.regexp_replace(clean, _FENCE, _FENCED)
+        return bind(masked, lambda rest: _put_back(_put_back(
+            _prose(F.regexp_replace(rest, _CODE, _INLINE)), _INLINE, F.regexp_extract_all(rest, F.lit(_CODE), F.lit(2))),
+            _FENCED, F.regexp_extract_all(clean, F.lit(_FENCE), F.lit(2))))
+
+    coded = text.contains("`") | text.contains("~~~")
+    return F.when(coded, T.strip(bind(clean, without_fences))).otherwise(_prose(text))
+
+
+def _prose(text: Column) -> Column:
     text = F.regexp_replace(text, r"&(?!#?\w+;)", "&amp;")
     text = F.regexp_replace(text, r"<(?!/?[A-Za-z!?])", "&lt;")
     for pattern, replacement in (
-        (r"(?m)^ {0,3}(```|~~~).*$", ""),
-        (r"!\[[^\]]*\]\([^)]*\)", ""),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (rf"!\[[^\]{_INLINE}]*\]\([^){_INLINE}]*\)", ""),
+        (rf"\[([^\]]*)\]\([^){_INLINE}]*\)", "$1"),
         (r"(?m)^ {0,3}([-*_])( *\1){2,} *$", ""),
         (r"(?m)^ {0,3}#{1,6} +(.*?)(?: +#+)? *$", "$1\n"),
         (r"(?m)^ {0,3}> ?", ""),
@@ -102,7 +133,6 @@ def strip_markdown(text: Column) -> Column:
         (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"),
         (r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])", "$1"),
         (r"(?<!\w)_(?=\S)([^_\n]+?)(?<=\S)_(?!\w)", "$1"),
-        (r"(`+)([^`]+?)\1", "$2"),
     ):
         text = F.regexp_replace(text, pattern, replacement)
     return strip_markup(text)

@@ -54,19 +54,22 @@ def fitting_slice(events: DataFrame, widest_us: int, rows: int = SLICE_ROWS) ->
     """The widest slice, from ``widest_us`` in quarters down to a second, of which none
     holds more than ``rows`` events of one key.
 
-    ``events`` holds ``key, at``. They are counted per key and second first; only the count
-    of the busiest slice reaches the driver. The width never changes a result.
+    ``events`` holds ``key, at``. One aggregate tells whether the widest slice fits; if it does
+    not, one more counts them per key and second and sums these for all widths at once. Only
+    one count per width reaches the driver. The width never changes a result.
     """
+    widths = [max(widest_us, SECOND_US)]
+    while widths[-1] > SECOND_US:
+        widths.append(max(widths[-1] // 4, SECOND_US))
+    busiest = events.groupBy("key", F.floor(F.col("at") / widths[0])).agg(F.count("*").alias("n")).agg(F.max("n"))
+    if len(widths) == 1 or (busiest.first()[0] or 0) <= rows:
+        return widths[0]
     by_second = events.groupBy("key", F.floor(F.col("at") / SECOND_US).alias("second")).agg(
         F.count("*").alias("n"))
-    width = max(widest_us, SECOND_US)
-    while width > SECOND_US:
-        slices = by_second.groupBy("key", F.floor(F.col("second") * SECOND_US / width)).agg(
-            F.sum("n").alias("n"))
-        if (slices.agg(F.max("n")).first()[0] or 0) <= rows:
-            break
-        width = max(width // 4, SECOND_US)
-    return width
+    slices = by_second.select("key", "second", "n", F.explode(F.array(*[F.lit(w) for w in widths[1:]])).alias("width"))
+    counted = slices.groupBy("key", "width", F.floor(F.col("second") * SECOND_US / F.col("width"))).agg(
+        F.sum("n").alias("n")).groupBy("width").agg(F.max("n").alias("n"))
+    return max((r["width"] for r in counted.collect() if r["n"] <= rows), default=SECOND_US)
 
 
 def timeline(events: DataFrame, slice_us: int) -> DataFrame:

@@ -110,6 +110,17 @@ def strip_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.length("plain").cast("long").alias("chars"), F.sha2("plain", 256).alias("sha"))
 
 
+def markdown_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents inside fences and between backticks, full of signs that mean nothing there."""
+    name = F.concat(F.lit("__x"), F.col("doc_id").cast("string"), F.lit("__"))
+    text = F.concat(
+        F.lit("## Code\n\n**see `"), name, F.lit("` here**\n\n```\n# "), name, F.lit(" <*p> **kw\n- "),
+        F.regexp_replace("text", r"[`~&<>\x{fdd0}\x{fdd1}]", ""), F.lit("\n```\n*after* "), name)
+    rows = text_table(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", intake.strip_markdown(text).alias("plain"))
+    return rows.select("doc_id", F.length("plain").cast("long").alias("chars"), F.sha2("plain", 256).alias("sha"))
+
+
 def _pages_of_file(frame: pd.DataFrame) -> pd.DataFrame:
     """A decoder for the checks: the lines after the mark of a page file are its pages."""
     pages = bytes(frame["content"][0])[4:].decode().split("\n")
@@ -122,13 +133,14 @@ def ingest_balance(spark: SparkSession, sf: str) -> DataFrame:
     """Files, files that became documents, and dead letters, per type: no file is lost."""
     decoders = intake.Decoders()
     decoders.register(magic.PDF, _pages_of_file)
-    files = _files(spark, sf)
+    files = _files(spark, sf).withColumn("upload_id", F.xxhash64("filename", "content"))
     ready = prepare(files, limit=UPLOAD_LIMIT, decoders=decoders)
-    typed = intake.with_type(intake.guard_size(files, UPLOAD_LIMIT)).select("mime", F.lit("files").alias("kind"))
-    dead = ready.dead_letters.select("mime", F.lit("dead").alias("kind"))
-    counted = typed.unionByName(dead).groupBy("mime").agg(
-        F.count_if(F.col("kind") == "files").alias("files"), F.count_if(F.col("kind") == "dead").alias("dead"))
-    return counted.withColumn("documents", F.col("files") - F.col("dead"))
+    typed = intake.with_type(intake.guard_size(files, UPLOAD_LIMIT)).select("upload_id", "mime")
+    documents = ready.sources.select("upload_id").join(typed.distinct(), "upload_id").select(
+        "mime", F.lit("documents").alias("kind"))
+    counted = typed.select("mime", F.lit("files").alias("kind")).unionByName(
+        ready.dead_letters.select("mime", F.lit("dead").alias("kind"))).unionByName(documents).groupBy("mime")
+    return counted.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("files", "dead", "documents")])
 
 
 def ingest_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +165,7 @@ def intake_disposition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (mime_tricky, strip_markdown, ingest_balance, ingest_sources, decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
+    for f in (mime_tricky, strip_markdown, markdown_code, ingest_balance, ingest_sources, decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
               parse_errors, intake_disposition)
 }
 
@@ -198,6 +210,11 @@ ORACLE = {
   SELECT doc_id, {sql_strip(r"""regexp_replace('Title ' || doc_id || chr(10) || chr(10) || chr(10) || 'bold ' || doc_id
     || ' and link with Tom &amp; "Jerry" 1 &lt; 2' || chr(10) || chr(10) || 'item' || chr(10) || chr(10)
     || regexp_replace(text, '[^\p{L}\p{N} .,\n]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')""")} AS plain FROM documents)
+SELECT doc_id, length(plain) AS chars, sha256(plain) AS sha FROM t""",
+    "markdown_code": r"""WITH t AS (
+  SELECT doc_id, 'Code' || chr(10) || chr(10) || 'see __x' || doc_id || '__ here' || chr(10) || chr(10) || '# __x' || doc_id
+    || '__ &lt;*p&gt; **kw' || chr(10) || '- ' || regexp_replace(text, '[`~&<>]', '', 'g') || chr(10) || chr(10)
+    || 'after x' || doc_id AS plain FROM documents)
 SELECT doc_id, length(plain) AS chars, sha256(plain) AS sha FROM t""",
     "ingest_balance": f"""WITH {_BALANCED}
 SELECT mime, count(*) AS files, count(reason) AS dead, count(*) - count(reason) AS documents

@@ -8,7 +8,7 @@ from parapet.functions import signatures as S, text as T
 from parapet.functions.embedding import DIMENSIONS, hashed_embedding
 from parapet.operators import chunking as C, context as X, intake, retrieval as R, store
 from parapet.plans import derived as D
-from parapet.plans.answer import answer_questions, embedded_store
+from parapet.plans.chunk_store import WrittenStore, answer_from
 from parapet.plans.derived import SP, sql_strip
 from parapet.plans.ingest import ingest
 from parapet.plans.q_chunks import SPEC, sql_chunks, sql_kept, sql_pieces, sql_sentences
@@ -155,16 +155,20 @@ def answer_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunk the documents and write them with their vectors, as an ingest job would."""
+def _stored_chunks(spark: SparkSession, sf: str) -> WrittenStore:
+    """Chunk the documents and write them with their vectors in two batches, as ingest jobs
+    would, the first with chunks that are deleted and come again."""
     docs = C.raw_documents(
         text_table(spark, sf, "documents", "text", "source", "lang"), F.col("text"),
         F.col("source"), F.create_map(F.lit("lang"), F.col("lang")),
     )
     chunks = store.one_per_id(C.chunk_documents(docs), ["chunk_index", "content"])
-    path = shared_folder(spark, "embedded-chunks")
-    embedded_store(chunks).write.parquet(path)
-    return spark.read.parquet(path)
+    written = WrittenStore(spark, shared_folder(spark, "embedded-chunks"))
+    written.write(chunks, 0)
+    some = chunks.where(F.substring("chunk_id", 1, 1) < "4")
+    written.delete(some.select("chunk_id"), 0)
+    written.write(some, 1)
+    return written
 
 
 def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +178,7 @@ def answer_flow(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("text", F.lit(" "), D.payload(F.col("conv_id"))).alias("text"),
         (F.col("conv_id") % 23).alias("top_k"),
     )
-    rows = answer_questions(
+    rows = answer_from(
         questions, _stored_chunks(spark, sf), folder=shared_folder(spark, "answers")
     )
     return rows.select(

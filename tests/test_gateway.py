@@ -147,3 +147,14 @@ def test_request_bounds(spark):
     got = [r.p for r in df.select(G.request_problem(F.col("t"), F.col("k")).alias("p")).collect()]
     assert got == ["query_too_short", "top_k_out_of_range", "top_k_out_of_range",
                    "query_too_long", None]
+
+
+def test_entropy_of_wide_alphabets(spark):
+    import math
+    from collections import Counter
+
+    texts = ["".join(chr(0x4e00 + i % m) for i in range(3_000)) + "é" * 40 for m in (200, 255, 256, 257, 2_000)] + ["", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for text, row in zip(texts, df.select("t", char_entropy(F.col("t")).alias("e")).collect()):
+        counts = Counter(text).values()
+        assert row.e == pytest.approx(-sum(c / len(text) * math.log2(c / len(text)) for c in counts), abs=1e-9)

@@ -59,6 +59,17 @@ def test_markdown(spark):
                    "x = 1\n\nhtml\na_b_c")
 
 
+def test_markdown_code_stays(spark):
+    text = ("# Top\n\n**Use `__init__` and `*p`** and `a & <b>` *now*\n\n```py\ndef __init__(self, *p, **kw):\n"
+            "    # no heading\n- no item <br> & [no](link)\n\n\n\n> x\n```\nafter `` ` `` __end__\n~~~\nopen _fence_")
+    df = spark.createDataFrame([(text,), ("`open *soft*",), ("a\ufdd0b `c`",)], "t string")
+    got = [r.m for r in df.select(I.strip_markdown(F.col("t")).alias("m")).collect()]
+    assert got[0] == (
+        "Top\n\nUse __init__ and *p and a &amp; &lt;b&gt; now\n\ndef __init__(self, *p, **kw):\n    # no heading\n"
+        "- no item &lt;br&gt; &amp; [no](link)\n\n\n\n&gt; x\n\nafter  `  end\nopen _fence_")
+    assert got[1:] == ["`open soft", "ab c"]
+
+
 def test_markup_keeps_entities(spark):
     df = spark.createDataFrame([("<h1>A</h1><p>b &amp; c</p>\n\n\n<i>d</i>",)], "t string")
     assert df.select(I.strip_markup(F.col("t")).alias("m")).first().m == "A\nb &amp; c\n\nd"

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from parapet.functions.embedding import embedder, hashed_embedding
 from parapet.operators import context as X, retrieval as R
 from parapet.plans.answer import answer_questions, embedded_store
+from parapet.plans.chunk_store import WrittenStore, answer_from
+from parapet.session import shared_folder
 
 
 def frames(spark, queries, items):
@@ -145,6 +147,25 @@ def test_whole_question_flow(spark):
     assert got[1].answer == X.NO_ANSWER and got[1].hits == 0
 
 
+def test_flow_on_a_store_with_either_search(spark):
+    rows = [(f"id{i}", "notes", f"Note {i} is about subject{i % 9} and thing{i}.", {"n": str(i)}) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, content string, metadata map<string,string>")
+    questions = spark.createDataFrame(
+        [(i, f"What about subject{i % 9} and thing{i}?", 2) for i in range(0, 60, 7)], "query_id long, text string, top_k int")
+    path = shared_folder(spark, "contract")
+    answers = []
+    for strategy in (R.nearest, R.CellSearch(recall=1.0)):
+        held = WrittenStore(spark, path, strategy=strategy)
+        if not answers:
+            held.write(chunks, 0)
+            held.delete(chunks.where("chunk_id = 'id7'").select("chunk_id"), 0)
+            assert held.held(chunks).count() == 59 and held.held(chunks, before=0).count() == 0
+        got = answer_from(questions, held).collect()
+        answers.append({r.query_id: (r.answer, [s["content_preview"] for s in r.sources]) for r in got})
+    assert answers[0] == answers[1] and "thing14." in answers[0][14][0] and not any(
+        "thing7." in text for text in answers[0][7][1])
+
+
 def test_own_embedder(spark):
     def lengths(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [float(len(t)), 1.0])
