@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parapet.functions import text as T
 from parapet.functions.once import bind
 
-NO_STRINGS = "array<string>"
-
 
 @dataclass(frozen=True)
 class ChunkSpec:
@@ -36,60 +34,59 @@ class ChunkSpec:
         return self
 
 
-def _none() -> Column:
-    return F.array().cast(NO_STRINGS)
-
-
 FOLD_BLOCK = 2_048
 
 
-def folded(items: Column, fields: dict[str, Column], step) -> Column:
-    """Fold an array into a struct whose first field ``done`` is a growing list.
+def _starts(lengths: Column, size: int, extra: int) -> Column:
+    """Where greedy lines begin among items of some lengths, as places from 0.
 
-    A fold copies its state at every step. The items are therefore folded in blocks that
-    start with an empty list, and the lists of the blocks are joined once per block, so a
-    text of many megabytes does not copy its chunks once per word.
+    An item costs its length plus one, and opens a new line if its length plus ``extra`` does
+    not fit. Only integers are folded. The fold goes over blocks of items that start with an
+    empty list, which are joined once per block, so a text of many megabytes does not copy
+    its list once per line.
     """
-    names = list(fields)
-    start = F.struct(*[value.alias(name) for name, value in fields.items()])
+    none = F.array().cast("array<int>")
+    empty = F.struct(none.alias("done"), F.lit(None).cast("int").alias("used"), F.lit(0).alias("at"))
+
+    def step(state: Column, length: Column) -> Column:
+        opens = state["used"].isNull() | (state["used"] + length + extra > size)
+        return F.struct(
+            F.when(opens, F.concat(state["done"], F.array(state["at"]))).otherwise(state["done"]).alias("done"),
+            (F.when(opens, length).otherwise(state["used"] + length) + 1).alias("used"),
+            (state["at"] + 1).alias("at"))
 
-    def over_blocks(all_items: Column) -> Column:
+    def over_blocks(every: Column) -> Column:
         blocks = F.sequence(F.lit(0), F.greatest(
-            F.ceil(F.size(all_items) / FOLD_BLOCK).cast("int") - 1, F.lit(0)))
+            F.ceil(F.size(every) / FOLD_BLOCK).cast("int") - 1, F.lit(0)))
 
         def one_block(state: Column, block: Column) -> Column:
-            empty = F.struct(_none().alias("done"), *[state[n].alias(n) for n in names[1:]])
-            inner = F.aggregate(F.slice(all_items, block * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), empty, step)
-            return bind(inner, lambda own: F.struct(
-                F.concat(state["done"], own["done"]).alias("done"),
-                *[own[n].alias(n) for n in names[1:]]))
+            own = F.aggregate(
+                F.slice(every, block * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)),
+                F.struct(none.alias("done"), state["used"].alias("used"), state["at"].alias("at")), step)
+            return bind(own, lambda inner: F.struct(
+                F.concat(state["done"], inner["done"]).alias("done"), inner["used"].alias("used"),
+                inner["at"].alias("at")))
 
-        return F.aggregate(blocks, start, one_block)
+        return F.aggregate(blocks, empty, one_block)["done"]
 
-    return bind(items, over_blocks)
+    small = F.aggregate(lengths, empty, step)["done"]
+    return F.when(F.size(lengths) <= FOLD_BLOCK, small).otherwise(bind(lengths, over_blocks))
 
 
-def pack_words(text: Column, size: int) -> Column:
-    """Fill lines greedily; a word costs its length plus one, a longer word stays whole."""
+def _lines(items: Column, size: int, extra: int) -> Column:
+    """The items joined by blanks, line by line; each line is sliced and joined once."""
 
-    def step(state: Column, word: Column) -> Column:
-        cost = F.length(word) + 1
-        full = state["line"].isNotNull() & (state["used"] + cost > size)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["line"])))
-            .otherwise(state["done"]).alias("done"),
-            F.when(full | state["line"].isNull(), word)
-            .otherwise(F.concat(state["line"], F.lit(" "), word)).alias("line"),
-            F.when(full, cost).otherwise(state["used"] + cost).alias("used"),
-        )
+    def cut(every: Column) -> Column:
+        starts = bind(F.transform(every, F.length), lambda lengths: _starts(lengths, size, extra))
+        return bind(starts, lambda first: F.transform(first, lambda start, k: F.array_join(
+            F.slice(every, start + 1, F.coalesce(F.get(first, k + 1), F.size(every)) - start), " ")))
 
-    def finish(state: Column) -> Column:
-        return F.when(state["line"].isNull(), state["done"]).otherwise(
-            F.concat(state["done"], F.array(state["line"]))
-        )
+    return bind(items, cut)
 
-    fields = {"done": _none(), "line": F.lit(None).cast("string"), "used": F.lit(0)}
-    return bind(folded(T.words(text), fields, step), finish)
+
+def pack_words(text: Column, size: int) -> Column:
+    """Fill lines greedily; a word costs its length plus one, a longer word stays whole."""
+    return _lines(T.words(text), size, 1)
 
 
 def pack_pieces(pieces: Column, spec: ChunkSpec) -> Column:
@@ -99,33 +96,13 @@ def pack_pieces(pieces: Column, spec: ChunkSpec) -> Column:
     an overlap that the previous chunk itself started with.
     """
 
-    def chunk(state: Column) -> Column:
-        return F.array(T.strip(F.concat(state["lead"], state["body"])))
-
-    def step(state: Column, piece: Column) -> Column:
-        full = state["body"].isNotNull() & (state["used"] + F.length(piece) > spec.size)
-        lead = (
-            F.concat(F.right(state["body"], F.lit(spec.overlap)), F.lit(" "))
-            if spec.overlap
-            else F.lit("")
-        )
-        return F.struct(
-            F.when(full, F.concat(state["done"], chunk(state)))
-            .otherwise(state["done"]).alias("done"),
-            F.when(full | state["body"].isNull(), piece)
-            .otherwise(F.concat(state["body"], F.lit(" "), piece)).alias("body"),
-            F.when(full, F.length(piece) + 1)
-            .otherwise(state["used"] + F.length(piece) + 1).alias("used"),
-            F.when(full, lead).otherwise(state["lead"]).alias("lead"),
-        )
-
-    def finish(state: Column) -> Column:
-        return F.when(state["body"].isNull(), state["done"]).otherwise(
-            F.concat(state["done"], chunk(state))
-        )
+    def with_lead(bodies: Column) -> Column:
+        if not spec.overlap:
+            return F.transform(bodies, T.strip)
+        return F.transform(bodies, lambda body, k: T.strip(F.when(k == 0, body).otherwise(F.concat(
+            F.right(F.get(bodies, k - 1), F.lit(spec.overlap)), F.lit(" "), body))))
 
-    fields = {"done": _none(), "body": F.lit(None).cast("string"), "used": F.lit(0), "lead": F.lit("")}
-    return bind(folded(pieces, fields, step), finish)
+    return bind(_lines(pieces, spec.size, 0), with_lead)
 
 
 def pieces(text: Column, size: int) -> Column:
