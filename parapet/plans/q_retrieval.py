@@ -8,6 +8,7 @@ from parapet.functions import signatures as S, text as T
 from parapet.functions.embedding import DIMENSIONS, hashed_embedding
 from parapet.operators import chunking as C, context as X, intake, retrieval as R, store
 from parapet.plans import derived as D
+from parapet.plans.answer import kept_table
 from parapet.plans.chunk_store import WrittenStore, answer_from
 from parapet.plans.derived import SP, sql_strip
 from parapet.plans.ingest import ingest
@@ -162,7 +163,8 @@ def _stored_chunks(spark: SparkSession, sf: str) -> WrittenStore:
         text_table(spark, sf, "documents", "text", "source", "lang"), F.col("text"),
         F.col("source"), F.create_map(F.lit("lang"), F.col("lang")),
     )
-    chunks = store.one_per_id(C.chunk_documents(docs), ["chunk_index", "content"])
+    chunks = kept_table(store.one_per_id(C.chunk_documents(docs), ["chunk_index", "content"]),
+                        shared_folder(spark, "chunks"), "all")
     written = WrittenStore(spark, shared_folder(spark, "embedded-chunks"))
     written.write(chunks, 0)
     some = chunks.where(F.substring("chunk_id", 1, 1) < "4")

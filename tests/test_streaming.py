@@ -78,3 +78,23 @@ def test_access_log_source_and_stream_dedup(spark, tmp_path):
     assert stream.isStreaming
     unique = stream_unique(stream.select(F.col("timestamp").alias("ts"), F.col("request_id").alias("chunk_id")))
     assert unique.isStreaming
+
+
+def test_late_rows_are_split_off_and_judged(spark):
+    from parapet.streaming.rates import RateStream
+
+    folder = shared_folder(spark, "rate-test")
+    job = RateStream(spark, folder, 60, 120, ["key"])
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batch = lambda rows: spark.createDataFrame([(at(s) if s is not None else None, k) for s, k in rows],
+                                               "ts string, key string").selectExpr("cast(ts AS timestamp) AS ts", "key")
+    first, second = batch([(10, "a"), (300, "a"), (None, "b")]), batch([(20, "a"), (150, "b"), (180, "a"), (310, "a")])
+    job.advance(first, 0)
+    for _ in range(2):  # closed up to 180 s: the windows that end at 60 and 180 are, that at 180 is open
+        job.advance(second, 1)
+    got = {(r.window_start_us // 10**6 % 3600, r.key): r.n for r in job.rates().collect()}
+    assert got == {(0, "a"): 1, (300, "a"): 2, (180, "a"): 1}
+    assert sorted((r.reason, r.key, r.batch) for r in job.late().collect()) == [
+        ("late", "a", 1), ("late", "b", 1), ("no_time", "b", 0)]
+    judged = {(r.window_start_us // 10**6 % 3600, r.key): r.n for r in job.judged().collect()}
+    assert judged == {**got, (0, "a"): 2, (120, "b"): 1}
