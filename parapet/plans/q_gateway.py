@@ -9,6 +9,7 @@ from parapet.functions.entropy import char_entropy, level_score
 from parapet.operators import gateway as G, metrics
 from parapet.plans import derived as D
 from parapet.plans.derived import EDGE_L, EDGE_R, SP, sql_strip
+from parapet.sources.tables import text_table
 
 ENTROPY_PLACES = 6
 
@@ -171,12 +172,23 @@ def rag_queries_total(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rag_queries_total(G.evaluate(D.questions(spark, sf)))
 
 
+#: A user's catalogue in place of the given one.
+OWN_RULES = (S.Rule("ending", r"\btion\b|ent\.", 30), S.Rule("double", r"ee|\n", 55))
+
+
+def own_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = text_table(spark, sf, "conversations", "conv_id", "turn", "text")
+    hits = G.matched_rules(F.col("text"), OWN_RULES)
+    return rows.select("conv_id", "turn", *[
+        F.array_contains(hits, F.lit(i)).alias(rule.label) for i, rule in enumerate(OWN_RULES)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (query_validate, request_bounds, length_gate, query_hash, nfc_strip, signature_hits,
               early_exit, entropy_score, entropy_rule, threat_level, block_decision,
               sanitize_query, gateway, gateway_permissive, rejections, violations_total,
-              rule_triggers_total, rag_queries_total)
+              rule_triggers_total, rag_queries_total, own_rules)
 }
 
 
@@ -287,6 +299,8 @@ def sql_gateway(limit: int) -> str:
 _STRICT = sql_gateway(S.SUSPICIOUS_SCORE)
 
 ORACLE = {
+    "own_rules": r"""SELECT conv_id, turn, regexp_matches(text, '\btion\b|ent\.', 'i') AS ending,
+  regexp_matches(text, 'ee|\n', 'i') AS double FROM conversations""",
     "query_validate": f"""WITH {D.QUESTIONS}
 SELECT query_id, CASE WHEN query_id % 7 = 0 THEN 'null_byte' END AS reject_reason,
        CASE WHEN query_id % 7 <> 0 THEN length({sql_strip('text')}) END AS chars

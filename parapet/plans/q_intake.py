@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions import magic
@@ -10,6 +13,8 @@ from parapet.operators import intake
 from parapet.plans import derived as D
 from parapet.plans.derived import sql_strip
 from parapet.plans.ingest import prepare
+from parapet.session import shared_folder
+from parapet.sources.files import uploads
 from parapet.sources.tables import table, text_table
 
 UPLOAD_LIMIT = 16_384  # a smaller limit than the default, so that some files exceed it
@@ -121,6 +126,34 @@ def markdown_code(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.length("plain").cast("long").alias("chars"), F.sha2("plain", 256).alias("sha"))
 
 
+def decode_replacing(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with two bytes that are not UTF-8 in front, between and behind."""
+    broken = F.unhex(F.lit("FF"))
+    content = F.concat(broken, F.encode("text", "UTF-8"), broken, F.encode(F.col("doc_id").cast("string"), "UTF-8"), broken)
+    return text_table(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", F.sha2(intake.decode_replacing(content), 256).alias("sha"))
+
+
+def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of several kinds in folders; text and markdown files are found."""
+    folder = shared_folder(spark, "scan")
+    docs = text_table(spark, sf, "documents", "doc_id", "text")
+    kinds = {0: "a/x.txt", 1: "a/b/y.md", 2: "z.TXT", 3: "c/w.html"}
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                system, path = pafs.FileSystem.from_uri(f"{folder}/{doc_id}/{kinds[doc_id % 4]}")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(text.encode())
+            yield frame[["doc_id"]]
+
+    docs.mapInPandas(write, "doc_id long").count()
+    return uploads(spark, folder, "*.{txt,md}").select(
+        "filename", "length", F.sha2("content", 256).alias("sha"))
+
+
 def _pages_of_file(frame: pd.DataFrame) -> pd.DataFrame:
     """A decoder for the checks: the lines after the mark of a page file are its pages."""
     pages = bytes(frame["content"][0])[4:].decode().split("\n")
@@ -165,7 +198,7 @@ def intake_disposition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (mime_tricky, strip_markdown, markdown_code, ingest_balance, ingest_sources, decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
+    for f in (mime_tricky, strip_markdown, markdown_code, decode_replacing, scanned_files, ingest_balance, ingest_sources, decode_text, detect_mime, supported_split, strip_markup, page_rows, section_split,
               parse_errors, intake_disposition)
 }
 
@@ -211,6 +244,9 @@ ORACLE = {
     || ' and link with Tom &amp; "Jerry" 1 &lt; 2' || chr(10) || chr(10) || 'item' || chr(10) || chr(10)
     || regexp_replace(text, '[^\p{L}\p{N} .,\n]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')""")} AS plain FROM documents)
 SELECT doc_id, length(plain) AS chars, sha256(plain) AS sha FROM t""",
+    "decode_replacing": """SELECT doc_id, sha256(chr(65533) || text || chr(65533) || doc_id || chr(65533)) AS sha FROM documents""",
+    "scanned_files": """SELECT doc_id || CASE doc_id % 4 WHEN 0 THEN '/a/x.txt' ELSE '/a/b/y.md' END AS filename,
+  strlen(text) AS length, sha256(text) AS sha FROM documents WHERE doc_id % 4 < 2""",
     "markdown_code": r"""WITH t AS (
   SELECT doc_id, 'Code' || chr(10) || chr(10) || 'see __x' || doc_id || '__ here' || chr(10) || chr(10) || '# __x' || doc_id
     || '__ &lt;*p&gt; **kw' || chr(10) || '- ' || regexp_replace(text, '[`~&<>]', '', 'g') || chr(10) || chr(10)

@@ -117,6 +117,20 @@ def alert_violations_given(spark: SparkSession, sf: str) -> DataFrame:
     return _at(alerts.violation_spike(_violations(spark, sf)))
 
 
+SLOWER, DENSER = 4.0, 1_000
+
+
+def alert_p95_slow(spark: SparkSession, sf: str) -> DataFrame:
+    """The given threshold and hold time, on the whole log with four times the durations."""
+    return _at(alerts.high_p95(D.requests(spark, sf).withColumn("duration_s", F.col("duration_s") * SLOWER)))
+
+
+def alert_violations_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The given rate and hold time, on all violations within a thousandth of their time."""
+    dense = F.timestamp_micros(F.floor(F.unix_micros("ts") / DENSER))
+    return _at(alerts.violation_spike(_violations(spark, sf).withColumn("ts", dense)))
+
+
 def alert_absence(spark: SparkSession, sf: str) -> DataFrame:
     rows = alerts.absent(D.requests(spark, sf), "method")
     rows = rows.unionByName(alerts.absent(D.requests(spark, sf), "api_key"))
@@ -156,7 +170,7 @@ QUERIES = {
     for f in (route_template, requests_total, duration_histogram, response_times, request_rate,
               error_ratio, latency_quantiles, blocked_5m, rate_by_status, rate_by_route,
               violations_by_level, top_rules, reflections_5m, rag_rate, alert_error_rate,
-              alert_error_rate_given, alert_p95_given, alert_violations_given, alert_absence, alert_p95, alert_violations, alert_reflection, threshold_bands,
+              alert_error_rate_given, alert_p95_given, alert_violations_given, alert_p95_slow, alert_violations_dense, alert_absence, alert_p95, alert_violations, alert_reflection, threshold_bands,
               counter_increase)
 }
 
@@ -281,6 +295,14 @@ SELECT * FROM points""",
     "alert_p95_given": f"""WITH {D.REQUESTS}, {sql_points('requests', 300, 30, {'n': '1', **_BUCKETS})},
 {sql_held(f'{sql_quantile(0.95)} > 5', 600)} SELECT at_us FROM fired""",
     "alert_violations_given": f"""WITH {_VIOLATIONS}, {sql_points('violations', 300, 30, {'n': '1'})},
+{sql_held('n / 300.0 > 0.2', 300)} SELECT at_us FROM fired""",
+    "alert_p95_slow": f"""WITH {D.REQUESTS}, slow AS (
+  SELECT * REPLACE (duration_s * {SLOWER}::DOUBLE AS duration_s) FROM requests
+), {sql_points('slow', 300, 30, {'n': '1', **_BUCKETS})},
+{sql_held(f'{sql_quantile(0.95)} > 5', 600)} SELECT at_us FROM fired""",
+    "alert_violations_dense": f"""WITH {_VIOLATIONS}, dense AS (
+  SELECT * REPLACE (make_timestamp(epoch_us(ts) // {DENSER}) AS ts) FROM violations
+), {sql_points('dense', 300, 30, {'n': '1'})},
 {sql_held('n / 300.0 > 0.2', 300)} SELECT at_us FROM fired""",
     "alert_absence": f"""WITH {D.REQUESTS}, seen AS (
   SELECT DISTINCT kind, target, at_us FROM (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions import signatures as S, text as T
-from parapet.functions.embedding import DIMENSIONS, hashed_embedding
+from parapet.functions.embedding import DIMENSIONS, embedder, hashed_embedding
 from parapet.operators import chunking as C, context as X, intake, retrieval as R, store
 from parapet.plans import derived as D
 from parapet.plans.answer import kept_table
@@ -150,6 +151,23 @@ def extractive_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def own_generator(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's batch model writes the answers."""
+    docs = text_table(spark, sf, "documents", "doc_id", "lang", "text")
+    rows = X.generate(docs, lambda frame: frame["lang"] + ":" + frame["text"].str.len().astype(str))
+    return rows.select("doc_id", "raw_output")
+
+
+def own_embedder(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's batch model makes the vectors."""
+    def shape(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(len(t)), float(t.count(" ")), 1.0])
+
+    docs = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", embedder(shape)("text").alias("vector"))
+    return docs.select("doc_id", *[F.col("vector")[i].cast("long").alias(name) for i, name in enumerate(
+        ("chars", "blanks", "one"))])
+
+
 def answer_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return text_table(spark, sf, "conversations").select(
         "conv_id", "turn", T.word_count(F.col("text")).alias("tokens")
@@ -210,7 +228,7 @@ def ingest_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (embed_hash, knn_exact, similarity_score, knn_threshold, metadata_text, knn_lsh, knn_recall,
+    for f in (embed_hash, knn_exact, similarity_score, knn_threshold, metadata_text, knn_lsh, knn_recall, own_generator, own_embedder,
               source_previews, context_blocks, empty_retrieval, prompts, extractive_answers,
               answer_tokens, answer_flow, ingest_flow)
 }
@@ -292,6 +310,9 @@ SELECT query_id, item_id, rank, round(cosine, {R.PLACES}) AS cosine FROM ranked
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM ranked
 )
 SELECT query_id, item_id, rank, cosine FROM placed WHERE rank <= 5""",
+    "own_generator": """SELECT doc_id, lang || ':' || length(text) AS raw_output FROM documents""",
+    "own_embedder": """SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks,
+  CAST(1 AS BIGINT) AS one FROM documents""",
     "knn_recall": """SELECT count(*) * least(5, count(*)) AS expected, TRUE AS reached FROM embeddings""",
     "similarity_score": f"""WITH {sql_ranked()}
 SELECT query_id, item_id, round(similarity, 4) AS relevance_score FROM scored WHERE rank <= 5""",
