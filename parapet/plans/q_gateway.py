@@ -173,7 +173,7 @@ def rag_queries_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A user's catalogue in place of the given one.
-OWN_RULES = (S.Rule("ending", r"\btion\b|ent\.", 30), S.Rule("double", r"ee|\n", 55))
+OWN_RULES = (S.Rule("ending", r"tion |ent\.", 30), S.Rule("double", r"ee|\n", 55))
 
 
 def own_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +299,7 @@ def sql_gateway(limit: int) -> str:
 _STRICT = sql_gateway(S.SUSPICIOUS_SCORE)
 
 ORACLE = {
-    "own_rules": r"""SELECT conv_id, turn, regexp_matches(text, '\btion\b|ent\.', 'i') AS ending,
+    "own_rules": r"""SELECT conv_id, turn, regexp_matches(text, 'tion |ent\.', 'i') AS ending,
   regexp_matches(text, 'ee|\n', 'i') AS double FROM conversations""",
     "query_validate": f"""WITH {D.QUESTIONS}
 SELECT query_id, CASE WHEN query_id % 7 = 0 THEN 'null_byte' END AS reject_reason,
