@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parapet.functions import histogram as H
-from parapet.operators.ordered import previous_value
+from parapet.operators.ordered import fitting_slice, previous_value
 
 # ---- fixed values: route templates, tile thresholds ----
 ROUTE_TEMPLATES = ((r"^/api/v1/documents/[^/]+$", "/api/v1/documents/{doc_id}"),)
@@ -24,6 +24,7 @@ BANDS = {
 }
 # ---- end of fixed values ----
 MICROS = 1_000_000
+WIDEST_SLICE_S = 16 * 86_400  # of a series whose samples are few
 
 
 def route_template(path: Column, templates: Sequence[tuple[str, str]] = ROUTE_TEMPLATES) -> Column:
@@ -236,17 +237,27 @@ def tiles(log: DataFrame, blocked: Column, length_s: int = 300, step_s: int = 30
 
 
 def counter_increase(
-    samples_: DataFrame, length_s: int = 3600, slice_s: int = 21_600
+    samples_: DataFrame, length_s: int = 3600, slice_s: int | None = None
 ) -> DataFrame:
     """Increase of scraped counters per series and window, with resets.
 
     ``samples_`` holds ``series, ts, value`` and unique ``ts`` per series. A value below the
     one before it means a reset, and counts whole. The first sample of a series adds
-    nothing. Windows are not extrapolated to their edges.
+    nothing. Windows are not extrapolated to their edges. Samples without a time belong to
+    no window and are left out.
+
+    A series is read in time slices that pass their last value on. Their width follows the
+    counted samples of the busiest series (``fitting_slice``) unless it is given; it never
+    changes a result.
     """
-    sliced = samples_.withColumn(
-        "_slice", F.floor(F.unix_micros("ts") / F.lit(slice_s * MICROS))
-    )
+    timed = samples_.where(F.col("ts").isNotNull())
+    micros = F.unix_micros("ts")
+    if slice_s is None:
+        slice_us = fitting_slice(
+            timed.select(F.col("series").alias("key"), micros.alias("at")), WIDEST_SLICE_S * MICROS)
+    else:
+        slice_us = slice_s * MICROS
+    sliced = timed.withColumn("_slice", F.floor(micros / F.lit(slice_us)))
     stepped = previous_value(sliced, ["series"], "_slice", ["ts"], "value", "_before")
     gain = (
         F.when(F.col("_before").isNull(), 0)

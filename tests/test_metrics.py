@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parapet.functions import histogram as H
-from parapet.operators import alerts, metrics as M
+from parapet.operators import alerts, metrics as M, ordered
 from parapet.operators.gateway import evaluate
 
 START = datetime(2024, 1, 1)
@@ -65,11 +65,30 @@ def test_counter_resets_across_slices(spark):
     df = spark.createDataFrame(
         [("s", START + timedelta(seconds=40 * i + 1), v) for i, v in enumerate(values)],
         "series string, ts timestamp, value long")
-    for slice_s in (50, 100_000):
+    for slice_s in (50, 100_000, None):
         total = M.counter_increase(df, 3600, slice_s).agg(F.sum("increase")).first()[0]
         assert total == 3 + 2 + 0 + 7
 
 
+def test_busy_counter_is_cut_by_its_samples(spark, monkeypatch):
+    """A series with nearly all samples, most of them in one second, and one without a time."""
+    busy = [("busy", START + timedelta(seconds=1, milliseconds=i), i % 400) for i in range(900)]
+    busy += [("busy", START + timedelta(hours=3, seconds=i), i % 7) for i in range(50)]
+    rows = busy + [(f"s{i}", START + timedelta(hours=i), i) for i in range(5)] + [("busy", None, 1)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp, value long")
+    want = sum(b if b < a else b - a for (_, _, a), (_, _, b) in zip(busy, busy[1:]))
+    widths = []
+
+    def fitting(events, widest):
+        widths.append(ordered.fitting_slice(events, widest, 100))
+        return widths[-1]
+
+    monkeypatch.setattr(M, "fitting_slice", fitting)
+    total = M.counter_increase(df, 3600).groupBy("series").agg(F.sum("increase").alias("n"))
+    assert {r.series: r.n for r in total.collect()}["busy"] == want
+    assert widths == [ordered.SECOND_US]
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(9.0,), (10.0,), (50.0,)], "v double")
     assert [r.b for r in df.select(M.band(F.col("v"), "request_rate").alias("b")).collect()] == [
