@@ -7,7 +7,8 @@ texts that are labelled with it. The language with the largest cosine wins.
 
 Letters are lower-cased; any other character is a blank, as are the ends of a text, and
 triples of blanks are left out. Only vectors of ``DIMENSIONS`` numbers per language leave the tasks; the number of
-languages is the number of labels and is taken to be small.
+languages is the number of labels and is taken to be small. A text of any length is bundled
+in slices of ``SLICE`` characters and ``KINDS`` distinct triples.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is every
 text if nothing was learned; the first language in alphabetical order wins a tie; a null
@@ -16,6 +17,8 @@ label is not learned from; repeated rows are treated alike; other columns are no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +30,7 @@ DIMENSIONS = 512
 FOLDS, FOLD = 3, 1
 UNKNOWN = "und"
 SMALL_ALPHABET = 96
+SLICE, KINDS = 1 << 20, 1 << 14
 
 
 def with_fold(docs: DataFrame) -> DataFrame:
@@ -42,8 +46,9 @@ def letter_vectors(letters: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1)[:, :DIMENSIONS]
 
 
-def triples(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Alphabet of the block, and for each triple its letters' places and its row."""
+def _letters(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Alphabet of the block (the blank first), the place of every character in it with a
+    blank before and after each text, so that a lone letter makes a triple, and its row."""
     points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), np.uint32)
     ends = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.offsets]
     present = np.flatnonzero(np.bincount(points, minlength=1))
@@ -52,34 +57,58 @@ def triples(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = chr(point).lower()[:1]
         lowered[i] = ord(low) if low.isalpha() else 0
     alphabet, place = np.unique(np.append(lowered, 0), return_inverse=True)
-    table = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
+    table = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int32)
     table[present] = place[:-1]
-    # a blank before and after every text, so that a lone letter makes a triple
     lengths = np.diff(ends)
-    row = np.repeat(np.arange(len(block)), lengths + 2)
-    codes = np.zeros(len(row), np.int64)
+    row = np.repeat(np.arange(len(block), dtype=np.int32), lengths + 2)
+    codes = np.zeros(len(row), np.int32)
     codes[np.arange(len(points)) + np.repeat(2 * np.arange(len(block)) + 1, lengths)] = table[points]
-    parts = np.stack([codes[:-2], codes[1:-1], codes[2:]])
-    good = (row[:-2] == row[2:]) & (parts.max(0) > 0)
-    return alphabet, parts[:, good], row[:-2][good]
-
-
-def _encoded(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the block's distinct triples, each triple's place among them, its row."""
-    alphabet, parts, row = triples(block)
-    size = len(alphabet)
-    key = (parts[0] * size + parts[1]) * size + parts[2]
-    if size <= SMALL_ALPHABET:
-        present = np.flatnonzero(np.bincount(key, minlength=1))
-        table = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
-        table[present] = np.arange(len(present))
-        place = table[key]
-    else:
-        present, place = np.unique(key, return_inverse=True)
+    return alphabet, codes, row
+
+
+def _triples(codes: np.ndarray, row: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key and row of the triples that hold a letter, ``SLICE`` characters at a time."""
+    for at in range(0, len(codes) - 2, SLICE):
+        own, rows = codes[at:at + SLICE + 2].astype(np.int64), row[at:at + SLICE + 2]
+        first, second, third = own[:-2], own[1:-1], own[2:]
+        good = (rows[:-2] == rows[2:]) & ((first | second | third) > 0)
+        yield ((first * size + second) * size + third)[good], rows[:-2][good].astype(np.int64)
+
+
+def _distinct(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    if size > SMALL_ALPHABET:
+        return np.unique(key, return_inverse=True)
+    present = np.flatnonzero(np.bincount(key, minlength=1))
+    table = np.zeros(int(present[-1]) + 1 if len(present) else 1, np.int64)
+    table[present] = np.arange(len(present))
+    return present, table[key]
+
+
+def bundled(block: Block, target: np.ndarray | None = None, targets: int | None = None
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the triple vectors, and number of triples, per row of the block (or per
+    ``target`` of a row). At most ``KINDS`` triple vectors exist at a time."""
+    alphabet, codes, row = _letters(block)
+    size, rows = len(alphabet), len(block) if targets is None else targets
     letters = letter_vectors(alphabet)
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    vectors = first[present // (size * size)] * second[present // size % size] * letters[present % size]
-    return vectors.astype(np.float32), place, row
+    sums, count = np.zeros((rows, DIMENSIONS)), np.zeros(rows, np.int64)
+    for key, own in _triples(codes, row, size):
+        own = own if target is None else target[own]
+        count += np.bincount(own, minlength=rows)
+        present, place = _distinct(key, size)
+        order = np.argsort(place, kind="stable") if len(present) > KINDS else None
+        for low in range(0, len(present), KINDS):
+            kinds = present[low:low + KINDS]
+            vectors = (first[kinds // (size * size)] * second[kinds // size % size]
+                       * letters[kinds % size]).astype(np.float32)
+            if order is None:
+                sums += weighted_rows(place, own, rows, vectors)
+            else:
+                a, b = np.searchsorted(place, [low, low + KINDS], sorter=order)
+                sums += weighted_rows(place[order[a:b]] - low, own[order[a:b]], rows, vectors)
+    return sums, count
 
 
 def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -87,12 +116,10 @@ def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for block in blocks(batches):
-            vectors, place, row = _encoded(block)
             langs = block.rows.column(1).to_pylist()
             names = sorted(set(langs))
             of_row = np.searchsorted(np.array(names, dtype=object), np.array(langs, dtype=object))
-            bundled = weighted_rows(place, of_row[row], len(names), vectors)
-            for name, vector in zip(names, bundled.astype(np.float64)):
+            for name, vector in zip(names, bundled(block, of_row, len(names))[0]):
                 sums[name] = sums.get(name, 0) + vector
         for name, vector in sums.items():
             yield pa.RecordBatch.from_arrays(
@@ -121,14 +148,12 @@ def identified(docs: DataFrame) -> DataFrame:
         arrays, facts = arrive(name)
         names = np.array([*facts["langs"], UNKNOWN], object)
         for block in blocks(batches):
-            vectors, place, row = _encoded(block)
-            bundled = weighted_rows(place, row, len(block), vectors)
-            lengths = np.linalg.norm(bundled, axis=1)
-            blank = lengths == 0
-            cosines = bundled @ arrays["matrix"].T / np.where(blank, 1, lengths)[:, None]
+            sums, count = bundled(block)
+            lengths = np.linalg.norm(sums, axis=1)
+            cosines = sums @ arrays["matrix"].T / np.where(lengths == 0, 1, lengths)[:, None]
             none = len(names) == 1
             best = np.full(len(block), len(names) - 1) if none else np.where(
-                ~_has_letter(row, len(block)), len(names) - 1, cosines.argmax(1))
+                count == 0, len(names) - 1, cosines.argmax(1))
             score = np.zeros(len(block)) if none else np.where(
                 best == len(names) - 1, 0.0, np.clip(cosines.max(1), 0.0, 1.0))
             yield pa.RecordBatch.from_arrays(
@@ -139,7 +164,3 @@ def identified(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", "held_out", "text").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
-
-def _has_letter(row: np.ndarray, rows: int) -> np.ndarray:
-    """Every triple that is kept holds a letter."""
-    return np.bincount(row, minlength=rows) > 0
