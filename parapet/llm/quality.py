@@ -240,12 +240,17 @@ class Network:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, vectors: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents, collected."""
+    """Features and labels of at most ``rows`` labelled documents, collected. Documents of
+    equal id and text count once, and the bound is a hash below which they are taken, so
+    an id that repeats neither reaches the driver whole nor pushes others out by its order."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max("quality").alias("quality"))
     known = with_fold(known).filter("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` rows of two numbers
-    chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "quality")), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "quality")), "doc_id")
+    found = found.withColumn("at", F.xxhash64("doc_id", "text"))
+    last = found.select("at").distinct().orderBy("at").limit(rows).agg(F.max("at")).first()[0]
+    chosen = found.filter(F.col("at") <= F.lit(last)).dropDuplicates(["doc_id", "text"])
 
     def run(batches):
         table = arrive(vectors)[0]["vectors"]
@@ -256,11 +261,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, vectors: str, rows: int) -
                 ["doc_id", "quality", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(
+    sample = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(
         run, f"doc_id {kind}, quality int, features binary").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-    x = np.frombuffer(b"".join(found["features"].to_pylist()), np.float32).reshape(-1, FEATURES)
-    return x[:rows], np.array(found["quality"].to_pylist(), np.float64)[:rows]
+    sample = sample.sort_by([("doc_id", "ascending"), ("features", "ascending")])
+    x = np.frombuffer(b"".join(sample["features"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    return x, np.array(sample["quality"].to_pylist(), np.float64)
 
 
 def rated(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,6 +8,8 @@ import numpy as np
 import pytest
 from brute import ODD
 from parapet.llm import hyperlang, ppm, quality
+from parapet.llm.blocks import hashes, mix
+from pyspark.sql import functions as F
 
 
 def fold(doc_id, n):
@@ -129,6 +132,43 @@ def test_language_cases(spark, make, sample):
     assert hyperlang.identified(make([])).count() == 0
 
 
+def plain_bundle(text):
+    """Sum of the bound, permuted letter vectors of every triple with a letter."""
+    letters = [ord(c.lower()[:1]) if c.lower()[:1].isalpha() else 0 for c in f" {text or ''} "]
+    out = np.zeros(hyperlang.DIMENSIONS)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        if a or b or c:
+            one, two, three = hyperlang.letter_vectors(np.array([a, b, c]))
+            out += np.roll(one, 2) * np.roll(two, 1) * three
+    return out
+
+
+def test_languages_equal_the_plain_version(spark, make, sample, monkeypatch):
+    rows = [(i, (t or "")[:400]) for i, t in sample[:60]] + [r for r in ODD if len(r[1] or "") < 500]
+    rows += [(100 + i, "你好世界 再见 çé ß" + chr(0x4E00 + i) * 2) for i in range(9)]
+    lang = {i: ("zh" if 100 <= (i or 0) < 109 else "en") for i, _ in rows}
+    docs = make(rows).withColumn("lang", F.when(F.col("doc_id").between(100, 108), "zh").otherwise("en"))
+    learned = {k: sum(plain_bundle(t) for i, t in rows if lang[i] == k and fold(i, 3) != 1) for k in ("en", "zh")}
+    want = []
+    for i, t in rows:
+        own = plain_bundle(t)
+        cosines = [own @ v / np.linalg.norm(v) / (np.linalg.norm(own) or 1) for v in learned.values()]
+        known = any(c.isalpha() for c in t or "")
+        want.append((str(i), fold(i, 3) == 1, list(learned)[int(np.argmax(cosines))] if known else "und",
+                     round(max(max(cosines), 0.0), 5) if known else 0.0))
+    got = hyperlang.identified(docs).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 5)) for r in got) == sorted(want)
+
+
+def test_bundles_do_not_depend_on_slices(monkeypatch):
+    texts = ["".join(chr(0x4E00 + (i * i) % 997) + ("a" if i % 3 else " ") for i in range(900)), "ab", "", "你"]
+    whole, count = hyperlang.bundled(block(texts))
+    assert (whole == [plain_bundle(t) for t in texts]).all() and count.tolist()[1:] == [2, 0, 1]
+    monkeypatch.setattr(hyperlang, "SLICE", 100)
+    monkeypatch.setattr(hyperlang, "KINDS", 7)
+    assert (hyperlang.bundled(block(texts))[0] == whole).all()
+
+
 def test_held_out_texts_do_not_change_profiles(spark, make):
     rows = [(i, f"abc{chr(97 + i % 20)} def " * 20) for i in range(40)]
     other = [(i, "zzz yyy xxx" if fold(i, 3) == 1 else t) for i, t in rows]
@@ -163,3 +203,60 @@ def test_quality_cases(spark, make):
     none = quality.rated(make(rows), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.rated(make([]), labels).count() == 0
+
+
+def plain_words(text):
+    """Form hash and shape of each run of letters and digits, or of signs."""
+    out = []
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (text or "").encode()):
+        form = hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        upper, digit = re.search(rb"[A-Z]", w) is not None, re.search(rb"[0-9]", w) is not None
+        sign = re.match(rb"[0-9A-Za-z\x80-\xff]", w) is None
+        cased = 3 if re.fullmatch(rb"[A-Z]+", w) else 2 if w[:1].isupper() else int(upper)
+        out.append((form, min(len(w), 15) * 16 + sign * 8 + digit * 4 + cased))
+    return out
+
+
+def test_word_vectors_and_pools_equal_plain_versions(spark, make, sample):
+    rows = [(i, (t or "")[:300]) for i, t in sample[:40]] + [r for r in ODD if len(r[1] or "") < 300]
+    rows += [(5, "A1b2 ... CAPS x-y"), (6, "one"), (7, "  two  words ")]
+    sums = defaultdict(lambda: np.zeros(quality.DIMENSIONS))
+    index = lambda v: [(int(p[0]), int(s[0])) for p, s in quality._index(np.array([v], np.uint64))]
+    places = lambda w: (int(w[0]) >> (64 - quality.SLOT_BITS), quality.SLOTS + w[1])
+    for _, t in rows:
+        own = plain_words(t)
+        marks = [index(f) + index(mix(np.array([s], np.uint64) + np.uint64(0xABCDEF))[0]) for f, s in own]
+        for i, w in enumerate(own):
+            for j in range(max(i - 2, 0), min(i + 3, len(own))):
+                for at, sign in marks[j] if j != i else ():
+                    for place in places(w):
+                        sums[place][at] += sign
+    table = quality.word_vectors(make(rows))
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    for place, total in sums.items():
+        assert table[place] == pytest.approx(unit(total), abs=1e-6)
+    assert {int(i) for i in np.flatnonzero(np.abs(table).sum(1))} <= set(sums)
+    pools = quality.pooled(block([t or "" for _, t in rows]), table)
+    for (_, t), pool in zip(rows, pools):
+        own = plain_words(t)
+        if not own:
+            assert not pool.any()
+            continue
+        want = []
+        for kind in (0, 1):
+            vectors = np.array([unit(sums[places(w)[kind]]) for w in own])
+            want += [*vectors.mean(0), *vectors.std(0)]
+        distinct = len({f for f, _ in own})
+        want += [np.log1p(len(own)), distinct / len(own), np.log1p(distinct) / np.log1p(len(own))]
+        assert pool == pytest.approx(np.array(want), abs=2e-3)
+
+
+def test_a_repeated_labelled_id_stays_in_bounds(spark, make, monkeypatch):
+    rows = [(i, f"text of {i}") for i in range(30)] + [(3, "text of 3")] * 40 + [(4, f"other {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    docs = make(rows)
+    name = quality.ship(spark, "vectors", {"vectors": quality.word_vectors(docs)})
+    x, y = quality.training_rows(docs, labels, name, 1000)
+    learned = [(i, t) for i, t in set(rows) if fold(i, 5)]
+    assert len(x) == len(y) == len(learned) and y.sum() == sum(i % 2 for i, _ in learned)
+    assert len(quality.training_rows(docs, labels, name, 12)[0]) <= 12
