@@ -37,26 +37,34 @@ def open_folder(uri: str):
     return system, path.rstrip("/")
 
 
-def ship(spark: SparkSession, purpose: str, arrays: dict[str, np.ndarray], **facts) -> str:
-    """Send arrays to all executors as one file that workers map into memory.
-
-    The caller proves the size bound. Returns the name for ``arrive``.
-    """
+def save(folder: str, purpose: str, arrays: dict[str, np.ndarray], facts: dict) -> str:
+    """Write arrays as one file that ``arrive`` maps into memory; runs anywhere. Returns its
+    name, new for each call, so that a repeated task disturbs nobody."""
     name = f"{purpose}-{uuid.uuid4().hex[:12]}.bin"
     layout, at = {}, 0
     for key, value in arrays.items():
         layout[key] = (str(value.dtype), list(value.shape), at)
         at += -(-value.nbytes // 64) * 64
     head = json.dumps({"arrays": layout, "facts": facts}).encode()
-    folder = shared_folder(spark, purpose)
     system, path = open_folder(folder)
-    system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/{name}") as out:
         out.write(len(head).to_bytes(8, "little") + head)
         out.write(b"\0" * (-(8 + len(head)) % 64))
         for value in arrays.values():
             out.write(np.ascontiguousarray(value).tobytes())
             out.write(b"\0" * (-value.nbytes % 64))
+    return name
+
+
+def ship(spark: SparkSession, purpose: str, arrays: dict[str, np.ndarray], **facts) -> str:
+    """Send arrays to all executors as one file that workers map into memory.
+
+    The caller proves the size bound. Returns the name for ``arrive``.
+    """
+    folder = shared_folder(spark, purpose)
+    system, path = open_folder(folder)
+    system.create_dir(path, recursive=True)
+    name = save(folder, purpose, arrays, facts)
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 

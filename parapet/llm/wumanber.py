@@ -3,12 +3,13 @@
 The patterns are the windows of ten consecutive words of every benchmark item (an item of
 fewer words is one window). For each pattern length there is a shift table over blocks of
 two words: a search position moves on by the shift, positions of shift 0 look into the
-bucket of their last block, the first word is checked, and the bytes of the whole window
-confirm the occurrence. The search runs over many stretches of text at once.
+bucket of their last block and first word, and the bytes of the whole window
+confirm the occurrence. The search runs over many stretches of text at once. A shift table
+has eight slots or more for each pattern, up to 2^``MOST_BITS``.
 
-Items are taken in blocks of at most ``BLOCK_TEXT`` bytes of text. Each block becomes one
-file that workers map into memory, so neither the driver nor a worker holds more than a
-block however many items there are; every text is searched for all blocks in one pass.
+Items are dealt by hash to blocks of about ``BLOCK_TEXT`` bytes of text. Spark tasks compile
+each block into one file of the shared folder, and workers map the files into memory; the
+driver sees their names only. Every text is searched for all blocks in one pass.
 
 Defined cases: a null or empty text has no words, an item without words no window; items
 that share an id are one item, a null id is written ``null``; repeated rows are searched
@@ -17,18 +18,17 @@ alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.llm.blocks import ALNUM, LOWER, Block, blocks, hashes, mix, words
-from parapet.llm.shared import arrive, ship
+from parapet.llm.shared import arrive, open_folder, save
+from parapet.session import shared_folder
 
 WINDOW = 10
-TABLE_BITS = 18
-BLOCK_TEXT = 16 << 20
+LEAST_BITS, MOST_BITS = 18, 25
+BLOCK_TEXT = 8 << 20
 STRETCH = 128
 
 
@@ -36,8 +36,13 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x2545F4914F6CDD1D) + second)
 
 
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _slot(pairs: np.ndarray, size: int) -> np.ndarray:
+    """Place of a block hash in a shift table of ``size`` slots, a power of two."""
+    return (pairs >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def table_size(patterns: int) -> int:
+    return 1 << min(max(LEAST_BITS, patterns.bit_length() + 3), MOST_BITS)
 
 
 def _block_of(values: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +60,7 @@ def item_words(text: str | None) -> list[bytes]:
 
 def compile_patterns(items: list[tuple[object, str | None]], window: int = WINDOW):
     """Tables of one block of items: arrays, and facts with ids and pattern lengths."""
-    by_length: dict[int, dict[tuple, list[int]]] = {}
+    by_length: dict[int, dict[bytes, list[int]]] = {}
     ids: dict[str, int] = {}
     for item, text in items:
         own = item_words(text)
@@ -64,27 +69,26 @@ def compile_patterns(items: list[tuple[object, str | None]], window: int = WINDO
         number = ids.setdefault("null" if item is None else str(item), len(ids))
         length = min(window, len(own))
         for i in range(len(own) - length + 1):
-            holders = by_length.setdefault(length, {}).setdefault(tuple(own[i:i + length]), [])
+            holders = by_length.setdefault(length, {}).setdefault(b" ".join(own[i:i + length]), [])
             if number not in holders:
                 holders.append(number)
     arrays: dict[str, np.ndarray] = {}
     for length, patterns in by_length.items():
         width = min(2, length)
-        flat = [w for p in patterns for w in p]
-        data = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(w) for w in flat])
-        values = hashes(data, ends - [len(w) for w in flat], ends).reshape(-1, length)
-        shift = np.full(1 << TABLE_BITS, length - width + 1, np.uint8)
+        whole = list(patterns)
+        data = np.frombuffer(b" ".join(whole), np.uint8)
+        found = words(Block(None, data, np.array([0, len(data)])), ALNUM)
+        values = hashes(data, found.start, found.end).reshape(-1, length)
+        columns = np.ascontiguousarray(values.T)
+        size = table_size(len(whole))
+        shift = np.full(size, length - width + 1, np.uint8)
         for end in range(width - 1, length):
-            column = _block_of(np.ascontiguousarray(values.T), np.array(end), width)
-            np.minimum.at(shift, _slot(column), np.uint8(length - 1 - end))
-        last = _block_of(np.ascontiguousarray(values.T), np.array(length - 1), width)
-        order = np.argsort(last, kind="stable")
-        whole = [b" ".join(p) for p in patterns]
+            np.minimum.at(shift, _slot(_block_of(columns, np.array(end), width), size), np.uint8(length - 1 - end))
+        bucket = _pair(_block_of(columns, np.array(length - 1), width), columns[0])
+        order = np.argsort(bucket, kind="stable")
         holders = list(patterns.values())
         arrays |= {
-            f"shift{length}": shift, f"last{length}": last[order],
-            f"first{length}": values[order, 0],
+            f"shift{length}": shift, f"bucket{length}": bucket[order],
             f"bytes{length}": np.frombuffer(b"".join(whole[i] for i in order), np.uint8),
             f"ends{length}": np.cumsum([len(whole[i]) for i in order]),
             f"items{length}": np.array([n for i in order for n in holders[i]], np.int64),
@@ -102,7 +106,7 @@ def _positions(values: np.ndarray, shift: np.ndarray, length: int, width: int) -
     live = at < stop
     at, stop = at[live], stop[live]
     while len(at):
-        step = shift[_slot(_block_of(values, at, width))]
+        step = shift[_slot(_block_of(values, at, width), len(shift))]
         found.append(at[step == 0])
         at = at + np.maximum(step, 1)
         live = at < stop
@@ -124,15 +128,14 @@ def occurrences(block: Block, table: dict[str, np.ndarray], lengths: list[int]):
         begins = ends - length + 1
         one_row = found.row[begins] == found.row[ends]
         ends, begins = ends[one_row], begins[one_row]
-        last = table[f"last{length}"]
-        block_hash = _block_of(values, ends, width)
-        low = np.searchsorted(last, block_hash, side="left")
-        many = np.searchsorted(last, block_hash, side="right") - low
+        bucket = table[f"bucket{length}"]
+        wanted = _pair(_block_of(values, ends, width), values[begins])
+        low = np.searchsorted(bucket, wanted, side="left")
+        many = np.searchsorted(bucket, wanted, side="right") - low
         place = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         begins = np.repeat(begins, many)
-        good = table[f"first{length}"][place] == values[begins]
         text, stops = table[f"bytes{length}"], table[f"ends{length}"]
-        for first, p in zip(begins[good].tolist(), place[good].tolist()):
+        for first, p in zip(begins.tolist(), place.tolist()):
             pattern = text[(stops[p - 1] if p else 0):stops[p]].tobytes()
             own = b" ".join(data[a:b].tobytes() for a, b in zip(
                 found.start[first:first + length], found.end[first:first + length]))
@@ -141,24 +144,41 @@ def occurrences(block: Block, table: dict[str, np.ndarray], lengths: list[int]):
     return found, hits
 
 
-def item_blocks(benchmark: DataFrame, size: int = BLOCK_TEXT) -> Iterator[list[tuple]]:
-    """Items, one bounded block at a time."""
-    block, held = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        held += len(row[1] or "")
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def item_blocks(benchmark: DataFrame, size: int = BLOCK_TEXT) -> tuple[DataFrame, int]:
+    """The distinct items dealt to blocks by hash, and the number of blocks. An item that
+    repeats, or whose id does with other texts, may lie in several blocks: ids are joined
+    again for each document."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    held = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    number = max(1, -(-held // size))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(number))), number
 
 
 def ship_patterns(benchmark: DataFrame, window: int = WINDOW) -> list[str]:
-    names = []
-    for block in item_blocks(benchmark):
-        arrays, facts = compile_patterns(block, window)
-        names.append(ship(benchmark.sparkSession, "patterns", arrays, **facts))
+    """Names of the shipped files, one for each block of items."""
+    spark = benchmark.sparkSession
+    folder = shared_folder(spark, "patterns")
+    system, path = open_folder(folder)
+    system.create_dir(path, recursive=True)
+    items, number = item_blocks(benchmark)
+
+    def run(batches):
+        names, held, block = [], [], None
+        for batch in batches:
+            for own, item, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if own != block and held:
+                    names.append(save(folder, "patterns", *compile_patterns(held, window)))
+                    held = []
+                block = own
+                held.append((item, text))
+        if held:
+            names.append(save(folder, "patterns", *compile_patterns(held, window)))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    dealt = items.select("block", "item_id", "text").repartition(number, "block").sortWithinPartitions("block")
+    names = sorted(r[0] for r in dealt.mapInArrow(run, "name string").collect())
+    for name in names:
+        spark.sparkContext.addFile(f"{folder}/{name}")
     return names
 
 

@@ -60,6 +60,16 @@ def test_many_item_blocks_give_the_same(spark, make, monkeypatch):
     assert want[0]["items"] == ["1", "8"]
 
 
+def test_windows_that_end_alike_and_table_sizes(spark, make):
+    """Many windows share their last two words; only the one with the right first word counts."""
+    tail = "b c d e f g h of the"
+    bench = spark.createDataFrame([(i, f"start{i} {tail}") for i in range(400)], "item_id long, text string")
+    rows = [(1, f"x start7 {tail} y"), (2, f"start {tail}"), (3, f"start399 {tail} " * 30)]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in wumanber.contamination(make(rows), bench).collect()}
+    assert got == {1: (10, ["7"]), 2: (0, []), 3: (300, ["399"])}
+    assert [wumanber.table_size(n) for n in (1, 1 << 17, 1 << 40)] == [1 << 18, 1 << 21, 1 << 25]
+
+
 def test_encoding_equals_the_library(spark, make, sample):
     import hashlib
 
