@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a checking reader.
 
-Writing: page ids are cut into shards of about equal payload bytes by a histogram, so the
-same table gives the same shards whatever the partitions. Rows are dealt and sorted by
+Writing: the order of page ids and digests is cut into shards of about equal payload bytes
+by histograms that are refined where they are full, so the same table gives the same shards
+whatever the partitions. Rows are dealt and sorted by
 shard and page id; a task streams them into one gzip member per record and rolls to a new
 file when the compressed size would pass the limit. Headers, lengths and digests are made
 anew from the payload. Of equal payloads the largest page id is the response, the others
@@ -29,10 +30,11 @@ import uuid
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parapet.llm.shared import attach, open_folder, stage
 from parapet.session import shared_folder
@@ -41,6 +43,9 @@ DATE = "2000-01-01T00:00:00Z"
 SHARD_BYTES = 256 << 20
 LEAST_SHARDS, MOST_SHARDS = 64, 1 << 16
 BINS_PER_SHARD = 4
+HASH_DIGITS = 15
+CUTS = "_cell long, _by_id boolean, _low decimal(20,0), _width decimal(20,0)"
+ENDS = "_cell long, _bin long, _next long, _shard int"
 RECORD_SPACE = uuid.UUID("6f1c2f6e-6a52-5d0e-9d3b-0d1f6d0f5a11")
 MANIFEST = "shard int, name string, temporary string, records long, bytes long, sha256 string"
 
@@ -98,43 +103,96 @@ def info_record(name: str) -> bytes:
                     ("Content-Type", "application/warc-fields")], body)
 
 
-def _shards(slim: DataFrame) -> tuple[int, Callable[[DataFrame], DataFrame]]:
-    """Number of shards, and a function that adds the shard of each page id.
+def _hash(sha1: Column) -> Column:
+    return F.conv(F.substring(sha1, 1, HASH_DIGITS), 16, 10).cast("decimal(20,0)")
+
+
+@dataclass
+class _Level:
+    """One refinement: how open cells are cut, and what becomes of each bin."""
+
+    cuts: list[tuple]  # cell, by id, low, width
+    ends: list[tuple]  # cell, bin, next cell or shard
+
 
-    Equal-width bins of the ids are summed; bins above a shard's size are cut once more.
-    At most ``2 * BINS_PER_SHARD * MOST_SHARDS`` sums reach the driver.
+def _binned(rows: DataFrame, level: _Level) -> DataFrame:
+    """Add ``_bin`` within ``_cell``: of the page id, or of the digest where ids are equal.
+    A null id is the bin before all others."""
+    if len(level.cuts) == 1:
+        cell, by_id, *numbers = level.cuts[0]
+        low, width = (F.lit(n).cast("decimal(20,0)") for n in numbers)
+        rows = rows.withColumns({"_by_id": F.col("_cell") == F.lit(cell) if by_id else F.lit(False),
+                                 "_low": low, "_width": width})
+    else:
+        cuts = rows.sparkSession.createDataFrame(level.cuts, CUTS)  # at most 2 * MOST_SHARDS rows
+        rows = rows.join(F.broadcast(cuts), "_cell", "left")
+    value = F.when(F.col("_by_id"), F.col("page_id").cast("decimal(20,0)")).otherwise(_hash(F.col("sha1")))
+    far = (value - F.col("_low")).cast("decimal(22,0)")
+    return rows.withColumn("_far", far).withColumn("_bin", F.when(
+        F.col("_cell").isNotNull(), F.coalesce(F.expr("_far div _width"), F.lit(-1))).cast("long")).drop(
+        "_by_id", "_low", "_width", "_far")
+
+
+def _moved(rows: DataFrame, level: _Level) -> DataFrame:
+    """Rows of the level's cells go to their next cell or get their shard."""
+    ends = rows.sparkSession.createDataFrame(level.ends, ENDS)  # at most 10 * MOST_SHARDS rows
+    joined = _binned(rows, level).join(F.broadcast(ends), ["_cell", "_bin"], "left")
+    return joined.withColumn("shard", F.coalesce("shard", "_shard")).withColumn("_cell", F.col("_next")).drop(
+        "_bin", "_next", "_shard")
+
+
+def _shards(slim: DataFrame) -> tuple[int, Callable[[DataFrame], DataFrame]]:
+    """Number of shards, and a function that adds the shard of each (page id, digest).
+
+    Quantiles by refinement: the range of a cell is cut into bins of equal width, in number
+    as its bytes ask for; a bin that holds more than a shard is a cell of the next level,
+    cut between its own least and largest id, so far outliers cost one level. Where all ids
+    of a cell are equal or null the digest is cut the same way. The shards are contiguous in
+    the order of ids and digests and hold at most twice the mean, except for rows that
+    repeat both. The driver gets one row per bin, at most ``2 * BINS_PER_SHARD`` a shard.
     """
-    spark = slim.sparkSession
-    low, high, total = slim.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)).first()
-    if low is None:
+    weight = F.sum(F.col("size") + 512)
+    found = slim.agg(weight, F.min("page_id"), F.max("page_id")).first()
+    total, low, high = found
+    if total is None:
         return 1, lambda rows: rows.withColumn("shard", F.lit(0))
     count = min(max(LEAST_SHARDS, math.ceil(total / SHARD_BYTES)), MOST_SHARDS)
-    bins, target = BINS_PER_SHARD * count, total / count
-    width = max(1, math.ceil((high - low + 1) / bins))
-    fine = max(1, math.ceil(width / bins))
-    offset = F.coalesce(F.col("page_id"), F.lit(low)) - low
-    first = F.floor(offset / width)
-    sums = {b: s for b, s in slim.groupBy(first.alias("b")).agg(F.sum(F.col("size") + 512)).collect()}
-    heavy = [b for b, s in sums.items() if s > target and width > 1]
-    parts = {}
-    if heavy:
-        marked = slim.select(first.alias("b"), F.floor((offset - first * width) / fine).alias("f"), "size")
-        chosen = spark.createDataFrame([(b,) for b in heavy], "b long")
-        parts = {(b, f): s for b, f, s in marked.join(F.broadcast(chosen), "b").groupBy("b", "f").agg(
-            F.sum(F.col("size") + 512)).collect()}
-    cells = sorted([((b, -1), s) for b, s in sums.items() if b not in set(heavy)] + list(parts.items()))
-    placed, filled = [], 0
-    for (b, f), s in cells:
-        placed.append((b, f, min(int(filled / target), count - 1)))
-        filled += s
-    mapping = F.broadcast(spark.createDataFrame(placed, "_b long, _f long, shard int"))
-    halves = F.broadcast(spark.createDataFrame([(b, True) for b in heavy], "_b long, _cut boolean"))
+    target = total / count
+    top = 16 ** HASH_DIGITS - 1
+    # open cells: number -> (path, by id, low, high, bytes)
+    cells = {0: ((), True, low, high, total) if low is not None else ((), False, 0, top, total)}
+    levels, leaves, number = [], [], 0
+    rows = slim.select("page_id", "sha1", "size", F.lit(0).cast("long").alias("_cell"),
+                       F.lit(None).cast("int").alias("shard"))
+    while cells:
+        cuts = [(c, by_id, Decimal(lo), Decimal(max(1, -(-(hi - lo + 1) // (BINS_PER_SHARD * math.ceil(s / target))))))
+                for c, (_, by_id, lo, hi, s) in cells.items()]
+        level = _Level(cuts, [])
+        sums = _binned(rows.filter("_cell IS NOT NULL"), level).groupBy("_cell", "_bin").agg(
+            weight, F.min("page_id"), F.max("page_id"), F.min(_hash(F.col("sha1"))), F.max(_hash(F.col("sha1")))).collect()
+        opened = {}
+        for cell, place, held, least, most, first, last in sorted(sums, key=lambda r: r[:2]):
+            path = (*cells[cell][0], place)
+            by_id = least is not None and least != most
+            if held > target and (by_id or first != last):
+                number += 1
+                span = (least, most) if by_id else (int(first), int(last))
+                opened[number] = (path, by_id, *span, held)
+                level.ends.append((cell, place, number, None))
+            else:
+                leaves.append((path, held, level, cell, place))
+        levels.append(level)
+        rows, cells = _moved(rows, level) if opened else rows, opened
+    filled = 0
+    for _, held, level, cell, place in sorted(leaves, key=lambda leaf: leaf[0]):
+        level.ends.append((cell, place, None, min(int(filled / target), count - 1)))
+        filled += held
 
     def assign(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_b", first).join(halves, "_b", "left")
-        rows = rows.withColumn("_f", F.when(F.col("_cut"), F.floor((offset - F.col("_b") * width) / fine))
-                               .otherwise(F.lit(-1).cast("long")))
-        return rows.join(mapping, ["_b", "_f"]).drop("_b", "_f", "_cut")
+        rows = rows.withColumn("_cell", F.lit(0).cast("long")).withColumn("shard", F.lit(None).cast("int"))
+        for level in levels:
+            rows = _moved(rows, level)
+        return rows.drop("_cell")
 
     return count, assign
 

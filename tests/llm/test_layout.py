@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import zlib
+from collections import Counter
 
 import brute
 import pytest
@@ -154,3 +155,40 @@ def test_attach_keeps_every_row(spark):
     got = attach(rows, groups, "k", "n")
     assert got.count() == 5_000
     assert got.filter("top IS NOT NULL").count() == rows.filter("k = 1").count()
+
+
+def shard_sizes(spark, ids, monkeypatch):
+    """Sizes of the shards of pages with these ids, and whether shards follow the order."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(warc, "LEAST_SHARDS", 8)
+    slim = spark.createDataFrame([(i, hashlib.sha1(f"{n}".encode()).hexdigest(), 10) for n, i in enumerate(ids)],
+                                 "page_id long, sha1 string, size long")
+    count, assign = warc._shards(slim)
+    found = assign(slim).select("page_id", "sha1", "shard").collect()
+    assert len(found) == len(ids) and all(0 <= r.shard < count for r in found)
+    ordered = sorted(found, key=lambda r: (r.page_id is not None, r.page_id or 0, r.sha1))
+    shards = [r.shard for r in ordered]
+    assert shards == sorted(shards)
+    return count, Counter(shards)
+
+
+def test_shards_part_null_ids_and_outliers(spark, monkeypatch):
+    ids = {
+        "a third null": [None] * 200 + list(range(400)),
+        "one far id": [*range(1_000_000, 1_000_599), 2 ** 62],
+        "both ends": [-2 ** 63, 2 ** 63 - 1, *range(598)],
+        "one id": [7] * 300 + list(range(300)),
+        "all null": [None] * 600,
+        "steep": [2 ** i for i in range(62)] * 10,
+    }
+    for name, own in ids.items():
+        count, sizes = shard_sizes(spark, own, monkeypatch)
+        assert max(sizes.values()) <= 2 * len(own) / count + 1, name
+
+
+def test_archives_with_null_and_extreme_ids(spark):
+    rows = [(None, "u", f"text {i}", "x") for i in range(40)]
+    rows += [(2 ** 62, "v", "text 1", "x"), (-2 ** 63, "w", "text 2", "x")]
+    rows += [(i, None, f"text {i % 9}", "x") for i in range(60)]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert result(warc.archived(pages)) == expected(rows)
