@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from parapet.operators.admission import QuotaPolicy, rate_limit
+from parapet.plans.q_streaming import stream_ingest, table_stream
 from parapet.session import shared_folder
 from parapet.sources.access_log import read_access_log, stream_access_log
 from parapet.streaming.ingest import IngestStream
@@ -98,3 +100,16 @@ def test_late_rows_are_split_off_and_judged(spark):
         ("late", "a", 1), ("late", "b", 1), ("no_time", "b", 0)]
     judged = {(r.window_start_us // 10**6 % 3600, r.key): r.n for r in job.judged().collect()}
     assert judged == {**got, (0, "a"): 2, (120, "b"): 1}
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_a_table_is_streamed_as_a_file_or_as_a_folder(spark, tmp_path, parts):
+    docs = spark.createDataFrame([(i, f"Text number {i} of a document. " * 9) for i in range(7)], "doc_id long, text string")
+    path = tmp_path / "documents.parquet"
+    if parts:
+        docs.repartition(parts).write.parquet(str(path))
+    else:
+        docs.toPandas().to_parquet(path)
+    assert table_stream(spark, str(tmp_path), "documents").isStreaming
+    rows = stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted(r.source for r in rows) == [f"{i}.txt" for i in range(7)]
