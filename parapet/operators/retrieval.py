@@ -3,7 +3,8 @@
 Vectors are compared block against block: a group is one slab of the store and one block
 of the queries, both of bounded size, and emits only its best ``k`` per query. No pair
 table is ever built. The number of slabs and blocks follows from row counts, so a cell
-that holds a third of all rows is cut into as many groups as it needs.
+that holds a third of all rows is cut into as many groups as it needs. Scores are made in
+tiles, so a task holds one slab, one block and one tile.
 
 A search is a function of queries, store and k (``Search``). Exact search (``nearest``) meets
 every item. Search in trained cells (``CellSearch``) deals the items to the nearest of a set
@@ -23,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 SLAB_ROWS = 50_000
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 32_768
+TILE_QUERIES, TILE_ITEMS = 1_024, 2_048  # scores that are in memory at once
 WORTHWHILE_ROWS = 2_000  # below this size a slab is not split just to use more cores
 PLACES = 9  # similarities are ranked at this many decimal places, ties by id
 
@@ -33,60 +35,137 @@ def similarity(cosine: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + cosine) / 2))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks()
-    rows = len(array)
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(rows, -1) if rows else flat.reshape(0, 1)
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1 if len(array) else 1)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    matrix = _lists(column).astype(np.float64)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(k: int):
-    """Group function: store rows against query rows, best ``k`` items per query."""
+def _merged(row: np.ndarray, place: np.ndarray, score: np.ndarray, rows: int, k: int):
+    """The best ``k`` per row, equal scores by place, and the score a row's next hit must
+    reach: its last one, or minus infinity while it has fewer than ``k``."""
+    order = np.lexsort((place, -score, row))
+    row, place, score = row[order], place[order], score[order]
+    first = np.searchsorted(row, np.arange(rows))
+    keep = np.arange(len(row)) - first[row] < k
+    row, place, score = row[keep], place[keep], score[keep]
+    count = np.bincount(row, minlength=rows)
+    bar, full = np.full(rows, -np.inf), count == k
+    bar[full] = score[np.cumsum(count)[full] - 1]
+    return row, place, score, bar
+
+
+def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.ndarray | None = None):
+    """Rows, places and rounded scores of the best ``k`` of the store per row of ``wanted``.
+
+    Scores are made in tiles. A tile ranks a row only while that has fewer than ``k`` hits;
+    later ones are compared with its last hit and give few candidates. ``allowed(rows,
+    places)`` says which pairs count; scores below ``least`` of their row do not matter.
+    """
+    out = []
+    for start in range(0, len(wanted), TILE_QUERIES):
+        asked = wanted[start:start + TILE_QUERIES]
+        low = np.full(len(asked), -np.inf) if least is None else least[start:start + TILE_QUERIES]
+        row, place, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bar = np.full(len(asked), -np.inf)
+        for begin in range(0, len(store), TILE_ITEMS):
+            scores = asked @ store[begin:begin + TILE_ITEMS].T
+            width, floor = scores.shape[1], np.maximum(bar, low)
+            fresh = np.flatnonzero(np.isneginf(floor))
+            if len(fresh):
+                part = scores[fresh]
+                if allowed is not None:
+                    part[~allowed((start + fresh)[:, None], np.arange(begin, begin + width)[None, :])] = -np.inf
+                    scores[fresh] = part
+                if width > k:
+                    floor[fresh] = np.partition(part, width - k, axis=1)[:, width - k]
+            r, c = np.nonzero(scores >= (floor - 10.0 ** -PLACES)[:, None])
+            value = np.round(scores[r, c], PLACES)
+            keep = (value > bar[r]) & (value >= low[r])
+            r, c, value = r[keep], c[keep], value[keep]
+            if allowed is not None and len(r):
+                keep = allowed(start + r, begin + c)
+                r, c, value = r[keep], c[keep], value[keep]
+            if len(r):
+                row, place, score, bar = _merged(
+                    np.concatenate((row, r)), np.concatenate((place, begin + c)),
+                    np.concatenate((score, value)), len(asked), k)
+        out.append((start + row, place, score))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def _hits(items: pa.Table, queries: pa.Table, row: np.ndarray, place: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({
+        "query_id": queries.column("query_id").combine_chunks().take(pa.array(row, pa.int64())),
+        "item_id": items.column("item_id").combine_chunks().take(pa.array(place, pa.int64())),
+        "cosine": pa.array(score, pa.float64()),
+    })
+
+
+def _nothing(items: pa.Table, queries: pa.Table) -> pa.Table:
+    return _hits(items, queries, *[np.empty(0)] * 3)
+
+
+def _best(k: int, flips: int | None = None):
+    """Group function: store rows against query rows, best ``k`` items per query. With
+    ``flips`` a pair counts if its ``codes`` differ in up to so many bits in some table."""
 
     def compare(items: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({
-            "query_id": pa.array([], pa.int64()),
-            "item_id": items.column("item_id").slice(0, 0).combine_chunks(),
-            "cosine": pa.array([], pa.float64()),
-        })
         if not items.num_rows or not queries.num_rows:
-            return empty
-        items = items.sort_by("item_id")
+            return _nothing(items, queries)
+        items, near = items.sort_by("item_id"), None
+        if flips is not None:
+            own, other = (np.ascontiguousarray(_lists(t.column("codes")).T) for t in (queries, items))
+
+            def near(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+                met = np.zeros(np.broadcast_shapes(rows.shape, places.shape), bool)
+                for a, b in zip(own, other):
+                    met |= np.bitwise_count(a[rows] ^ b[places]) <= flips
+                return met
+
         store, wanted = _matrix(items.column("vector")), _matrix(queries.column("vector"))
-        query_ids = queries.column("query_id").to_numpy()
-        take = min(k, len(store))
-        rows_out, cols_out, score_out = [], [], []
-        step = max(1, 8_000_000 // len(store))
-        for start in range(0, len(wanted), step):
-            scores = np.round(wanted[start:start + step] @ store.T, PLACES)
-            limit = np.partition(scores, len(store) - take, axis=1)[:, [len(store) - take]]
-            row, col = np.nonzero(scores >= limit)
-            score = scores[row, col]
-            order = np.lexsort((col, -score, row))
-            row, col, score = row[order], col[order], score[order]
-            first = np.searchsorted(row, np.arange(len(scores)))
-            keep = np.arange(len(row)) - first[row] < take
-            rows_out.append(query_ids[start + row[keep]])
-            cols_out.append(col[keep])
-            score_out.append(score[keep])
-        picked = pa.array(np.concatenate(cols_out))
-        return pa.table({
-            "query_id": pa.array(np.concatenate(rows_out)),
-            "item_id": items.column("item_id").combine_chunks().take(picked),
-            "cosine": pa.array(np.concatenate(score_out)),
-        })
+        return _hits(items, queries, *_top(store, wanted, k, near))
 
     return compare
 
 
-def _pieces(df: DataFrame, name: str, rows: int, at_least: int = 1) -> DataFrame:
-    """Pieces per cell: enough to bound their size, and ``at_least`` so many if worthwhile."""
-    count = F.count("*")
-    useful = F.least(F.ceil(count / F.lit(WORTHWHILE_ROWS)), F.lit(at_least))
-    pieces = F.greatest(F.ceil(count / F.lit(rows)), useful)
-    return df.groupBy("cell").agg(pieces.cast("int").alias(name))
+def _best_in_cells(k: int):
+    """Group function: each query meets the items of its ``cells``, best ``k`` per query."""
+
+    def compare(items: pa.Table, queries: pa.Table) -> pa.Table:
+        if not items.num_rows or not queries.num_rows:
+            return _nothing(items, queries)
+        items = items.sort_by("item_id")
+        store, wanted = _matrix(items.column("vector")), _matrix(queries.column("vector"))
+        cells = items.column("cell").to_numpy()
+        by_cell = np.argsort(cells, kind="stable")
+        names, first = np.unique(cells[by_cell], return_index=True)
+        opened = queries.column("cells").combine_chunks()
+        owner = np.repeat(np.arange(len(wanted)), opened.value_lengths().to_numpy())
+        opened = opened.flatten().to_numpy()
+        by_name = np.argsort(opened, kind="stable")
+        owner, opened = owner[by_name], opened[by_name]
+        found, bar = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], np.full(len(wanted), -np.inf)
+        waiting, rows = [], 0
+        for name, own in zip(names, np.split(by_cell, first[1:])):
+            asked = owner[np.searchsorted(opened, name):np.searchsorted(opened, name, "right")]
+            if not len(asked):
+                continue
+            row, place, score = _top(store[own], wanted[asked], k, least=bar[asked])
+            waiting.append((asked[row], own[place], score))
+            rows += len(row)
+            if rows >= k * len(wanted):
+                *found, bar = _merged(*[np.concatenate(p) for p in zip(found, *waiting)], len(wanted), k)
+                waiting, rows = [], 0
+        *found, bar = _merged(*[np.concatenate(p) for p in zip(found, *waiting)], len(wanted), k)
+        return _hits(items, queries, *found)
+
+    return compare
 
 
 def _spread(df: DataFrame, own: str, own_count: str, other: str, other_count: str, row_id: str):
@@ -114,51 +193,39 @@ def comparable(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFra
     return queries.where(good), store.where(good)
 
 
-def nearest_in_cells(
-    queries: DataFrame,
-    store: DataFrame,
-    k: int,
-    slab_rows: int = SLAB_ROWS,
-    block_rows: int = BLOCK_ROWS,
-    overlapping: bool = True,
-) -> DataFrame:
-    """Best ``k`` items per query among the items of the query's cells.
+def _ranked(queries: DataFrame, store: DataFrame, k: int, flips: int | None = None) -> DataFrame:
+    """Both sides with the number of ``slabs`` and ``blocks``: the best items of all pairs of
+    groups. With ``flips`` both have ``codes`` too, and a pair of ids counts once."""
+    further = [] if flips is None else ["codes"]
+    items = _spread(store, "slab", "slabs", "block", "blocks", "item_id")
+    asked = _spread(queries, "block", "blocks", "slab", "slabs", "query_id")
+    found = _met(items.select("slab", "block", "item_id", "vector", *further),
+                 asked.select("slab", "block", "query_id", "vector", *further), _best(k, flips))
+    if flips is not None:
+        found = found.groupBy("query_id", "item_id").agg(F.max("cosine").alias("cosine"))
+    return _placed(found, k)
 
-    ``queries`` holds ``cell, query_id, vector`` and ``store`` holds ``cell, item_id,
-    vector``. The counts per cell are joined like any table. An item met in several cells
-    (``overlapping``) counts once; rows without a comparable vector take no part (see
-    ``comparable``). Returns ``query_id, item_id, cosine, rank``.
-    """
-    queries, store = comparable(queries, store)
-    cores = store.sparkSession.sparkContext.defaultParallelism
-    cells = _pieces(store, "slabs", slab_rows, cores).join(
-        _pieces(queries, "blocks", block_rows), "cell"
-    )
-    return _ranked(queries.join(cells, "cell"), store.join(cells, "cell"), k, overlapping)
 
+def _met(items: DataFrame, asked: DataFrame, compare: Callable) -> DataFrame:
+    """Slabs of the store against blocks of queries, one group a pair."""
+    item_type = items.schema["item_id"].dataType.simpleString()
+    return items.groupBy("slab", "block").cogroup(asked.groupBy("slab", "block")).applyInArrow(
+        compare, f"query_id bigint, item_id {item_type}, cosine double")
 
-def _ranked(queries: DataFrame, store: DataFrame, k: int, overlapping: bool) -> DataFrame:
-    """Both sides with ``cell`` and its number of ``slabs`` and ``blocks``: the best items."""
-    items = _spread(store, "slab", "slabs", "block", "blocks", "item_id")
-    asked = _spread(queries, "block", "blocks", "slab", "slabs", "query_id")
-    group = ["cell", "slab", "block"]
-    item_type = store.schema["item_id"].dataType.simpleString()
-    found = (
-        items.select(*group, "item_id", F.col("vector").alias("vector")).groupBy(*group)
-        .cogroup(asked.select(*group, "query_id", F.col("vector").alias("vector")).groupBy(*group))
-        .applyInArrow(_best(k), f"query_id bigint, item_id {item_type}, cosine double")
-    )
-    once = (
-        found.groupBy("query_id", "item_id").agg(F.max("cosine").alias("cosine"))
-        if overlapping
-        else found
-    )
+
+def _placed(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
-    return once.withColumn("rank", F.row_number().over(order).cast("long")).where(
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(
         F.col("rank") <= k
     )
 
 
+def _sizes(items: int, asked: int, cores: int, slab_rows: int, block_rows: int) -> tuple[int, int]:
+    """Numbers of slabs and blocks: enough to bound their rows, and to use the cores."""
+    slabs = max(-(-items // slab_rows), min(-(-items // WORTHWHILE_ROWS), cores), 1)
+    return slabs, max(-(-asked // block_rows), 1)
+
+
 def nearest(
     queries: DataFrame,
     store: DataFrame,
@@ -166,15 +233,18 @@ def nearest(
     slab_rows: int = SLAB_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact nearest items: everything is one cell, whose counts are known beforehand, so
-    no side is joined with them. See ``nearest_in_cells``."""
+    """Exact nearest items: every slab of the store meets every block of queries."""
     queries, store = comparable(queries, store)
+    return _ranked(*_counted(queries.select("query_id", "vector"), store.select("item_id", "vector"),
+                             slab_rows, block_rows), k)
+
+
+def _counted(queries: DataFrame, store: DataFrame, slab_rows: int = SLAB_ROWS, block_rows: int = BLOCK_ROWS):
+    """Both sides with the numbers of slabs and blocks that follow from their rows."""
     cores = store.sparkSession.sparkContext.defaultParallelism
-    items, asked = store.count(), queries.count()
-    slabs = max(-(-items // slab_rows), min(-(-items // WORTHWHILE_ROWS), cores), 1)
-    blocks = max(-(-asked // block_rows), 1)
-    counts = [F.lit(0).alias("cell"), F.lit(slabs).alias("slabs"), F.lit(blocks).alias("blocks")]
-    return _ranked(queries.select("query_id", "vector", *counts), store.select("item_id", "vector", *counts), k, False)
+    slabs, blocks = _sizes(store.count(), queries.count(), cores, slab_rows, block_rows)
+    counts = [F.lit(slabs).alias("slabs"), F.lit(blocks).alias("blocks")]
+    return queries.select("*", *counts), store.select("*", *counts)
 
 
 #: A search takes queries (``query_id, vector``), a store (``item_id, vector``) and k, and
@@ -227,23 +297,19 @@ def flips_for(bits: int) -> int:
     return -(-bits // 4)
 
 
-def _cells(df: DataFrame, tables: int, bits: int, dimensions: int, flips: int = 0) -> DataFrame:
-    """One row per hash table: the cell is the table number and the signs of its planes. With
-    ``flips`` also the cells that differ in up to so many signs."""
+def _codes(df: DataFrame, tables: int, bits: int, dimensions: int) -> DataFrame:
+    """One number per hash table: the signs of its planes."""
     normals = planes(tables, bits, dimensions)
-    masks = np.array([m for m in range(1 << bits) if m.bit_count() <= flips], np.int64)
     weights = 1 << np.arange(bits, dtype=np.int64)
-    base = np.arange(tables, dtype=np.int64) << bits
 
     @F.pandas_udf(ArrayType(LongType()))
     def signs(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return pd.Series([], dtype=object)
         above = np.round(np.stack(vectors.to_numpy()) @ normals, PLACES) > 0
-        keys = above.reshape(len(vectors), tables, bits) @ weights + base
-        return pd.Series(list((keys[:, :, None] ^ masks).reshape(len(vectors), -1)))
+        return pd.Series(list(above.reshape(len(vectors), tables, bits) @ weights))
 
-    return df.withColumn("cell", F.explode(signs(F.col("vector").cast("array<double>"))))
+    return df.withColumn("codes", signs(F.col("vector").cast("array<double>")))
 
 
 def nearest_approx(
@@ -258,18 +324,19 @@ def nearest_approx(
 
     Similarities are exact; items in none of the cells are missed. The number of bits follows
     from the size of the store, and a query also opens the cells that differ in up to
-    ``flips_for`` of them. Vectors without near ones need many cells: see ``CellSearch``, which
-    measures how many.
+    ``flips_for`` of them: so many that all the cells of a query together often hold more
+    rows than the store (1.8 times as many at 7 bits, 1.1 at 13). Rows are therefore not
+    copied into cells. Slabs meet blocks as in ``nearest``, each pair of rows once, and a
+    pair whose score would count is tested for a shared cell. Vectors without near ones
+    need many cells: see ``CellSearch``, which measures how many.
     """
     queries, store = (
-        df.where(vector_problem(F.col("vector"), dimensions).isNull()) for df in (queries, store)
+        df.select(name, "vector").where(vector_problem(F.col("vector"), dimensions).isNull()).distinct()
+        for df, name in ((queries, "query_id"), (store, "item_id"))
     )
     bits = bits or bits_for(store.count())
-    return nearest_in_cells(
-        _cells(queries.select("query_id", "vector"), tables, bits, dimensions, flips_for(bits)),
-        _cells(store.select("item_id", "vector"), tables, bits, dimensions),
-        k,
-    )
+    coded = (_codes(df, tables, bits, dimensions) for df in _counted(queries, store))
+    return _ranked(*coded, k, flips_for(bits))
 
 
 def _unit(vectors) -> np.ndarray:
@@ -298,6 +365,45 @@ def _with_cells(df: DataFrame, centres: np.ndarray, column: str, choose: Callabl
     return df.mapInArrow(run, f"{fields}, {column}")
 
 
+def _in_cells(
+    queries: DataFrame, store: DataFrame, k: int, cells: int, slab_rows: int = SLAB_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Best ``k`` items per query among the items of its ``cells``.
+
+    Cells are gathered into slabs of bounded size, and a cell beyond that size is cut into
+    slabs of its own. A query goes once to every slab that holds some of its cells, with the
+    names of these cells, and not once to every cell.
+    """
+    held = dict(tuple(r) for r in store.groupBy("cell").count().collect())  # one row per cell
+    cores = store.sparkSession.sparkContext.defaultParallelism
+    slabs, blocks = _sizes(sum(held.values()), queries.count(), cores, slab_rows, block_rows)
+    room = -(-sum(held.values()) // slabs)
+    first, pieces, last, used = [], [], 0, 0
+    for rows in (held.get(cell, 0) for cell in range(cells)):
+        if used and used + rows > room:
+            last, used = last + 1, 0
+        first.append(last)
+        pieces.append(max(1, -(-rows // slab_rows)))
+        last, used = last + pieces[-1] - 1, used + rows
+
+    def start(cell: Column) -> Column:
+        return F.get(F.lit(first), cell)
+
+    def end(cell: Column) -> Column:
+        return start(cell) + F.get(F.lit(pieces), cell) - 1
+
+    own = F.pmod(F.xxhash64("item_id"), F.get(F.lit(pieces), F.col("cell")))
+    items = store.select(
+        (start(F.col("cell")) + own).cast("int").alias("slab"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "item_id", "vector", "cell")
+    met = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(start(c), end(c)))))
+    asked = queries.select(
+        F.explode(met).alias("slab"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
+        "query_id", "vector", "cells",
+    ).withColumn("cells", F.filter("cells", lambda c: F.col("slab").between(start(c), end(c))))
+    return _placed(_met(items, asked, _best_in_cells(k)), k)
+
+
 @dataclass(frozen=True)
 class CellSearch:
     """Approximate search in trained cells.
@@ -339,12 +445,11 @@ class CellSearch:
         if not len(centres):
             return nearest(queries, store, k)
 
-        dealt = _with_cells(store, centres, "cell long", lambda near: near.argmax(1))
-        ordered = _with_cells(queries, centres, "cells array<long>", lambda near: list(
-            np.argsort(-near, axis=1, kind="stable")))
+        dealt = _with_cells(store, centres, "cell int", lambda near: near.argmax(1).astype(np.int32))
+        ordered = _with_cells(queries, centres, "cells array<int>", lambda near: list(
+            np.argsort(-near, axis=1, kind="stable").astype(np.int32)))
         opened = self._opened(ordered, dealt, k, len(centres))
-        asked = ordered.select(F.explode(F.slice("cells", 1, opened)).alias("cell"), "query_id", "vector")
-        return nearest_in_cells(asked, dealt, k, overlapping=False)
+        return _in_cells(ordered.withColumn("cells", F.slice("cells", 1, opened)), dealt, k, len(centres))
 
     def _opened(self, ordered: DataFrame, dealt: DataFrame, k: int, cells: int) -> int:
         """How many cells hold the wanted share of the exact hits of some queries."""

@@ -179,3 +179,61 @@ def test_hashed_embedding_is_a_unit_vector(spark):
     rows = df.select(hashed_embedding(F.col("t")).alias("v")).collect()
     assert np.linalg.norm(rows[0].v) == pytest.approx(1.0) and len(rows[0].v) == 64
     assert not any(rows[1].v)
+
+
+def test_scores_are_made_in_tiles_of_bounded_size():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    items, queries = (rng.standard_normal((n, 16)) for n in (20_000, 600))
+    tables = [pa.table({name: pa.array(range(len(m))), "vector": pa.array(list(m), pa.list_(pa.float64()))})
+              for name, m in (("item_id", items), ("query_id", queries))]
+    tracemalloc.start()
+    found = R._best(5)(*tables).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    found["rank"] = found.groupby("query_id").cumcount() + 1
+    assert {(r.query_id, r.rank): r.item_id for r in found.itertuples()} == brute(queries, items, 5)
+
+
+@pytest.mark.parametrize("tile", [1_024, 7])
+def test_approx_is_the_search_in_hash_cells_and_copies_no_query(spark, monkeypatch, tile):
+    for name in ("TILE_QUERIES", "TILE_ITEMS"):
+        monkeypatch.setattr(R, name, tile, raising=False)
+    rng = np.random.default_rng(4)
+    items, queries, bits = rng.standard_normal((150, 8)), rng.standard_normal((20, 8)), 9
+    items[::4] = items[0]
+    sides, ranked = [], R._ranked
+    monkeypatch.setattr(R, "_ranked", lambda q, s, *rest: (sides.extend((q, s)), ranked(q, s, *rest))[1])
+    rows = R.nearest_approx(*frames(spark, queries, items), 4, 8, 2, bits).collect()
+    assert [side.count() for side in sides] == [20, 150]
+    codes = [(np.round(m @ R.planes(2, bits, 8), R.PLACES) > 0).reshape(-1, 2, bits) for m in (queries, items)]
+    met = ((codes[0][:, None] != codes[1][None]).sum(3) <= R.flips_for(bits)).any(2)
+    want = {}
+    for q in range(20):
+        own = np.flatnonzero(met[q])
+        want |= {(q, rank): own[i] for (_, rank), i in brute(queries[q:q + 1], items[own], 4).items()} if len(own) else {}
+    assert {(r.query_id, r["rank"]): r.item_id for r in rows} == want
+
+
+@pytest.mark.parametrize("slab_rows,block_rows", [(50_000, 4_096), (37, 11)])
+def test_a_query_goes_once_to_a_slab_of_cells(spark, monkeypatch, slab_rows, block_rows):
+    rng = np.random.default_rng(5)
+    items, queries = rng.standard_normal((240, 8)), rng.standard_normal((30, 8))
+    items[::3] = items[0]
+    cell, opened = np.where(np.arange(240) % 3, np.arange(240) % 9, 4), [rng.permutation(9)[:4] for _ in queries]
+    q, s = frames(spark, queries, items)
+    q = q.join(spark.createDataFrame([(i, o.tolist()) for i, o in enumerate(opened)], "query_id long, cells array<int>"), "query_id")
+    s = s.join(spark.createDataFrame(list(enumerate(cell.tolist())), "item_id long, cell int"), "item_id")
+    sides, met = [], R._met
+    monkeypatch.setattr(R, "_met", lambda items, asked, compare: (sides.append(asked), met(items, asked, compare))[1])
+    rows = R._in_cells(q, s, 6, 9, slab_rows, block_rows).collect()
+    assert sides[0].count() == sides[0].select("query_id", "slab").distinct().count()
+    want = {}
+    for i, cells in enumerate(opened):
+        own = np.flatnonzero(np.isin(cell, cells))
+        want |= {(i, rank): own[j] for (_, rank), j in brute(queries[i:i + 1], items[own], 6).items()}
+    assert {(r.query_id, r["rank"]): r.item_id for r in rows} == want
