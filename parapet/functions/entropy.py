@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
-from parapet.functions.once import bind
 from parapet.functions.signatures import ENTROPY_LEVELS, ENTROPY_MIN_CHARS
 
 
-#: From so many distinct characters on, sorting them all is cheaper than a pass for each.
-WIDE_ALPHABET = 256
+#: Characters below this number are counted into an array, others by sorting.
+DENSE = 1 << 16
 
 
-def char_entropy(text: Column) -> Column:
-    """Bits per character, computed inside the row: no shuffle of single characters.
+def text_entropy(text: str) -> float:
+    """With counts c of n characters the entropy is ``log2(n) - sum(c * log2(c)) / n``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return 0.0
+    counts = np.bincount(codes) if codes.max() < DENSE else np.unique(codes, return_counts=True)[1]
+    counts = counts[counts > 0].astype(np.float64)
+    return float(np.log2(len(codes)) - (counts * np.log2(counts)).sum() / len(codes))
 
-    With counts c of n characters the entropy is ``log2(n) - sum(c * log2(c)) / n``. A small
-    alphabet is counted by one pass over the text per character, a wide one by the lengths
-    of runs among the sorted characters, at a cost that does not depend on the alphabet.
-    """
-    size = F.length(text)
 
-    def by_passes(alphabet: Column) -> Column:
-        def occurrences(char: Column) -> Column:
-            rest = F.replace(text, char, F.lit(""))
-            return (F.octet_length(text) - F.octet_length(rest)) / F.octet_length(char)
-
-        return F.transform(alphabet, occurrences)
-
-    def by_runs(ordered: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1),
-                          lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)))
-        return bind(starts, lambda first: F.transform(
-            first, lambda start, k: (F.coalesce(F.get(first, k + 1), F.size(ordered)) - start).cast("double")))
-
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    counts = bind(F.array_distinct(chars), lambda alphabet: F.when(
-        F.size(alphabet) < WIDE_ALPHABET, by_passes(alphabet)).otherwise(bind(F.array_sort(chars), by_runs)))
-    weighted = F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * F.log2(c))
-    return F.when(size > 0, F.log2(size) - weighted / size).otherwise(F.lit(0.0))
+@F.pandas_udf(DoubleType())
+def char_entropy(texts: pd.Series) -> pd.Series:
+    """Bits per character, 0 for null. One pass over the text whatever its alphabet, and no
+    shuffle of single characters."""
+    return texts.fillna("").map(text_entropy).astype("float64")
 
 
 def entropy_score(text: Column) -> Column:

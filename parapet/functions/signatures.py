@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from parapet.functions.text import SPACE
 
@@ -37,42 +40,32 @@ def java_regex(pattern: str, ignore_case: bool) -> str:
 UNIT_RANGES = ((5, 15), (16, 63), (64, 255), (256, None))
 
 
-def repeated_unit(text: Column) -> Column:
+def has_repeated_unit(text: str) -> bool:
     r"""Whether some unit of five or more characters occurs ten times in a row.
 
     Equals a search for ``(.{5,})\1{9,}``. A unit cannot hold a newline, so each line is
     searched alone. For units of a range that starts at n, ten copies cover 10 n
     characters or more, so they cover whole the n characters at some multiple of 9 n, and
-    these come again in every further copy, nine times at least. They also cover nine
-    copies that start at a multiple of n. Both are cheap to look for and sort out nearly
-    every line before the search itself.
+    these come again in every further copy, nine times at least, all of them between 9 n
+    characters before and ten longest units behind. Such a window is cheap to look
+    through, and only one with nine occurrences is searched.
     """
-
-    def in_line(line: Column) -> Column:
-        found = F.lit(False)
+    for line in text.split("\n"):
         for low, high in UNIT_RANGES:
-            unit = f"(.{{{low},{high or ''}}}?)"
-            found = found | (
-                (F.length(line) >= 10 * low)
-                & _recurs(line, low)
-                & line.rlike(rf"(?s)\A(?:.{{{low}}})*?{unit}\1{{8}}")
-                & line.rlike(rf"(?s){unit}\1{{9}}")
-            )
-        return found
-
-    return F.exists(F.split(text, "\n"), in_line)
-
-
-def _recurs(line: Column, size: int) -> Column:
-    """Whether the ``size`` characters at some multiple of ``9 * size`` occur nine times."""
-
-    def nine_times(start: Column) -> Column:
-        block = F.substring(line, start, F.lit(size))
-        rest = F.replace(line, block, F.lit(""))
-        return F.octet_length(line) - F.octet_length(rest) >= 9 * F.octet_length(block)
-
-    starts = F.sequence(F.lit(1), F.length(line) - (size - 1), F.lit(9 * size))
-    return F.exists(starts, nine_times)
+            if len(line) < 10 * low:
+                break
+            for start in range(0, len(line) - low + 1, 9 * low):
+                window = line[max(0, start - 9 * low):start + 10 * high if high else None]
+                if window.count(line[start:start + low]) >= 9 and re.search(
+                        rf"(?s)(.{{{low},{high or ''}}}?)\1{{9}}", window):
+                    return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def repeated_unit(texts: pd.Series) -> pd.Series:
+    """``has_repeated_unit`` of a batch of texts; null for null."""
+    return texts.map(has_repeated_unit, na_action="ignore")
 
 
 # ---- fixed values: injection signatures, in order, with category and severity ----

@@ -158,3 +158,15 @@ def test_entropy_of_wide_alphabets(spark):
     for text, row in zip(texts, df.select("t", char_entropy(F.col("t")).alias("e")).collect()):
         counts = Counter(text).values()
         assert row.e == pytest.approx(-sum(c / len(text) * math.log2(c / len(text)) for c in counts), abs=1e-9)
+
+
+def test_a_long_line_is_searched_in_windows(spark):
+    import random
+    import time
+
+    line = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=1_000_000))
+    df = spark.createDataFrame([(line,), (line + "xyzzy" * 10,), (None,)], "t string")
+    start = time.monotonic()
+    got = [r.f for r in df.select(repeated_unit(F.col("t")).alias("f")).collect()]
+    assert got == [False, True, None]
+    assert time.monotonic() - start < 10
