@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from parapet.operators import store as S
 from parapet.session import shared_folder
@@ -141,3 +142,15 @@ def test_the_same_file_twice_is_two_uploads(spark):
     numbered = files.withColumn("upload_id", F.monotonically_increasing_id())
     _, summary, _ = ingest(numbered, spark.createDataFrame([], "chunk_id string"))
     assert summary.count() == 2
+
+
+def test_a_reader_of_ids_reads_no_texts(spark):
+    path = shared_folder(spark, "ids-only")
+    rows = spark.createDataFrame([("a", "x", "c"), ("b", "y", "c")], "chunk_id string, content string, collection string")
+    S.write_batch(rows, path, 0)
+    S.write_batch(rows.where("chunk_id = 'a'").withColumn("content", F.lit("z")), path, 1)
+    S.delete_batch(rows.where("chunk_id = 'b'"), path, 1)
+    current = S.read_current(spark, path)
+    assert [(r.chunk_id, r.content) for r in current.collect()] == [("a", "z")]
+    plan = current.select("chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_id" in plan and "content" not in plan
