@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from parapet.functions.text import SPACE
 
@@ -16,7 +17,9 @@ from parapet.functions.text import SPACE
 class Rule:
     """A labelled regular expression, searched anywhere in the text.
 
-    ``per_line`` marks the unit-repetition rule, which ``repeated_unit`` evaluates.
+    ``per_line`` marks the unit-repetition rule, which ``repeated_unit`` evaluates. Every
+    match holds a word of each group of ``words`` (lower case, whatever its case there), so
+    a text without them is not searched; a rule without groups is always searched.
     """
 
     label: str
@@ -24,6 +27,7 @@ class Rule:
     severity: int = 0
     ignore_case: bool = True
     per_line: bool = False
+    words: tuple[tuple[str, ...], ...] = ()
 
     def found_in(self, text: Column) -> Column:
         if self.per_line:
@@ -36,6 +40,31 @@ def java_regex(pattern: str, ignore_case: bool) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern.replace(r"\s", SPACE)
 
 
+#: Characters beyond ASCII that Java takes for a letter of ASCII where case does not count.
+FOLDED = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
+
+
+def possible_in(text: str, words: Sequence[Sequence[Sequence[str]]]) -> list[int]:
+    """Positions of the rules that have ``words`` and whose words the text holds."""
+    if not text.isascii():
+        for char, letter in FOLDED:
+            text = text.replace(char, letter)
+    text = text.lower()
+    return [i for i, groups in enumerate(words)
+            if groups and all(any(word in text for word in group) for group in groups)]
+
+
+def possible_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    """``possible_in`` of a column; null for null."""
+    words = [rule.words for rule in rules]  # not the rules: a worker gets plain tuples
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def possible(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: possible_in(t, words), na_action="ignore")
+
+    return possible(text)
+
+
 # Lengths of the repeated unit are searched in these ranges, the last without an end.
 UNIT_RANGES = ((5, 15), (16, 63), (64, 255), (256, None))
 
@@ -71,28 +100,42 @@ def repeated_unit(texts: pd.Series) -> pd.Series:
 # ---- fixed values: injection signatures, in order, with category and severity ----
 INJECTION_RULES = (
     Rule("persona_hijack",
-         r"you\s+are\s+now\s+(a\s+)?(different|new|evil|uncensored|unfiltered|DAN|jailbroken)", 95),
-    Rule("jailbreak_dan", r"\bDAN\b|\bdo\s+anything\s+now\b", 95),
+         r"you\s+are\s+now\s+(a\s+)?(different|new|evil|uncensored|unfiltered|DAN|jailbroken)", 95,
+         words=(("now",), ("you",), ("are",),
+                ("different", "new", "evil", "uncensored", "unfiltered", "dan", "jailbroken"))),
+    Rule("jailbreak_dan", r"\bDAN\b|\bdo\s+anything\s+now\b", 95, words=(("dan", "anything"),)),
     Rule("instruction_override",
          r"ignore\s+(all\s+)?(previous|prior|above|earlier)\s+"
-         r"(instructions?|prompts?|context|rules?)", 92),
+         r"(instructions?|prompts?|context|rules?)", 92,
+         words=(("ignore",), ("previous", "prior", "above", "earlier"),
+                ("instruction", "prompt", "context", "rule"))),
     Rule("instruction_override",
          r"(forget|disregard|override|bypass|neutralize)\s+(your\s+)?(system\s+)?"
-         r"(prompt|instructions?|rules?|constraints?|guidelines?)", 92),
+         r"(prompt|instructions?|rules?|constraints?|guidelines?)", 92,
+         words=(("forget", "disregard", "override", "bypass", "neutralize"),
+                ("prompt", "instruction", "rule", "constraint", "guideline"))),
     Rule("prompt_leakage",
          r"(show|print|reveal|output|repeat|tell\s+me|display|leak)\s+"
          r"(?:me\s+)?(?:what\s+)?(?:your\s+)?(?:system\s+)?"
-         r"(prompt|instructions?|initial\s+(?:message|instructions?)|context(?:\s+window)?)", 88),
+         r"(prompt|instructions?|initial\s+(?:message|instructions?)|context(?:\s+window)?)", 88,
+         words=(("prompt", "instruction", "initial", "context"),
+                ("show", "print", "reveal", "output", "repeat", "tell", "display", "leak"))),
     Rule("roleplay_jailbreak",
          r"(pretend|act|roleplay|simulate|imagine|suppose)\s+"
          r"(?:(?:you\s+)?(?:are|you're|you\s+are)|as|being)\s+"
-         r"(?:an?\s+)?(different|evil|unrestricted|unfiltered|uncensored|rogue)", 85),
+         r"(?:an?\s+)?(different|evil|unrestricted|unfiltered|uncensored|rogue)", 85,
+         words=(("different", "evil", "unrestricted", "unfiltered", "uncensored", "rogue"),
+                ("pretend", "act", "roleplay", "simulate", "imagine", "suppose"))),
     Rule("cot_manipulation",
          r"(step\s+1|first,?)[\s\S]{0,300}(step\s+2|then,?)[\s\S]{0,300}"
-         r"(step\s+3|finally,?)[\s\S]{0,200}(ignore|bypass|override|disregard)", 85),
-    Rule("html_injection", r"<\s*(script|iframe|object|embed|svg|img|link|meta)[^>]*>", 78),
-    Rule("template_injection", r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}", 75),
-    Rule("unicode_smuggling", r"(?:\\u[0-9a-fA-F]{4}){3,}", 65),
+         r"(step\s+3|finally,?)[\s\S]{0,200}(ignore|bypass|override|disregard)", 85,
+         words=(("ignore", "bypass", "override", "disregard"), ("step", "finally"),
+                ("step", "first"), ("step", "then"))),
+    Rule("html_injection", r"<\s*(script|iframe|object|embed|svg|img|link|meta)[^>]*>", 78,
+         words=(("<",), (">",), ("script", "iframe", "object", "embed", "svg", "img", "link", "meta"))),
+    Rule("template_injection", r"\{\{[\s\S]*?\}\}|\{%[\s\S]*?%\}", 75,
+         words=(("{{", "{%"), ("}}", "%}"))),
+    Rule("unicode_smuggling", r"(?:\\u[0-9a-fA-F]{4}){3,}", 65, words=(("\\u",),)),
     Rule("repetition_flood", r"(.{5,})\1{9,}", 60, ignore_case=False, per_line=True),
 )
 CRITICAL_SEVERITY = 95

@@ -1,7 +1,8 @@
 """Threat scoring of incoming questions.
 
-``evaluate`` runs as one narrow projection chain. Only text that Unicode composition
-could change is handed to Python, as Arrow batches; everything else stays in the JVM.
+``evaluate`` runs as one narrow projection chain. Composition (of texts that it could
+change), entropy, repeated units and the words that a signature cannot do without are looked
+at in Python, as Arrow batches; the patterns themselves stay in the JVM.
 """
 
 from __future__ import annotations
@@ -60,10 +61,18 @@ def request_problem(text: Column, top_k: Column) -> Column:
 
 
 def matched_rules(text: Column, rules: Sequence[Rule]) -> Column:
-    """Positions of all rules found in the text, in catalogue order."""
-    return F.array_compact(
-        F.array(*[F.when(rule.found_in(text), i) for i, rule in enumerate(rules)])
-    )
+    """Positions of all rules found in the text, in catalogue order.
+
+    The words of the rules are looked up in one pass; only a text that holds those of a
+    rule is searched for its pattern.
+    """
+    possible = S.possible_rules(text, rules) if any(rule.words for rule in rules) else None
+
+    def found(i: int, rule: Rule) -> Column:
+        hit = rule.found_in(text)
+        return F.array_contains(possible, F.lit(i)) & hit if rule.words else hit
+
+    return F.array_compact(F.array(*[F.when(found(i, rule), i) for i, rule in enumerate(rules)]))
 
 
 def until_critical(positions: Column, rules: Sequence[Rule]) -> Column:

@@ -170,3 +170,31 @@ def test_a_long_line_is_searched_in_windows(spark):
     got = [r.f for r in df.select(repeated_unit(F.col("t")).alias("f")).collect()]
     assert got == [False, True, None]
     assert time.monotonic() - start < 10
+
+
+def test_words_of_the_rules_lose_no_match(spark):
+    """Every searched rule has words, and with them it finds what its pattern alone finds:
+    whatever the case, in letters that fold to ASCII, across lines, with words missing."""
+    assert all(rule.words or rule.per_line for rule in S.INJECTION_RULES)
+    texts = [*BLOCKED, *BENIGN, "step 1 a\nthen b FINALLY, bypass", "First, x then y step 3 ignore", "\\U0041\\u0042\\u0043",
+             "dan", "dance", "< IMG x>", "<img", "{{ a %}", "{% a }}", "act as an evil one", "你 DAN 你"]
+    odd = str.maketrans({"i": "İ", "s": "ſ", "k": "K"})
+    texts += [f(t) for t in texts for f in (str.upper, str.title, lambda t: t.translate(odd),
+                                            lambda t: t.replace("i", "ı"), lambda t: t.replace(" ", " \n"))]
+    rng = random.Random(7)
+    parts = [w for t in texts for w in t.split()]
+    texts += [" ".join(rng.choices(parts, k=12)) for _ in range(400)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    plain = F.array_compact(F.array(*[F.when(r.found_in(F.col("text")), i) for i, r in enumerate(S.INJECTION_RULES)]))
+    found = rows.select("text", G.matched_rules(F.col("text"), S.INJECTION_RULES).alias("a"), plain.alias("b")).collect()
+    assert [r.text for r in found if r.a != r.b] == [] and sum(bool(r.b) for r in found) > 60
+    own = (Rule("word", "bee", words=(("bee",),)), Rule("none", "zz"))
+    kept = spark.createDataFrame([("BEE",), ("zz",), (None,)], "text string")
+    assert [r.a for r in kept.select(G.matched_rules(F.col("text"), own).alias("a")).collect()] == [[0], [1], []]
+
+
+def test_patterns_run_only_where_their_words_are(spark):
+    """A pattern that would find the text is not tried without its words."""
+    rule = Rule("word", "a", words=(("needed",),))
+    rows = spark.createDataFrame([("banana",), ("banana needed",)], "text string")
+    assert [r.a for r in rows.select(G.matched_rules(F.col("text"), [rule]).alias("a")).collect()] == [[], [0]]
