@@ -217,3 +217,26 @@ def test_decoded_files_leave_a_task_in_pieces(spark, monkeypatch):
     rows = decoders.decoded(files).collect()
     assert {r.filename: [d.content for d in r.documents] for r in rows} == {f"n{i}": [f"n{i}"] * 3 for i in range(23)}
     assert len(rows) == 23
+
+
+def test_listing_stays_off_the_driver(spark, tmp_path):
+    """Spark's reader for whole files, which lists on the driver, is not used, and the rows
+    are those it gives: nested folders, hidden names, odd names, patterns, empty files."""
+    for name, body in {"a b/c%20d/é.txt": "one", "a b/x.md": "", "_x/y.txt": "hidden", ".z.txt": "hidden",
+                       "k=1/_m=2.txt": "two", "deep/er/and/er/q.txt": "three", "n.TXT": "no", "p.txt": "q" * 5000}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    (tmp_path / "empty").mkdir()
+    for pattern in ("*.{txt,md}", "*", "[n-p].*", "?.txt"):
+        theirs = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", pattern).load(str(tmp_path))
+        ours = scan_files(spark, str(tmp_path), pattern)
+        assert ours.columns == theirs.columns
+        assert "binaryFile" not in ours._jdf.queryExecution().toString()
+        pick = lambda df: sorted((r.path, r.length, bytes(r.content)) for r in df.collect())
+        assert pick(ours) == pick(theirs), pattern
+    assert {r.filename for r in uploads(spark, f"file:{tmp_path}", "q.*").collect()} == {"deep/er/and/er/q.txt"}
+    assert scan_files(spark, str(tmp_path / "p.txt")).first().length == 5000
+    assert scan_files(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        scan_files(spark, str(tmp_path / "missing"))
