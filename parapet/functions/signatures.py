@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
@@ -69,6 +69,24 @@ def possible_rules(text: Column, rules: Sequence[Rule]) -> Column:
 UNIT_RANGES = ((5, 15), (16, 63), (64, 255), (256, None))
 
 
+def _unit_at(window: str, at: int, low: int, high: int | None) -> bool:
+    """Whether a unit runs ten times in the window whose length, in the range, is the distance
+    of the ``low`` characters at ``at`` to some other place that holds them. A unit of p
+    characters runs ten times where 9 p characters in a row equal those p further on."""
+    piece, longest = window[at:at + low], min(high or len(window), len(window) // 10)
+    units, place = set(), window.find(piece)
+    while place >= 0:
+        units.add(abs(place - at))
+        place = window.find(piece, place + 1)
+    codes = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for unit in sorted(u for u in units if low <= u <= longest):
+        breaks = np.flatnonzero(codes[unit:] != codes[:-unit])
+        edges = np.concatenate(([-1], breaks, [len(codes) - unit]))
+        if np.diff(edges).max() > 9 * unit:
+            return True
+    return False
+
+
 def has_repeated_unit(text: str) -> bool:
     r"""Whether some unit of five or more characters occurs ten times in a row.
 
@@ -77,16 +95,17 @@ def has_repeated_unit(text: str) -> bool:
     characters or more, so they cover whole the n characters at some multiple of 9 n, and
     these come again in every further copy, nine times at least, all of them between 9 n
     characters before and ten longest units behind. Such a window is cheap to look
-    through, and only one with nine occurrences is searched.
+    through, and only one with nine occurrences is searched: the copy next to the n
+    characters tells how long the unit can be.
     """
     for line in text.split("\n"):
         for low, high in UNIT_RANGES:
             if len(line) < 10 * low:
                 break
             for start in range(0, len(line) - low + 1, 9 * low):
-                window = line[max(0, start - 9 * low):start + 10 * high if high else None]
-                if window.count(line[start:start + low]) >= 9 and re.search(
-                        rf"(?s)(.{{{low},{high or ''}}}?)\1{{9}}", window):
+                begin = max(0, start - 9 * low)
+                window = line[begin:start + 10 * high if high else None]
+                if window.count(line[start:start + low]) >= 9 and _unit_at(window, start - begin, low, high):
                     return True
     return False
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -198,3 +199,26 @@ def test_patterns_run_only_where_their_words_are(spark):
     rule = Rule("word", "a", words=(("needed",),))
     rows = spark.createDataFrame([("banana",), ("banana needed",)], "text string")
     assert [r.a for r in rows.select(G.matched_rules(F.col("text"), [rule]).alias("a")).collect()] == [[], [0]]
+
+
+def test_unit_lengths_come_from_neighbouring_copies():
+    """As the pattern says, in alphabets of two and three letters, where near misses abound."""
+    rng, pattern = random.Random(3), re.compile(r"(.{5,})\1{9,}")
+    texts = []
+    for _ in range(300):
+        unit = "".join(rng.choices("abé\U0001f600"[:rng.choice((2, 3, 4))], k=rng.choice((1, 2, 4, 5, 6, 9, 15, 16, 17, 30, 63, 64, 70))))
+        body = list((unit * 14)[:len(unit) * rng.choice((9, 10, 11)) + rng.randint(-2, 2)])
+        if body and rng.random() < 0.4:
+            body[rng.randrange(len(body))] = "c"
+        texts.append("".join(rng.choices("ab", k=rng.randint(0, 90))) + "".join(body) + "".join(rng.choices("ab", k=rng.randint(0, 60))))
+    found = [bool(pattern.search(t)) for t in texts]
+    assert [S.has_repeated_unit(t) for t in texts] == found and 60 < sum(found) < 240
+
+
+def test_pieces_that_come_again_do_not_cost_a_search():
+    """A piece at uneven distances is no unit; to try every unit from every place took seconds."""
+    rng = random.Random(5)
+    piece = "".join(rng.choices("abcdefgh", k=600))
+    text = "".join(piece + "".join(rng.choices("abcdefgh", k=rng.randint(40, 260))) for _ in range(60))
+    begun = time.process_time()
+    assert not S.has_repeated_unit(text) and time.process_time() - begun < 2
