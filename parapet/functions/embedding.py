@@ -3,61 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, FloatType
-
-from parapet.functions.once import bind
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 DIMENSIONS = 64
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters and digits; an empty string may come first or last."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def token_bucket(token: Column) -> Column:
+def token_bucket(token: str) -> int:
     """0..63 from the first two hex digits of the token's MD5."""
-    return F.conv(F.substring(F.md5(token), 1, 2), 16, 10).cast("int") % DIMENSIONS
+    return md5(token.encode(), usedforsecurity=False).digest()[0] % DIMENSIONS
 
 
-def term_counts(text: Column) -> Column:
-    """Occurrences per bucket.
+def term_counts(lists: pa.Array) -> np.ndarray:
+    """Occurrences per bucket, one row per list of tokens; a null list has none.
 
-    Every token becomes one ASCII character, so counting a bucket is one pass over a
-    short string instead of a shuffle of single tokens.
+    A batch repeats most of its tokens, so only distinct ones are hashed.
     """
+    coded = lists.flatten().dictionary_encode()
+    bucket = np.array([token_bucket(t) if t else -1 for t in coded.dictionary.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    own = bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    at = (row * DIMENSIONS + own)[own >= 0]
+    return np.bincount(at, minlength=len(lists) * DIMENSIONS).reshape(-1, DIMENSIONS)
 
-    def mark(bucket: Column) -> Column:
-        return F.char(bucket + 48)
-
-    marks = F.array_join(F.transform(tokens(text), lambda t: mark(token_bucket(t))), "")
-    buckets = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
-    return bind(
-        marks,
-        lambda m: F.transform(
-            buckets,
-            lambda b: F.octet_length(m) - F.octet_length(F.replace(m, mark(b), F.lit(""))),
-        ),
-    )
-
-
-def unit(vector: Column) -> Column:
-    """Scale to length one; a zero vector stays as it is."""
-
-    def scaled(v: Column) -> Column:
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
-        return bind(
-            length,
-            lambda size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0)),
-        )
 
-    return bind(vector.cast("array<double>"), scaled)
+@F.arrow_udf(ArrayType(DoubleType()))
+def _unit_counts(lists: pa.Array) -> pa.Array:
+    counts = term_counts(lists).astype(np.float64)
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    scaled = np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, scaled.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(scaled.reshape(-1)))
 
 
 def hashed_embedding(text: Column) -> Column:
-    return unit(term_counts(text))
+    """Term counts by bucket, scaled to length one; without terms all are zero."""
+    return _unit_counts(tokens(text))
 
 
 def embedder(model: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:

@@ -4,10 +4,12 @@ Vectors are compared block against block: a group is one slab of the store and o
 of the queries, both of bounded size, and emits only its best ``k`` per query. No pair
 table is ever built. The number of slabs and blocks follows from row counts, so a cell
 that holds a third of all rows is cut into as many groups as it needs. Scores are made in
-tiles, so a task holds one slab, one block and one tile.
+tiles, so a task holds one slab, one block and one tile. Single precision picks the pairs
+whose score may count, with a margin for its error; these are scored in double precision.
 
 A search is a function of queries, store and k (``Search``). Exact search (``nearest``) meets
-every item. Search in trained cells (``CellSearch``) deals the items to the nearest of a set
+every item, in rounds: a query takes its best hits so far along, and slabs emit only what
+beats them. Search in trained cells (``CellSearch``) deals the items to the nearest of a set
 of centres and looks into as many cells around a query as the wanted recall takes; that
 number is measured on the store at hand. Scores are exact in both.
 """
@@ -20,12 +22,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
+
+from parapet.session import shared_folder
 
 SLAB_ROWS = 50_000
 BLOCK_ROWS = 32_768
-TILE_QUERIES, TILE_ITEMS = 1_024, 2_048  # scores that are in memory at once
+TILE_QUERIES, TILE_ITEMS = 1_024, 512  # scores that are in memory at once
+PAIRS = 65_536  # pairs that are scored again at once
+ROUND_SLABS, ROUND_GROWTH = 8, 8  # slabs of the first round, and how many times more the next one has met
 WORTHWHILE_ROWS = 2_000  # below this size a slab is not split just to use more cores
 PLACES = 9  # similarities are ranked at this many decimal places, ties by id
 
@@ -66,15 +75,19 @@ def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.
     Scores are made in tiles. A tile ranks a row only while that has fewer than ``k`` hits;
     later ones are compared with its last hit and give few candidates. ``allowed(rows,
     places)`` says which pairs count; scores below ``least`` of their row do not matter.
+    Tiles are in single precision: ``slack`` is twice the largest error of a product of unit
+    vectors, as both a score and the hit it is compared with may be off.
     """
-    out = []
+    out, rough = [], store.astype(np.float32)
+    slack = 10.0 ** -PLACES + (wanted.shape[1] + 8) * 2.0 ** -23
     for start in range(0, len(wanted), TILE_QUERIES):
         asked = wanted[start:start + TILE_QUERIES]
+        single = asked.astype(np.float32)
         low = np.full(len(asked), -np.inf) if least is None else least[start:start + TILE_QUERIES]
-        row, place, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        bar = np.full(len(asked), -np.inf)
+        best, bar = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), np.full(len(asked), -np.inf)
+        waiting, rows = [], 0
         for begin in range(0, len(store), TILE_ITEMS):
-            scores = asked @ store[begin:begin + TILE_ITEMS].T
+            scores = single @ rough[begin:begin + TILE_ITEMS].T
             width, floor = scores.shape[1], np.maximum(bar, low)
             fresh = np.flatnonzero(np.isneginf(floor))
             if len(fresh):
@@ -84,21 +97,37 @@ def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.
                     scores[fresh] = part
                 if width > k:
                     floor[fresh] = np.partition(part, width - k, axis=1)[:, width - k]
-            r, c = np.nonzero(scores >= (floor - 10.0 ** -PLACES)[:, None])
-            value = np.round(scores[r, c], PLACES)
+            r, c = np.divmod(np.flatnonzero(scores >= (floor - slack).astype(np.float32)[:, None]), width)
+            if allowed is not None and len(fresh):
+                keep = ~np.isneginf(scores[r, c])
+                r, c = r[keep], c[keep]
+            value = _scored(asked, store[begin:begin + TILE_ITEMS], r, c)
             keep = (value > bar[r]) & (value >= low[r])
             r, c, value = r[keep], c[keep], value[keep]
             if allowed is not None and len(r):
                 keep = allowed(start + r, begin + c)
                 r, c, value = r[keep], c[keep], value[keep]
             if len(r):
-                row, place, score, bar = _merged(
-                    np.concatenate((row, r)), np.concatenate((place, begin + c)),
-                    np.concatenate((score, value)), len(asked), k)
+                waiting.append((r, begin + c, value))
+                rows += len(r)
+            if rows and (len(fresh) or rows >= k * len(asked)):
+                *best, bar = _merged(*[np.concatenate(p) for p in zip(best, *waiting)], len(asked), k)
+                waiting, rows = [], 0
+        row, place, score, _ = _merged(*[np.concatenate(p) for p in zip(best, *waiting)], len(asked), k)
         out.append((start + row, place, score))
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
+def _scored(asked: np.ndarray, tile: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rounded scores of some pairs of a tile: the whole tile if these are many."""
+    if 16 * len(row) > len(asked) * len(tile):
+        return np.round((asked @ tile.T)[row, place], PLACES)
+    out = np.empty(len(row))
+    for i in range(0, len(row), PAIRS):
+        out[i:i + PAIRS] = np.einsum("ij,ij->i", asked[row[i:i + PAIRS]], tile[place[i:i + PAIRS]])
+    return np.round(out, PLACES)
+
+
 def _hits(items: pa.Table, queries: pa.Table, row: np.ndarray, place: np.ndarray, score: np.ndarray) -> pa.Table:
     return pa.table({
         "query_id": queries.column("query_id").combine_chunks().take(pa.array(row, pa.int64())),
@@ -193,17 +222,14 @@ def comparable(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFra
     return queries.where(good), store.where(good)
 
 
-def _ranked(queries: DataFrame, store: DataFrame, k: int, flips: int | None = None) -> DataFrame:
-    """Both sides with the number of ``slabs`` and ``blocks``: the best items of all pairs of
-    groups. With ``flips`` both have ``codes`` too, and a pair of ids counts once."""
-    further = [] if flips is None else ["codes"]
+def _ranked(queries: DataFrame, store: DataFrame, k: int, flips: int) -> DataFrame:
+    """Both sides with the number of ``slabs`` and ``blocks``, and their ``codes``: the best
+    items of all pairs of groups. A pair of ids counts once."""
     items = _spread(store, "slab", "slabs", "block", "blocks", "item_id")
     asked = _spread(queries, "block", "blocks", "slab", "slabs", "query_id")
-    found = _met(items.select("slab", "block", "item_id", "vector", *further),
-                 asked.select("slab", "block", "query_id", "vector", *further), _best(k, flips))
-    if flips is not None:
-        found = found.groupBy("query_id", "item_id").agg(F.max("cosine").alias("cosine"))
-    return _placed(found, k)
+    found = _met(items.select("slab", "block", "item_id", "vector", "codes"),
+                 asked.select("slab", "block", "query_id", "vector", "codes"), _best(k, flips))
+    return _placed(found.groupBy("query_id", "item_id").agg(F.max("cosine").alias("cosine")), k)
 
 
 def _met(items: DataFrame, asked: DataFrame, compare: Callable) -> DataFrame:
@@ -233,10 +259,88 @@ def nearest(
     slab_rows: int = SLAB_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact nearest items: every slab of the store meets every block of queries."""
+    """Exact nearest items: every slab of the store meets every block of queries.
+
+    Both sides are written to the shared folder once. Tasks hold slabs of the store and read
+    the blocks, so neither side is copied for the other. Were every slab to emit the best
+    ``k`` of each query, hits would grow with the product of both sides. So the store is met
+    in rounds, a few slabs first and then ``ROUND_GROWTH`` times as many items as before. A
+    query takes its last hit so far along, and what does not come before that is not
+    emitted: about ``k * ROUND_GROWTH`` hits per query and round, however many slabs.
+    """
     queries, store = comparable(queries, store)
-    return _ranked(*_counted(queries.select("query_id", "vector"), store.select("item_id", "vector"),
-                             slab_rows, block_rows), k)
+    spark, folder = store.sparkSession, shared_folder(store.sparkSession, "nearest")
+    asked, items = f"{folder}/queries", f"{folder}/items"
+    queries.select("query_id", "vector").write.parquet(asked)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit("round"), "item_id"), 1) / F.lit(2.0 ** 63)
+    later = F.floor(-F.log(F.greatest(drawn, F.lit(2.0 ** -60))) / F.log(F.lit(float(ROUND_GROWTH))))
+    store.select("item_id", "vector", later.cast("int").alias("later")).write.partitionBy("later").parquet(items)
+    queries, store = (spark.read.schema(schema).parquet(path) for schema, path in (
+        (queries.select("query_id", "vector").schema, asked),
+        (store.select("item_id", "vector").schema.add("later", IntegerType()), items)))
+    held = dict(tuple(r) for r in store.groupBy("later").count().collect())  # a few rows
+    total, cores = queries.count(), spark.sparkContext.defaultParallelism
+    first = max(held, default=0)
+    while first and sum(n for level, n in held.items() if level >= first - 1) <= ROUND_SLABS * slab_rows:
+        first -= 1
+    found = None
+    for level in range(first, -1, -1):
+        own = F.col("later") >= level if level == first else F.col("later") == level
+        rows = sum(n for at, n in held.items() if (at >= level if level == first else at == level))
+        slabs, blocks = _sizes(rows, total, cores, slab_rows, block_rows)
+        bars = queries.select("*", F.lit(None).cast("double").alias("least"),
+                              F.lit(None).cast(store.schema["item_id"].dataType).alias("last"))
+        if found is not None:
+            bars = queries.join(found.where(F.col("rank") == k).select(
+                "query_id", F.col("cosine").alias("least"), F.col("item_id").alias("last")), "query_id", "left")
+        bars.repartition(blocks).write.parquet(f"{folder}/asked-{level}")
+        hits = store.where(own).select("item_id", "vector").repartition(slabs).mapInArrow(
+            _slabs_against(f"{folder}/asked-{level}", k, slab_rows, block_rows),
+            f"query_id bigint, item_id {store.schema['item_id'].dataType.simpleString()}, cosine double")
+        if found is not None:
+            hits = hits.unionByName(found.drop("rank"))
+        found = _placed(hits, k)
+        if level:
+            found.write.parquet(f"{folder}/found-{level}")
+            found = spark.read.schema(found.schema).parquet(f"{folder}/found-{level}")
+    return found
+
+
+def _blocks(folder: str, rows: int):
+    """The rows of a folder of parquet files as tables of bounded size."""
+    system, path = pafs.FileSystem.from_uri(folder)
+    for info in sorted(system.get_file_info(pafs.FileSelector(path)), key=lambda info: info.path):
+        if info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(rows):
+                    yield pa.Table.from_batches([batch])
+
+
+def _slabs_against(folder: str, k: int, slab_rows: int, block_rows: int):
+    """Batch function: the rows of a partition, slab by slab, against all blocks of queries."""
+
+    def meet(held: list[pa.RecordBatch]):
+        items = pa.Table.from_batches(held).sort_by("item_id")
+        store = _matrix(items.column("vector"))
+        for queries in _blocks(folder, block_rows):
+            least = queries.column("least").fill_null(-np.inf).to_numpy()
+            row, place, score = _top(store, _matrix(queries.column("vector")), k, least=least)
+            hits, last = _hits(items, queries, row, place, score), queries.column("last").take(pa.array(row))
+            behind = pc.and_(pa.array(score == least[row]), pc.greater(hits.column("item_id"), last))
+            yield from hits.filter(pc.invert(behind.fill_null(False))).to_batches()
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= slab_rows:
+                yield from meet(held)
+                held, rows = [], 0
+        if rows:
+            yield from meet(held)
+
+    return run
 
 
 def _counted(queries: DataFrame, store: DataFrame, slab_rows: int = SLAB_ROWS, block_rows: int = BLOCK_ROWS):

@@ -42,8 +42,10 @@ def answer_questions(
     ``embedded_store`` with one row per id. Requests out of bounds (text length, ``top_k``)
     get a ``reject_reason`` and no answer. Blocked questions never reach retrieval, and a
     question without hits is answered all the same. With a ``folder`` the decisions of the
-    gateway are written there as ``decisions`` and not computed again for the response.
+    gateway are written there as ``decisions`` and not computed again for the response, and
+    the store as ``store``, which search and response read.
     """
+    store = kept_table(store, folder, "store")
     judged = kept_table(
         gateway.evaluate(questions, "text", strict).select(
             "query_id", F.col("top_k").cast("long").alias("top_k"),

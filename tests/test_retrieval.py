@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -40,6 +42,44 @@ def test_exact_with_many_copies(spark, slab_rows, block_rows):
     assert {(r.query_id, r["rank"]): r.item_id for r in rows} == brute(queries, items, 7)
 
 
+def test_hits_that_leave_the_slabs_do_not_grow_with_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = rng.standard_normal((2_000, 8))
+    items[::3] = items[0]
+    queries = np.vstack([rng.standard_normal((19, 8)), items[:1]])
+    sides, placed = [], R._placed
+    monkeypatch.setattr(R, "_placed", lambda found, k: (sides.append(found), placed(found, k))[1])
+    rows = R.nearest(*frames(spark, queries, items), 3, 20, 7).collect()
+    assert {(r.query_id, r["rank"]): r.item_id for r in rows} == brute(queries, items, 3)
+    assert max(side.count() for side in sides) < 100 * len(queries)  # 100 slabs, 3 hits of each
+
+
+def test_scores_that_single_precision_cannot_tell_apart(spark):
+    rng = np.random.default_rng(7)
+    queries = rng.standard_normal((5, 64))
+    items = np.concatenate([q + 1e-3 * rng.standard_normal((150, 64)) for q in queries])
+    gaps = np.diff(np.sort((queries[0] / np.linalg.norm(queries[0])) @ (items[:150] / np.linalg.norm(
+        items[:150], axis=1, keepdims=True)).T))
+    assert np.median(gaps) < 2.0 ** -24
+    rows = R.nearest(*frames(spark, queries, items), 20, 37).collect()
+    assert {(r.query_id, r["rank"]): r.item_id for r in rows} == brute(queries, items, 20)
+
+
+@pytest.mark.parametrize("query_ids", [[0, 0, 1], [None, 1, 2]])
+def test_query_ids_that_repeat_or_are_null_in_rounds(spark, query_ids):
+    rng = np.random.default_rng(8)
+    items, queries = rng.standard_normal((400, 8)), rng.standard_normal((3, 8))
+    _, s = frames(spark, queries, items)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in zip(query_ids, queries)], "query_id long, vector array<double>")
+    want = {}
+    for i, v in zip(query_ids, queries):
+        score = np.round(v / np.linalg.norm(v) @ (items / np.linalg.norm(items, axis=1, keepdims=True)).T, R.PLACES)
+        want.setdefault(i, []).extend((-c, j) for j, c in enumerate(score))
+    rows = R.nearest(q, s, 4, 10).collect()
+    assert {(r.query_id, r["rank"]): r.item_id for r in rows} == {
+        (i, rank): j for i, pairs in want.items() for rank, (_, j) in enumerate(sorted(pairs)[:4], 1)}
+
+
 def test_fewer_items_than_k(spark):
     q, s = frames(spark, np.eye(3), np.eye(3)[:2])
     assert R.nearest(q, s, 5).count() == 6
@@ -181,6 +221,25 @@ def test_hashed_embedding_is_a_unit_vector(spark):
     assert not any(rows[1].v)
 
 
+def test_hashed_embedding_hashes_a_token_once_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    from parapet.functions import embedding as E
+
+    texts = ["The cat, the dog; 42 CATS", "", None, "... \u00dcber_\u00fcber \u0663"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select(
+        "i", hashed_embedding(F.col("t")).alias("v")).collect()
+    for row in rows:
+        want = np.zeros(64)
+        for token in {0: "the cat the dog 42 cats", 3: "\u00fcber \u00fcber \u0663"}.get(row.i, "").split():
+            want[int(hashlib.md5(token.encode()).hexdigest()[:2], 16) % 64] += 1
+        assert row.v == (want / max(np.linalg.norm(want), 1)).tolist()
+    seen, bucket = [], E.token_bucket
+    monkeypatch.setattr(E, "token_bucket", lambda token: (seen.append(token), bucket(token))[1])
+    counts = E.term_counts(pa.array([["a", "b", "a"], None, ["", "a"]]))
+    assert sorted(seen) == ["a", "b"] and counts.sum(axis=1).tolist() == [3, 0, 1]
+
+
 def test_scores_are_made_in_tiles_of_bounded_size():
     import tracemalloc
 
