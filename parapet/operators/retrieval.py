@@ -80,6 +80,7 @@ def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.
     """
     out, rough = [], store.astype(np.float32)
     slack = 10.0 ** -PLACES + (wanted.shape[1] + 8) * 2.0 ** -23
+    room, near = np.empty(TILE_QUERIES * TILE_ITEMS, np.float32), np.empty(TILE_QUERIES * TILE_ITEMS, bool)
     for start in range(0, len(wanted), TILE_QUERIES):
         asked = wanted[start:start + TILE_QUERIES]
         single = asked.astype(np.float32)
@@ -87,8 +88,9 @@ def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.
         best, bar = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), np.full(len(asked), -np.inf)
         waiting, rows = [], 0
         for begin in range(0, len(store), TILE_ITEMS):
-            scores = single @ rough[begin:begin + TILE_ITEMS].T
-            width, floor = scores.shape[1], np.maximum(bar, low)
+            width, floor = min(TILE_ITEMS, len(store) - begin), np.maximum(bar, low)
+            pairs = len(asked) * width
+            scores = np.matmul(single, rough[begin:begin + width].T, out=room[:pairs].reshape(-1, width))
             fresh = np.flatnonzero(np.isneginf(floor))
             if len(fresh):
                 part = scores[fresh]
@@ -97,7 +99,8 @@ def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.
                     scores[fresh] = part
                 if width > k:
                     floor[fresh] = np.partition(part, width - k, axis=1)[:, width - k]
-            r, c = np.divmod(np.flatnonzero(scores >= (floor - slack).astype(np.float32)[:, None]), width)
+            np.greater_equal(scores, (floor - slack).astype(np.float32)[:, None], out=near[:pairs].reshape(-1, width))
+            r, c = np.divmod(np.flatnonzero(near[:pairs]), width)
             if allowed is not None and len(fresh):
                 keep = ~np.isneginf(scores[r, c])
                 r, c = r[keep], c[keep]
