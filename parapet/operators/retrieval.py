@@ -6,6 +6,8 @@ table is ever built. The number of slabs and blocks follows from row counts, so
 that holds a third of all rows is cut into as many groups as it needs. Scores are made in
 tiles, so a task holds one slab, one block and one tile. Single precision picks the pairs
 whose score may count, with a margin for its error; these are scored in double precision.
+Vectors that are multiples of whole numbers, as counts of terms are, need no single precision:
+their products are whole, and several queries share one product of doubles.
 
 A search is a function of queries, store and k (``Search``). Exact search (``nearest``) meets
 every item, in rounds: a query takes its best hits so far along, and slabs emit only what
@@ -34,7 +36,12 @@ SLAB_ROWS = 50_000
 BLOCK_ROWS = 32_768
 TILE_QUERIES, TILE_ITEMS = 1_024, 512  # scores that are in memory at once
 PAIRS = 65_536  # pairs that are scored again at once
-ROUND_SLABS, ROUND_GROWTH = 8, 8  # slabs of the first round, and how many times more the next one has met
+WHOLE_QUERIES, WHOLE_ITEMS = 4_096, 256  # a tile of whole numbers
+WHOLE_SPREAD = 0.95  # length of its shortest item by that of its longest
+WHOLE_LENGTH, WHOLE_SHARE = 256, 8  # longest vector of whole numbers, and largest number its least entry may stand for
+WHOLE_BITS = 52  # bits of a double that hold sums of whole numbers
+SEED_ITEMS = 1_024  # items that queries without hits meet first
+ROUND_SLABS, ROUND_ITEMS, ROUND_GROWTH = 8, 50_000, 8  # most slabs and items of the first round, and how many times more the next one has met
 WORTHWHILE_ROWS = 2_000  # below this size a slab is not split just to use more cores
 PLACES = 9  # similarities are ranked at this many decimal places, ties by id
 
@@ -69,13 +76,185 @@ def _merged(row: np.ndarray, place: np.ndarray, score: np.ndarray, rows: int, k:
     return row, place, score, bar
 
 
-def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.ndarray | None = None):
+def _whole(unit: np.ndarray):
+    """Rows of unit length as vectors of whole numbers with the same direction, and the lengths
+    of these; the length is 0 where there is no such vector of moderate length.
+
+    Counts of terms that were scaled to length one are such rows: their smallest entry stands
+    for a small number.
+    """
+    numbers, length = np.zeros_like(unit), np.zeros(len(unit))
+    size = np.abs(unit)
+    smallest = np.where(size > 0, size, np.inf).min(axis=1, initial=np.inf)
+    left = np.flatnonzero(np.isfinite(smallest))
+    for share in range(1, WHOLE_SHARE + 1):
+        scaled = unit[left] * (share / smallest[left])[:, None]
+        rounded = np.rint(scaled)
+        fits = np.abs(scaled - rounded).max(axis=1, initial=0) <= 1e-9
+        numbers[left[fits]] = rounded[fits]
+        left = left[~fits]
+        if not len(left):
+            break
+    length = np.sqrt((numbers * numbers).sum(axis=1))
+    length[length > WHOLE_LENGTH] = 0
+    return numbers, length
+
+
+def _top(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.ndarray | None = None, whole=None):
     """Rows, places and rounded scores of the best ``k`` of the store per row of ``wanted``.
 
+    ``allowed(rows, places)`` says which pairs count; scores below ``least`` of their row do
+    not matter. Pairs of whole numbers (``_whole``, for the store in ``whole``) are compared
+    as such, the others in single precision.
+    """
+    seeds = max(SEED_ITEMS, 4 * k)
+    if allowed is not None or len(store) < 2 * seeds or not len(wanted):
+        return _top_single(store, wanted, k, allowed, least)
+    numbers, length = whole if whole is not None else _whole(store)
+    if 2 * np.count_nonzero(length) < len(store):
+        return _top_single(store, wanted, k, None, least)
+    asked, asked_length = _whole(wanted)
+    apart, own = np.flatnonzero(asked_length == 0), np.flatnonzero(asked_length)
+    low = np.full(len(wanted), -np.inf) if least is None else least
+    first, later = np.flatnonzero(length == 0), np.flatnonzero(length)
+    if np.isneginf(low[own]).any():
+        taken = np.linspace(0, len(later) - 1, min(seeds, len(later))).astype(np.int64)
+        first, later = np.sort(np.concatenate([first, later[taken]])), np.delete(later, taken)
+    out = []
+    if len(apart):
+        row, place, score = _top_single(store, wanted[apart], k, None, low[apart])
+        out.append((apart[row], place, score))
+    if len(own):
+        row, place, score = (_top_single(store[first], wanted[own], k, None, low[own]) if len(first)
+                             else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
+        row, place, score = _top_whole(store, wanted[own], k, low[own], (numbers, length, later),
+                                       (asked[own], asked_length[own]), (row, first[place], score))
+        out.append((own[row], place, score))
+    return _merged(*[np.concatenate(parts) for parts in zip(*out)], len(wanted), k)[:3]
+
+
+def _top_whole(store, wanted, k: int, low: np.ndarray, items, queries, found):
+    """``_top`` for whole numbers: ``items`` are numbers, lengths and the places to meet,
+    ``queries`` numbers and lengths, ``found`` the hits so far.
+
+    A product of two such rows is a whole number, so several queries share the bits of one
+    double, each with a field wide enough for its products. A field also holds what its
+    product lacks to the least that may count, so that its highest bit is set if and only if
+    the product reaches that. Both sides are met in order of length: a tile takes the
+    shortest length of its items as theirs, which lets a few pairs more through. These are
+    scored in double precision.
+    """
+    numbers, length, later = items
+    later = later[np.argsort(-length[later], kind="stable")]
+    length, met = length[later], np.ones((len(later), numbers.shape[1] + 1))
+    met[:, :-1] = numbers[later]
+    asked, asked_length = queries
+    cuts = _cuts(length)
+    signed = bool((met < 0).any() or (asked < 0).any())
+    row, place, score, bar = _merged(*found[:1], *found[1:], len(wanted), k)
+    order, out = np.argsort(asked_length, kind="stable"), []
+    tile_size = WHOLE_QUERIES * WHOLE_ITEMS
+    room, marks, near = (np.empty(tile_size, kind) for kind in (np.float64, np.int64, bool))
+    begun = np.searchsorted(row, np.arange(len(wanted) + 1))
+    for start in range(0, len(order), WHOLE_QUERIES):
+        some = order[start:start + WHOLE_QUERIES]
+        mine = np.concatenate([np.arange(begun[i], begun[i + 1]) for i in some])
+        own = np.repeat(np.arange(len(some)), begun[some + 1] - begun[some])
+        best, floor = (own, place[mine], score[mine]), np.maximum(bar[some], low[some])
+        vectors, lengths, rows = wanted[some], asked_length[some], asked[some]
+        packed, waiting, held, reach = {}, [], 0, None
+        for begin, end in zip(cuts, cuts[1:]):
+            tile, longest, shortest = met[begin:end], length[begin], length[end - 1]
+            if reach is None:  # per unit of the items' length; rounding and ``_whole`` change less than 1e-7
+                reach = (np.where(np.isneginf(floor), -1.0, floor) - 1e-7) * lengths
+                negative, far, gap = (reach < 0).any(), np.abs(reach).max(), (lengths - reach).max()
+            enough = np.ceil(reach * (np.where(reach < 0, longest, shortest) if negative else shortest) - 1e-6)
+            low_side = (lengths.max() * longest if signed else 0) + far * longest
+            high_side = gap * longest + far * (longest - shortest)
+            bits = 1 + int(np.ceil(np.log2(max(low_side, high_side) + 4)))
+            fields = WHOLE_BITS // bits
+            if bits not in packed:
+                packed[bits] = _fields(rows, fields, bits)
+            sides, shift = packed[bits]
+            lack = np.zeros(sides.shape[0] * fields)
+            lack[:len(some)] = 2.0 ** (bits - 1) - enough
+            sides[:, -1] = 2.0 ** WHOLE_BITS + lack.reshape(-1, fields) @ shift
+            pairs = len(sides) * len(tile)
+            sums = np.matmul(sides, tile.T, out=room[:pairs].reshape(-1, len(tile))).view(np.int64).reshape(-1)
+            highest = bits * np.arange(1, fields + 1) - 1
+            np.not_equal(np.bitwise_and(sums, (1 << highest).sum(), out=marks[:pairs]), 0, out=near[:pairs])
+            found = _marked(near, pairs)
+            if not len(found):
+                continue
+            field, at = np.nonzero(marks[found] >> highest[:, None] & 1)
+            group, c = np.divmod(found[at], len(tile))
+            r = group * fields + field
+            beyond = sums[found[at]] >> (bits * field) & ((1 << bits - 1) - 1)
+            rough = (beyond + enough[r]) / (lengths[r] * length[begin + c])
+            keep = rough >= floor[r] - 1e-7
+            waiting.append((r[keep], later[begin + c[keep]]))
+            held += len(waiting[-1][0])
+            if held >= k * len(some):
+                best, last = _better(vectors, store, k, floor, best, waiting)
+                floor, waiting, held, reach = np.maximum(last, low[some]), [], 0, None
+        own, at, value = _better(vectors, store, k, floor, best, waiting)[0] if held else best
+        out.append((some[own], at, value))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+def _marked(near: np.ndarray, rows: int) -> np.ndarray:
+    """Places of the few true values among the first ``rows``; the array has room for eights."""
+    near[rows:rows + -rows % 8] = False
+    words = np.flatnonzero(near[:rows + -rows % 8].view(np.uint64))
+    at, offset = np.nonzero(near[:rows + -rows % 8].reshape(-1, 8)[words])
+    return words[at] * 8 + offset
+
+
+def _better(asked: np.ndarray, store: np.ndarray, k: int, floor: np.ndarray, best, waiting):
+    """The best ``k`` per row of the hits so far and of pairs that wait to be scored, and the
+    last scores."""
+    row, place = (np.concatenate(parts) for parts in zip(*waiting))
+    value = _products(asked, store, row, place)
+    keep = value >= floor[row]
+    *best, bar = _merged(*[np.concatenate(p) for p in zip(best, (row[keep], place[keep], value[keep]))], len(asked), k)
+    return best, bar
+
+
+def _cuts(length: np.ndarray) -> list[int]:
+    """Where tiles of items begin, and the end: a tile has few items of nearly one length."""
+    cuts = [0]
+    while cuts[-1] < len(length):
+        begin = cuts[-1]
+        near = np.searchsorted(-length, -WHOLE_SPREAD * length[begin], "right")
+        cuts.append(int(min(begin + WHOLE_ITEMS, near)))
+    return cuts
+
+
+def _fields(rows: np.ndarray, fields: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole numbers, so many to a row of doubles, with room for one more column; and
+    the weights of the fields."""
+    shift = 2.0 ** (bits * np.arange(fields))
+    groups = -(-len(rows) // fields)
+    padded = np.zeros((groups * fields, rows.shape[1]))
+    padded[:len(rows)] = rows
+    sides = np.zeros((groups, rows.shape[1] + 1))
+    sides[:, :-1] = np.einsum("gfd,f->gd", padded.reshape(groups, fields, -1), shift)
+    return sides, shift
+
+
+def _products(asked: np.ndarray, store: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rounded scores of some pairs."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), PAIRS):
+        out[i:i + PAIRS] = np.einsum("ij,ij->i", asked[row[i:i + PAIRS]], store[place[i:i + PAIRS]])
+    return np.round(out, PLACES)
+
+
+def _top_single(store: np.ndarray, wanted: np.ndarray, k: int, allowed=None, least: np.ndarray | None = None):
+    """``_top`` for any vectors.
+
     Scores are made in tiles. A tile ranks a row only while that has fewer than ``k`` hits;
-    later ones are compared with its last hit and give few candidates. ``allowed(rows,
-    places)`` says which pairs count; scores below ``least`` of their row do not matter.
-    Tiles are in single precision: ``slack`` is twice the largest error of a product of unit
+    later ones are compared with its last hit and give few candidates. Tiles are in single precision: ``slack`` is twice the largest error of a product of unit
     vectors, as both a score and the hit it is compared with may be off.
     """
     out, rough = [], store.astype(np.float32)
@@ -125,10 +304,7 @@ def _scored(asked: np.ndarray, tile: np.ndarray, row: np.ndarray, place: np.ndar
     """Rounded scores of some pairs of a tile: the whole tile if these are many."""
     if 16 * len(row) > len(asked) * len(tile):
         return np.round((asked @ tile.T)[row, place], PLACES)
-    out = np.empty(len(row))
-    for i in range(0, len(row), PAIRS):
-        out[i:i + PAIRS] = np.einsum("ij,ij->i", asked[row[i:i + PAIRS]], tile[place[i:i + PAIRS]])
-    return np.round(out, PLACES)
+    return _products(asked, tile, row, place)
 
 
 def _hits(items: pa.Table, queries: pa.Table, row: np.ndarray, place: np.ndarray, score: np.ndarray) -> pa.Table:
@@ -212,16 +388,28 @@ def vector_problem(vector: Column, dimensions: int) -> Column:
     return (
         F.when(vector.isNull(), "no_vector")
         .when(F.size(vector) != dimensions, "wrong_length")
-        .when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "no_number")
+        .when(_no_number(vector), "no_number")
     )
 
 
+def _no_number(vector: Column) -> Column:
+    return F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+
+
+def _common_length(sizes: DataFrame) -> int:
+    """The most common ``n`` that is not null, the largest of these, or 0."""
+    top = sizes.where(F.col("n").isNotNull()).groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).first()
+    return top[0] if top else 0
+
+
+def _size() -> Column:
+    return F.when(F.col("vector").isNotNull(), F.size("vector"))
+
+
 def comparable(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides without null vectors, vectors with null or NaN, and vectors of another
     length than the most common one of the store."""
-    lengths = store.where(F.col("vector").isNotNull()).groupBy(F.size("vector").alias("n")).count()
-    top = lengths.orderBy(F.desc("count"), F.desc("n")).first()
-    good = vector_problem(F.col("vector"), top[0] if top else 0).isNull()
+    good = vector_problem(F.col("vector"), _common_length(store.select(_size().alias("n")))).isNull()
     return queries.where(good), store.where(good)
 
 
@@ -271,20 +459,24 @@ def nearest(
     query takes its last hit so far along, and what does not come before that is not
     emitted: about ``k * ROUND_GROWTH`` hits per query and round, however many slabs.
     """
-    queries, store = comparable(queries, store)
     spark, folder = store.sparkSession, shared_folder(store.sparkSession, "nearest")
     asked, items = f"{folder}/queries", f"{folder}/items"
-    queries.select("query_id", "vector").write.parquet(asked)
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit("round"), "item_id"), 1) / F.lit(2.0 ** 63)
     later = F.floor(-F.log(F.greatest(drawn, F.lit(2.0 ** -60))) / F.log(F.lit(float(ROUND_GROWTH))))
-    store.select("item_id", "vector", later.cast("int").alias("later")).write.partitionBy("later").parquet(items)
-    queries, store = (spark.read.schema(schema).parquet(path) for schema, path in (
-        (queries.select("query_id", "vector").schema, asked),
-        (store.select("item_id", "vector").schema.add("later", IntegerType()), items)))
+    # Which vectors are comparable is asked of the written rows, so the store is read once.
+    store = store.select("item_id", F.when(~_no_number(F.col("vector")), F.col("vector")).alias("vector"),
+                         _size().alias("n"), later.cast("int").alias("later"))
+    store.write.partitionBy("later").parquet(items)
+    store = spark.read.schema(store.schema).parquet(items)
+    length = _common_length(store)
+    store = store.where((F.col("n") == length) & F.col("vector").isNotNull()).drop("n")
+    queries = queries.where(vector_problem(F.col("vector"), length).isNull()).select("query_id", "vector")
+    queries.write.parquet(asked)
+    queries = spark.read.schema(queries.schema).parquet(asked)
     held = dict(tuple(r) for r in store.groupBy("later").count().collect())  # a few rows
     total, cores = queries.count(), spark.sparkContext.defaultParallelism
     first = max(held, default=0)
-    while first and sum(n for level, n in held.items() if level >= first - 1) <= ROUND_SLABS * slab_rows:
+    while first and sum(n for level, n in held.items() if level >= first - 1) <= min(ROUND_SLABS * slab_rows, ROUND_ITEMS):
         first -= 1
     found = None
     for level in range(first, -1, -1):
@@ -325,9 +517,10 @@ def _slabs_against(folder: str, k: int, slab_rows: int, block_rows: int):
     def meet(held: list[pa.RecordBatch]):
         items = pa.Table.from_batches(held).sort_by("item_id")
         store = _matrix(items.column("vector"))
+        whole = _whole(store)
         for queries in _blocks(folder, block_rows):
             least = queries.column("least").fill_null(-np.inf).to_numpy()
-            row, place, score = _top(store, _matrix(queries.column("vector")), k, least=least)
+            row, place, score = _top(store, _matrix(queries.column("vector")), k, least=least, whole=whole)
             hits, last = _hits(items, queries, row, place, score), queries.column("last").take(pa.array(row))
             behind = pc.and_(pa.array(score == least[row]), pc.greater(hits.column("item_id"), last))
             yield from hits.filter(pc.invert(behind.fill_null(False))).to_batches()

@@ -258,6 +258,74 @@ def test_scores_are_made_in_tiles_of_bounded_size():
     assert {(r.query_id, r.rank): r.item_id for r in found.itertuples()} == brute(queries, items, 5)
 
 
+def unit_rows(rows):
+    rows = np.asarray(rows, np.float64)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def counted(rng, rows, terms, signed=False):
+    """Rows of counts of terms, as hashed texts have them."""
+    out = np.zeros((rows, 16))
+    np.add.at(out, (np.repeat(np.arange(rows), terms), rng.integers(0, 16, rows * terms)), 1)
+    return out * rng.choice([-1, 1], out.shape) if signed else out
+
+
+@pytest.mark.parametrize("signed", [False, True])
+@pytest.mark.parametrize("known", [False, True])
+def test_whole_numbers_give_the_hits_of_any_vectors(signed, known):
+    rng, k = np.random.default_rng(5), 7
+    store = np.vstack([counted(rng, 2_600, 30, signed), counted(rng, 600, 3, signed), counted(rng, 200, 900, signed),
+                       3 * counted(rng, 100, 5, signed), rng.standard_normal((300, 16)), np.zeros((5, 16))])
+    store = np.vstack([store, store[::9]])[rng.permutation(len(store) + len(store[::9]))]
+    wanted = np.vstack([counted(rng, 60, 12, signed), counted(rng, 20, 400, signed), 2 * counted(rng, 20, 4, signed),
+                        rng.standard_normal((9, 16)), np.zeros((2, 16)), -counted(rng, 5, 12)])
+    store, wanted = unit_rows(store), unit_rows(wanted[rng.permutation(len(wanted))])
+    score = np.round(wanted @ store.T, R.PLACES)
+    least = np.where(rng.random(len(wanted)) < 0.7, np.sort(score, axis=1)[:, -3], -np.inf) if known else None
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    want = [(i, j, score[i, j]) for i, row in enumerate(order) for j in row if least is None or score[i, j] >= least[i]]
+    row, place, value = R._top(store, wanted, k, least=least)
+    assert list(zip(row, place)) == [w[:2] for w in want]
+    assert np.allclose(value, [w[2] for w in want], rtol=0, atol=1.1 * 10.0 ** -R.PLACES)
+
+
+def test_rows_of_unit_length_as_whole_numbers():
+    rows = np.array([[1, 2, 0], [4, 6, 0], [-2, 3, 7], [0, 0, 0], [1, 300, 0], [1, 2 ** 0.5, 3 ** 0.5]])
+    numbers, length = R._whole(unit_rows(rows))
+    assert numbers[:3].tolist() == [[1, 2, 0], [2, 3, 0], [-2, 3, 7]]
+    assert np.allclose(length[:3] ** 2, [5, 13, 62]) and (length[3:] == 0).all()
+
+
+def test_several_queries_share_the_products_of_whole_numbers(monkeypatch):
+    rng, done, multiply = np.random.default_rng(6), [], np.matmul
+    store, wanted = unit_rows(counted(rng, 9_000, 60)), unit_rows(counted(rng, 1_500, 20))
+    least = np.sort(np.round(wanted @ store.T, R.PLACES), axis=1)[:, -5]
+
+    def counting(a, b, **options):
+        done.append(a.shape[0] * a.shape[1] * b.shape[1])
+        return multiply(a, b, **options)
+
+    monkeypatch.setattr(np, "matmul", counting)
+    R._top(store, wanted, 5, least=least)
+    assert sum(done) < wanted.size * len(store) / 3
+
+
+def test_vectors_of_the_store_are_asked_for_once(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("item_id"), F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    asked = rows.select(F.col("item_id").alias("query_id"), "vector")
+    hits = R.nearest(asked, rows.mapInArrow(passed, rows.schema), 1).collect()
+    assert {(r.query_id, r.item_id) for r in hits} == {(i, i) for i in range(40)}
+    assert read.value == 40
+
+
 @pytest.mark.parametrize("tile", [1_024, 7])
 def test_approx_is_the_search_in_hash_cells_and_copies_no_query(spark, monkeypatch, tile):
     for name in ("TILE_QUERIES", "TILE_ITEMS"):
