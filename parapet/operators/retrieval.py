@@ -62,10 +62,20 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
+def _order(row: np.ndarray, place: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Order by row, falling score and place; as one whole number where that has room."""
+    if len(row) and np.abs(score).max() <= 1:
+        bits = int(place.max()).bit_length()
+        if int(row.max()).bit_length() + 31 + bits <= 63:
+            behind = np.rint((1 - score) * 10.0 ** PLACES).astype(np.int64)  # scores are rounded
+            return np.argsort((row << 31 | behind) << bits | place)
+    return np.lexsort((place, -score, row))
+
+
 def _merged(row: np.ndarray, place: np.ndarray, score: np.ndarray, rows: int, k: int):
     """The best ``k`` per row, equal scores by place, and the score a row's next hit must
     reach: its last one, or minus infinity while it has fewer than ``k``."""
-    order = np.lexsort((place, -score, row))
+    order = _order(row, place, score)
     row, place, score = row[order], place[order], score[order]
     first = np.searchsorted(row, np.arange(rows))
     keep = np.arange(len(row)) - first[row] < k

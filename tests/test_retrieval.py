@@ -297,6 +297,14 @@ def test_rows_of_unit_length_as_whole_numbers():
     assert np.allclose(length[:3] ** 2, [5, 13, 62]) and (length[3:] == 0).all()
 
 
+def test_order_of_hits():
+    rng, n = np.random.default_rng(2), 5_000
+    row, place = rng.integers(0, 40, n), rng.permutation(n)
+    score = np.round(rng.choice([-1, -0.5, 0, -0.0, 1e-9, 0.5, 0.500000001, 1], n) * rng.choice([1, 0.3], n), R.PLACES)
+    for places, scores in ((place, score), (place << 40, score), (place, np.where(score == 1, np.nan, score))):
+        assert (R._order(row, places, scores) == np.lexsort((places, -scores, row))).all()
+
+
 def test_several_queries_share_the_products_of_whole_numbers(monkeypatch):
     rng, done, multiply = np.random.default_rng(6), [], np.matmul
     store, wanted = unit_rows(counted(rng, 9_000, 60)), unit_rows(counted(rng, 1_500, 20))
